@@ -1,0 +1,11 @@
+"""All queries over the reference tables, with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
