@@ -33,9 +33,9 @@ STATES = 8
 ROUNDS = 3  # passes of Baum-Welch over the corpus
 START_DOCS, START_TOKENS, START_ROUNDS = 1500, 400_000, 12  # of the run that sets the start
 FIXED_POINT = 1 << 20  # expected counts are summed as whole numbers: the order of tasks does not matter
-BLOCK_TOKENS = 600_000  # held in memory at once by the recursions
-FLUSH_WORDS = 400_000
-SLICE_WORDS = 400_000  # words of the vocabulary that a lookup task holds
+BLOCK_TOKENS = 200_000  # held in memory at once by the recursions
+FLUSH_WORDS = 200_000
+SLICE_WORDS = 250_000  # words of the vocabulary that a lookup task holds
 END = b""  # no word is empty
 
 
@@ -52,7 +52,7 @@ class Classes(dict):
 
     def __missing__(self, word: bytes) -> int:
         c = hash_class(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = c
         return c
 
@@ -78,6 +78,13 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def pieces_of(batches, rows: int = 1000):
+    """The batches in pieces of at most so many rows: what a task holds beside them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(docs: list[np.ndarray]):
     """Indices of documents, longest first, in blocks of a bounded number of tokens."""
     order, block, total = sorted(range(len(docs)), key=lambda i: -len(docs[i])), [], 0
@@ -189,7 +196,7 @@ def _accumulate(shipped):
 
     def run(batches):
         model, (start, move, emit) = shipped.value, (0, 0, 0)
-        for batch in batches:
+        for batch in pieces_of(batches):
             a, b, c = expected_counts(model, [np.frombuffer(x.as_py(), "<u2") for x in batch.column(0)])
             start, move, emit = start + a, move + b, emit + c
         if not isinstance(emit, np.ndarray):
@@ -242,7 +249,7 @@ def _score_batches(shipped, slices: int, copies: int):
         padded = np.concatenate([log_top, np.zeros(TOP + HASHED - len(log_top))])
         seen_top = np.concatenate([top_counts > 0, np.zeros(TOP + HASHED - len(log_top), bool)])
         log_within = np.concatenate([np.zeros(TOP), np.log10(within)])
-        for batch in batches:
+        for batch in pieces_of(batches):
             rows, ids, held = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             docs, rare = [], []
             for text in batch.column(3):
