@@ -32,8 +32,10 @@ WORDS = 5
 SKETCH = 128  # coordinates
 PERCENT = 85  # least similarity of a link
 FIRST_TREES, ALL_TREES = 3, 9
-LEAF = 256  # classes compared exhaustively
-DEPTH = 40
+LEAF = 256  # classes compared exhaustively in the first phase
+LAST_LEAF = 512  # and in the second
+LEVELS = 4  # levels that a large node branches at once
+DEPTH = 10  # times that it does so
 FILTER_BITS = 1 << 22  # of the filter that finds the texts of candidates: a fixed size
 
 _rng = np.random.default_rng(20240817)
@@ -104,7 +106,11 @@ def _next_children(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, paths = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4)), threshold)
+            sketches, paths = _matrix(batch.column(4)), batch.column(0).to_numpy().view(np.uint64)
+            rows = np.arange(len(paths))
+            for _ in range(LEVELS):
+                own, paths = children(paths, sketches[rows], threshold)
+                rows = rows[own]
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), *[batch.column(i).take(take) for i in (1, 2, 3)]], names=["node", "tree", "rep", "digest"])
 
@@ -231,7 +237,8 @@ class _Join:
             rows = rows.join(labels, rows.rep == labels.id, "left").select(rows["*"], F.coalesce("label", "rep").alias("label"))
             sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").drop("least", "most")
         rows = staged(rows.join(sizes, "node"), "nodes")
-        return rows.filter(F.col("size") <= LEAF), rows.filter(F.col("size") > LEAF)
+        most = LEAF if labels is None else LAST_LEAF
+        return rows.filter(F.col("size") <= most), rows.filter(F.col("size") > most)
 
     def first_phase(self) -> DataFrame:
         rows = self.classes.select("rep", "digest", "sketch").mapInArrow(_first_children(0, FIRST_TREES, self.threshold), NODE)
@@ -267,7 +274,7 @@ class _Join:
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Nodes that branching can't part: blocks of the members outside the largest
         component against blocks of all."""
-        half = LEAF // 2
+        half = LAST_LEAF // 2
         count = large.groupBy("node", "label").agg(F.count("*").alias("n"))
         main = count.groupBy("node").agg(F.max_by("label", "n").alias("main"))
         rows = staged(large.join(main, "node").select("node", "rep", "digest", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("size") / half).alias("k")).withColumn("block", F.pmod(F.xxhash64("rep", "digest"), F.col("k"))), "blocks")
