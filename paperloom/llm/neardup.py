@@ -31,9 +31,9 @@ from .shingles import WordHashes, mixed, sequence_hashes
 WORDS = 5
 SKETCH = 128  # coordinates
 PERCENT = 85  # least similarity of a link
-FIRST_TREES, ALL_TREES = 3, 9
+FIRST_TREES, ALL_TREES = 3, 8
 LEAF = 256  # classes compared exhaustively in the first phase
-LAST_LEAF = 512  # and in the second
+LAST_LEAF = 1024  # and in the second
 LEVELS = 4  # levels that a large node branches at once
 DEPTH = 10  # times that it does so
 FILTER_BITS = 1 << 22  # of the filter that finds the texts of candidates: a fixed size
