@@ -1,11 +1,347 @@
-"""All queries over the reference tables, with SQL where SQL can express them."""
+"""All queries over the driver's tables, with SQL where SQL can express them.
+
+The tables hold little Markdown, so several queries first derive richer text by a
+projection that both sides share (see RICH)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import dialect, features
+from paperloom.functions import text as tx
+from paperloom.kernel import values
+from paperloom.kernel.capture import PROVIDERS
+from paperloom.operators import chat, documents, fidelity, receipts
+from paperloom.sources.files import table
+from paperloom.sources.sinks import data_url, file_name
+
+#: Markdown made from a document: a heading, the text, a list, a table, code and a link.
+RICH = ["# ", "\n\n", "\n\n- a **b**\n- [ ] ~~c~~ `d`\n\n| x | y |\n|---|:-:|\n| 1 | $z^2$ |\n\n> [l](http://e.x)\n\n```py\ncode\n```\n\nTitle\n=====\n\n---\n"]
+
+
+def _rich(docs: DataFrame) -> DataFrame:
+    source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
+    return docs.withColumn("text", F.concat(F.lit(RICH[0]), source, F.lit(RICH[1]), text, F.lit(RICH[2])))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+RICH_SQL = f"({_sql(RICH[0])} || coalesce(source, '') || {_sql(RICH[1])} || coalesce(text, '') || {_sql(RICH[2])})"
+#: Hebrew and marks around a text, so that folds and directions have something to do.
+MIXED = ["ה-", " — ‏", "⁦ שלום"]
+_mixed = F.concat(F.lit(MIXED[0]), F.coalesce("text", F.lit("")), F.lit(MIXED[1]), F.coalesce("source", F.lit("")), F.lit(MIXED[2]))
+MIXED_SQL = f"({_sql(MIXED[0])} || coalesce(text, '') || {_sql(MIXED[1])} || coalesce(source, '') || {_sql(MIXED[2])})"
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+_HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
+_HINTS = ["CommonMark", " gfm ", "github", "x github.com/a", "hackmd", "hackmd.io", "llm", "mygithub", "hackmd2", "ChatGPT", "Claude 3", "deepseek", "plain", ""]
+_HINT_SQL = "(SELECT unnest([" + ", ".join(_sql(h) for h in _HINTS) + "]) AS hint UNION ALL SELECT DISTINCT source FROM documents)"
+
+
+def _profile_sql(column: str) -> str:
+    s = f"lower(trim(coalesce({column}, '')))"
+    names = " OR ".join(f"contains({s}, '{n}')" for n in dialect.CHAT_NAMES)
+    return f"CASE WHEN {s} = 'commonmark' THEN 'commonmark' WHEN {s} = 'gfm' THEN 'gfm' WHEN {s} = 'github' OR contains({s}, 'github.com') THEN 'github' WHEN {s} = 'hackmd' OR contains({s}, 'hackmd.io') THEN 'hackmd' WHEN {s} = 'llm' THEN 'llm' WHEN contains({s}, 'github') THEN 'github' WHEN contains({s}, 'hackmd') THEN 'hackmd' WHEN {names} THEN 'llm' ELSE 'gfm' END"
+
+
+@query(f"SELECT hint, {_profile_sql('hint')} AS profile, {_profile_sql('hint')} <> 'commonmark' AS extended FROM {_HINT_SQL}")
+def profile_for_source(spark, sf_dir):
+    hints = spark.createDataFrame([(h,) for h in _HINTS], "hint string").unionAll(_docs(spark, sf_dir).select(F.col("source").alias("hint")).distinct())
+    p = dialect.profile_for_source(F.col("hint"))
+    return hints.select("hint", p.alias("profile"), dialect.extended(p).alias("extended"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'commonmark' ELSE {_profile_sql('source')} END AS profile FROM documents")
+def effective_profile(spark, sf_dir):
+    chosen = F.when(F.col("doc_id") % 2 == 0, "commonmark").otherwise("auto")
+    return _docs(spark, sf_dir).select("doc_id", dialect.effective_profile(chosen, F.col("source")).alias("profile"))
+
+
+@query("SELECT 'paperloom' AS engine, ['auto', 'commonmark', 'gfm', 'github', 'hackmd', 'llm'] AS profiles, ['docx', 'rich-html'] AS outputs, 'CommonMark 0.31.2 + GFM + extensions' AS markdown")
+def capabilities(spark, sf_dir):
+    return spark.range(1).select(F.lit("paperloom").alias("engine"), F.array(*map(F.lit, dialect.PROFILES)).alias("profiles"), F.array(F.lit("docx"), F.lit("rich-html")).alias("outputs"), F.lit("CommonMark 0.31.2 + GFM + extensions").alias("markdown"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(replace(regexp_replace({MIXED_SQL}, '([\\x{{0590}}-\\x{{05FF}}])-([A-Za-z])', '\\1־\\2', 'g'), '—', '-'), '[\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g')) AS folded_sha256 FROM documents")
+def normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(tx.folded(_mixed), 256).alias("folded_sha256"))
+
+
+@query()
+def normalize_arrows(spark, sf_dir):
+    text = F.concat(_mixed, F.lit(" a → b `→` $→$\n→ c"))
+    return documents.mirrored(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.sha2("normalised", 256).alias("normalised_sha256"))
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]')) AS BIGINT) AS rtl, CAST(len(regexp_extract_all({MIXED_SQL}, '\\p{{L}}')) - len(regexp_extract_all({MIXED_SQL}, '[\\x{{05D0}}-\\x{{05EA}}]')) AS BIGINT) AS ltr, regexp_matches({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]') AS has_rtl FROM documents")
+def direction_stats(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.rtl_count(_mixed).alias("rtl"), tx.ltr_count(_mixed).alias("ltr"), tx.contains_rtl(_mixed).alias("has_rtl"))
+
+
+@query()
+def direction_segments(spark, sf_dir):
+    rows = documents.segments(_docs(spark, sf_dir).select("doc_id", _mixed.alias("text")), "text", True, True)
+    return rows.select("doc_id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda s: s["text"]), ""), 256).alias("joined_sha256"))
+
+
+_LINES = f"string_split_regex({RICH_SQL}, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {RICH_SQL} AS t, {_LINES} AS l FROM documents)
+SELECT doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS bytes, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS lines, sha256(t) AS sha256, contains(t, '—') AS em_dash, regexp_matches(t, '[A-Za-z]') AS ltr,
+  CAST(len(list_filter(l, lambda x: regexp_matches(x, '^\\s*(```|~~~)'))) // 2 AS BIGINT) AS fences, CAST(len(list_filter(l, lambda x: regexp_matches(x, '^\\s*>'))) AS BIGINT) AS quotes
+FROM d""")
+def preflight_features(spark, sf_dir):
+    found = features.preflight(_rich(_docs(spark, sf_dir)))
+    return found.select("doc_id", F.col("f_bytes").alias("bytes"), F.col("f_lines").alias("lines"), "sha256", F.col("f_contains_em_dash").alias("em_dash"), F.col("f_contains_ltr").alias("ltr"), F.col("f_fenced_code_blocks").alias("fences"), F.col("f_blockquotes").alias("quotes"))
+
+
+@query()
+def preflight_all_features(spark, sf_dir):
+    found = features.preflight(_rich(_docs(spark, sf_dir)))
+    return found.select("doc_id", "valid", "errors", "sha256", *[c for c in found.columns if c.startswith("f_")])
+
+
+@query("SELECT lang, count(*) AS docs, CAST(count(*) FILTER (regexp_matches(coalesce(text, ''), '\\S')) AS BIGINT) AS not_empty, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+def preflight_summary_by_lang(spark, sf_dir):
+    found = features.preflight(_docs(spark, sf_dir))
+    not_empty = F.sum((~F.exists("errors", lambda e: e == "Markdown input is empty")).cast("bigint"))
+    return found.groupBy("lang").agg(F.count("*").alias("docs"), not_empty.alias("not_empty"), F.sum("f_bytes").alias("bytes"))
+
+
+@query("""SELECT conv_id, turn, text AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS n FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 1) WHERE n = 1""")
+def latest_assistant_response(spark, sf_dir):
+    return chat.latest_response(_turns(spark, sf_dir))
+
+
+_RAW = "' a' || chr(13) || chr(10) || text || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || '  b '"
+
+
+@query(f"SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({_RAW}, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), chr(10) || ' ' || chr(9))) AS cleaned_sha256 FROM conversations")
+def clean_markdown(spark, sf_dir):
+    raw = F.concat(F.lit(" a\r\n"), "text", F.lit("  \n\n\n\n  b "))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.sha2(tx.clean_markdown(raw), 256).alias("cleaned_sha256"))
+
+
+@query(r"""SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(replace('- \_#' || text, '\', '\\'), '([`*_\[\]{}<>#$~^+=!])', '\\\1', 'g'), '(^|\n)([ \t]*)([-+>])', '\1\2\\\3', 'g')) AS escaped_sha256 FROM conversations""")
+def escape_markdown(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.sha2(tx.escape_markdown(F.concat(F.lit("- \\_#"), "text")), 256).alias("escaped_sha256"))
+
+
+_TOKENS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY doc_id, token")
+def token_counts(spark, sf_dir):
+    return fidelity.token_counts(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS e, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations),
+e AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest({_TOKENS.format("coalesce(e, '')")}) AS t FROM p) GROUP BY ALL),
+a AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest({_TOKENS.format("coalesce(a, '')")}) AS t FROM p) GROUP BY ALL),
+s AS (SELECT e.conv_id, e.turn, sum(e.n) AS x, sum(greatest(0, e.n - coalesce(a.n, 0))) AS m FROM e LEFT JOIN a ON e.conv_id = a.conv_id AND e.turn = a.turn AND e.t = a.t GROUP BY ALL)
+SELECT p.conv_id, p.turn, CAST(coalesce(x, 0) AS BIGINT) AS expected_tokens, CAST(coalesce(m, 0) AS BIGINT) AS missing_tokens, coalesce((x - m) / CAST(x AS DOUBLE), 1.0) AS token_coverage FROM p LEFT JOIN s ON p.conv_id = s.conv_id AND p.turn = s.turn""")
+def token_fidelity(spark, sf_dir):
+    from pyspark.sql import Window
+
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = _turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("k"), F.col("text").alias("e"), following.alias("a"))
+    return fidelity.fidelity(pairs, "k", "e", "a").select("k.conv_id", "k.turn", "expected_tokens", "missing_tokens", "token_coverage")
+
+
+_PROVIDER = "CASE " + " ".join(f"WHEN regexp_matches(h, '{'|'.join(v[1])}') THEN '{k}'" for k, v in PROVIDERS.items() if v[1]) + " ELSE 'generic' END"
+
+
+@query(f"SELECT page_id, h AS host, {_PROVIDER} AS provider, {_PROVIDER.replace('(h,', chr(40) + chr(39) + 'chat.' + chr(39) + ' || h,')} AS other FROM (SELECT page_id, {_HOST} AS h FROM pages WHERE NOT regexp_matches(lower(coalesce(url, '')), '^(chrome|edge|about|view-source):'))")
+def capture_filterable_pages(spark, sf_dir):
+    host = dialect.host_of(F.col("url"))
+    return _pages(spark, sf_dir).filter(dialect.can_capture(F.col("url"))).select("page_id", host.alias("host"), dialect.provider(host).alias("provider"), dialect.provider(F.concat(F.lit("chat."), host)).alias("other"))
+
+
+_URLS = ["https://chatgpt.com/c/1", "https://www.claude.ai/x", "http://chat.deepseek.com:80/", "https://evilgrok.com", "https://x.com/a", "chrome://x", "https://m365.cloud.microsoft/chat"]
+
+
+@query(f"SELECT url, h AS host, {_PROVIDER} AS provider, NOT regexp_matches(lower(url), '^(chrome|edge|about|view-source):') AS allowed FROM (SELECT url, {_HOST} AS h FROM (SELECT unnest([{', '.join(map(_sql, _URLS))}]) AS url))")
+def detect_provider(spark, sf_dir):
+    host = dialect.host_of(F.col("url"))
+    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", host.alias("host"), dialect.provider(host).alias("provider"), dialect.can_capture(F.col("url")).alias("allowed"))
+
+
+@query()
+def html_capture(spark, sf_dir):
+    return chat.captured(_pages(spark, sf_dir)).select("page_id", "ok", "provider", "title", "error", F.sha2("markdown", 256).alias("markdown_sha256"), F.length("markdown").alias("length"))
+
+
+@query()
+def md_nodes(spark, sf_dir):
+    return documents.nodes(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).drop("attrs")
+
+
+@query()
+def md_node_summary(spark, sf_dir):
+    found = documents.nodes(_rich(_docs(spark, sf_dir)).select("lang", "text"))
+    return found.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in [*values.SYMBOLS.items()]) + ") AS t(command, sign) UNION ALL SELECT 'unknown', NULL")
+def math_symbols(spark, sf_dir):
+    rows = spark.createDataFrame([(k,) for k in [*values.SYMBOLS, "unknown"]], "command string")
+    return rows.select("command", tx.math_symbol(F.col("command")).alias("sign"))
+
+
+@query()
+def math_formulas(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("\\frac{\\alpha_1}{"), "source", F.lit("}^2+\\sqrt{x}")).alias("latex"))
+    return documents.formulas(rows, "latex").select("doc_id", F.size("tokens").alias("tokens"), F.sha2("omml", 256).alias("omml_sha256"), F.sha2("mathml", 256).alias("mathml_sha256"))
+
+
+@query()
+def compile_docx_hash(spark, sf_dir):
+    return documents.compiled(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx_sha256", F.length("docx").alias("bytes"))
+
+
+@query()
+def validate_docx(spark, sf_dir):
+    made = documents.compiled(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx")
+    return documents.package_report(made).select("doc_id", "package.valid", "package.checks", "semantics.stats", F.col("semantics.valid").alias("semantics_valid"))
+
+
+@query()
+def read_packages(spark, sf_dir):
+    made = documents.compiled(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "docx")
+    required = F.array(*map(F.lit, values.PARTS))
+    return documents.parts(made).select("doc_id", "names", receipts.set_check(required, F.col("names")).alias("check"), F.octet_length(F.col("parts")["word/document.xml"]).alias("document_bytes"))
+
+
+@query()
+def build_report(spark, sf_dir):
+    found = documents.built(_rich(_docs(spark, sf_dir)).select("doc_id", "text"))
+    return found.select("doc_id", "valid", "errors", "input_sha256", "output_sha256", "replay", "fidelity.token_coverage", F.col("coverage.valid").alias("coverage_valid"))
+
+
+@query()
+def build_summary(spark, sf_dir):
+    found = documents.built(_docs(spark, sf_dir).select("doc_id", "lang", "text"))
+    return found.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("valid").cast("bigint")).alias("valid"), F.sum(F.col("replay").cast("bigint")).alias("replayed"))
+
+
+@query()
+def rich_html(spark, sf_dir):
+    return documents.rich(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", F.sha2("rich_html", 256).alias("html_sha256"), F.length("rich_html").alias("length"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 90 THEN left(text, 90) || '…' ELSE text END AS preview, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9_-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'llm') || '.docx' AS file FROM conversations")
+def previews_and_names(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", tx.preview(F.col("text")).alias("preview"), file_name(F.left("text", F.lit(30))).alias("file"))
+
+
+@query("SELECT doc_id, 'data:application/vnd.openxmlformats-officedocument.wordprocessingml.document;base64,' || to_base64(encode(text)) AS url FROM documents")
+def download_links(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", data_url(F.col("text").cast("binary")).alias("url"))
+
+
+@query("SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE NULL END, ''), nullif(CASE WHEN page_id % 2 = 0 THEN url ELSE '' END, ''), html) AS text, regexp_matches(lower(url || '/a.MD'), '\\.(md|txt|markdown)$') AS is_markdown, 'a' AS name FROM pages")
+def editor_pages(spark, sf_dir):
+    page = F.col("page_id")
+    text = chat.editor_text(F.when(page % 3 == 0, ""), F.when(page % 2 == 0, F.col("url")).otherwise(""), F.col("html"))
+    path = F.concat("url", F.lit("/a.MD"))
+    return _pages(spark, sf_dir).select("page_id", text.alias("text"), dialect.is_markdown_path(path).alias("is_markdown"), dialect.document_name(path).alias("name"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'insert_markdown' ELSE 'reply' END AS action, CASE WHEN turn % 3 = 2 THEN '' ELSE role END AS markdown, CASE WHEN turn % 3 = 2 THEN role ELSE '' END AS reply FROM conversations")
+def chat_actions(spark, sf_dir):
+    role, turn = F.col("role"), F.col("turn") % 3
+    raw = F.when(turn == 0, F.concat(F.lit('Sure: {"action": "insert_markdown", "markdown": "'), role, F.lit('"}'))).when(turn == 1, F.concat(F.lit('{"action": "delete", "markdown": "'), role, F.lit('"}'))).otherwise(role)
+    return _turns(spark, sf_dir).select("conv_id", "turn", chat.parsed_action(raw).alias("a")).select("conv_id", "turn", "a.*")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' ELSE 'gemini' END AS source, role AS text FROM conversations")
+def provider_answers(spark, sf_dir):
+    turn, role = F.col("turn") % 3, F.col("role")
+    name = F.when(turn == 0, "openai").when(turn == 1, "anthropic").otherwise("gemini")
+    body = F.when(turn == 0, F.to_json(F.struct(role.alias("output_text")))).when(turn == 1, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), role.alias("text"))).alias("content")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(role.alias("text"))).alias("parts")).alias("content"))).alias("candidates"))))
+    return _turns(spark, sf_dir).select("conv_id", "turn", dialect.addin_source(name).alias("source"), chat.response_text(name, body).alias("text"))
+
+
+@query("SELECT doc_id, n <> 3 AND n > 0 AS visual_valid FROM (SELECT doc_id, doc_id % 4 AS n FROM documents)")
+def visual_gate(spark, sf_dir):
+    n = (F.col("doc_id") % 4).cast("int")
+    pages = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+    rows = _docs(spark, sf_dir).select("doc_id", n.alias("pages_expected"), n.alias("pages_rendered"), n.alias("pages_reviewed"), pages.alias("reviewed_pages"), F.when(n == 3, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("issues"), n.alias("images"), *[F.lit("h").alias(c) for c in ("docx_sha256", "pdf_sha256", "actual_docx_sha256", "actual_pdf_sha256")])
+    return receipts.visual_gate(rows).select("doc_id", "visual_valid")
+
+
+@query("SELECT CAST(i AS VARCHAR) AS name, CASE WHEN i < 40 AND i % 5 = 0 THEN 'missing' WHEN i >= 40 THEN 'unexpected' WHEN i % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM range(0, 50) AS t(i)")
+def golden_images(spark, sf_dir):
+    rows = spark.range(50).select("id", F.col("id").cast("string").alias("name"), F.lit(1).alias("bytes"))
+    expected = rows.filter("id < 40").withColumn("sha256", F.lit("a"))
+    actual = rows.filter("id >= 40 OR id % 5 <> 0").withColumn("sha256", F.when(F.col("id") % 7 == 0, "b").otherwise("a"))
+    return receipts.golden_diff(expected.drop("id"), actual.drop("id"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 = 0 AS valid FROM documents")
+def runtime_manifests(spark, sf_dir):
+    value = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("schema_version"), F.when(F.col("doc_id") % 3 == 0, "paperloom").otherwise("x").alias("engine"), F.create_map(F.lit("bin"), F.col("source")).alias("binaries")))
+    return receipts.runtime_manifest(_docs(spark, sf_dir).select("doc_id", value.alias("value"))).select("doc_id", "valid")
+
+
+@query("SELECT 'd/' || doc_id || '.md' AS path, (doc_id + 1) || '.md' AS target FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)")
+def repository_links(spark, sf_dir):
+    link = F.concat(F.lit("see [x]("), (F.col("doc_id") + 1).cast("string"), F.lit(".md) and [y](http://a.b)"))
+    return receipts.broken_links(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), link.alias("text")))
+
+
+@query("SELECT turn, '| ' || turn || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x\\|y |  |' AS markdown FROM conversations GROUP BY turn")
+def ragged_tables(spark, sf_dir):
+    rows = F.array(F.array(F.col("turn").cast("string"), F.lit("b")), F.array(F.lit("x|y")))
+    return _turns(spark, sf_dir).select("turn").distinct().select("turn", tx.table_markdown(rows).alias("markdown"))
+
+
+@query("SELECT level, CAST(s AS VARCHAR) AS size FROM (VALUES (1, '21'), (2, '16'), (3, '13.5'), (4, '12'), (5, '11'), (6, '10.5')) AS t(level, s)")
+def theme_points(spark, sf_dir):
+    rows = spark.createDataFrame([(k, v[0]) for k, v in values.HEADINGS.items()], "level int, half int")
+    return rows.select("level", tx.points(F.col("half"), 2).alias("size"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preflight of all documents, summed by language."""
+    return preflight_summary_by_lang(spark, sf_dir)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
