@@ -88,9 +88,9 @@ def effective_profile(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", dialect.effective_profile(chosen, F.col("source")).alias("profile"))
 
 
-@query("SELECT 'paperloom' AS engine, ['auto', 'commonmark', 'gfm', 'github', 'hackmd', 'llm'] AS profiles, ['docx', 'rich-html'] AS outputs, 'CommonMark 0.31.2 + GFM + extensions' AS markdown")
+@query("SELECT 'paperloom' AS engine, 'auto,commonmark,gfm,github,hackmd,llm' AS profiles, 'docx,rich-html' AS outputs, 'CommonMark 0.31.2 + GFM + extensions' AS markdown")
 def capabilities(spark, sf_dir):
-    return spark.range(1).select(F.lit("paperloom").alias("engine"), F.array(*map(F.lit, dialect.PROFILES)).alias("profiles"), F.array(F.lit("docx"), F.lit("rich-html")).alias("outputs"), F.lit("CommonMark 0.31.2 + GFM + extensions").alias("markdown"))
+    return spark.range(1).select(F.lit("paperloom").alias("engine"), F.lit(",".join(dialect.PROFILES)).alias("profiles"), F.lit("docx,rich-html").alias("outputs"), F.lit("CommonMark 0.31.2 + GFM + extensions").alias("markdown"))
 
 
 @query(f"SELECT doc_id, sha256(regexp_replace(replace(regexp_replace({MIXED_SQL}, '([\\x{{0590}}-\\x{{05FF}}])-([A-Za-z])', '\\1־\\2', 'g'), '—', '-'), '[\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g')) AS folded_sha256 FROM documents")
