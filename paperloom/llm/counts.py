@@ -156,7 +156,7 @@ def truncated_at(prefixes, budget: int):
     """Column: the largest end of a word at which the text has at most `budget` tokens
     (0 if there is none), from the stored table and without encoding again."""
     fits = F.filter(prefixes, lambda p: p["tokens"] <= budget)
-    return F.coalesce(F.element_at(F.transform(fits, lambda p: p["end"]), -1), F.lit(0))
+    return F.coalesce(F.try_element_at(F.transform(fits, lambda p: p["end"]), F.lit(-1)), F.lit(0))
 
 
 def tokenizer_bytes(name: str = "word_bpe_49k.json") -> bytes:
