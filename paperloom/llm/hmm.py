@@ -33,9 +33,9 @@ STATES = 8
 ROUNDS = 3  # passes of Baum-Welch over the corpus
 START_DOCS, START_TOKENS, START_ROUNDS = 1500, 400_000, 12  # of the run that sets the start
 FIXED_POINT = 1 << 20  # expected counts are summed as whole numbers: the order of tasks does not matter
-BLOCK_TOKENS = 200_000  # held in memory at once by the recursions
+BLOCK_TOKENS = 300_000  # held in memory at once by the recursions
 FLUSH_WORDS = 200_000
-SLICE_WORDS = 250_000  # words of the vocabulary that a lookup task holds
+SLICE_WORDS, SLICES = 250_000, 32  # words of the vocabulary that a lookup task holds; least number of slices
 END = b""  # no word is empty
 
 
@@ -78,7 +78,7 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def pieces_of(batches, rows: int = 1000):
+def pieces_of(batches, rows: int):
     """The batches in pieces of at most so many rows: what a task holds beside them stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -196,7 +196,7 @@ def _accumulate(shipped):
 
     def run(batches):
         model, (start, move, emit) = shipped.value, (0, 0, 0)
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 5000):
             a, b, c = expected_counts(model, [np.frombuffer(x.as_py(), "<u2") for x in batch.column(0)])
             start, move, emit = start + a, move + b, emit + c
         if not isinstance(emit, np.ndarray):
@@ -249,7 +249,7 @@ def _score_batches(shipped, slices: int, copies: int):
         padded = np.concatenate([log_top, np.zeros(TOP + HASHED - len(log_top))])
         seen_top = np.concatenate([top_counts > 0, np.zeros(TOP + HASHED - len(log_top), bool)])
         log_within = np.concatenate([np.zeros(TOP), np.log10(within)])
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 2500):
             rows, ids, held = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             docs, rare = [], []
             for text in batch.column(3):
@@ -262,8 +262,9 @@ def _score_batches(shipped, slices: int, copies: int):
             for row, counts in zip(rows, rare, strict=True):
                 by_slice: dict[int, tuple[list, list]] = {}
                 for w, n in counts.items():
-                    by_slice.setdefault((zlib.crc32(w) // HASHED) % slices, ([], []))[0].append(w)
-                    by_slice[(zlib.crc32(w) // HASHED) % slices][1].append(n)
+                    of = by_slice.setdefault((zlib.crc32(w) // HASHED) % slices, ([], []))
+                    of[0].append(w)
+                    of[1].append(n)
                 for s, (words, times) in by_slice.items():
                     out["row"].append(row)
                     out["slice"].append(s * copies + row % copies)
@@ -292,24 +293,20 @@ def _look_up(batches):
     counts: dict[bytes, int] = {}
     for batch in batches:
         rows, words, times, c = (batch.column(batch.schema.get_field_index(n)) for n in ("row", "words", "times", "c"))
-        out_rows, known, base, score = [], [], [], []
-        for r, w, n, k in zip(rows, words, times, c, strict=True):
-            w = w.as_py()
-            if not n.is_valid:
-                counts[w] = k.as_py()
-                continue
-            n = np.frombuffer(n.as_py(), "<u4")
-            found = np.array([counts.get(x, 0) for x in w.split(b" ")])
-            total = float((n * np.log10(found + 0.5)).sum())
-            out_rows.append(r.as_py())
-            known.append(int(n[found > 0].sum()))
-            base.append(total)
-        m = len(out_rows)
+        block = times.is_valid().to_numpy(zero_copy_only=False)
+        if not block.all():
+            own = pa.array(~block)
+            counts.update(zip(words.filter(own).to_pylist(), c.filter(own).to_pylist(), strict=True))
+        mask = pa.array(block)
+        rows, blobs = rows.filter(mask), times.filter(mask).to_pylist()
+        m = len(blobs)
         if m:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_rows, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(base, pa.float64())],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-            )
+            n = np.frombuffer(b"".join(blobs), "<u4")
+            found = np.fromiter((counts.get(w, 0) for w in b" ".join(words.filter(mask).to_pylist()).split(b" ")), np.int64, len(n))
+            starts = np.cumsum([0, *[len(x) // 4 for x in blobs[:-1]]])
+            total = pa.array(np.add.reduceat(n * np.log10(found + 0.5), starts))
+            known = pa.array(np.add.reduceat(np.where(found > 0, n, 0).astype(np.int64), starts))
+            yield pa.RecordBatch.from_arrays([rows, pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), known, total, total], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
 
 def hmm_scores(docs: DataFrame) -> DataFrame:
@@ -341,8 +338,8 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     model = train_model(encoded, freq)
 
     tasks = shuffle_partitions(spark)
-    slices = max(1, min(tasks, -(-distinct // SLICE_WORDS)))
-    copies = -(-tasks // slices)
+    slices = max(SLICES, -(-distinct // SLICE_WORDS))
+    copies = min(-(-tasks // slices), max(1, total // (20 * max(1, distinct))))  # copies of the vocabulary stay small beside the text
     shipped = spark.sparkContext.broadcast((model, top, top_counts, in_class + 0.5 * (kinds + 1)))
     parts = with_row(rows).select(ROW, "doc_id", "held_out", "text").mapInArrow(_score_batches(shipped, slices, copies), PARTS + ", slice int, words binary, times binary")
     parts = staged(parts, "hmm-parts")
