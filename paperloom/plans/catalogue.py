@@ -34,7 +34,12 @@ def _sql(text: str) -> str:
 RICH_SQL = f"({_sql(RICH[0])} || coalesce(source, '') || {_sql(RICH[1])} || coalesce(text, '') || {_sql(RICH[2])})"
 #: Hebrew and marks around a text, so that folds and directions have something to do.
 MIXED = ["ה-", " — ‏", "⁦ שלום"]
-_mixed = F.concat(F.lit(MIXED[0]), F.coalesce("text", F.lit("")), F.lit(MIXED[1]), F.coalesce("source", F.lit("")), F.lit(MIXED[2]))
+
+
+def _mixed():
+    return F.concat(F.lit(MIXED[0]), F.coalesce("text", F.lit("")), F.lit(MIXED[1]), F.coalesce("source", F.lit("")), F.lit(MIXED[2]))
+
+
 MIXED_SQL = f"({_sql(MIXED[0])} || coalesce(text, '') || {_sql(MIXED[1])} || coalesce(source, '') || {_sql(MIXED[2])})"
 
 
@@ -95,23 +100,23 @@ def capabilities(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256(regexp_replace(replace(regexp_replace({MIXED_SQL}, '([\\x{{0590}}-\\x{{05FF}}])-([A-Za-z])', '\\1־\\2', 'g'), '—', '-'), '[\\x{{200E}}\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2066}}-\\x{{2069}}]', '', 'g')) AS folded_sha256 FROM documents")
 def normalize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(tx.folded(_mixed), 256).alias("folded_sha256"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(tx.folded(_mixed()), 256).alias("folded_sha256"))
 
 
 @query()
 def normalize_arrows(spark, sf_dir):
-    text = F.concat(_mixed, F.lit(" a → b `→` $→$\n→ c"))
+    text = F.concat(_mixed(), F.lit(" a → b `→` $→$\n→ c"))
     return documents.mirrored(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.sha2("normalised", 256).alias("normalised_sha256"))
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]')) AS BIGINT) AS rtl, CAST(len(regexp_extract_all({MIXED_SQL}, '\\p{{L}}')) - len(regexp_extract_all({MIXED_SQL}, '[\\x{{05D0}}-\\x{{05EA}}]')) AS BIGINT) AS ltr, regexp_matches({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]') AS has_rtl FROM documents")
 def direction_stats(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.rtl_count(_mixed).alias("rtl"), tx.ltr_count(_mixed).alias("ltr"), tx.contains_rtl(_mixed).alias("has_rtl"))
+    return _docs(spark, sf_dir).select("doc_id", tx.rtl_count(_mixed()).alias("rtl"), tx.ltr_count(_mixed()).alias("ltr"), tx.contains_rtl(_mixed()).alias("has_rtl"))
 
 
 @query()
 def direction_segments(spark, sf_dir):
-    rows = documents.segments(_docs(spark, sf_dir).select("doc_id", _mixed.alias("text")), "text", True, True)
+    rows = documents.segments(_docs(spark, sf_dir).select("doc_id", _mixed().alias("text")), "text", True, True)
     return rows.select("doc_id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda s: s["text"]), ""), 256).alias("joined_sha256"))
 
 
