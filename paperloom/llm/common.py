@@ -33,7 +33,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus. Documents in so few files that less than half of the cores
+    would work are dealt out; larger ones stay as they are split."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if name == "documents" and 2 * scan.rdd.getNumPartitions() <= cores else scan
 
 
 def with_row(df: DataFrame) -> DataFrame:
