@@ -15,7 +15,7 @@ from paperloom.functions import text as tx
 from paperloom.kernel import values
 from paperloom.kernel.capture import PROVIDERS
 from paperloom.operators import chat, documents, fidelity, receipts
-from paperloom.sources.files import table
+from paperloom.sources.files import spread, table
 from paperloom.sources.sinks import data_url, file_name
 
 #: Markdown made from a document: a heading, the text, a list, a table, code and a link.
@@ -106,7 +106,7 @@ def normalize_text(spark, sf_dir):
 @query()
 def normalize_arrows(spark, sf_dir):
     text = F.concat(_mixed(), F.lit(" a → b `→` $→$\n→ c"))
-    return documents.mirrored(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.sha2("normalised", 256).alias("normalised_sha256"))
+    return documents.mirrored(spread(_docs(spark, sf_dir)).select("doc_id", text.alias("text"))).select("doc_id", F.sha2("normalised", 256).alias("normalised_sha256"))
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]')) AS BIGINT) AS rtl, CAST(len(regexp_extract_all({MIXED_SQL}, '\\p{{L}}')) - len(regexp_extract_all({MIXED_SQL}, '[\\x{{05D0}}-\\x{{05EA}}]')) AS BIGINT) AS ltr, regexp_matches({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]') AS has_rtl FROM documents")
@@ -116,7 +116,7 @@ def direction_stats(spark, sf_dir):
 
 @query()
 def direction_segments(spark, sf_dir):
-    rows = documents.segments(_docs(spark, sf_dir).select("doc_id", _mixed().alias("text")), "text", True, True)
+    rows = documents.segments(spread(_docs(spark, sf_dir)).select("doc_id", _mixed().alias("text")), "text", True, True)
     return rows.select("doc_id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda s: s["text"]), ""), 256).alias("joined_sha256"))
 
 
@@ -134,7 +134,7 @@ def preflight_features(spark, sf_dir):
 
 @query()
 def preflight_all_features(spark, sf_dir):
-    found = features.preflight(_rich(_docs(spark, sf_dir)))
+    found = features.preflight(_rich(spread(_docs(spark, sf_dir))))
     return found.select("doc_id", "valid", "errors", "sha256", *[c for c in found.columns if c.startswith("f_")])
 
 
@@ -205,17 +205,17 @@ def detect_provider(spark, sf_dir):
 
 @query()
 def html_capture(spark, sf_dir):
-    return chat.captured(_pages(spark, sf_dir)).select("page_id", "ok", "provider", "title", "error", F.sha2("markdown", 256).alias("markdown_sha256"), F.length("markdown").alias("length"))
+    return chat.captured(spread(_pages(spark, sf_dir))).select("page_id", "ok", "provider", "title", "error", F.sha2("markdown", 256).alias("markdown_sha256"), F.length("markdown").alias("length"))
 
 
 @query()
 def md_nodes(spark, sf_dir):
-    return documents.nodes(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).drop("attrs")
+    return documents.nodes(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")).drop("attrs")
 
 
 @query()
 def md_node_summary(spark, sf_dir):
-    found = documents.nodes(_rich(_docs(spark, sf_dir)).select("lang", "text"))
+    found = documents.nodes(_rich(spread(_docs(spark, sf_dir))).select("lang", "text"))
     return found.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
@@ -227,43 +227,43 @@ def math_symbols(spark, sf_dir):
 
 @query()
 def math_formulas(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("\\frac{\\alpha_1}{"), "source", F.lit("}^2+\\sqrt{x}")).alias("latex"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.concat(F.lit("\\frac{\\alpha_1}{"), "source", F.lit("}^2+\\sqrt{x}")).alias("latex"))
     return documents.formulas(rows, "latex").select("doc_id", F.size("tokens").alias("tokens"), F.sha2("omml", 256).alias("omml_sha256"), F.sha2("mathml", 256).alias("mathml_sha256"))
 
 
 @query()
 def compile_docx_hash(spark, sf_dir):
-    return documents.compiled(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx_sha256", F.length("docx").alias("bytes"))
+    return documents.compiled(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")).select("doc_id", "docx_sha256", F.length("docx").alias("bytes"))
 
 
 @query()
 def validate_docx(spark, sf_dir):
-    made = documents.compiled(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx")
+    made = documents.compiled(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")).select("doc_id", "docx")
     return documents.package_report(made).select("doc_id", "package.valid", "package.checks", "semantics.stats", F.col("semantics.valid").alias("semantics_valid"))
 
 
 @query()
 def read_packages(spark, sf_dir):
-    made = documents.compiled(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "docx")
+    made = documents.compiled(spread(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx")
     required = F.array(*map(F.lit, values.PARTS))
     return documents.parts(made).select("doc_id", "names", receipts.set_check(required, F.col("names")).alias("check"), F.octet_length(F.col("parts")["word/document.xml"]).alias("document_bytes"))
 
 
 @query()
 def build_report(spark, sf_dir):
-    found = documents.built(_rich(_docs(spark, sf_dir)).select("doc_id", "text"))
+    found = documents.built(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text"))
     return found.select("doc_id", "valid", "errors", "input_sha256", "output_sha256", "replay", "fidelity.token_coverage", F.col("coverage.valid").alias("coverage_valid"))
 
 
 @query()
 def build_summary(spark, sf_dir):
-    found = documents.built(_docs(spark, sf_dir).select("doc_id", "lang", "text"))
+    found = documents.built(spread(_docs(spark, sf_dir)).select("doc_id", "lang", "text"))
     return found.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.col("valid").cast("bigint")).alias("valid"), F.sum(F.col("replay").cast("bigint")).alias("replayed"))
 
 
 @query()
 def rich_html(spark, sf_dir):
-    return documents.rich(_rich(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", F.sha2("rich_html", 256).alias("html_sha256"), F.length("rich_html").alias("length"))
+    return documents.rich(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")).select("doc_id", F.sha2("rich_html", 256).alias("html_sha256"), F.length("rich_html").alias("length"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 90 THEN left(text, 90) || '…' ELSE text END AS preview, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9_-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'llm') || '.docx' AS file FROM conversations")

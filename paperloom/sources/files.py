@@ -24,3 +24,10 @@ def markdown_files(spark: SparkSession, path: str, source: str = "auto") -> Data
 def packages(spark: SparkSession, path: str) -> DataFrame:
     """path, docx of Word packages in files."""
     return spark.read.format("binaryFile").load(path).filter(F.lower("path").endswith(".docx")).select("path", F.col("content").alias("docx"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over all cores, where its files give work to less than half of them
+    (a small table in one row group). Larger tables are left as they are split."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
