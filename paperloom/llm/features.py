@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -20,14 +21,14 @@ def letter_words(text: str) -> list[bytes]:
 class Rows:
     """Sparse rows over a vocabulary: indptr, columns, values."""
 
-    def __init__(self, bags: list[dict], vocabulary: dict):
-        columns, values, lengths = [], [], []
+    def __init__(self, bags, vocabulary: dict):
+        columns, values, lengths = array("i"), array("d"), []
         for bag in bags:
             known = [(vocabulary[f], v) for f, v in bag.items() if f in vocabulary]
             lengths.append(len(known))
             columns.extend(c for c, _ in known)
             values.extend(v for _, v in known)
-        self.n, self.width = len(bags), len(vocabulary)
+        self.n, self.width = len(lengths), len(vocabulary)
         self.columns, self.values = np.array(columns, np.int64), np.array(values, float)
         self.rows = np.repeat(np.arange(self.n), lengths)
 
@@ -45,10 +46,10 @@ def vocabulary_of(bags: list[dict], least: int = 5, most: int = 100_000) -> dict
     return {f: i for i, f in enumerate(kept)}
 
 
-def associated(bags: list[dict], y: np.ndarray, least: int = 5, chi2: float = 30.0, most: int = 20_000) -> dict:
+def associated(bags, y: np.ndarray, least: int = 5, chi2: float = 30.0, most: int = 20_000) -> dict:
     """The features of at least `least` rows that are commoner where y is 1, by a
     chi-square statistic of at least `chi2`; at most `most`, the strongest first."""
-    n, ones = len(bags), float(y.sum())
+    n, ones = len(y), float(y.sum())
     df, hit = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         df.update(bag.keys())

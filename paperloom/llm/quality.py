@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .features import Rows, adam, letter_words, sampled, sigmoid, vocabulary_of
 
-LABELLED, POOL, LONGEST = 6_000, 4_000, 30_000
+LABELLED, POOL, LONGEST = 5_000, 3_000, 30_000
 ROUNDS, TAKEN = 4, 0.1  # each round: the surest tenth of the pool
 L2 = 1e-4
 KEPT = 0.5  # probability of good quality from which a document is kept
@@ -106,7 +106,9 @@ def train(docs: DataFrame, labels: DataFrame):
     if not len(y) or y.min() == y.max():
         return View({}), View({}), 0.0
     fresh = sampled(docs.join(labels.select("doc_id"), "doc_id", "left_anti"), None, columns, POOL, LONGEST)
-    bags = lambda t: ([text_view(x) for x in t.column("text").to_pylist()], [meta_view(*x) for x in zip(*(t.column(c).to_pylist() for c in columns[1:]), strict=True)])
+    names: dict = {}  # one copy of each feature's name and value
+    shared = lambda bag: {names.setdefault(f, f): names.setdefault(v, v) for f, v in bag.items()}
+    bags = lambda t: ([shared(text_view(x)) for x in t.column("text").to_pylist()], [meta_view(*x) for x in zip(*(t.column(c).to_pylist() for c in columns[1:]), strict=True)])
     own, pool = bags(known), bags(fresh)
     held = np.arange(len(y)) % 5 == 0
     views, held_rows = [], []

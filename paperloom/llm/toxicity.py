@@ -121,9 +121,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, np.full(GRADES - 1, np.inf))
-    bags = [bag(t) for t in texts]
-    vocabulary = associated(bags, toxic)
-    sparse = Rows(bags, vocabulary)
+    vocabulary = associated(map(bag, texts), toxic)  # bags are made twice rather than kept
+    sparse = Rows(map(bag, texts), vocabulary)
     first = fit_binary(sparse, toxic)
     amount = sparse.times(first[:-1])
     hit = (toxic == 1) & (amount > 0)
