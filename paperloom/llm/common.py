@@ -57,9 +57,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def worker_state(key, make):
-    """An object that a Python worker makes once and keeps for later tasks: a
-    vocabulary, a memo. One object is kept for each kind (the first part of key)."""
+    """An object that a Python worker makes once and keeps for later tasks: a vocabulary,
+    a memo. Only the one used last is kept, so that the stages of a pipeline don't add up."""
     kept = sys.modules.setdefault("_paperloom_worker", types.ModuleType("_paperloom_worker")).__dict__
-    if kept.get(key[0], (None,))[0] != key:
-        kept[key[0]] = (key, make())
-    return kept[key[0]][1]
+    if kept.get("state", (None,))[0] != key:
+        kept["state"] = (None,)
+        kept["state"] = (key, make())
+    return kept["state"][1]

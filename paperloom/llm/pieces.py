@@ -14,7 +14,7 @@ from .bpe import PrefixTable
 from .common import table, worker_state
 
 SPACE = "▁"
-CACHE_LIMIT = 800_000  # words a worker remembers
+CACHE_LIMIT = 400_000  # words a worker remembers
 CACHED_LENGTH = 64  # longer words are encoded each time
 
 
