@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .bpe import PrefixTable
 from .common import table, worker_state
 
 SPACE = "▁"
-CACHE_LIMIT = 400_000  # words a worker remembers
+CACHE_LIMIT = 250_000  # words a worker remembers
 CACHED_LENGTH = 64  # longer words are encoded each time
 
 
@@ -99,7 +100,7 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: b
 
     def run(batches):
         encoder = worker_state(("pieces", key), lambda: PieceEncoder(shipped.value))
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts = batch.column(batch.num_columns - 1)
             count, ids_hash, text_hash, ids, decoded = [], [], [], [], []
             for value in texts:
@@ -109,12 +110,15 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: b
                 ids_hash.append(hashlib.sha256(packed).hexdigest())
                 text_hash.append(hashlib.sha256(back.encode()).hexdigest())
                 if keep_ids:
-                    ids.append(list(struct.unpack(f"<{len(packed) // 4}I", packed)))
+                    ids.append(packed)
                 if keep_text:
                     decoded.append(back)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            columns += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded, pa.string())] * keep_text
+            if keep_ids:  # straight from the packed bytes, without a number object for each id
+                ends = np.cumsum([0, *count], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            columns += [pa.array(decoded, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text])
 
     return source.mapInArrow(run, schema)

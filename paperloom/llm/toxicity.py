@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_state
 from .features import Rows, adam, associated, letter_words, sampled, sigmoid
 
 GRADES = 4
@@ -100,7 +100,7 @@ class _WordWeights(dict):
 
     def __missing__(self, word: bytes) -> float:
         value = sum(self.weights.get(f, 0.0) for f in parts(word))
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def _scored(shipped, names: list[str]):
     def run(batches):
         model = shipped.value
-        score = model.scorer()
+        score = worker_state(("toxicity", sum(model.weights.values()), float(model.thresholds[0])), model.scorer)
         for batch in batches:
             s = np.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)])
             over = sigmoid(np.clip(s[:, None] - model.thresholds[None, :], -500, 500)) if len(s) else np.zeros((0, GRADES - 1))
