@@ -253,7 +253,7 @@ class _Join:
     def second_phase(self, labels: DataFrame) -> list[DataFrame]:
         rows = self.classes.select("rep", "digest", "sketch").mapInArrow(_first_children(0, ALL_TREES, self.threshold), NODE)
         small, large = self.nodes(rows, labels)
-        leaves = [small.filter(F.col("tree") >= FIRST_TREES)]  # the others were compared in the first phase
+        leaves = [small.filter((F.col("tree") >= FIRST_TREES) | (F.col("size") > LEAF))]  # the others were compared in the first phase
         for _ in range(DEPTH):
             if large.isEmpty():
                 break

@@ -165,6 +165,22 @@ def test_near_duplicates(spark, monkeypatch):
     assert kept.columns == docs.columns and neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_nodes_between_both_leaf_sizes_are_compared(spark, monkeypatch):
+    # all trees are trees of the first phase, which only deals such nodes out around a pivot
+    for name, value in (("FIRST_TREES", 6), ("ALL_TREES", 6), ("LEAF", 4), ("LAST_LEAF", 1000)):
+        monkeypatch.setattr(neardup, name, value)
+    rnd = random.Random(21)
+    passage, texts = words(80, rnd, 10_000), []
+    for _ in range(60):
+        own = words(20, rnd, 10_000)
+        texts += [f"{passage} {own}", f"{passage} {own} {words(8, rnd, 10_000)}"]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    sets = [neardup.shingle_set(t.encode(), neardup.WordHashes()) for t in texts]
+    groups = neardup.linked_groups(sets, neardup.PERCENT)
+    assert len(groups) == 60
+    assert all(len({found[i] for i in g}) == 1 for g in groups) and len(set(found.values())) == 60
+
+
 def test_components_in_both_ways(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
