@@ -6,13 +6,15 @@ starts at a root; each node picks one or (so that the mean is 1 / threshold) two
 coordinates of the sketch, and a class goes on to one child for each, named by the
 path and the value there. Similar classes share children more likely than not;
 trees are repeated independently, so the chance to miss a pair falls geometrically.
-Nodes of at most LEAF classes are compared exhaustively on full sets.
+Nodes of at most LEAF classes are compared exhaustively on full sets. Below the root the
+mean is larger, SHARED / threshold: a pair at the threshold then shares more than one
+child on average, and the chance to part it stays under a bound at any depth.
 
 Two phases keep hot groups cheap. In the first, a node that is larger than a leaf is
 dealt into leaves that all hold one common pivot; most large groups of near copies
 become one component there. In the second, more trees are grown, and only nodes whose
 classes still belong to different components are looked at: small ones as leaves,
-large ones branch further. What no branching can part is compared block by block
+large ones branch further, level by level until they are small. What no branching can part is compared block by block
 against the members outside the largest component, so nothing is left out.
 """
 
@@ -34,8 +36,8 @@ PERCENT = 85  # least similarity of a link
 FIRST_TREES, ALL_TREES = 3, 8
 LEAF = 256  # classes compared exhaustively in the first phase
 LAST_LEAF = 1024  # and in the second
-LEVELS = 4  # levels that a large node branches at once
-DEPTH = 10  # times that it does so
+SHARED = 1.275  # mean children that a pair at the threshold shares below the root
+DEPTH = 20  # levels that a large node branches further
 FILTER_BITS = 1 << 22  # of the filter that finds the texts of candidates: a fixed size
 
 _rng = np.random.default_rng(20240817)
@@ -71,13 +73,14 @@ def _class_prints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "digest", "sketch"])
 
 
-def children(paths: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows at nodes `paths`: the rows (repeated where two coordinates are chosen) and
-    the paths of their children."""
-    one, two, chance = (mixed(paths + np.uint64(k)) for k in (0x1F3, 0x2F7, 0x3FB))
-    more = np.flatnonzero(chance < np.uint64(int((1 / threshold - 1) * 2.0**64)))
-    rows = np.concatenate([np.arange(len(paths)), more])
-    which = np.concatenate([one, two[more]]) % np.uint64(SKETCH)
+def children(paths: np.ndarray, sketches: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows at nodes `paths`, with `mean` coordinates chosen at each: the rows (repeated
+    where several are chosen) and the paths of their children."""
+    whole = int(mean)
+    more = np.flatnonzero(mixed(paths + np.uint64(0xEF)) < np.uint64(int((mean - whole) * 2.0**64)))
+    picks = [mixed(paths + np.uint64(0x1F3 + 0x104 * k)) for k in range(whole + 1)]
+    rows = np.concatenate([*[np.arange(len(paths))] * whole, more])
+    which = np.concatenate([*picks[:whole], picks[whole][more]]) % np.uint64(SKETCH)
     value = sketches[rows, which.astype(np.int64)].astype(np.uint64)
     return rows, mixed(mixed(paths[rows] ^ which * np.uint64(0x9E3779B97F4A7C15)) + value)
 
@@ -94,7 +97,7 @@ def _first_children(first: int, last: int, threshold: float):
             sketches, ids = _matrix(batch.column(2)), np.arange(batch.num_rows)
             for tree in range(first, last):
                 root = mixed(np.full(len(ids), tree + 1, np.uint64))
-                rows, paths = children(root, sketches, threshold)
+                rows, paths = children(root, sketches, 1 / threshold)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(np.full(len(rows), tree, np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["node", "tree", "rep", "digest"])
 
@@ -106,11 +109,7 @@ def _next_children(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketches, paths = _matrix(batch.column(4)), batch.column(0).to_numpy().view(np.uint64)
-            rows = np.arange(len(paths))
-            for _ in range(LEVELS):
-                own, paths = children(paths, sketches[rows], threshold)
-                rows = rows[own]
+            rows, paths = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4)), SHARED / threshold)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), *[batch.column(i).take(take) for i in (1, 2, 3)]], names=["node", "tree", "rep", "digest"])
 
@@ -254,6 +253,8 @@ class _Join:
         rows = self.classes.select("rep", "digest", "sketch").mapInArrow(_first_children(0, ALL_TREES, self.threshold), NODE)
         small, large = self.nodes(rows, labels)
         leaves = [small.filter((F.col("tree") >= FIRST_TREES) | (F.col("size") > LEAF))]  # the others were compared in the first phase
+        large, blocks = self._thick(large)
+        blocks = [blocks]
         for _ in range(DEPTH):
             if large.isEmpty():
                 break
@@ -261,9 +262,18 @@ class _Join:
             rows = large.select("node", "tree", "rep", "digest").join(sketches, ["rep", "digest"]).select("node", "tree", "rep", "digest", "sketch").mapInArrow(_next_children(self.threshold), NODE)
             small, large = self.nodes(rows, labels)
             leaves.append(small)
-        else:
-            return [self._leaves(leaves), self.leaf_edges(self._blocks(large))]
-        return [self._leaves(leaves)]
+            large, thin = self._thick(large)
+            blocks.append(thin)
+        blocks.append(large)
+        return [self._leaves(leaves), *[self.leaf_edges(self._blocks(part)) for part in blocks if not part.isEmpty()]]
+
+    def _thick(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes with more than half a leaf of members outside the largest component, and
+        the others: to compare those with few in full takes at most twice their rows."""
+        count = large.groupBy("node", "label").agg(F.count("*").alias("n"))
+        main = count.groupBy("node").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+        rows = staged(large.join(main, "node"), "large")
+        return rows.filter(F.col("outside") > LAST_LEAF // 2), rows.filter(F.col("outside") <= LAST_LEAF // 2)
 
     def _leaves(self, parts: list[DataFrame]) -> DataFrame:
         rows = parts[0].select("node", "rep", "digest")
@@ -272,17 +282,16 @@ class _Join:
         return self.leaf_edges(rows.select(F.col("node").alias("leaf"), "rep", "digest"))
 
     def _blocks(self, large: DataFrame) -> DataFrame:
-        """Nodes that branching can't part: blocks of the members outside the largest
-        component against blocks of all."""
+        """Nodes with few members outside the largest component, or that branching can't
+        part: blocks of the members outside against blocks of all."""
         half = LAST_LEAF // 2
-        count = large.groupBy("node", "label").agg(F.count("*").alias("n"))
-        main = count.groupBy("node").agg(F.max_by("label", "n").alias("main"))
-        rows = staged(large.join(main, "node").select("node", "rep", "digest", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("size") / half).alias("k")).withColumn("block", F.pmod(F.xxhash64("rep", "digest"), F.col("k"))), "blocks")
-        own = rows.filter("out").groupBy("node", F.col("block").alias("own")).agg(F.max("k").alias("k"))
+        dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.ceil(F.col(n) / half))
+        rows = staged(large.select("node", "rep", "digest", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("size") / half).alias("k"), dealt("size", "rep", "digest").alias("block"), dealt("outside", "digest", "rep").alias("own")), "blocks")
+        own = rows.filter("out").groupBy("node", "own").agg(F.max("k").alias("k"))
         pairs = own.select("node", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
         leaf = F.xxhash64("node", "own", "block").alias("leaf")
-        others = pairs.join(rows, ["node", "block"]).select(leaf, "rep", "digest")
-        mine = pairs.join(rows.filter("out").select("node", F.col("block").alias("own"), "rep", "digest"), ["node", "own"]).select(leaf, "rep", "digest")
+        others = pairs.join(rows.drop("own"), ["node", "block"]).select(leaf, "rep", "digest")
+        mine = pairs.join(rows.filter("out").select("node", "own", "rep", "digest"), ["node", "own"]).select(leaf, "rep", "digest")
         return others.union(mine).distinct()
 
 
