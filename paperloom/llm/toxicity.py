@@ -9,8 +9,8 @@ features tied to toxic labels take part and weights are not negative, so that no
 of harmless words outweighs an insult.
 
 The model is fitted on a bounded number of labelled rows (LABELLED, chosen by a hash of
-the id, texts up to LONGEST characters); every row of the table is scored over its whole
-text.
+the id, whole texts). Their features are counted in tasks; the driver gets the selected
+ones alone. Every row of the table is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import table, worker_state
 from .features import Rows, adam, associated, letter_words, sampled, sigmoid
 
 GRADES = 4
-LABELLED, LONGEST = 12_000, 50_000
+LABELLED = 12_000
 L2 = 2e-4
 STEMS = (4, 5, 6)
 REJECTED = 0.5  # expected severity from which a text is toxic
@@ -115,14 +115,33 @@ class Model:
         return lambda text: sum(v if n == 1 else v * log2(1 + n) for w, n in Counter(letter_words(text)).items() if (v := words[w]))
 
 
+def _sparse(rows: DataFrame, vocabulary: dict) -> tuple[Rows, np.ndarray]:
+    """What the texts of rows (doc_id, text, label) hold of a vocabulary, and the labels."""
+    shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        known = shipped.value
+        for batch in batches:
+            found = [[(known[f], v) for f, v in bag(t.as_py()).items() if f in known] for t in batch.column(1)]
+            columns, values = ([np.array([x[i] for x in row], t).tobytes() for row in found] for i, t in ((0, "<i8"), (1, "<f8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "columns", "values"])
+
+    found = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id bigint, label int, columns binary, values binary")
+    table = found.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # at most LABELLED rows of selected features
+    columns, values = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("columns", "<i8"), ("values", "<f8")))
+    return Rows(columns, values, len(vocabulary)), np.array(table.column("label").to_pylist(), int)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Without labelled rows of both kinds, all texts get severity 0."""
-    rows = sampled(docs, labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), ["text"], LABELLED, LONGEST)
-    texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int)
-    if not len(toxic) or toxic.min() == toxic.max():
+    """Fits on docs (doc_id, text) and labels (doc_id, toxic). Without labelled rows of both
+    kinds, all texts get severity 0. Texts that are null or empty take no part; see
+    sampled() for repeats."""
+    rows = sampled(docs, labels, "toxic", LABELLED)
+    kinds = rows.agg(F.min("label"), F.max("label")).first()
+    if kinds[0] == kinds[1]:
         return Model({}, np.full(GRADES - 1, np.inf))
-    vocabulary = associated(map(bag, texts), toxic)  # bags are made twice rather than kept
-    sparse = Rows(map(bag, texts), vocabulary)
+    vocabulary = associated(rows, bag)
+    sparse, toxic = _sparse(rows, vocabulary)
     first = fit_binary(sparse, toxic)
     amount = sparse.times(first[:-1])
     hit = (toxic == 1) & (amount > 0)
@@ -132,9 +151,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-4}, thresholds)
 
 
+def _shipped(docs: DataFrame, model: Model):
+    """The model as plain values: workers need not know its class."""
+    return docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+
+
 def _scored(shipped, names: list[str]):
     def run(batches):
-        model = shipped.value
+        model = Model(*shipped.value)
         score = worker_state(("toxicity", sum(model.weights.values()), float(model.thresholds[0])), model.scorer)
         for batch in batches:
             s = np.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)])
@@ -149,18 +173,21 @@ def _scored(shipped, names: list[str]):
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with severity (expected grade, 0 to 3), grade (the
     likeliest) and toxic (severity of REJECTED or more). Null and empty texts get what
-    the thresholds alone give. Every row is returned once; columns named as results are
-    replaced."""
+    the thresholds alone give; texts of any length are read whole. Every row is returned
+    once, rows that repeat a doc_id each by its own text. Columns named as results are
+    replaced, other extra columns stay if they are in `keep`. An empty table gives an
+    empty result."""
     keep = [c for c in keep if c not in {"severity", "grade", "toxic"}]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__pl_text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(True).alias("toxic")).schema
-    return source.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
+    return source.mapInArrow(_scored(_shipped(docs, model), keep), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that are toxic; all other rows and all columns stay."""
+    """docs without the rows that are toxic, row by row; all other rows and all columns
+    stay, whatever the columns are named. Null and empty texts stay."""
     source = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("text", F.lit("")).alias("__pl_text"))
-    shipped, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shipped, names = _shipped(docs, model), docs.columns
 
     def run(batches):
         for batch in _scored(shipped, [f"c{i}" for i in range(len(names))])(batches):

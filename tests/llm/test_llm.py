@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("paperloom.llm")
 
@@ -334,42 +335,125 @@ def labelled(spark, rnd, n=400):
 def test_toxicity(spark):
     docs, labels, toxic = labelled(spark, random.Random(12))
     model = toxicity.train(docs, labels.union(labels.limit(3)))
-    rows = toxicity.score_toxicity(docs, model, ["doc_id"]).collect()
-    assert len(rows) == len(toxic) + len(AWKWARD)
+    rows = toxicity.score_toxicity(docs.withColumnRenamed("lang", "grade"), model, ["doc_id", "grade", "source"]).collect()
+    assert len(rows) == len(toxic) + len(AWKWARD) and rows[0].source == "s"
     held = [(r.toxic, toxic[r.doc_id]) for r in rows if r.doc_id < len(toxic) and r.doc_id % 2 == 1]
     assert sum(a == bool(b) for a, b in held) >= 0.95 * len(held)
     assert all(0 <= r.severity <= 3 for r in rows) and all(np.diff(model.thresholds) > 0)
     few, many = (toxicity.sigmoid(model.scorer()(" ".join(["badword"] * n)) - model.thresholds).sum() for n in (1, 4))
     assert many > few
-    left = toxicity.without_toxic(docs, model)
-    assert left.columns == docs.columns and left.count() == sum(not r.toxic for r in rows)
+    left = toxicity.without_toxic(docs.withColumnRenamed("lang", "severity"), model)
+    assert left.columns == ["doc_id", "text", "severity", "source", "n_chars"] and left.count() == sum(not r.toxic for r in rows)
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs, none, ["doc_id"]).filter("toxic").count() == 0
     assert toxicity.score_toxicity(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_quality(spark):
-    rnd = random.Random(13)
+def test_toxicity_equals_a_plain_fit(spark):
+    docs, labels, toxic = labelled(spark, random.Random(17))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {i: toxic[i] for i in range(0, len(toxic), 2)}
+    order = {r.doc_id: n for n, r in enumerate(docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect())}
+    ids = sorted(known, key=order.__getitem__)
+    y, bags = np.array([known[i] for i in ids]), [toxicity.bag(texts[i]) for i in ids]
+    n, ones, df, hit = len(y), int(y.sum()), Counter(f for b in bags for f in b), Counter(f for b, t in zip(bags, y, strict=True) if t for f in b)
+    chi2 = lambda f: (hit[f] - df[f] * ones / n) ** 2 * n**3 / (ones * (n - ones) * df[f] * (n - df[f]))
+    strong = sorted((f for f in df if 5 <= df[f] < n and hit[f] * n > df[f] * ones and chi2(f) >= 30), key=lambda f: (-chi2(f), f))
+    place = {f: i for i, f in enumerate(strong)}
+    sparse = [[(place[f], v) for f, v in b.items() if f in place] for b in bags]
+    rows = features.Rows([np.array([i for i, _ in r], np.int64) for r in sparse], [np.array([v for _, v in r], float) for r in sparse], len(place))
+    amount = rows.times(toxicity.fit_binary(rows, y)[:-1])
+    found = (y == 1) & (amount > 0)
+    cuts = np.quantile(amount[found], [1 / 3, 2 / 3])
+    w, theta = toxicity.fit_ordinal(rows, np.where(y == 1, 1 + np.where(found, (amount[:, None] > cuts).sum(1), 0), 0))
+    want = lambda t: sum(1 / (1 + math.exp(x - sum(w[place[f]] * v for f, v in toxicity.bag(t or "").items() if f in place and abs(w[place[f]]) > 1e-4))) for x in theta)
+    for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels), ["doc_id"]).collect():
+        assert r.severity == pytest.approx(want(texts[r.doc_id]), abs=1e-6)
+
+
+def test_ordinal_fit_finds_the_likeliest_thresholds():
+    rng = np.random.default_rng(18)
+    grade = rng.choice(4, 500, p=[0.5, 0.2, 0.2, 0.1])
+    rows = features.Rows([np.zeros(0, np.int64)] * 500, [np.zeros(0)] * 500, 0)
+    _, theta = toxicity.fit_ordinal(rows, grade)
+    weight = np.where(grade > 0, 2.0, 1.0)  # without features the fit is the weighted share
+    assert toxicity.sigmoid(-theta) == pytest.approx([weight[grade > j].sum() / weight.sum() for j in range(3)], abs=0.01)
+
+
+def marked(spark, rnd, n=500):
     texts, good = [], []
-    for i in range(500):
+    for i in range(n):
         t = words(50, rnd, 300)
         texts.append(t if i % 4 else " ".join(x + "%%%" for x in t.split()))
         good.append(int(bool(i % 4)))
-    docs = docs_of(spark, [*texts, *AWKWARD])
-    labels = spark.createDataFrame([(i, g, 0) for i, g in enumerate(good) if i % 2], "doc_id bigint, quality int, toxic int").union(spark.createDataFrame([(i, good[i], 0) for i in range(0, 200, 2)], "doc_id bigint, quality int, toxic int"))
-    model = quality.train(docs, labels)
-    rows = quality.score_quality(docs, model, ["doc_id"]).collect()
-    assert len(rows) == len(texts) + len(AWKWARD) and all(0 <= r.quality <= 1 for r in rows)
-    held = [(r.good, good[r.doc_id]) for r in rows if r.doc_id < 500 and r.doc_id % 2 == 0 and r.doc_id >= 200]
-    assert sum(a == bool(b) for a, b in held) >= 0.95 * len(held)
-    blank = quality.train(docs, labels.limit(0))
-    assert quality.score_quality(docs, blank, ["doc_id"]).filter("quality = 0.5").count() == len(rows)
+    docs = spark.createDataFrame([(i, t, "en", "farm" if i < n and i % 8 == 0 else "s", len(t or "")) for i, t in enumerate([*texts, *AWKWARD])], DOCS)
+    labels = spark.createDataFrame([(i, g, 0) for i, g in enumerate(good) if i % 2] + [(i, good[i], 0) for i in range(0, 200, 2)], "doc_id bigint, quality int, toxic int")
+    return docs, labels, texts, good
 
 
-def test_associated_features_count_rows_not_values():
-    bags = [{"x": 9.0}] * 5 + [{"y": 0.1}] * 5
-    y = np.array([1] * 5 + [0] * 5)
-    assert list(features.associated(bags, y, least=5, chi2=1)) == ["x"]
+def test_quality(spark):
+    docs, labels, texts, good = marked(spark, random.Random(13))
+    repeated = spark.createDataFrame([(3, texts[0], "en", "s", 9), (None, texts[1], None, None, None)], DOCS)
+    rows = quality.graded(docs.union(repeated).withColumn("p_meta", F.col("lang")), labels, ["doc_id", "p_meta", "source"]).collect()
+    assert len(rows) == len(texts) + len(AWKWARD) + 2 and all(0 <= r.quality <= 1 and isinstance(r.p_meta, float) for r in rows)
+    held = [(r.good, good[r.doc_id]) for r in rows if r.doc_id is not None and r.doc_id < 500 and r.doc_id % 2 == 0 and r.doc_id >= 200]
+    assert sum(a == bool(b) for a, b in held) >= 0.95 * len(held)
+    assert sorted(r.good for r in rows if r.doc_id == 3) == [False, True]  # each row by its own text
+    assert quality.graded(docs, labels.limit(0), ["doc_id"]).filter("quality = 0.5").count() == docs.count()
+    assert quality.graded(docs.limit(0), labels, ["doc_id"]).count() == 0
+
+
+def test_quality_equals_plain_co_training(spark):
+    docs, labels, texts, good = marked(spark, random.Random(14), 900)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    order = {r.doc_id: n for n, r in enumerate(docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect())}
+    known = {i: good[i] for i in range(900) if i % 2 or i < 200}
+    packed = [[quality.hashed(quality.text_view(r.text or ""), quality.WIDTHS[0]) for r in rows], [quality.hashed(quality.meta_view(r.source, r.lang, r.n_chars), quality.WIDTHS[1]) for r in rows]]
+    first: dict = {}
+    for i in sorted(known):
+        first.setdefault(texts[i], i)
+    ids = sorted(first.values(), key=order.__getitem__)
+    y, held = np.array([known[i] for i in ids]), np.arange(len(ids)) % 5 == 0
+    of = lambda v, chosen: quality.Rows([packed[v][i] for i in chosen], quality.WIDTHS[v])
+    start, test, pool = [i for i, h in zip(ids, held, strict=True) if not h], [i for i, h in zip(ids, held, strict=True) if h], [i for i in range(len(rows)) if i not in known]
+    now, given, share = [quality.fit(of(v, start), y[~held]) for v in (0, 1)], ({}, {}), y[~held].mean()
+    for _ in range(quality.ROUNDS):
+        new, rules = [], []
+        for giver in (0, 1):
+            free = [i for i in pool if i not in given[1 - giver]]
+            s = of(giver, free).times(now[giver])
+            counts = np.bincount(np.clip((s + 16) * 128, 0, 4095).astype(int), minlength=4096)
+            high, low = quality._cuts(counts, *quality.calibrated(of(giver, test).times(now[giver]), y[held]), share)
+            rules.append((high, low) != (math.inf, -math.inf))
+            new.append({i: int(x >= high) for i, x in zip(free, s, strict=True) if x >= high or x < low})
+        if not any(rules):
+            break
+        for giver in (0, 1):
+            given[1 - giver].update(new[giver])
+
+        def gradient(x):
+            out = []
+            for v, part in enumerate(np.split(x, [quality.WIDTHS[0] + 1])):
+                g = of(v, start).gradient((quality.sigmoid(of(v, start).times(part)) - y[~held]) / len(start)) + quality.L2 * np.append(part[:-1], 0)
+                if given[v]:
+                    own = of(v, list(given[v]))
+                    g += own.gradient(quality.sigmoid(own.times(part)) - np.array(list(given[v].values()))) / len(given[v])
+                out.append(g)
+            return np.concatenate(out)
+
+        now = np.split(quality.adam(gradient, np.concatenate(now), steps=quality.STEPS, rate=0.05, least=1e-6), [quality.WIDTHS[0] + 1])
+    assert given[1], "the text view gave labels"
+    total = -math.log(share / (1 - share))
+    for v in (0, 1):
+        slope, shift = quality.calibrated(of(v, test).times(now[v]), y[held])
+        total = total + slope * of(v, range(len(rows))).times(now[v]) + shift
+    for r in quality.graded(docs, labels, ["doc_id"]).collect():
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-total[r.doc_id])), abs=1e-4)
+
+
+def test_associated_features_count_rows_not_values(spark):
+    rows = spark.createDataFrame([("x x x", 1)] * 5 + [("y", 0)] * 5, "text string, label int")
+    assert list(features.associated(rows, toxicity.bag, least=5, chi2=1)) == [b"x"]
 
 
 @pytest.mark.parametrize("name", ["op2_pii", "op6_decontamination", "op8_warc", "op9_topk"])
