@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ ROW = "__pl_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is
-    unset (tests, local mode) a new temporary one, which is then set."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local
+    master (one machine, as in tests) gets a new temporary one; on a cluster executors
+    could not read each other's files in such a folder, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +61,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bit_filter(hashes: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """A filter of the values of a column of 64-bit hashes: words of 64 bits, and the mask of
+    places. It grows with the number of rows, to at most 2 ** most bits, and is summed
+    before it reaches the driver. It only spares work: what passes by chance is found out
+    by the join that follows."""
+    column = F.col(hashes.columns[0])
+    bits = min(most, max(16, int(16 * hashes.count()).bit_length()))
+    place = column.bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()  # at most 2 ** (most - 6) rows
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out, (1 << bits) - 1
+
+
+def passes(shipped: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter."""
+    words, mask = shipped
+    place = hashes.view(np.uint64) & np.uint64(mask)
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def worker_state(key, make):
     """An object that a Python worker makes once and keeps for later tasks: a vocabulary,
     a memo. Only the one used last is kept, so that the stages of a pipeline don't add up."""

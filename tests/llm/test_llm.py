@@ -147,40 +147,88 @@ def near_texts(rnd):
     return texts
 
 
+SMALL = {"LEAF": 3, "FEW": 1, "BLOCK": 2, "SETS": 2}  # takes every branch of the join
+
+
 def test_near_duplicates(spark, monkeypatch):
     texts = near_texts(random.Random(6))
     sizes, top = plain_components(texts)
-    for leaf, last in ((256, 1024), (3, 4)):  # small leaves take every branch of the join
-        monkeypatch.setattr(neardup, "LEAF", leaf)
-        monkeypatch.setattr(neardup, "LAST_LEAF", last)
+    other = "a text that no other row of the table is like, under an id that another row has"
+    for small in ({}, SMALL):
+        for name, value in small.items():
+            monkeypatch.setattr(neardup, name, value)
         docs = docs_of(spark, texts).withColumnRenamed("source", "digest")
-        extra = spark.createDataFrame([(None, texts[0], None, None, None), (0, texts[0], None, None, None)], DOCS)
+        extra = spark.createDataFrame([(None, texts[0], None, None, None), (0, texts[0], None, None, None), (3, other, None, None, None)], DOCS)
         rows = neardup.near_duplicates(docs.union(extra)).collect()
-        assert len(rows) == len(texts) + 2
+        assert len(rows) == len(texts) + 3
+        assert (14, 3, True) in {(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id == 3}
         for r in rows:
             if r.doc_id is None:
                 assert r.component_id is None and r.kept
-            else:
+            elif (r.doc_id, r.n_shingles) != (3, 14):
                 assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], top[r.doc_id], r.doc_id == top[r.doc_id])
-    kept = neardup.without_near_duplicates(docs.union(extra))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(top))
-    assert kept.columns == docs.columns and neardup.near_duplicates(docs_of(spark, [])).count() == 0
+    kept = neardup.without_near_duplicates(docs.union(extra)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None and r.text is not None) == sorted([*((i, texts[i]) for i in set(top) if texts[i] is not None), (3, other)])
+    assert sum(r.doc_id is None for r in kept) == 1 and sum(r.text is None for r in kept) == sum(t is None for t in texts)
+    assert list(kept[0].asDict()) == docs.columns and neardup.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def linked_pairs(texts, percent=85):
+    """All links of texts by brute force."""
+    sets = [neardup.shingle_set((t or "").encode(), neardup.WordHashes()) for t in texts]
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            holders.setdefault(x, []).append(i)
+    shared = Counter((i, j) for own in holders.values() for a, j in enumerate(own) for i in own[:a])
+    return {(i, j) for (i, j), n in shared.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def test_recall_on_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    links = linked_pairs([r.text for r in rows])
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    ids = [r.doc_id for r in rows]
+    assert len(links) > 50 and sum(found[ids[i]] == found[ids[j]] for i, j in links) >= 0.99 * len(links)
+    top = {i: i for i in ids}
+    for i, j in sorted(links):
+        a, b = top[ids[i]], top[ids[j]]
+        top = {k: min(a, b) if v in (a, b) else v for k, v in top.items()}
+    assert all(top[found[i]] == top[i] for i in ids)  # nothing is joined without a link
+
+
+def passages(rnd, n):
+    """Pairs of near copies that all hold one long passage: one node of a tree holds most."""
+    passage, texts = words(60, rnd, 10_000), []
+    for _ in range(n):
+        own = words(40, rnd, 10_000)
+        texts += [f"{passage} {own}", f"{passage} {own} {words(12, rnd, 10_000)}"]
+    return texts
 
 
-def test_nodes_between_both_leaf_sizes_are_compared(spark, monkeypatch):
-    # all trees are trees of the first phase, which only deals such nodes out around a pivot
-    for name, value in (("FIRST_TREES", 6), ("ALL_TREES", 6), ("LEAF", 4), ("LAST_LEAF", 1000)):
+@pytest.mark.parametrize("sizes", [{"FIRST_TREES": 6, "ALL_TREES": 6, "LEAF": 4}, {"LEAF": 16, "FEW": 12, "BLOCK": 8, "SETS": 8}])
+def test_large_nodes_lose_no_links(spark, monkeypatch, sizes):
+    # all trees are trees of the first phase, which only deals large nodes out around a pivot;
+    # or large nodes branch level by level
+    for name, value in sizes.items():
         monkeypatch.setattr(neardup, name, value)
-    rnd = random.Random(21)
-    passage, texts = words(80, rnd, 10_000), []
-    for _ in range(60):
-        own = words(20, rnd, 10_000)
-        texts += [f"{passage} {own}", f"{passage} {own} {words(8, rnd, 10_000)}"]
+    texts = passages(random.Random(21), 150)
+    links = linked_pairs(texts)
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
-    sets = [neardup.shingle_set(t.encode(), neardup.WordHashes()) for t in texts]
-    groups = neardup.linked_groups(sets, neardup.PERCENT)
-    assert len(groups) == 60
-    assert all(len({found[i] for i in g}) == 1 for g in groups) and len(set(found.values())) == 60
+    assert len(links) >= 150 and sum(found[i] == found[j] for i, j in links) >= 0.99 * len(links)
+    assert len(set(found.values())) >= len(texts) - len(links)
+
+
+def test_sketches_spare_no_pair_at_the_threshold():
+    rng, n = np.random.default_rng(23), 20_000
+    agree = rng.binomial(neardup.SKETCH, 0.85, n)
+    assert (agree >= neardup.least_agreement(0.85)).sum() >= n - 3
+    same = np.arange(200 * neardup.SKETCH, dtype=np.uint32).reshape(200, -1)
+    same[7] = same[150]
+    hit = neardup.likely(same, np.full(200, 50.0), np.arange(200), 0.85)
+    assert np.flatnonzero(hit).tolist() == [7, 150]
+    assert not neardup.likely(same, np.full(200, 50.0), np.where(np.arange(200) == 7, 150, np.arange(200)), 0.85).any()
 
 
 def test_pairs_at_the_threshold_share_nodes_at_any_depth():
