@@ -3,39 +3,45 @@
 Scores are inner products of whole-number vectors. With M the largest norm, a vector x
 is lifted to (x, sqrt(M^2 - |x|^2)) and a query q to (q, 0); then |q - x|^2 =
 |q|^2 + M^2 - 2 q.x, so a higher score is a smaller distance. Each vector is keyed by its
-nearest pivot and the distance to it, and the table is sorted by that key. A query visits
-a pivot's annuli from the one that its own distance falls into outwards; as soon as the
-triangle inequality says that no farther annulus can hold a score above its current k-th
-best, it stops. What it visits is scored exactly, in whole numbers.
-
-Queries are taken in blocks of a fixed number, so what is broadcast has a fixed size.
-A first k-th best of each query comes from a bounded sample of the rows.
+nearest pivot and the distance to it; the table is sorted by that key and cut into units
+of a bounded number of rows, each a stretch of annuli.
+
+A query first searches the unit that it lies in, where the nearest annuli are. Its k-th
+best score there and the triangle inequality say which other units can hold a better one:
+queries that lie side by side form a block, and blocks meet the units they reach in a join
+on the pivot. A unit is held by one task, queries stream past it, and each visits its
+annuli outwards until no farther one can hold a score above its k-th best. What is visited
+is scored exactly, in whole numbers. The driver holds the pivots and nothing else.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, shuffle_partitions, staged, table, with_row
 
 PIVOTS = 64
-SAMPLE = 2048  # rows that pivots are chosen from and first bounds are taken from
-QUERY_BLOCK = 4096
+SAMPLE = 2048  # rows that pivots are chosen from; every row is indexed
+UNIT = 65_536  # rows of the index that a task holds
+QUERY_BLOCK = 256  # queries that are sent to a unit together
+STEP = 2048  # queries that are searched at once
 ANNULUS = 512  # rows of the sorted index that are scored together
 EXACT = float(1 << 53)
-LARGEST = float(1 << 40)  # of a component; above, whole numbers would not fit the score
+LARGEST = float(1 << 62)  # of a score
 
 
 def whole_vectors(vectors: DataFrame, column: str, scale: int) -> DataFrame:
     """Rows that take part: id not null, no null or non-finite component. The components
     are floor(scale * x). Vectors of different lengths count as filled up with zeros."""
     x = F.col("x")
-    good = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(LARGEST / scale)))
+    good = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     rows = with_row(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(f"`{column}`").alias("x"))).withColumn("good", F.coalesce(good, F.lit(False)))
-    return rows.filter("good").select(ROW, "vec_id", F.transform("x", lambda v: F.floor(v.cast("double") * scale).cast("bigint")).alias("v"))
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.pow(v.cast("double") * scale, 2))
+    return rows.filter("good").select(ROW, "vec_id", F.transform("x", lambda v: F.floor(v.cast("double") * scale).cast("bigint")).alias("v"), square.alias("square"))
 
 
 def _matrix(column, width: int | None = None) -> np.ndarray:
@@ -119,33 +125,115 @@ class _Best:
         self.score[touched], self.vec[touched], self.row[touched] = all_s[take], all_v[take], all_r[take]
 
 
-def _search(shipped, k: int):
-    """Each batch is a stretch of the sorted index: annuli around one or a few pivots."""
+class _Unit:
+    """A stretch of the sorted index: annuli around one or a few pivots."""
+
+    def __init__(self, shipped, batches: list):
+        self.pivots, self.norm2, self.width, self.k = shipped
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.row, self.vec, self.pivot, self.distance = (table.column(c).to_numpy() for c in (ROW, "vec_id", "pivot", "distance"))
+        self.vectors = np.vstack([_matrix(c, self.width) for c in table.column("v").chunks])
+        cuts = np.flatnonzero(np.diff(self.pivot)) + 1
+        self.annuli = [(a + i, min(a + i + ANNULUS, b)) for a, b in zip([0, *cuts], [*cuts, len(self.vec)], strict=True) for i in range(0, b - a, ANNULUS)]
+        self.low, self.high, self.of = (np.array(x) for x in zip(*[(self.distance[a], self.distance[b - 1], self.pivot[a]) for a, b in self.annuli], strict=True))
+
+    def reach(self, queries: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Distances beyond which a query has no score above its bound."""
+        size2 = (queries.astype(float) ** 2).sum(1)
+        return np.sqrt(np.maximum(self.norm2 + size2 - 2 * np.maximum(bound.astype(float), -LARGEST), 0)) + 1e-6 * (1 + np.sqrt(self.norm2 + size2.max(initial=0)))
+
+    def to_pivots(self, queries: np.ndarray) -> np.ndarray:
+        return _distances(np.hstack([queries.astype(float), np.zeros((len(queries), 1))]), self.pivots)
+
+    def search(self, queries: np.ndarray, rows: np.ndarray, floor: np.ndarray) -> _Best:
+        best, to_pivot = _Best(len(queries), self.k, floor), self.to_pivots(queries)[:, self.of]
+        # least distance from a query to anything in an annulus, by the triangle inequality
+        gap = np.maximum(np.maximum(self.low[None, :] - to_pivot, to_pivot - self.high[None, :]), 0)
+        for step in np.argsort(gap.min(0), kind="stable"):
+            which = np.flatnonzero(gap[:, step] <= self.reach(queries, best.bound()))
+            if len(which):
+                a, b = self.annuli[step]
+                best.add(which, scores(queries[which], self.vectors[a:b]), self.vec[a:b], self.row[a:b], rows)
+        return best
+
+
+FOUND = "query_id bigint, query_row bigint, vec_id bigint, score bigint, row bigint"
+LOWEST = np.iinfo(np.int64).min
+
+
+def _hits(ids: np.ndarray, rows: np.ndarray, best: _Best) -> pa.RecordBatch:
+    q, r = np.nonzero(best.row >= 0)
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[q]), pa.array(best.vec[q, r]), pa.array(best.score[q, r]), pa.array(best.row[q, r])], names=["query_id", "query_row", "vec_id", "score", "row"])
+
+
+def _at_home(shipped, every: int):
+    """Each partition is a unit. Its rows with their unit and, for queries, their block and
+    what they found in the unit."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        own, unit = _Unit(shipped.value, batches), TaskContext.get().partitionId()
+        asked = np.flatnonzero(own.vec % every == 0)
+        block, floor, found = np.full(len(own.vec), -1), np.full(len(own.vec), LOWEST), [None] * len(own.vec)
+        block[asked] = (unit << 32) + np.arange(len(asked)) // QUERY_BLOCK
+        for at in range(0, len(asked), STEP):
+            which = asked[at : at + STEP]
+            best = own.search(own.vectors[which], own.row[which], np.full(len(which), LOWEST))
+            floor[which] = best.score[:, -1]
+            for i, v, s, r in zip(which.tolist(), best.vec.tolist(), best.score.tolist(), best.row.tolist(), strict=True):
+                found[i] = [{"vec_id": a, "score": b, "row": c} for a, b, c in zip(v, s, r, strict=True) if c >= 0]
+        at, kind = 0, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.int64()), ("row", pa.int64())]))
+        for b in batches:
+            part = slice(at, at + b.num_rows)
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, unit, np.int64)), pa.array(block[part]), pa.array(floor[part]), pa.array(found[part], kind)], names=[*b.schema.names, "unit", "block", "floor", "found"])
+
+    return run
+
+
+def _spans(shipped):
+    """For each query and pivot: block, pivot, distance and reach."""
+
+    def run(batches):
+        pivots, norm2, width, _ = shipped.value
+        for batch in batches:
+            if batch.num_rows:
+                queries, n = _matrix(batch.column(1), width), len(pivots)
+                floor = batch.column(2).to_numpy().astype(float)
+                d = _distances(np.hstack([queries.astype(float), np.zeros((len(queries), 1))]), pivots)
+                size2 = (queries.astype(float) ** 2).sum(1)
+                reach = np.sqrt(np.maximum(norm2 + size2 - 2 * np.maximum(floor, -LARGEST), 0)) + 1e-6 * (1 + np.sqrt(norm2 + size2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(queries))), pa.array(d.ravel()), pa.array(np.repeat(reach, n))], names=["block", "pivot", "d", "reach"])
+
+    return run
+
+
+def _visited(shipped):
+    """Rows come sorted by unit, those of the index first (query false): each unit is
+    built once and the queries that reach it stream past."""
 
     def run(batches):
-        pivots, norm2, width, ids, rows, queries, floor = shipped.value
-        lifted = np.hstack([queries.astype(float), np.zeros((len(queries), 1))])
-        to_pivot, size2 = _distances(lifted, pivots), (queries.astype(float) ** 2).sum(1)
-        slack = 1e-6 * (1 + np.sqrt(norm2 + size2.max(initial=0)))
-        best = _Best(len(queries), k, floor)
+        unit, stored, own = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec, row, pivot, distance = (batch.column(i).to_numpy() for i in (1, 0, 3, 4))
-            vectors = _matrix(batch.column(2), width)
-            cuts = np.flatnonzero(np.diff(pivot)) + 1
-            pieces = [(a + i, min(a + i + ANNULUS, b)) for a, b in zip([0, *cuts], [*cuts, len(vec)], strict=True) for i in range(0, b - a, ANNULUS)]
-            low, high, of = (np.array(x) for x in zip(*[(distance[a], distance[b - 1], pivot[a]) for a, b in pieces], strict=True))
-            # least distance from a query to anything in an annulus, by the triangle inequality
-            gap = np.maximum(np.maximum(low[None, :] - to_pivot[:, of], to_pivot[:, of] - high[None, :]), 0)
-            for step in np.argsort(gap.min(0), kind="stable"):
-                reach = np.sqrt(np.maximum(norm2 + size2 - 2 * best.bound().astype(float), 0)) + slack
-                which = np.flatnonzero(gap[:, step] <= reach)
-                if len(which):
-                    a, b = pieces[step]
-                    best.add(which, scores(queries[which], vectors[a:b]), vec[a:b], row[a:b], rows)
-        q, r = np.nonzero(best.row >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[q]), pa.array(best.vec[q, r]), pa.array(best.score[q, r]), pa.array(best.row[q, r])], names=["query_id", "query_row", "vec_id", "score", "row"])
+            at = 0
+            while at < batch.num_rows:
+                units, query = batch.column(0).to_numpy()[at:], batch.column(1).to_numpy(zero_copy_only=False)[at:]
+                same = (units == units[0]) & (query == query[0])
+                n = int(same.argmin()) if not same.all() else len(same)
+                part = batch.slice(at, n)
+                at += n
+                if units[0] != unit:
+                    unit, stored, own = units[0], [], None
+                if not query[0]:
+                    stored.append(part)
+                    continue
+                own = own or (_Unit(shipped.value, stored) if stored else None)
+                for i in range(0, n if own else 0, STEP):
+                    piece = part.slice(i, STEP)
+                    rows = piece.column(2).to_numpy()
+                    yield _hits(piece.column(3).to_numpy(), rows, own.search(_matrix(piece.column(4), own.width), rows, piece.column(7).to_numpy()))
 
     return run
 
@@ -154,40 +242,39 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embedd
     """For each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score of
     its k best other rows, ties to the smaller vec_id; exact.
 
-    Components of more than 2^32 in size don't fit whole-number scores; their rows take
-    no part either. Rows with a null id or a vector that is null or has null or non-finite components
-    take no part. Rows that repeat a vec_id are rows of their own, as queries and as
-    candidates. Fewer candidates than k give fewer rows; empty tables give none."""
+    Rows with a null id or a vector that is null or has null or non-finite components take
+    no part; an empty vector counts as zeros. Numbers so large that scores may not fit 64
+    bits are an error, nothing is dropped for its size. Rows that repeat a vec_id are rows
+    of their own, as queries and as candidates. Fewer candidates than k give fewer rows;
+    empty tables give none. Extra columns are ignored, whatever their names."""
     spark = vectors.sparkSession
     rows = staged(whole_vectors(vectors, column, scale), "vectors")
-    norm2, width = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.size("v"))).first()
-    norm2, width = float(norm2 or 0), int(width or 0)
-    sample = rows.orderBy(F.xxhash64("vec_id", ROW)).limit(SAMPLE).toArrow().combine_chunks()  # bounded
+    norm2, width, total = rows.agg(F.max("square"), F.max(F.size("v")), F.count("*")).first()
+    if (norm2 or 0) >= LARGEST:
+        raise ValueError(f"components are too large for scores of 64 bits: a vector has the squared norm {norm2:g}")
+    norm2, width = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0] or 0.0, int(width or 0)
+    sample = rows.orderBy(F.xxhash64("vec_id", ROW)).limit(SAMPLE).select("v").toArrow().combine_chunks()  # bounded
     known = _matrix(sample.column("v").combine_chunks(), width) if sample.num_rows else np.zeros((0, width), np.int64)
     pivots = choose_pivots(_lifted(known, norm2))
     shipped = spark.sparkContext.broadcast((pivots, norm2, width))
     schema = f"{ROW} bigint, vec_id bigint, v array<bigint>, pivot int, distance double"
-    keyed = rows.mapInArrow(_keyed(shipped), schema)
-    index = staged(keyed.repartitionByRange(shuffle_partitions(spark), "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"), "index")
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK)) * 2 - 1  # hashed blocks stay below twice the mean
-    found = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64(ROW), F.lit(blocks)) == block).toArrow().combine_chunks()
-        n = part.num_rows
-        queries = _matrix(part.column("v").combine_chunks(), width) if n else np.zeros((0, width), np.int64)
-        ids, own = part.column("vec_id").to_numpy(), part.column(ROW).to_numpy()
-        floor = np.full(n, np.iinfo(np.int64).min)
-        if n and sample.num_rows > k:
-            first = scores(queries, known)
-            first[own[:, None] == sample.column(ROW).to_numpy()[None, :]] = np.iinfo(np.int64).min
-            floor = np.partition(first, -k, axis=1)[:, -k]
-        data = spark.sparkContext.broadcast((pivots, norm2, width, ids, own, queries, floor))
-        one = index.mapInArrow(_search(data, k), "query_id bigint, query_row bigint, vec_id bigint, score bigint, row bigint")
-        found = one if found is None else found.union(one)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "row"))), 1, k)
-    merged = found.groupBy("query_row", "query_id").agg(best.alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("place", "hit")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    keyed = rows.select(ROW, "vec_id", "v").mapInArrow(_keyed(shipped), schema)
+    units = max(min(shuffle_partitions(spark), total), -(-total // UNIT), 1)
+    ordered = keyed.repartitionByRange(units, "pivot", "distance", "vec_id", ROW).sortWithinPartitions("pivot", "distance", "vec_id", ROW)
+    shipped = spark.sparkContext.broadcast((pivots, norm2, width, k))
+    index = staged(ordered.mapInArrow(_at_home(shipped, every), schema + ", unit bigint, block bigint, floor bigint, found array<struct<vec_id:bigint,score:bigint,row:bigint>>"), "index")
+    asked = index.filter("block >= 0")
+    reach = asked.select("block", "v", "floor").mapInArrow(_spans(shipped), "block bigint, pivot int, d double, reach double").groupBy("block", "pivot").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.max("reach").alias("reach"))
+    directory = index.groupBy("unit", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    gap = F.greatest(F.col("low") - F.col("far"), F.col("near") - F.col("high"))
+    reached = reach.join(directory, "pivot").filter(gap <= F.col("reach")).select("block", F.col("unit").alias("visit")).distinct()
+    columns = [ROW, "vec_id", "v", "pivot", "distance", "floor"]
+    sent = asked.join(reached, "block").filter("visit <> unit").select(F.col("visit").alias("unit"), F.lit(True).alias("query"), *columns)
+    stored = index.select("unit", F.lit(False).alias("query"), *columns)
+    visits = stored.unionByName(sent).repartition(units, "unit").sortWithinPartitions("unit", "query", "pivot", "distance", "vec_id", ROW)
+    found = visits.mapInArrow(_visited(shipped), FOUND).unionByName(asked.select(F.col("vec_id").alias("query_id"), F.col(ROW).alias("query_row"), F.inline("found")))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,13 +344,16 @@ def test_loser_tree():
         assert [x for _, x in warc.LoserTree(runs)] == sorted(sum(runs, []))
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("sizes", [{}, {"UNIT": 40, "QUERY_BLOCK": 2, "STEP": 3, "ANNULUS": 7, "PIVOTS": 9}])
+def test_top_k(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(nearest, name, value)
     rng = np.random.default_rng(11)
     vectors = [v.tolist() for v in rng.normal(0, 0.2, (400, 6)).astype("float32")]
     vectors[7] = vectors[50] = vectors[51] = vectors[100]
     bad = [None, [None, 1.0], [float("nan")], [float("inf")]]
     rows = [*enumerate(vectors), (150, vectors[3]), (500, [0.5]), (550, []), *[(600 + i, b) for i, b in enumerate(bad)], (None, vectors[0])]
-    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    frame = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id bigint, embedding array<float>, pivot int, unit string, score int")
     good = [(i, np.pad(np.floor(256 * np.array(v, "float32").astype(float)), (0, 6 - len(v)))) for i, v in rows if i is not None and i < 600]
     want = []
     for a, (i, q) in enumerate(good):
@@ -362,6 +365,31 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in nearest.top_k(frame.filter("vec_id in (0, 1)")).collect())[0][:3] == (0, 1, 1)
 
 
+def test_distant_annuli_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "UNIT", 50)
+    rng, seen = np.random.default_rng(19), spark.sparkContext.accumulator(0)
+    centres = rng.normal(0, 1, (20, 8))
+    centres *= 4 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.01, 8)).tolist()) for i in range(2000)]
+    plain = nearest.scores
+
+    def counted(q, v):
+        seen.add(q.shape[0] * v.shape[0])
+        return plain(q, v)
+
+    monkeypatch.setattr(nearest, "scores", counted)
+    assert nearest.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).count() == 200
+    assert 0 < seen.value < 0.5 * 40 * 2000
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [3e9]), (1, [5e9])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        nearest.top_k(frame)
+    fits = spark.createDataFrame([(0, [4e6, 1.0]), (1, [5e6, 2.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in nearest.top_k(fits).collect()] == [(0, 1, 1, 65536 * 20 * 10**12 + 65536 * 2)]
+
+
 def test_large_numbers_stay_exact():
     q, v = np.array([[1 << 30, 3]]), np.array([[1 << 30, 5], [(1 << 30) - 1, 7]])
     assert nearest.scores(q, v).tolist() == [[(1 << 60) + 15, (1 << 60) - (1 << 30) + 21]]
