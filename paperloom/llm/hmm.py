@@ -10,8 +10,8 @@ counts cover the whole corpus, and the probabilities of all words add up to 1.
 Training is Baum-Welch over whole documents: each task adds up expected counts of
 its documents (scaled forward and backward recursions), the counts are summed over
 all tasks by a shuffle on the class, and the driver holds only the fixed-size
-result. A short run over a bounded number of documents sets the start; every
-count of the final model comes from all training documents.
+result. It starts from the shares of the classes in the whole corpus, shaken by a fixed
+seed, with states that tend to stay; no document is singled out.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import ROW, shuffle_partitions, staged, table, text_bytes, with_row
 TOP = 4096  # tokens with a class of their own
 HASHED = 1024  # hash classes for all others
 STATES = 8
-ROUNDS = 3  # passes of Baum-Welch over the corpus
-START_DOCS, START_TOKENS, START_ROUNDS = 1500, 400_000, 12  # of the run that sets the start
+ROUNDS = 4  # passes of Baum-Welch over the corpus
+STAY = 0.98  # of a state, at the start
 FIXED_POINT = 1 << 20  # expected counts are summed as whole numbers: the order of tasks does not matter
 BLOCK_TOKENS = 300_000  # held in memory at once by the recursions
 FLUSH_WORDS = 200_000
@@ -65,9 +65,8 @@ class Model:
 
     @classmethod
     def new(cls, freq: np.ndarray, seed: int = 7) -> Model:
-        rng = np.random.default_rng(seed)
-        emit = freq[:, None] * rng.uniform(0.5, 1.5, (len(freq), STATES))
-        move = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
+        emit = freq[:, None] * np.exp(np.random.default_rng(seed).normal(0, 1, (len(freq), STATES)))
+        move = np.full((STATES, STATES), (1 - STAY) / STATES) + np.eye(STATES) * STAY
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
 
     @classmethod
@@ -195,7 +194,7 @@ def _accumulate(shipped):
     (class -1) for the start and one (-2 - k) for each row of the moves."""
 
     def run(batches):
-        model, (start, move, emit) = shipped.value, (0, 0, 0)
+        model, (start, move, emit) = Model(*shipped.value), (0, 0, 0)
         for batch in pieces_of(batches, 5000):
             a, b, c = expected_counts(model, [np.frombuffer(x.as_py(), "<u2") for x in batch.column(0)])
             start, move, emit = start + a, move + b, emit + c
@@ -210,29 +209,25 @@ def _accumulate(shipped):
     return run
 
 
+def _sums(rows: DataFrame, columns: int):
+    """id and sums of k0, k1, ... of each id: at most as many rows as the model has classes."""
+    return rows.groupBy("id").agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in range(columns)]).toArrow().to_pydict()
+
+
 def train_model(encoded: DataFrame, freq: np.ndarray) -> Model:
     """Baum-Welch over all rows of encoded (obs: classes as bytes). The driver gets a
-    bounded number of documents for the start and, each round, a model-sized table."""
-    spark, model, docs, total = encoded.sparkSession, Model.new(freq), [], 0
-    for row in encoded.filter(F.length("obs") <= 2 * 4000).limit(START_DOCS).collect():
-        if total < START_TOKENS:
-            docs.append(np.frombuffer(bytes(row[0]), "<u2"))
-            total += len(docs[-1])
-    for _ in range(START_ROUNDS if docs else 0):
-        model = Model.from_counts(*expected_counts(model, docs), freq)
-    schema = "id int, " + ", ".join(f"k{j} bigint" for j in range(STATES))
+    model-sized table of expected counts in each round."""
+    spark, schema = encoded.sparkSession, "id int, " + ", ".join(f"k{j} bigint" for j in range(STATES))
+    model = Model.new(freq)
     for _ in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast(model)
-        sums = encoded.mapInArrow(_accumulate(shipped), schema).groupBy("id").agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in range(STATES)])
+        shipped = spark.sparkContext.broadcast((model.start, model.move, model.emit))
+        found = _sums(encoded.mapInArrow(_accumulate(shipped), schema), STATES)
+        ids = np.array(found.pop("id"), int)
+        values = np.array(list(found.values()), float).T.reshape(len(ids), STATES) / FIXED_POINT
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(freq), STATES))
-        for row in sums.collect():  # as many rows as the model has classes, at most
-            values = np.array(row[1:], float) / FIXED_POINT
-            if row[0] >= 0:
-                emit[row[0]] = values
-            elif row[0] == -1:
-                start = values
-            else:
-                move[-2 - row[0]] = values
+        start[:] = values[ids == -1].sum(0)
+        move[-2 - ids[ids < -1]] = values[ids < -1]
+        emit[ids[ids >= 0]] = values[ids >= 0]
         model = Model.from_counts(start, move, emit, freq)
         shipped.unpersist()
     return model
@@ -243,7 +238,8 @@ def _score_batches(shipped, slices: int, copies: int):
     knows, and for each slice of the vocabulary one row with its rare words there."""
 
     def run(batches):
-        model, top, top_counts, within = shipped.value
+        (start, move, emit), top, top_counts, within = shipped.value
+        model = Model(start, move, emit)
         classes = worker_state(("hmm", hash(tuple(top))), lambda: Classes(top))
         log_top = np.log10(top_counts + 0.5) if len(top) else np.zeros(0)
         padded = np.concatenate([log_top, np.zeros(TOP + HASHED - len(log_top))])
@@ -340,7 +336,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     tasks = shuffle_partitions(spark)
     slices = max(SLICES, -(-distinct // SLICE_WORDS))
     copies = min(-(-tasks // slices), max(1, total // (20 * max(1, distinct))))  # copies of the vocabulary stay small beside the text
-    shipped = spark.sparkContext.broadcast((model, top, top_counts, in_class + 0.5 * (kinds + 1)))
+    shipped = spark.sparkContext.broadcast(((model.start, model.move, model.emit), top, top_counts, in_class + 0.5 * (kinds + 1)))
     parts = with_row(rows).select(ROW, "doc_id", "held_out", "text").mapInArrow(_score_batches(shipped, slices, copies), PARTS + ", slice int, words binary, times binary")
     parts = staged(parts, "hmm-parts")
     vocabulary = (
