@@ -19,6 +19,7 @@ import heapq
 
 import ahocorasick
 
+PAIRS = 1_000_000  # of tokens that a worker remembers
 END = ""  # stands for the end-of-word mark inside this module
 
 
@@ -30,11 +31,13 @@ class PrefixTable:
         rank(left, right): priority of that merge (smaller goes first) or None."""
         self.rank, self.end_of_word = rank, end_of_word
         self.open, self.closing = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.memos, self.remembered = [], 0
         for token in tokens:
             closed = end_of_word and token.endswith(END)
             body = token[:-1] if closed else token
             if body:  # each entry keeps the memo of the tokens that may stand before it
-                (self.closing if closed else self.open).add_word(body, (len(body), token, {}))
+                self.memos.append({})
+                (self.closing if closed else self.open).add_word(body, (len(body), token, self.memos[-1]))
         self.open.make_automaton()
         self.closing.make_automaton()
         self.longest = max((len(t) for t in tokens), default=1)
@@ -69,11 +72,14 @@ class PrefixTable:
 
     def _compatible(self, before: str, token: str, memo: dict[str, bool]) -> bool:
         """before may be empty: then the question is whether token encodes to itself.
-        The memo holds a pair of vocabulary entries at most once; it is emptied
-        before it can outgrow a worker."""
+        Each pair of vocabulary entries is remembered at most once; all memos together
+        are emptied before they can outgrow a worker."""
         ok = self.merged(self.symbols(before) + self.symbols(token)) == ([before, token] if before else [token])
-        if len(memo) >= 50_000:
-            memo.clear()
+        if self.remembered >= PAIRS:
+            for kept in self.memos:
+                kept.clear()
+            self.remembered = 0
+        self.remembered += 1
         memo[before] = ok
         return ok
 
@@ -136,23 +142,3 @@ class PrefixTable:
             if not closed[i]:  # the last symbol is outside the vocabulary
                 closed[i] = count[i - 1] + 1
         return closed
-
-    def closed_count(self, word: str) -> int:
-        """closed_counts(word)[-1], without the closing tokens of shorter prefixes."""
-        last = self.last_tokens(word[:-1])
-        n = len(word)
-        i = n - 1
-        for size in range(min(n, self.longest), 0, -1):
-            found = self.closing.get(word[n - size :], None)
-            if found is not None:
-                _, token, memo = found
-                before = last[n - size]
-                ok = memo.get(before)
-                if self._compatible(before, token, memo) if ok is None else ok:
-                    i = n - size
-                    break
-        count = 1
-        while i:
-            count += 1
-            i -= len(last[i])
-        return count

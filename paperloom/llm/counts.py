@@ -1,12 +1,19 @@
-"""Operator 4: exact token counts by dynamic programming over prefixes."""
+"""Operator 4: exact token counts by dynamic programming over prefixes.
+
+Each pre-token gets a table: the exact number of tokens of every one of its prefixes, as a
+word of its own. The table of a run of text without white space joins those of its
+pre-tokens, and workers remember the tables of short runs. The count of a text is the sum of
+the last entries; its own table, with a count for each prefix, answers truncation and
+budget questions by looking up, without encoding again."""
 
 from __future__ import annotations
 
-import json
 import hashlib
+import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -50,92 +57,106 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self.known: dict[bytes, int] = {}
-        self.known_parts: dict[str, int] = {}
+        self.known: dict[bytes, bytes | list[int]] = {}
+        self.known_parts: dict[str, bytes | list[int]] = {}
 
-    def _pretokens(self, raw: str) -> list[str]:
+    def _normal(self, raw: str) -> str:
+        return unicodedata.normalize("NFC", raw).lower() if _PLAIN.fullmatch(raw) else self.library.normalizer.normalize_str(raw)
+
+    def _pretokens(self, raw: str) -> list[tuple[int, str]]:
+        """Pre-tokens of a run and where they start in its normal form."""
+        normal = self._normal(raw)
         if _PLAIN.fullmatch(raw):
-            return self.words.findall(unicodedata.normalize("NFC", raw).lower())
-        normal = self.library.normalizer.normalize_str(raw)
-        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+            return [(m.start(), m[0]) for m in self.words.finditer(normal)]
+        return [(a, normal[a:b]) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _letters(self, pretoken: str) -> str:
         return "".join(map(self.letters.__getitem__, pretoken.encode()))
 
-    def _plain_count(self, raw: str) -> int:
-        total = 0
-        for pretoken in self._pretokens(raw):
-            n = self.known_parts.get(pretoken)
-            if n is None:
-                n = self.table.closed_count(self._letters(pretoken))
-                if len(pretoken) <= CACHED_LENGTH:
-                    if len(self.known_parts) >= CACHE_LIMIT:
-                        self.known_parts.clear()
-                    self.known_parts[pretoken] = n
-            total += n
-        return total
-
-    def _count(self, raw: str) -> int:
-        if "<|" not in raw:
-            return self._plain_count(raw)
+    def part(self, pretoken: str) -> bytes | list[int]:
+        """The table of a pre-token: the count at each of its prefixes, from one sign on."""
+        table = self.known_parts.get(pretoken)
+        if table is None:
+            closed = self.table.closed_counts(self._letters(pretoken))
+            table = _packed(closed[1:] if pretoken.isascii() else [closed[i] for i in np.cumsum([len(c.encode()) for c in pretoken]).tolist()])
+            if len(pretoken) <= CACHED_LENGTH:
+                if len(self.known_parts) >= CACHE_LIMIT:
+                    self.known_parts.clear()
+                self.known_parts[pretoken] = table
+        return table
+
+    def _total(self, raw: str) -> int:
         total, at = 0, 0
-        for m in self.cut.finditer(raw):
-            total += 1 + self._plain_count(raw[at : m.start()])
-            at = m.end()
-        return total + self._plain_count(raw[at:])
+        if "<|" in raw:
+            for m in self.cut.finditer(raw):
+                total += 1 + sum(self.part(p)[-1] for _, p in self._pretokens(raw[at : m.start()]))
+                at = m.end()
+        return total + sum(self.part(p)[-1] for _, p in self._pretokens(raw[at:]))
+
+    def run(self, raw: str) -> bytes | list[int]:
+        """The table of a run of text without ASCII white space. Cutting a run cuts its last
+        pre-token and leaves the others, unless a contraction, a special string, a sign that
+        joins the one before or a capital sigma is in it; then each prefix is split anew."""
+        apart = "'" in raw or "<|" in raw or "Σ" in raw or not unicodedata.is_normalized("NFC", raw)
+        if not apart and len(self._normal(raw)) == len(raw):
+            out, total, end = [], 0, 0
+            for start, pretoken in self._pretokens(raw):
+                out += [total] * (start - end)
+                table = self.part(pretoken)
+                out += [total + n for n in table] if total else table
+                total, end = total + table[-1], start + len(pretoken)
+            return _packed(out + [total] * (len(raw) - end))
+        return _packed([self._total(raw[:i]) for i in range(1, len(raw) + 1)])
 
     def of(self, raw: bytes) -> int:
-        """Tokens of one run of text without ASCII white space. Normalising, matching
-        special tokens and splitting never look across white space."""
-        n = self.known.get(raw)
-        if n is None:
-            n = self._count(raw.decode())
-            if len(raw) <= CACHED_LENGTH:
-                if len(self.known) >= CACHE_LIMIT:
-                    self.known.clear()
-                self.known[raw] = n
-        return n
+        """Tokens of one run. Normalising, matching special tokens and splitting never look
+        across white space. Long runs are seldom met again: their tables are not kept."""
+        if len(raw) > CACHED_LENGTH:
+            return self._total(raw.decode())
+        if len(self.known) >= CACHE_LIMIT:
+            self.known.clear()
+        self.known[raw] = table = self.run(raw.decode())
+        return table[-1]
 
     def count(self, text: bytes) -> int:
         of, known = self.of, self.known
         total = 0
         for raw in text.split():
-            n = known.get(raw)
-            total += of(raw) if n is None else n
+            table = known.get(raw)
+            total += of(raw) if table is None else table[-1]
         return total
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """The table of a text: ends of its words (code points) and the exact number
-        of tokens of the text cut there."""
-        ends, counts, total = [], [], 0
+    def prefixes(self, text: str) -> np.ndarray:
+        """The table of a text: for each i from 0 to its length the exact number of tokens
+        of its first i code points."""
+        out, total, end = np.zeros(len(text) + 1, np.int32), 0, 0
         for m in re.finditer(r"[^\x20\x09-\x0d]+", text):
-            total += self.of(m[0].encode())
-            ends.append(m.end())
-            counts.append(total)
-        return ends, counts
+            table = self.known.get(m[0].encode())
+            out[end + 1 : m.start() + 1] = total
+            out[m.start() + 1 : m.end() + 1] = np.array(list(self.run(m[0]) if table is None else table), np.int32) + total
+            total, end = int(out[m.end()]), m.end()
+        out[end + 1 :] = total
+        return out
+
 
-    def at(self, text: str, length: int) -> int:
-        """Tokens of text[:length], from the word table and the table of the cut word."""
-        cut = text[:length]
-        m = re.search(r"[^\x20\x09-\x0d]+\Z", cut)
-        ends, counts = self.prefixes(cut[: m.start()] if m else cut)
-        return (counts[-1] if counts else 0) + (self._count(m[0]) if m else 0)
+def _packed(counts: list[int]) -> bytes | list[int]:
+    return bytes(counts) if max(counts, default=0) < 256 else list(counts)
 
 
 def count_tokens(docs: DataFrame, file: bytes, limit: int = 2048, text: str = "text", prefix_table: bool = False) -> DataFrame:
     """docs without the text, with n_bytes, n_tokens, over_limit (n_tokens > limit)
-    and, if asked for, `prefixes`: an array of (end, tokens) with the exact count at
-    the end of each word, which answers truncation and budget questions later (see
-    truncated_at). One pass, no shuffle, whole texts.
+    and, if asked for, `prefixes`: an array of the exact counts of the first 0, 1, 2, ...
+    code points, which answers truncation and budget questions later (see tokens_at and
+    truncated_at). One pass, no shuffle, whole texts of any length.
 
-    Null and empty texts have 0 bytes and 0 tokens. Columns of docs with the names
-    of results are replaced. An empty table gives an empty result."""
+    Null and empty texts have 0 bytes and 0 tokens. Every row is returned once, repeated
+    ids too. Columns of docs with the names of results are replaced, others stay. An
+    empty table gives an empty result."""
     shipped, key = docs.sparkSession.sparkContext.broadcast(file), hashlib.sha256(file).hexdigest()
     results = ["n_bytes", "n_tokens", "over_limit", *["prefixes"] * prefix_table]
     kept = [c for c in docs.columns if c not in {*results, text}]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], text_bytes(f"`{text}`").alias("__pl_text"))
-    pair = "array<struct<end:int,tokens:int>>"
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(True).alias("over_limit"), *[F.lit(None).cast(pair).alias("prefixes")] * prefix_table).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(True).alias("over_limit"), *[F.lit(None).cast("array<int>").alias("prefixes")] * prefix_table).schema
 
     def run(batches):
         counter = worker_state(("counts", key), lambda: WordCounter(shipped.value))
@@ -145,18 +166,21 @@ def count_tokens(docs: DataFrame, file: bytes, limit: int = 2048, text: str = "t
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array([len(x) for x in raws], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             if prefix_table:
-                rows = [[{"end": e, "tokens": t} for e, t in zip(*counter.prefixes(x.decode()), strict=True)] for x in raws]
-                columns.append(pa.array(rows, pa.list_(pa.struct([("end", pa.int32()), ("tokens", pa.int32())]))))
+                columns.append(pa.array([counter.prefixes(x.decode()) for x in raws], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     return source.mapInArrow(run, schema)
 
 
+def tokens_at(prefixes, length):
+    """Column: the tokens of the first `length` code points, from the stored table."""
+    return F.get(prefixes, F.lit(length) if isinstance(length, int) else length)
+
+
 def truncated_at(prefixes, budget: int):
-    """Column: the largest end of a word at which the text has at most `budget` tokens
-    (0 if there is none), from the stored table and without encoding again."""
-    fits = F.filter(prefixes, lambda p: p["tokens"] <= budget)
-    return F.coalesce(F.try_element_at(F.transform(fits, lambda p: p["end"]), F.lit(-1)), F.lit(0))
+    """Column: the most code points that a prefix of at most `budget` tokens has, from the
+    stored table and without encoding again."""
+    return F.array_max(F.transform(prefixes, lambda n, i: F.when(n <= budget, i)))
 
 
 def tokenizer_bytes(name: str = "word_bpe_49k.json") -> bytes:

@@ -57,18 +57,29 @@ def test_counts_are_those_of_the_library(spark):
     n = lambda t: len(counter.library.encode(t, add_special_tokens=False).ids)
     for t in texts:
         assert counter.count(t.encode()) == n(t)
-    text = "Truncated words, counted exactly: naïve café <|endoftext|> 12"
-    assert [counter.at(text, i) for i in range(len(text) + 1)] == [n(text[:i]) for i in range(len(text) + 1)]
-    for raw in ("thththe", "antidisestablishment", "aaaa"):
-        assert counter.table.closed_counts(raw)[1:] == [n(raw[: i + 1]) for i in range(len(raw))]
-    rows = counts.count_tokens(docs_of(spark, AWKWARD), counts.tokenizer_bytes(), limit=5, prefix_table=True)
-    rows = rows.withColumn("cut", counts.truncated_at(rows.prefixes, 2)).orderBy("doc_id").collect()
+    texts = ["Truncated words, counted exactly: naïve café <|endoftext|> 12", "can't we'll THEY'RE 'tis ''s", "日本語のテキスト、区切りなし。123", "e\u0301a\u0300 ΟΔΟΣ İi\u0307 \u00a0x\u2003y", *texts[:150]]
+    for t in texts:
+        assert counter.prefixes(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)], t
+    for raw in ("thththe", "antidisestablishment", "aaaa", "x" * 300):
+        assert list(counter.part(raw)) == [n(raw[: i + 1]) for i in range(len(raw))]
+    rows = counts.count_tokens(docs_of(spark, AWKWARD).withColumnRenamed("lang", "over_limit"), counts.tokenizer_bytes(), limit=5, prefix_table=True)
+    rows = rows.withColumn("cut", counts.truncated_at(rows.prefixes, 2)).withColumn("two", counts.tokens_at(rows.prefixes, 2)).orderBy("doc_id").collect()
     for r, t in zip(rows, AWKWARD, strict=True):
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((t or "").encode()), n(t or ""), n(t or "") > 5)
-    assert rows[4].cut == 3 and n("A a a"[:3]) == 2
+        t = t or ""
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n(t), n(t) > 5)
+        assert r.cut == max(i for i in range(len(t) + 1) if n(t[:i]) <= 2) if len(t) < 100 else n(t[: r.cut]) <= 2 < n(t[: r.cut + 1])
+        assert r.two == (n(t[:2]) if len(t) >= 2 else None)
     assert counts.count_tokens(docs_of(spark, []), counts.tokenizer_bytes()).count() == 0
 
 
+def test_long_texts_are_counted_whole(spark):
+    rnd = random.Random(16)
+    texts = ["".join(rnd.choice("abcdé 'xyz日") for _ in range(60_000)), "don't" * 5000, "word " * 40_000]
+    library = counts.WordCounter(counts.tokenizer_bytes()).library
+    for r in counts.count_tokens(docs_of(spark, texts), counts.tokenizer_bytes()).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_prefix_table_equals_plain_merging():
     merges = {("a", "b"): 0, ("ab", "ab"): 1, ("b", "a"): 2, ("abab", "a"): 3, ("c", "a"): 4}
     table = bpe.PrefixTable(["a", "b", "c", "ab", "abab", "ba", "ababa", "ca"], lambda x, y: merges.get((x, y)))
