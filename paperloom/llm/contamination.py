@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, staged, table, text_bytes, with_row, worker_state
+from .common import ROW, bit_filter, passes, staged, table, text_bytes, with_row, worker_state
 from .shingles import WordHashes, sequence_hashes
 
 WINDOW = 10  # words of a passage that counts
 K = 5  # words in a hashed run
 W = WINDOW - K + 1  # hashes in a window of the winnowing
-FILTER_BITS = 1 << 24  # of the filter that documents are tried against: a fixed size for any benchmark
+FILTER_BITS = 27  # at most 2 ** so many in the filter that documents are tried against
 
 _SPACED = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -82,19 +82,12 @@ def _item_prints(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.string()), pa.array(out["length"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["before"], pa.binary()), pa.array(out["after"], pa.binary())], names=list(out))
 
 
-def _filter_parts(batches):
-    """The set bits of the filter, as places in it."""
-    for batch in batches:
-        h = batch.column(0).to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(h & np.uint64(FILTER_BITS - 1)).astype(np.int64))], names=["bit"])
-
-
 def _document_prints(shipped, lengths: list[int]):
     """A head row of each document (length null) and a row for each fingerprint that
     passes the filter, with the words around it."""
 
     def run(batches):
-        bits, hashes = shipped.value, worker_state(("words", 0), WordHashes)
+        hashes = worker_state(("words", 0), WordHashes)
         for batch in batches:
             rows, ids = batch.column(0).to_pylist(), batch.column(1)
             n_words, out = [], {n: [] for n in ("row", "length", "hash", "at", "before", "after")}
@@ -104,8 +97,7 @@ def _document_prints(shipped, lengths: list[int]):
                 values = hashes.of(words)
                 for length in lengths:
                     at, found = fingerprints(values, length)
-                    low = found & np.uint64(FILTER_BITS - 1)
-                    hit = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    hit = passes(shipped.value, found)
                     back = WINDOW - K if length == WINDOW else 0
                     for p, h in zip(at[hit].tolist(), _signed(found[hit]).tolist(), strict=True):
                         out["row"].append(row)
@@ -147,21 +139,20 @@ def _extended(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["item"], pa.string()), pa.array(out["first"], pa.int32()), pa.array(out["last"], pa.int32())], names=list(out))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(heads, hits): heads has row, doc_id, n_words of each document row; hits has row,
-    item, first and last (end exclusive) of each shared run of words of at least a window.
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", kind: str = "bigint") -> tuple[DataFrame, DataFrame]:
+    """(heads, hits): heads has row, doc_id (the column `key`), n_words of each document
+    row; hits has row, item, first and last (end exclusive) of each shared run of words of
+    at least a window.
 
-    A null text has no words. Repeated rows of either table count one by one."""
+    A null text has no words. Repeated rows of either table count one by one. An item
+    without an id is looked for like all others and has a null item."""
     spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
     prints = staged(items.mapInArrow(_item_prints, "item string, length int, hash bigint, before binary, after binary"), "leak-items")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     lengths = [r[0] for r in prints.select("length").distinct().orderBy("length").collect()]  # at most WINDOW values
-    for r in prints.select("hash").mapInArrow(_filter_parts, "bit bigint").distinct().toLocalIterator():  # at most FILTER_BITS values
-        bits[r[0] >> 3] |= 1 << (r[0] & 7)
-    shipped = spark.sparkContext.broadcast(bits)
-    source = with_row(docs.select("doc_id", text_bytes().alias("text"))).select(ROW, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = staged(source.mapInArrow(_document_prints(shipped, lengths), "row bigint, doc_id bigint, n_words bigint, length int, hash bigint, at int, before binary, after binary"), "leak-prints")
+    shipped = spark.sparkContext.broadcast(bit_filter(prints.select("hash"), FILTER_BITS))
+    source = with_row(docs.select(F.col(f"`{key}`").cast(kind).alias("doc_id"), text_bytes().alias("text"))).select(ROW, "doc_id", "text")
+    found = staged(source.mapInArrow(_document_prints(shipped, lengths), f"row bigint, doc_id {kind}, n_words bigint, length int, hash bigint, at int, before binary, after binary"), "leak-prints")
     known = prints.select("length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after"), "item").distinct()
     joined = found.filter("length is not null").join(known, ["length", "hash"]).select("row", "at", "length", "before", "after", "item", "item_before", "item_after")
     hits = joined.mapInArrow(_extended, "row bigint, item string, first int, last int").distinct()
@@ -171,12 +162,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row.
 
-    Rows that repeat a doc_id are kept one by one; extra columns are ignored; without
-    benchmark rows nothing is hit; an item without words has no window."""
+    Rows that repeat a doc_id are kept one by one; extra columns are ignored, whatever
+    their names; texts of any length are taken whole; an empty table gives an empty
+    result, and without benchmark rows nothing is hit. An item without words has no
+    window. One without an id counts for n_hit and contaminated, not among the items."""
     heads, hits = overlaps(docs, benchmark)
     spans = hits.groupBy("row", "first").agg(F.max("last").alias("last"))
     places = spans.select("row", F.explode(F.sequence("first", F.col("last") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = hits.select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = hits.filter("item is not null").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     empty = F.array().cast("array<string>")
     nothing = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "n_words")]
     parts = (
@@ -190,10 +183,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark passage; all columns stay. Documents are
-    matched by doc_id; rows with a null doc_id share one verdict."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__pl_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__pl_bad")), "left_anti")
+    """docs without the rows that hold a benchmark passage; all columns stay. What counts is
+    the text of a row: ids may be null or repeat, and a clean row stays whatever others
+    share its id. Null and empty texts stay."""
+    keyed = docs.withColumn("__pl_key", F.md5(text_bytes()))
+    heads, hits = overlaps(keyed, benchmark, "__pl_key", "string")
+    bad = heads.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("__pl_key")).distinct()
+    return keyed.join(bad, "__pl_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +199,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS m, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
 dw AS (SELECT r, i, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
 h AS (SELECT r, i, dw.m AS m, item FROM dw JOIN bw ON dw.m = bw.m AND dw.g = bw.g),
