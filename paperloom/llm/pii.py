@@ -24,8 +24,13 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Lengths of account numbers by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 ADDED = {
-    "iban": r"[A-Z][A-Z][0-9][0-9]( ?[A-Z0-9]){11,30}",
+    "iban": "|".join(f"(?:{'|'.join(c.split())})[0-9][0-9](?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()),
     "ssn": r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]",
 }
 KINDS = [*BASE, *ADDED]
@@ -45,14 +50,16 @@ NEEDS = {
     "iban": "[A-Z][A-Z][0-9][0-9]",
     "ssn": ADDED["ssn"],
 }
+#: Words that raise the score of a kind; they count as whole words, with a plural s or not.
 CONTEXT = {
-    "email": "mail|contact|write|schreib|correo|courriel",
+    "email": "mail|email|contact|write|schreib|schreiben|correo|courriel",
     "ip": "ip|host|server|address|adresse|login",
-    "card": "card|visa|master|amex|credit|debit|karte|tarjeta|carte",
-    "phone": "phone|tel|call|fax|mobile|handy",
+    "card": "card|visa|master|mastercard|amex|credit|debit|karte|kreditkarte|tarjeta|carte",
+    "phone": "phone|telephone|tel|telefon|call|fax|mobile|handy",
     "iban": "iban|account|bank|konto|cuenta|compte|transfer",
     "ssn": "ssn|social|security|insurance|taxpayer",
 }
+WHOLE = {kind: f"(?:^|[^a-z])(?:{words})s?(?:[^a-z]|$)" for kind, words in CONTEXT.items()}
 #: Score of a confirmed span, and what a context word within NEAR signs adds.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT_BONUS, NEAR, THRESHOLD = 0.2, 40, 0.5
@@ -97,15 +104,16 @@ def _confirmed(kind: str, match: Column, before: Column, after: Column) -> Colum
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        return mod97(F.replace(match, F.lit(" "), F.lit("")))
+    if kind == "iban":  # nothing that could belong to a longer number stands beside it
+        alone = ~F.coalesce(F.right(before, F.lit(1)), F.lit("")).rlike("[A-Za-z0-9]") & ~F.coalesce(F.left(after, F.lit(1)), F.lit("")).rlike("[A-Za-z0-9]")
+        return alone & mod97(F.replace(match, F.lit(" "), F.lit("")))
     apart = ~F.coalesce(F.right(before, F.lit(1)), F.lit("")).rlike("[0-9-]") & ~F.coalesce(F.left(after, F.lit(1)), F.lit("")).rlike("[0-9-]")
     return apart & ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-|-0000$")
 
 
 def _score(kind: str, before: Column, after: Column) -> Column:
     near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
-    return F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+    return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(WHOLE[kind]), CONTEXT_BONUS).otherwise(0.0))
 
 
 def _spans(kind: str, pieces: Column, found: Column) -> Column:
@@ -131,8 +139,9 @@ def _spans(kind: str, pieces: Column, found: Column) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with `out`: all confirmed spans of the whole text by start, then kind, as
     structs of start, place (of the kind in KINDS), end (code points, exclusive), kind,
-    match and score. Null and empty texts have none. Rows and other columns stay as
-    they are; a column named `out` is replaced."""
+    match and score (0 to 1, raised by context words). Null and empty texts have none.
+    Every row is returned once, rows that repeat an id too; other columns stay, a column
+    named `out` is replaced. An empty table gives an empty result."""
     names = [f"__pl_{k}_{x}" for k in KINDS for x in ("pieces", "found")]
     none = F.array().cast("array<string>")
     step = docs.withColumn("__pl_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
@@ -148,7 +157,8 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in brackets, overlapping ones by that of
-    the first; all rows and columns stay. A null text stays null."""
+    the first; all rows and columns stay, repeated ids and extra columns too. A null text
+    stays null, an empty one empty."""
     whole = F.col(f"`{text}`")
 
     def step(state, span):
@@ -171,7 +181,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.filter("pii", lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in kinds]
     base = F.filter("pii", lambda s: s["place"] < len(BASE))
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"))
 
 
 def _oracle() -> str:
@@ -184,20 +194,20 @@ def _oracle() -> str:
         "ip": f"regexp_full_match(m, '{_OCTET}\\.{_OCTET}\\.{_OCTET}\\.{_OCTET}')",
         "card": f"length({digits}) BETWEEN 12 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN CASE WHEN CAST({digits}[-i] AS INT) > 4 THEN 2 * CAST({digits}[-i] AS INT) - 9 ELSE 2 * CAST({digits}[-i] AS INT) END ELSE CAST({digits}[-i] AS INT) END FOR i IN range(1, length({digits}) + 1)]) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": f"list_reduce([CASE WHEN ascii({turned}[i]) >= 65 THEN ascii({turned}[i]) - 55 ELSE ascii({turned}[i]) - 48 END FOR i IN range(1, length({turned}) + 1)], lambda a, x: (a * (CASE WHEN x >= 10 THEN 100 ELSE 10 END) + x) % 97) = 1",
-        "ssn": f"NOT regexp_matches(right(p, 1), '[0-9-]') AND NOT regexp_matches(left(q, 1), '[0-9-]') AND NOT regexp_matches(m, '^(?:000|666|9)') AND NOT regexp_matches(m, '-00-|-0000$') AND regexp_matches(lower(right(p, {NEAR}) || ' ' || left(q, {NEAR})), '{CONTEXT['ssn']}')",
+        "iban": f"NOT regexp_matches(right(p, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(q, 1), '[A-Za-z0-9]') AND list_reduce([CASE WHEN ascii({turned}[i]) >= 65 THEN ascii({turned}[i]) - 55 ELSE ascii({turned}[i]) - 48 END FOR i IN range(1, length({turned}) + 1)], lambda a, x: (a * (CASE WHEN x >= 10 THEN 100 ELSE 10 END) + x) % 97) = 1",
+        "ssn": f"NOT regexp_matches(right(p, 1), '[0-9-]') AND NOT regexp_matches(left(q, 1), '[0-9-]') AND NOT regexp_matches(m, '^(?:000|666|9)') AND NOT regexp_matches(m, '-00-|-0000$') AND regexp_matches(lower(right(p, {NEAR}) || ' ' || left(q, {NEAR})), '{WHOLE['ssn']}')",
     }
     parts = []
     for place, (kind, pattern) in enumerate(both.items()):
         pattern = pattern.replace(r"\x20", " ")
-        parts.append(f"""SELECT r, '{kind}' AS kind, {place} AS place, p, q, m, e - length(m) AS s, e, {keep[kind]} AS ok FROM (
+        parts.append(f"""SELECT r, '{kind}' AS kind, {place} AS place, p, q, m, e - length(m) AS s, e, {keep[kind]} AS ok, CAST(least(100, {100 * PRIOR[kind]:.0f} + CASE WHEN regexp_matches(lower(right(p, {NEAR}) || ' ' || left(q, {NEAR})), '{WHOLE[kind]}') THEN {100 * CONTEXT_BONUS:.0f} ELSE 0 END) AS INT) AS score FROM (
   SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
     SELECT r, i, pieces[i] AS p, pieces[i + 1] AS q, found[i] AS m FROM (
       SELECT r, pieces, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT r, regexp_split_to_array(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found FROM d WHERE regexp_matches(t, '{pattern}')))))""")
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 a AS ({" UNION ALL ".join(parts)}),
-g AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM (SELECT r, kind, place, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM a WHERE ok) GROUP BY r)
-SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r"""
+g AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, place) AS scores FROM (SELECT r, kind, place, score, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM a WHERE ok) GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g ON d.r = g.r"""
 
 
 ORACLE_SQL = _oracle()
