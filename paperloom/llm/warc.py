@@ -6,22 +6,29 @@ field whose value is drawn anew for each run; that pair parts the records when t
 are read in parallel, whatever the payloads hold. Equal payloads are stored once:
 the record of the largest page_id is the response, all others are revisits of it.
 
-The index lists the captures by URL key and time. Captures come in locally sorted
-runs; each task holds one range of keys and merges its runs with a loser tree.
+The index lists the captures by URL key and time. Each task sorts its captures into a
+run and cuts it into small blocks, at the bounds of the key ranges too. Blocks go to the
+task of their range in the order of their first keys, so that a merge reads each run block
+by block, only when it is needed: a loser tree merges what the runs hold below the first
+key that was not read yet. A task holds about a block of each run, whatever the range.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, shared_dir, shuffle_partitions, table, with_row
+from .common import ROW, shared_dir, shuffle_partitions, staged, table, with_row
 
 RECORDS_PER_FILE = 20_000
+BLOCK = 64  # captures that travel together
+PENDING = 8_192  # captures that are read before a part of them is merged
+BOUND_ROWS = 64  # sampled keys for each range of the index: they only balance the work
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _B32HEX, _B32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,20 +60,21 @@ def write_archives(pages: DataFrame, path: str, run: str) -> None:
     rows = with_row(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")))
     payload = F.col("html").cast("binary")
     rows = rows.withColumns({"size": F.octet_length("html"), "key": F.sha2(payload, 256), "sha1": base32_sha1(payload)})
-    holders = rows.groupBy("key", "size").agg(F.max(F.struct("page_id", ROW)).alias("holder"))
+    each = rows.groupBy("key", "size", "page_id").agg(F.max(ROW).alias("last"), F.count("*").alias("n"))
+    holders = each.groupBy("key", "size").agg(F.max(F.struct("page_id", "last", "n")).alias("holder"))
     rows = rows.join(holders, ["key", "size"])
-    own = F.col(ROW) == F.col(f"holder.{ROW}")
-    name = lambda page, row: F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("")), F.lit("-"), row.cast("string"), F.lit(">"))
+    own = F.col("page_id").eqNullSafe(F.col("holder.page_id")) & ((F.col("holder.n") == 1) | (F.col(ROW) == F.col("holder.last")))
+    name = lambda page, *more: F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("")), F.lit("-"), F.col("sha1"), *more, F.lit(">"))
     taken = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) % 1_000_000_000 + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.concat(F.lit(HTTP), _field("Content-Length", F.col("size").cast("string")), F.lit("\r\n"), F.when(own, F.col("html")).otherwise(""))
     head = F.concat(
         F.lit(f"WARC/1.1\r\nWARC-Filename: {run}.warc\r\n"),
         _field("WARC-Type", F.when(own, "response").otherwise("revisit")),
-        _field("WARC-Record-ID", name(F.col("page_id"), F.col(ROW))),
+        _field("WARC-Record-ID", F.when(own, name(F.col("page_id"))).otherwise(name(F.col("page_id"), F.lit("-"), F.col(ROW).cast("string")))),
         _field("WARC-Target-URI", F.coalesce("url", F.lit(""))),
         _field("WARC-Date", taken),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
-        F.when(own, "").otherwise(F.concat(_field("WARC-Refers-To", name(F.col("holder.page_id"), F.col(f"holder.{ROW}"))), _field("WARC-Profile", F.lit(PROFILE)))),
+        F.when(own, "").otherwise(F.concat(_field("WARC-Refers-To", name(F.col("holder.page_id"))), _field("WARC-Profile", F.lit(PROFILE)))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _field("Content-Length", F.octet_length("__pl_block").cast("string")),
         F.lit("\r\n"),
@@ -142,48 +150,114 @@ class LoserTree:
 SORTED_BY = ["url_key", "taken", "page_id"]
 
 
+LOW = -(1 << 63)  # stands for a null page: it comes first
+
+
+def _keys(part) -> list[tuple]:
+    url, taken, page = (part.column(c).to_pylist() for c in SORTED_BY)
+    return [(u.encode(), t, LOW if p is None else p) for u, t, p in zip(url, taken, page, strict=True)]
+
+
+def _blocks(bounds: list[tuple]):
+    """Of a sorted run: its blocks, with the range and the first key of each."""
+
+    def run(batches):
+        run_id, out = TaskContext.get().partitionId(), []
+        for batch in batches:
+            keys = _keys(batch)
+            cuts = sorted({*range(0, batch.num_rows, BLOCK), *(bisect_left(keys, b) for b in bounds)} - {batch.num_rows})
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as writer:
+                    writer.write_batch(batch.slice(a, b - a))
+                out.append((bisect_right(bounds, keys[a]), run_id, *(batch.column(c)[a].as_py() for c in SORTED_BY), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["range", "run", *SORTED_BY, "block"])
+            out = []
+
+    return run
+
+
+class _Runs:
+    """What a merge has read and not yet given out: of each run its keys and rows in order."""
+
+    def __init__(self):
+        self.of: dict[int, list] = {}
+        self.size = self.most = 0
+
+    def add(self, run: int, part: pa.RecordBatch) -> None:
+        self.of.setdefault(run, []).append((_keys(part), part))
+        self.size += part.num_rows
+        self.most = max(self.most, self.size)
+
+    def below(self, key: tuple | None):
+        """Gives out, merged, all rows below a key (all, if None)."""
+        keys, parts, order = [], [], []
+        for run, blocks in list(self.of.items()):
+            own, rest = [], []
+            for block_keys, part in blocks:
+                cut = len(block_keys) if key is None else bisect_left(block_keys, key)
+                if cut:
+                    own += block_keys[:cut]
+                    parts.append(part.slice(0, cut))
+                if cut < len(block_keys):
+                    rest.append((block_keys[cut:], part.slice(cut)))
+            if own:
+                keys.append(own)
+            if rest:
+                self.of[run] = rest
+            else:
+                del self.of[run]
+        if not keys:
+            return
+        places, base = [], 0
+        for own in keys:
+            places.append(base)
+            base += len(own)
+        for run, _ in LoserTree(keys):
+            order.append(places[run])
+            places[run] += 1
+        self.size -= base
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        yield from whole.take(pa.array(order)).to_batches()
+
+
 def _merged(batches):
-    """Each incoming batch, sorted, is a run; the task's runs are merged with a loser tree."""
-    runs, schema = [], None
+    """Blocks of one range, by their first keys: all rows in order."""
+    runs = _Runs()
     for batch in batches:
-        if batch.num_rows:
-            schema = batch.schema
-            runs.append(batch.take(pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in SORTED_BY], null_placement="at_start")))
-    if not runs:
-        return
-    low = -(1 << 63)
-
-    def keys(run):
-        url, taken, page = (run.column(run.schema.get_field_index(c)) for c in SORTED_BY)
-        for at in range(run.num_rows):
-            p = page[at].as_py()
-            yield url[at].as_py().encode(), taken[at].as_py(), low if p is None else p
-
-    bases, total = [], 0
-    for run in runs:
-        bases.append(total)
-        total += run.num_rows
-    whole, places, order = pa.Table.from_batches(runs, schema).combine_chunks(), [0] * len(runs), []
-    for run, _ in LoserTree([keys(r) for r in runs]):
-        order.append(bases[run] + places[run])
-        places[run] += 1
-        if len(order) >= 10_000:
-            yield from whole.take(pa.array(order)).to_batches()
-            order = []
-    if order:
-        yield from whole.take(pa.array(order)).to_batches()
+        firsts = _keys(batch)
+        for i, run in enumerate(batch.column(batch.schema.get_field_index("run")).to_pylist()):
+            if runs.size >= PENDING:
+                yield from runs.below(firsts[i])
+            with pa.ipc.open_stream(batch.column(batch.schema.get_field_index("block"))[i].as_py()) as reader:
+                for part in reader:
+                    runs.add(run, part)
+    yield from runs.below(None)
 
 
 def capture_index(found: DataFrame) -> DataFrame:
     """The rows of captures() in one global order by URL key, time and page: partition by
-    partition, and within each. Equal URLs are split by time, so a hot URL is not one task."""
-    runs = found.sortWithinPartitions(*SORTED_BY)
-    return runs.repartitionByRange(shuffle_partitions(found.sparkSession), *SORTED_BY).mapInArrow(_merged, found.schema)
+    partition, and within each. Equal URLs are split by time and page, so a hot URL is not
+    one task. Equal keys keep the order of their runs."""
+    spark, tasks = found.sparkSession, shuffle_partitions(found.sparkSession)
+    runs = staged(found.sortWithinPartitions(*SORTED_BY), "captures")
+    sample = runs.select(*SORTED_BY).orderBy(F.xxhash64(*SORTED_BY)).limit(BOUND_ROWS * tasks).orderBy(*SORTED_BY).toArrow()  # bounded
+    keys = _keys(sample)
+    bounds = sorted({keys[len(keys) * i // tasks] for i in range(1, tasks)}) if keys else []
+    # files may be read in other pieces than they were written in: each piece is sorted again, which costs one look if it is in order
+    cut = runs.sortWithinPartitions(*SORTED_BY).mapInArrow(_blocks(bounds), "range int, run int, url_key string, taken string, page_id bigint, block binary")
+    dealt = cut.repartitionById(len(bounds) + 1, "range").sortWithinPartitions(*SORTED_BY, "run")
+    return dealt.mapInArrow(_merged, found.schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes pages to archives in the shared folder, reads them back and returns the
-    merged index. Empty tables give an empty index."""
+    """Writes pages (page_id, url, html) to archives in the shared folder, reads them back
+    and returns the merged index: a row for each page.
+
+    A null html is an empty payload, a null url an empty URI, a null page_id the smallest.
+    Of equal payloads, empty ones too, the largest page_id is the response; if that id
+    repeats with the payload, one of its rows is. Payloads of any length are stored whole.
+    Extra columns are ignored, whatever their names. Empty tables give an empty index."""
     spark, run = pages.sparkSession, uuid.uuid4().hex
     path = f"{shared_dir(spark)}/paperloom/warc-{run}"
     write_archives(pages, path, run)

@@ -342,13 +342,16 @@ def test_contamination(spark):
         texts.append("before " + item.upper().replace(" ", ", ") + " after")
         texts.append(" ".join(w[: len(w) // 2]) + " cut " + " ".join(w[len(w) // 2 :]))
     docs = docs_of(spark, texts).withColumnRenamed("lang", "row")
-    bench = spark.createDataFrame([*enumerate(items), (2, items[2])], "item_id bigint, text string")
+    unnamed = "an item without any id that is longer than one whole window"
+    texts.append("so " + unnamed + " ends")
+    docs = docs_of(spark, texts).withColumnRenamed("lang", "row")
+    bench = spark.createDataFrame([*enumerate(items), (2, items[2]), (None, unnamed)], "item_id bigint, text string")
     rows = contamination.contamination(docs.union(docs.filter("doc_id = 20")), bench).collect()
     assert len(rows) == len(texts) + 1
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     for r in rows:
         w, hit, found = split(texts[r.doc_id]), set(), set()
-        for i, item in enumerate(items):
+        for i, item in enumerate([*items, unnamed]):
             v = split(item)
             m = min(len(v), 10)
             if m:
@@ -356,13 +359,17 @@ def test_contamination(spark):
                 for k in range(len(w) - m + 1):
                     if tuple(w[k : k + m]) in windows:
                         hit |= set(range(k, k + m))
-                        found.add(str(i))
+                        found |= {str(i)} if i < len(items) else set()
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), sha, bool(hit))
     assert contamination.contamination(docs_of(spark, []), bench).count() == 0
     assert contamination.contamination(docs_of(spark, texts), bench.limit(0)).filter("contaminated").count() == 0
     bad = {r.doc_id for r in rows if r.contaminated}
-    assert {r.doc_id for r in contamination.without_contaminated(docs, bench).collect()} == set(range(len(texts))) - bad
+    kept = contamination.without_contaminated(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - bad and kept.columns == docs.columns
+    some = min(bad)
+    shared = spark.createDataFrame([(None, "clean words", "", "", 1), (None, texts[some], "", "", 1), (some, "clean words", "", "", 1), (some, None, "", "", 1)], docs.schema)
+    assert sorted((r.doc_id or -1, r.text or "") for r in contamination.without_contaminated(shared, bench).collect()) == [(-1, "clean words"), (some, ""), (some, "clean words")]
 
 
 def luhn_ok(d):
@@ -373,8 +380,12 @@ def test_pii(spark):
     rnd = random.Random(9)
     signs = list("abc.@%+-_ 0123456789()\n") + ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+49 (30) 123456-78", "256.1.1.1", "é🙂", "1.1.1.1.1", "@c.d%e@f.gh"]
     texts = [*AWKWARD, *["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(300)], "9" * 20000, "a." * 8000, "x@" + "a." * 8000 + "b", "1 " * 9000]
+    ibans = ["DE89370400440532013000 BIC X", "NO93 8601 1117 947 AND MORE", "xDE89370400440532013000", "DE89370400440532013000A"]
     texts += ["bank DE89370400440532013000", "bank DE88370400440532013000", "SSN 123-45-6789", "part 123-45-6789", "ssn 1123-45-6789"]
-    rows = {r.doc_id: r for r in pii.find_pii(docs_of(spark, texts).withColumnRenamed("lang", "pii2")).collect()}
+    rows = {r.doc_id: r for r in pii.find_pii(docs_of(spark, texts).withColumnRenamed("lang", "pii")).collect()}
+    assert [[s.match for s in r.pii] for r in pii.find_pii(docs_of(spark, ibans)).orderBy("doc_id").collect()] == [[ibans[0][:22]], [ibans[1][:18]], [], []]
+    scores = pii.find_pii(docs_of(spark, ["mail a@b.co", "a@b.co", "recipe 1.2.3.4", "ip 1.2.3.4", "hosts: 1.2.3.4"])).orderBy("doc_id").collect()
+    assert [round(r.pii[0].score, 2) for r in scores] == [1.0, 0.9, 0.6, 0.8, 0.8]
     checks = {
         "email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
         "card": lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn_ok(re.sub("[^0-9]", "", m)), "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
@@ -395,7 +406,7 @@ def test_pii(spark):
 def test_warc(spark):
     html = ["<p>é</p>", "<p>é</p>", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n", "x" * 50000, "<p>é</p>", "\n\n", "a\r\n"]
     pages = spark.createDataFrame([(i, f"https://WWW.Example.com:80/{i % 3}?b\r\nc" if i else None, h) for i, h in enumerate(html)] + [(6, "http://b.c/", "<p>é</p>"), (None, "u", "n")], "page_id bigint, url string, html string")
-    rows = warc.archived(pages).collect()
+    rows = warc.archived(pages.selectExpr("*", "1 AS size", "'x' AS key", "'y' AS head")).collect()
     assert len(rows) == len(html) + 2
     text = lambda h: (h or "").encode()
     for r in rows:
@@ -410,6 +421,46 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_repeated_page_with_equal_payload_has_one_response(spark):
+    pages = spark.createDataFrame([(7, "http://a/", "same")] * 3 + [(2, "http://b/", "same"), (7, "http://a/", "other")], "page_id bigint, url string, html string")
+    kinds = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages).collect())
+    assert kinds == {(7, 4, "response", None): 1, (7, 4, "revisit", 7): 2, (2, 4, "revisit", 7): 1, (7, 5, "response", None): 1}
+
+
+def captured(rows):
+    return pa.RecordBatch.from_pylist([{"url_key": u, "taken": t, "page_id": p} for u, t, p in rows], schema=pa.schema([("url_key", pa.string()), ("taken", pa.string()), ("page_id", pa.int64())]))
+
+
+def test_merge_holds_about_a_block_of_each_run(monkeypatch):
+    monkeypatch.setattr(warc, "PENDING", 100)
+    monkeypatch.setattr(warc, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: len(sizes)})())}))
+    rnd, sizes, blocks, every = random.Random(20), [], [], []
+    for _ in range(30):
+        rows = sorted((f"u{rnd.randrange(50):02}", f"t{rnd.randrange(9)}", rnd.randrange(10_000)) for _ in range(2000))
+        every += rows
+        [out] = warc._blocks([])(iter([captured(rows)]))
+        blocks += out.to_pylist()
+        sizes.append(len(rows))
+    blocks.sort(key=lambda b: (b["url_key"], b["taken"], b["page_id"], b["run"]))
+    held = []
+    monkeypatch.setattr(warc._Runs, "__init__", lambda self: (setattr(self, "of", {}), setattr(self, "size", 0), setattr(self, "most", 0), held.append(self))[0])
+    names = ["range", "run", "url_key", "taken", "page_id", "block"]
+    batches = (pa.RecordBatch.from_pylist(blocks[i : i + 50], schema=pa.schema([("range", pa.int32()), ("run", pa.int32()), ("url_key", pa.string()), ("taken", pa.string()), ("page_id", pa.int64()), ("block", pa.binary())])) for i in range(0, len(blocks), 50))
+    got = [tuple(r[n] for n in names[2:5]) for b in warc._merged(batches) for r in b.to_pylist()]
+    assert got == sorted(every)
+    assert held[0].most <= 31 * warc.BLOCK + 100 < len(every) / 20
+
+
+def test_capture_index_is_in_one_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    monkeypatch.setattr(warc, "PENDING", 10)
+    rnd = random.Random(21)
+    rows = [(f"u{min(rnd.randrange(9), 4)}", f"t{rnd.randrange(5)}", rnd.choice([None, *range(40)]), "response", None, 1, "d") for _ in range(900)]
+    frame = spark.createDataFrame(rows, "url_key string, taken string, page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string").repartition(7)
+    got = [(r.url_key, r.taken, -1 if r.page_id is None else r.page_id) for r in warc.capture_index(frame).collect()]
+    assert got == sorted((u, t, -1 if p is None else p) for u, t, p, *_ in rows)
+
+
 def test_loser_tree():
     rnd = random.Random(10)
     for k in range(9):
