@@ -98,61 +98,67 @@ def blocks(docs: list[np.ndarray]):
 
 
 def _steps(docs: list[np.ndarray]):
-    """Of documents sorted longest first: per step, how many still run; all classes by step."""
+    """Of documents sorted longest first: per step, how many still run; where each step
+    starts among all; the classes of all documents, step by step."""
     lengths = np.array([len(d) for d in docs])
-    flat, starts = np.concatenate(docs).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])
     live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    return live, flat, starts
+    offsets = np.concatenate([[0], np.cumsum(live)])
+    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    seen = np.empty(offsets[-1], np.int64)
+    seen[offsets[step] + np.repeat(np.arange(len(docs)), lengths)] = np.concatenate(docs)
+    return live.tolist(), offsets.tolist(), seen
 
 
 def log_likelihood(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each class sequence, by the scaled forward recursion; exact
     for whole documents of any length."""
-    out = np.zeros(len(docs))
+    out, move, ones = np.zeros(len(docs)), model.move, np.ones((STATES, 1))
     for block in blocks(docs):
-        live, flat, starts = _steps([docs[i] for i in block])
-        total, alpha = np.zeros(len(block)), None
+        live, offsets, seen = _steps([docs[i] for i in block])
+        emitted, scales = model.emit[seen], np.empty((len(seen), 1))
+        alpha = model.start
         for t, n in enumerate(live):
-            e = model.emit[flat[starts[:n] + t]]
-            alpha = (model.start if t == 0 else alpha[:n] @ model.move) * e
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
-        out[block] = total
+            at = slice(offsets[t], offsets[t + 1])
+            alpha = (alpha[:n] @ move if t else alpha) * emitted[at]
+            scale = scales[at] = alpha @ ones
+            alpha /= scale
+        logs, which = np.log10(scales[:, 0]), np.arange(len(seen)) - np.repeat(offsets[:-1], live)
+        out[block] = np.bincount(which, logs, len(block))
     return out
 
 
 def expected_counts(model: Model, docs: list[np.ndarray]):
     """Baum-Welch counts of whole documents: start, move, emit."""
     k, c = STATES, len(model.emit)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(c * k)
+    ones, turned = np.ones((k, 1)), model.move.T.copy()
     for block in blocks(docs):
-        live, flat, starts = _steps([docs[i] for i in block])
-        offsets = np.concatenate([[0], np.cumsum(live)])
-        seen, alphas, scales = np.empty(offsets[-1], np.int64), np.empty((offsets[-1], k)), np.empty(offsets[-1])
-        alpha = None
+        live, offsets, seen = _steps([docs[i] for i in block])
+        weighted, scales, alphas = model.emit[seen], np.empty((len(seen), 1)), np.empty((len(seen), k))
+        alpha = model.start
         for t, n in enumerate(live):
             at = slice(offsets[t], offsets[t + 1])
-            seen[at] = obs = flat[starts[:n] + t]
-            alpha = (model.start if t == 0 else alpha[:n] @ model.move) * model.emit[obs]
-            scales[at] = scale = alpha.sum(1)
-            alpha /= scale[:, None]
+            alpha = (alpha[:n] @ model.move if t else alpha) * weighted[at]
+            scale = scales[at] = alpha @ ones
+            alpha /= scale
             alphas[at] = alpha
-        weighted = model.emit[seen] / scales[:, None]
-        back, turned = np.ones((0, k)), model.move.T.copy()
+        weighted /= scales
+        back, beta, m = None, None, 0
         for t in range(len(live) - 1, -1, -1):
             n, at = live[t], slice(offsets[t], offsets[t + 1])
-            beta = np.ones((n, k))
-            if len(back):
-                m = len(back)
-                move += alphas[offsets[t] : offsets[t] + m].T @ back
-                beta[:m] = back @ turned
-            back = weighted[at] * beta
-            alphas[at] *= beta
+            if m:
+                move += alphas[at][:m].T @ back
+                beta = back @ turned
+                if n > m:
+                    beta = np.concatenate([beta, np.ones((n - m, k))])
+                back = weighted[at] * beta
+                alphas[at] *= beta
+            else:
+                back = weighted[at]
+            m = n
         start += alphas[: live[0]].sum(0)
-        for j in range(k):
-            emit[:, j] += np.bincount(seen, alphas[:, j], c)
-    return start, move * model.move, emit
+        emit += np.bincount((seen[:, None] * k + np.arange(k)).ravel(), alphas.ravel(), c * k)
+    return start, move * model.move, emit.reshape(c, k)
 
 
 def _word_counts(batches):
