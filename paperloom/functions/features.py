@@ -1,32 +1,42 @@
-"""Counts of Markdown constructs as column expressions; a fold over lines finds fences.
+"""Counts of Markdown constructs as column expressions; a fold over fence lines finds fences.
 
-Patterns use (?U) where the rules mean Unicode white space and digits."""
+Patterns are used with (?U) where the rules mean Unicode white space and digits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.kernel import patterns as P
+
 from .text import CONTROL_CLASS, RTL_CLASS, lines_of
 
-_STATE = "struct<mark:string,opened:int,lines:array<string>>"
+_GAPS = "struct<mark:string,opened:int,start:int,gaps:array<struct<at:int,n:int>>>"
 _BLANK = r"(?U)^\s*$"
 
 
 def _outside(lines: Column) -> Column:
-    """Folds the lines: what lies outside fences (others as empty lines), how many fences
-    opened, and the mark of one that stays open."""
+    """What lies outside fences (each of them becomes an empty line), how many fences
+    opened, and the mark of one that stays open. Only fence lines are folded over; the
+    stretches between them are cut out of the array as they are."""
+    marks = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(F.regexp_replace(x, r"(?U)^\s+", ""), P.FENCE, 1).alias("mark")))
 
     def step(state, line):
-        mark = F.regexp_extract(F.regexp_replace(line, r"(?U)^\s+", ""), "^(`{3,}|~{3,})", 1)
-        found, inside = mark != "", state["mark"] != ""
+        mark, inside = line["mark"], state["mark"] != ""
         closes = inside & (F.left(mark, F.lit(1)) == F.left(state["mark"], F.lit(1))) & (F.length(mark) >= F.length(state["mark"]))
-        now = F.when(found & ~inside, mark).when(found & closes, "").otherwise(state["mark"])
-        kept = F.when(found | inside, F.lit("")).otherwise(line)
-        return F.struct(now.alias("mark"), (state["opened"] + (found & ~inside).cast("int")).alias("opened"), F.concat(state["lines"], F.array(kept)).alias("lines"))
+        gap = F.array(F.struct(state["start"].alias("at"), (line["i"] - state["start"]).alias("n")))
+        return F.struct(
+            F.when(~inside, mark).when(closes, "").otherwise(state["mark"]).alias("mark"), (state["opened"] + (~inside).cast("int")).alias("opened"),
+            F.when(closes, line["i"] + 1).otherwise(state["start"]).alias("start"), F.when(inside, state["gaps"]).otherwise(F.concat(state["gaps"], gap)).alias("gaps"),
+        ).cast(_GAPS)
+
+    def finish(state):
+        last = F.when(state["mark"] == "", F.slice(lines, state["start"] + 1, F.greatest(F.size(lines) - state["start"], F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        parts = F.transform(state["gaps"], lambda g: F.concat(F.slice(lines, g["at"] + 1, g["n"]), F.array(F.lit(""))))
+        return F.struct(state["mark"].alias("mark"), state["opened"].alias("opened"), F.concat(F.flatten(parts), last).alias("lines"))
 
-    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("opened"), F.array().cast("array<string>").alias("lines")).cast(_STATE)
-    return F.aggregate(lines, start, lambda s, x: step(s, x).cast(_STATE))
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("opened"), F.lit(0).alias("start"), F.array().cast("array<struct<at:int,n:int>>").alias("gaps")).cast(_GAPS)
+    return F.aggregate(F.filter(marks, lambda m: m["mark"] != ""), start, step, finish)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -43,37 +53,37 @@ def with_features(docs: DataFrame, text: str = "text", source: Column | None = N
     s = F.coalesce(F.col(text), F.lit(""))
     wide = F.lower(F.trim(source if source is not None else F.lit("llm"))) != "commonmark"
     step = docs.withColumn("__s", s).withColumn("__lines", lines_of(F.col("__s"))).withColumn("__fold", _outside(F.col("__lines")))
-    step = step.withColumn("__logical", F.transform("__fold.lines", lambda x: F.regexp_replace(x, r"(?U)^\s*(?:>\s*)+", "")))
-    step = step.withColumn("__text", F.array_join("__logical", "\n")).withColumn("__shown", F.regexp_replace("__text", r"(?<!`)`(?!`)[^`\n]*`", ""))
+    step = step.withColumn("__logical", F.transform("__fold.lines", lambda x: F.regexp_replace(x, "(?U)" + P.QUOTE, "")))
+    step = step.withColumn("__text", F.array_join("__logical", "\n")).withColumn("__shown", F.regexp_replace("__text", P.CODE_SPAN, ""))
     zero = F.lit(0).cast("bigint")
     if_wide = lambda c: F.when(wide, c).otherwise(zero)
     pairs = F.arrays_zip(F.slice("__logical", F.lit(1), F.greatest(F.size("__logical") - 1, F.lit(0))).alias("a"), F.slice("__logical", F.lit(2), F.greatest(F.size("__logical") - 1, F.lit(0))).alias("b"))
-    level = lambda p: F.when(p["a"].rlike(_BLANK), 0).when(p["b"].rlike(r"(?U)^\s*=+\s*$"), 1).when(p["b"].rlike(r"(?U)^\s*-{3,}\s*$"), 2).otherwise(0)
+    level = lambda p: F.when(p["a"].rlike(_BLANK), 0).when(p["b"].rlike("(?U)" + P.SETEXT[1]), 1).when(p["b"].rlike("(?U)" + P.SETEXT[2]), 2).otherwise(0)
     step = step.withColumn("__setext", F.transform(pairs, level))
-    levels = F.concat(F.transform(F.regexp_extract_all("__text", F.lit(r"(?mU)^\s{0,3}(#{1,6})\s+\S"), F.lit(1)), F.length), F.filter("__setext", lambda x: x > 0))
-    rule = lambda x: x.rlike(r"(?U)^\s{0,3}(?:\*\s*){3,}$|^\s{0,3}(?:-\s*){3,}$|^\s{0,3}(?:_\s*){3,}$")
+    levels = F.concat(F.transform(F.regexp_extract_all("__text", F.lit("(?mU)" + P.HEADING), F.lit(1)), F.length), F.filter("__setext", lambda x: x > 0))
+    rule = lambda x: x.rlike("(?U)" + P.THEMATIC_BREAK)
     rules = F.size(F.filter(F.transform("__logical", lambda x, i: rule(x) & ((i == 0) | (F.coalesce(F.get("__setext", i - 1), F.lit(0)) == 0))), lambda b: b))
-    bare = F.size(F.filter("__fold.lines", lambda x: x.rlike(r"(?U)^\s*\$\$\s*$"))).cast("bigint")
-    step = step.withColumn("__bare", bare).withColumn("__linemath", _count(F.col("__shown"), r"(?<!\\)\$\$(?!\s*$).+?(?<!\\)\$\$")).withColumn("__levels", levels)
+    bare = F.size(F.filter("__fold.lines", lambda x: x.rlike("(?U)" + P.BARE_MATH))).cast("bigint")
+    step = step.withColumn("__bare", bare).withColumn("__linemath", _count(F.col("__shown"), P.LINE_MATH)).withColumn("__levels", levels)
     half = F.floor(F.col("__bare") / 2).cast("bigint")
-    inline = _count(F.col("__shown"), r"(?U)(?<![\\$])\$(?![\s$\d])(.+?)(?<![\s\\])\$(?!\$)")
+    inline = _count(F.col("__shown"), "(?U)" + P.INLINE_MATH)
     shown = F.col("__shown")
     found = {
         "bytes": F.octet_length("__s").cast("bigint"),
         "lines": F.size("__lines").cast("bigint"),
         "headings": F.size("__levels").cast("bigint"),
         "heading_levels": F.col("__levels"),
-        "tables": if_wide(_count(F.col("__text"), r"(?mU)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$")),
-        "list_items": _count(F.col("__text"), r"(?mU)^\s*(?:[-+*]|\d+[.)])\s+\S"),
+        "tables": if_wide(_count(F.col("__text"), "(?mU)" + P.TABLE_RULE)),
+        "list_items": _count(F.col("__text"), "(?mU)" + P.LIST_ITEM),
         "fenced_code_blocks": F.col("__fold.opened").cast("bigint"),
         "math_expressions": if_wide(half + F.col("__linemath") + inline),
         "block_math": if_wide(half + F.col("__linemath")),
-        "links": _count(shown, r"(?<!!)\[[^\]\n]+\]\([^) \n]+(?:\s+\"[^\"]*\")?\)"),
-        "blockquotes": F.size(F.filter("__fold.lines", lambda x: x.rlike(r"(?U)^\s*>"))).cast("bigint"),
+        "links": _count(shown, P.LINK),
+        "blockquotes": F.size(F.filter("__fold.lines", lambda x: x.rlike("(?U)" + P.QUOTED))).cast("bigint"),
         "thematic_breaks": rules.cast("bigint"),
         "bold": _pairs(shown, "**") + F.when(wide, zero).otherwise(_pairs(shown, "__")),
         "strikethrough": if_wide(_pairs(shown, "~~")),
-        "inline_code": _count(F.col("__text"), r"(?<!`)`(?!`)[^`\n]+`"),
+        "inline_code": _count(F.col("__text"), P.CODE),
         "contains_rtl": F.col("__s").rlike(RTL_CLASS),
         "contains_ltr": F.col("__s").rlike("[A-Za-z]"),
         "contains_em_dash": F.col("__s").contains("—"),

@@ -35,7 +35,7 @@ def folded(text: Column) -> Column:
 
 def unix_lines(text: Column) -> Column:
     """Line ends become \\n and lines lose trailing white space."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)(?<![ \t])[ \t]+$", "")
 
 
 def lines_of(text: Column) -> Column:
@@ -47,8 +47,9 @@ def lines_of(text: Column) -> Column:
 def fence_flags(lines: Column) -> Column:
     """For each line: whether it is inside a fence by simple parity (any fence-looking line
     toggles), as the arrow rule needs it."""
-    mark = lambda x: F.ltrim(x).rlike("^(```|~~~)")
-    return F.transform(lines, lambda x, i: F.size(F.filter(F.slice(lines, F.lit(1), i + 1), mark)) % 2 == 1)
+    places = F.filter(F.transform(lines, lambda x, i: F.when(F.ltrim(x).rlike("^(```|~~~)"), i)), lambda i: i.isNotNull())
+    starts, ends = F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(F.size(lines)))
+    return F.flatten(F.transform(starts, lambda start, k: F.array_repeat(k % 2 == 1, F.get(ends, k) - start)))
 
 
 def contains_rtl(text: Column) -> Column:
@@ -80,7 +81,7 @@ def strong_direction(sign: Column) -> Column:
 def clean_markdown(text: Column) -> Column:
     """The six rewrites after a capture. Leading spaces of every line go, as captured pages
     need it."""
-    for pattern, by in (("\r", ""), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("\n{3,}", "\n\n"), (r"(?m)^[ \t]+|[ \t]+$", "")):
+    for pattern, by in (("\r", ""), ("(?<![ \t])[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("\n{3,}", "\n\n"), (r"(?m)^[ \t]+|(?<![ \t])[ \t]+$", "")):
         text = F.regexp_replace(text, pattern, by)
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from . import values
 
+_RTL = re.compile(f"[{values.RTL[0]}-{values.RTL[1]}]")
+
 #: Categories that hold the letters, numerals and marks that count as alphabetic.
 _ALPHABETIC = {"Lu", "Ll", "Lt", "Lm", "Lo", "Nl"}
 
@@ -15,7 +18,7 @@ def is_rtl(c: str) -> bool:
 
 
 def contains_rtl(text: str) -> bool:
-    return any(map(is_rtl, text))
+    return bool(_RTL.search(text))
 
 
 def is_alphabetic(c: str) -> bool:
@@ -30,8 +33,8 @@ def strong(c: str) -> bool | None:
 
 
 def dominant_rtl(text: str) -> bool:
-    rtl = sum(map(is_rtl, text))
-    return rtl > sum(1 for c in text if not is_rtl(c) and is_alphabetic(c))
+    rtl = sum(map(is_rtl, text)) if contains_rtl(text) else 0
+    return rtl > 0 and rtl > sum(1 for c in text if not is_rtl(c) and is_alphabetic(c))
 
 
 def last_strong(text: str) -> bool | None:
@@ -41,7 +44,7 @@ def last_strong(text: str) -> bool | None:
 def _first_opener(neutral: str) -> int | None:
     """The first opening mark that is not closed within the neutral stretch."""
     for i, c in enumerate(neutral):
-        if c in values.OPENERS and (c not in values.CLOSERS or values.CLOSERS[c] not in neutral[i + 1 :]):
+        if c in values.OPENERS and (c not in values.CLOSERS or neutral.find(values.CLOSERS[c], i + 1) < 0):
             return i
     return None
 

@@ -1,8 +1,10 @@
 """Inline Markdown: code spans, math, links, emphasis and its relatives.
 
-A text is read once from left to right. Marks that may open or close something go on a
-list of delimiters; brackets go on a list of their own. When a bracket closes, or the
-text ends, delimiters are paired from the closers backwards to their nearest opener.
+A text is read once from left to right into a chain of nodes. Marks that may open or close
+something go on a list of delimiters; brackets go on a list of their own. When a bracket
+closes, or the text ends, delimiters are paired from the closers backwards to their nearest
+opener. Where the search for an end could be made again and again (code, math, comments,
+brackets of notes), all ends are found in one pass, so that the work grows with the text.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 
 from .tree import Node
 
@@ -19,7 +22,15 @@ _URI = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\x00-\x20<>]*)>")
 _MAIL = re.compile(r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)>")
 _TAG = re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*|!--(?:>|->|.*?-->|-->)|\?.*?\?|![A-Za-z][^>]*|!\[CDATA\[.*?\]\])>", re.S)
 _COMMENT = re.compile(r"<!--(?:-?>|.*?-->)", re.S)
-_BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+_BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+")
+_BACK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]+))?\]\]")
+_NOTE = re.compile(r"\[\^([^\]\s]{1,999})\]")
+_HOST = re.compile(r"@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+_LOCAL = re.compile(r"[A-Za-z0-9._+-]*\Z")
+_TITLE = re.compile(r"[ \t\n]+(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))", re.S)
+_LABEL = re.compile(r"\[((?:\\.|[^\[\]\\]){0,999})\]", re.S)
+#: Depths and lengths beyond which marks are plain text.
+LONGEST_LABEL, DEEPEST_PARENTHESIS, DEEPEST_NOTE = 999, 32, 16
 _PLAIN = re.compile(r"[^\\`*_~=+|^$\[\]!<&\n:@whf.]+|[whf]")
 #: Marks with a length at which they mean something, and what.
 PAIRED = {("~", 2): "strike", ("~", 1): "subscript", ("^", 1): "superscript", ("=", 2): "highlight", ("+", 2): "insert", ("|", 2): "spoiler"}
@@ -47,18 +58,74 @@ def _east_asian(c: str) -> bool:
     return bool(c) and unicodedata.east_asian_width(c) in "WF"
 
 
+class _Item:
+    """A node in the chain of what was read, with its neighbours."""
+
+    __slots__ = ("after", "before", "marks", "node")
+
+    def __init__(self, node):
+        self.node, self.before, self.after, self.marks = node, None, None, False
+
+
 class _Delimiter:
-    __slots__ = ("can_close", "can_open", "char", "node", "size", "start")
+    __slots__ = ("can_close", "can_open", "char", "item", "number", "size", "start")
 
-    def __init__(self, node, char, size, can_open, can_close):
-        self.node, self.char, self.size, self.start, self.can_open, self.can_close = node, char, size, size, can_open, can_close
+    def __init__(self, item, char, size, can_open, can_close, number):
+        self.item, self.char, self.size, self.start, self.can_open, self.can_close, self.number = item, char, size, size, can_open, can_close, number
+
+
+class _Chain:
+    """Nodes in order; neighbours are known, so that stretches can be taken out of it."""
+
+    def __init__(self):
+        self.head = self.last = _Item(None)
+
+    def add(self, node: Node) -> _Item:
+        item = _Item(node)
+        item.before, self.last.after = self.last, item
+        self.last = item
+        return item
+
+    def drop(self, item: _Item) -> None:
+        item.before.after = item.after
+        if item.after is None:
+            self.last = item.before
+        else:
+            item.after.before = item.before
+
+    def between(self, left: _Item, right: _Item | None) -> list[Node]:
+        """Takes out and returns what stands between two items (to the end, if None)."""
+        out, item = [], left.after
+        while item is not right:
+            out.append(item.node)
+            item = item.after
+        left.after = right
+        if right is None:
+            self.last = left
+        else:
+            right.before = left
+        return out
+
+    def put(self, left: _Item, node: Node) -> None:
+        item = _Item(node)
+        item.before, item.after = left, left.after
+        if left.after is None:
+            self.last = item
+        else:
+            left.after.before = item
+        left.after = item
+
+    def nodes(self) -> list[Node]:
+        return self.between(self.head, None)
 
 
 class Inlines:
-    def __init__(self, text: str, references: dict, extended: bool, footnotes: set[str]):
-        self.text, self.references, self.extended, self.footnotes = text, references, extended, footnotes
-        self.at, self.out, self.delimiters, self.brackets, self.no_run = 0, [], [], [], set()
+    def __init__(self, text: str, references: dict, extended: bool, footnotes: set[str], depth: int = 0):
+        self.text, self.references, self.extended, self.footnotes, self.depth = text, references, extended, footnotes, depth
+        self.at, self.out, self.delimiters, self.brackets, self.count = 0, _Chain(), [], [], 0
+        self.dead = 0  # brackets below this place on their list stand around a link
         self.inline_notes: list[list[Node]] = []
+        self.found: dict = {}  # ends of constructs, by kind
 
     def parse(self) -> list[Node]:
         n = len(self.text)
@@ -67,10 +134,10 @@ class Inlines:
                 self._text(self.text[self.at])
                 self.at += 1
         self._pair(0)
-        return _joined(self.out)
+        return _joined(self.out.nodes())
 
-    def _text(self, value: str) -> None:
-        self.out.append(Node("text", value))
+    def _text(self, value: str) -> _Item:
+        return self.out.add(Node("text", value))
 
     def _step(self) -> bool:
         text, at = self.text, self.at
@@ -84,7 +151,7 @@ class Inlines:
         if c == "\\":
             after = text[at + 1 : at + 2]
             if after == "\n":
-                self.out.append(Node("line_break"))
+                self.out.add(Node("line_break"))
                 self.at = at + 2
                 self._skip_spaces()
             elif after and after in ESCAPABLE:
@@ -94,9 +161,7 @@ class Inlines:
                 return False
             return True
         if c == "\n":
-            hard = bool(self.out) and self.out[-1].kind == "text" and re.search(r" {2,}$", self._tail())
-            self._strip_tail()
-            self.out.append(Node("line_break" if hard else "soft_break"))
+            self.out.add(Node("line_break" if self._trimmed() else "soft_break"))
             self.at = at + 1
             self._skip_spaces()
             return True
@@ -126,28 +191,48 @@ class Inlines:
             return self._run(c)
         return False
 
-    def _tail(self) -> str:
-        i, parts = len(self.out) - 1, []
-        while i >= 0 and self.out[i].kind == "text":
-            parts.append(self.out[i].literal)
-            i -= 1
-        return "".join(reversed(parts))
-
-    def _strip_tail(self) -> None:
-        while self.out and self.out[-1].kind == "text":
-            self.out[-1].literal = self.out[-1].literal.rstrip(" ")
-            if self.out[-1].literal or any(d.node is self.out[-1] for d in self.delimiters):
+    def _last_text(self) -> _Item | None:
+        item = self.out.last
+        return item if item.node is not None and item.node.kind == "text" else None
+
+    def _trimmed(self) -> bool:
+        """Takes the spaces off the end of a line; whether there were two or more."""
+        spaces = 0
+        while item := self._last_text():
+            left = item.node.literal.rstrip(" ")
+            spaces += len(item.node.literal) - len(left)
+            item.node.literal = left
+            if left or item.marks:
                 break
-            self.out.pop()
+            self.out.drop(item)
+        return spaces >= 2
 
     def _skip_spaces(self) -> None:
         while self.text[self.at : self.at + 1] in (" ", "\t"):
             self.at += 1
 
+    def _next(self, kind, at: int, find) -> int:
+        """The first place from `at` on among those that find() lists, or -1."""
+        places = self.found.get(kind)
+        if places is None:
+            places = self.found[kind] = find()
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def _has(self, mark: str, at: int) -> bool:
+        """Whether a mark stands anywhere from `at` on."""
+        if mark not in self.found:
+            self.found[mark] = self.text.rfind(mark)
+        return self.found[mark] >= at
+
     def _code(self) -> bool:
         text, at = self.text, self.at
-        size = len(text) - at - len(text[at:].lstrip("`"))
-        end = self._ticks(at + size, size)
+        if "`" not in self.found:  # places of runs by their length
+            runs = self.found["`"] = {}
+            for m in re.finditer("`+", text):
+                runs.setdefault(len(m[0]), []).append(m.start())
+        size = len(re.compile("`+").match(text, at)[0])
+        end = self._next(("`", size), at + size, lambda: self.found["`"].get(size, []))
         if end < 0:
             self._text("`" * size)
             self.at = at + size
@@ -156,33 +241,28 @@ class Inlines:
         if len(value) > 2 and value[0] == value[-1] == " " and value.strip(" "):
             value = value[1:-1]
         self.at = end + size
-        before = self.out[-1] if self.out and self.out[-1].kind == "text" else None
-        if self.extended and before and before.literal.endswith("$") and text[self.at : self.at + 1] == "$" and text[at - 1 : at] == "$":
-            before.literal = before.literal[:-1]
+        before = self._last_text()
+        if self.extended and before and before.node.literal.endswith("$") and text[self.at : self.at + 1] == "$" and text[at - 1 : at] == "$":
+            before.node.literal = before.node.literal[:-1]
             self.at += 1
-            self.out.append(Node("math", value, display=False))
+            self.out.add(Node("math", value, display=False))
         else:
-            self.out.append(Node("code", value))
+            self.out.add(Node("code", value))
         return True
 
-    def _ticks(self, at: int, size: int) -> int:
-        """Where the next run of just `size` back-ticks starts; lengths without one are remembered."""
-        if size in self.no_run:
-            return -1
-        for m in re.compile("`+").finditer(self.text, at):
-            if len(m[0]) == size:
-                return m.start()
-        self.no_run.add(size)
-        return -1
-
     def _angle(self) -> bool:
         text, at = self.text, self.at
+        for mark, end in (("<!--", ">"), ("<![CDATA[", "]]>"), ("<?", "?>"), ("<", ">")):
+            if text.startswith(mark, at):
+                if not self._has(end, at) or mark == "<!--" and not self._has("-->", at) and not text.startswith(("<!-->", "<!--->"), at):
+                    return False
+                break
         if m := _URI.match(text, at):
-            self.out.append(Node("link", url=m[1], title="").add(Node("text", m[1])))
+            self.out.add(Node("link", url=m[1], title="").add(Node("text", m[1])))
         elif m := _MAIL.match(text, at):
-            self.out.append(Node("link", url="mailto:" + m[1], title="").add(Node("text", m[1])))
+            self.out.add(Node("link", url="mailto:" + m[1], title="").add(Node("text", m[1])))
         elif m := _COMMENT.match(text, at) or _TAG.match(text, at):
-            self.out.append(Node("html_inline", m[0]))
+            self.out.add(Node("html_inline", m[0]))
         else:
             return False
         self.at = m.end()
@@ -198,124 +278,129 @@ class Inlines:
         start = at + size
         if size == 1 and (_space(text[start : start + 1])):
             return False
-        end = start
-        while True:
-            end = text.find("$" * size, end)
-            if end < 0:
-                break
-            inner = text[start:end]
-            if text[end - 1] != "\\" and inner.strip() and (size == 2 or not _space(text[end - 1]) and not text[end + 1 : end + 2].isdigit() and text[end + 1 : end + 2] != "$"):
-                self.out.append(Node("math", inner, display=size == 2))
-                self.at = end + size
-                return True
-            end += 1
+
+        def closers():
+            places = [m.start() for m in re.finditer(r"(?=\$\$)" if size == 2 else r"\$", text)]
+            return [i for i in places if i and text[i - 1] != "\\" and (size == 2 or not _space(text[i - 1]) and not text[i + 1 : i + 2].isdigit() and text[i + 1 : i + 2] != "$")]
+
+        least = start  # a formula holds more than white space
+        if size == 2:
+            m = re.compile(r"\S").search(text, start)
+            least = m.start() + 1 if m else len(text)
+        end = self._next(("$", size), least, closers)
+        if end >= 0 and text[start:end].strip():
+            self.out.add(Node("math", text[start:end], display=size == 2))
+            self.at = end + size
+            return True
         self._text("$" * size)
         self.at = start
         return True
 
     def _bare(self) -> bool:
         m = _BARE.match(self.text, self.at)
-        if not m or "@" in m[0] and "/" not in m[0] and not m[0].startswith(("http", "www", "ftp")):
+        if not m:
             return False
-        url = m[0]
+        url, opened, closed = m[0], m[0].count("("), m[0].count(")")
         while True:  # closing marks of the sentence stay outside
             cut = url.rstrip("?!.,:*_~'\"")
-            if cut.endswith(")") and cut.count(")") > cut.count("("):
-                cut = cut[:-1]
-            if (e := re.search(r"&[A-Za-z0-9]+;$", cut)) and cut:
-                cut = cut[: e.start()]
+            if cut.endswith(")") and closed > opened:
+                cut, closed = cut[:-1], closed - 1
+            if cut.endswith(";") and (e := re.search(r"&[A-Za-z0-9]+;$", cut[-40:])):
+                cut = cut[: len(cut) - len(e[0])]
             if cut == url:
                 break
             url = cut
         host = re.match(r"(?:https?://|ftp://)?([^/?#:]*)", url)[1]
-        if not host or url.startswith("www.") and "." not in host[4:] or self._in_link():
+        if not host or url.startswith("www.") and "." not in host[4:]:
             return False
-        self.out.append(Node("link", url=url if "://" in url else "http://" + url, title="").add(Node("text", url)))
+        self.out.add(Node("link", url=url if "://" in url else "http://" + url, title="").add(Node("text", url)))
         self.at += len(url)
         return True
 
     def _mail_back(self) -> bool:
         """An address around this @, of which the local part was already read as text."""
-        tail = self._tail()
-        left = re.search(r"[A-Za-z0-9._+-]+$", tail)
-        right = re.compile(r"@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+").match(self.text, self.at)
-        if not left or not right or right[0][-1] in "-_" or self._in_link():
+        right = _HOST.match(self.text, self.at)
+        if not right or right[0][-1] in "-_":
+            return False
+        item, local = self._last_text(), ""
+        while item is not None and item.node is not None and item.node.kind == "text":
+            end = _LOCAL.search(item.node.literal)[0]
+            local = end + local
+            if len(end) < len(item.node.literal):
+                break
+            item = item.before
+        if not local:
             return False
-        need = len(left[0])
+        need = len(local)
         while need:
-            last = self.out[-1]
-            if any(d.node is last for d in self.delimiters):
-                self.delimiters = [d for d in self.delimiters if d.node is not last]
-            if len(last.literal) <= need:
-                need -= len(last.literal)
-                self.out.pop()
+            last = self.out.last
+            if last.marks:
+                self.delimiters = [d for d in self.delimiters if d.item is not last]
+            if len(last.node.literal) <= need:
+                need -= len(last.node.literal)
+                self.out.drop(last)
             else:
-                last.literal = last.literal[:-need]
+                last.node.literal = last.node.literal[:-need]
                 need = 0
-        address = left[0] + right[0]
-        self.out.append(Node("link", url="mailto:" + address, title="").add(Node("text", address)))
+        address = local + right[0]
+        self.out.add(Node("link", url="mailto:" + address, title="").add(Node("text", address)))
         self.at = right.end()
         return True
 
-    def _in_link(self) -> bool:
-        return False
-
     def _open(self, image: bool) -> bool:
         text, at = self.text, self.at
-        if self.extended and not image and text.startswith("[[", at) and (m := re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]+))?\]\]").match(text, at)):
-            self.out.append(Node("wikilink", url=m[1].strip()).add(Node("text", (m[2] or m[1]).strip())))
+        if self.extended and not image and text.startswith("[[", at) and (m := _BACK.match(text, at)):
+            self.out.add(Node("wikilink", url=m[1].strip()).add(Node("text", (m[2] or m[1]).strip())))
             self.at = m.end()
             return True
-        if self.extended and not image and (m := re.compile(r"\[\^([^\]\s]+)\]").match(text, at)) and label_key(m[1]) in self.footnotes:
-            self.out.append(Node("footnote_ref", name=m[1]))
+        if self.extended and not image and (m := _NOTE.match(text, at)) and label_key(m[1]) in self.footnotes:
+            self.out.add(Node("footnote_ref", name=m[1]))
             self.at = m.end()
             return True
         size = 2 if image else 1
-        self._text(text[at : at + size])
+        item = self._text(text[at : at + size])
         self.at = at + size
-        self.brackets.append([self.out[-1], len(self.delimiters), image, True, self.at])
+        self.brackets.append((item, len(self.delimiters), image, self.at))
         return True
 
     def _inline_note(self) -> bool:
-        depth, i = 0, self.at + 1
-        while i < len(self.text):
-            if self.text[i] == "\\":
-                i += 1
-            elif self.text[i] == "[":
-                depth += 1
-            elif self.text[i] == "]":
-                depth -= 1
-                if not depth:
-                    break
-            i += 1
-        if depth or i >= len(self.text):
+        if "[" not in self.found:  # each bracket's partner, in one pass
+            pairs, open_ = {}, []
+            self.found["["] = pairs
+            for m in re.finditer(r"\\.|[\[\]]", self.text, re.S):
+                if m[0] == "[":
+                    open_.append(m.start())
+                elif m[0] == "]" and open_:
+                    pairs[open_.pop()] = m.start()
+        end = self.found["["].get(self.at + 1)
+        if end is None or self.depth >= DEEPEST_NOTE:
             return False
-        inner = Inlines(self.text[self.at + 2 : i], self.references, self.extended, self.footnotes)
+        inner = Inlines(self.text[self.at + 2 : end], self.references, self.extended, self.footnotes, self.depth + 1)
         self.inline_notes.append(inner.parse())
         self.inline_notes.extend(inner.inline_notes)
-        self.out.append(Node("footnote_ref", name="", inline=len(self.inline_notes) - 1 - len(inner.inline_notes)))
-        self.at = i + 1
+        self.out.add(Node("footnote_ref", name="", inline=len(self.inline_notes) - 1 - len(inner.inline_notes)))
+        self.at = end + 1
         return True
 
     def _close(self) -> bool:
         if not self.brackets:
             return False
-        node, bottom, image, active, start = self.brackets.pop()
-        if not active:
+        item, bottom, image, start = self.brackets.pop()
+        alive = image or len(self.brackets) >= self.dead
+        self.dead = min(self.dead, len(self.brackets))
+        if not alive:
             return False
         target = self._inline_target(self.at + 1) or self._reference(start)
         if not target:
             return False
         url, title, self.at = target
         self._pair(bottom)
-        place = next(i for i, x in enumerate(self.out) if x is node)
         link = Node("image" if image else "link", url=url, title=title)
-        link.children = _joined(self.out[place + 1 :])
-        self.out[place:] = [link]
+        link.children = _joined(self.out.between(item, None))
+        self.out.drop(item)
+        self.out.add(link)
         if not image:  # no links in links
-            for b in self.brackets:
-                if not b[2]:
-                    b[3] = False
+            self.dead = len(self.brackets)
         return True
 
     def _inline_target(self, at: int):
@@ -328,7 +413,7 @@ class Inlines:
             return None
         url, at = found
         title = ""
-        if m := re.compile(r"[ \t\n]+(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))", re.S).match(text, at):
+        if m := _TITLE.match(text, at):
             title, at = unescaped(m[1][1:-1]), m.end()
         if m := re.compile(r"[ \t\n]*\)").match(text, at):
             return unescaped(url), title, m.end()
@@ -336,8 +421,8 @@ class Inlines:
 
     def _reference(self, start: int):
         text, at = self.text, self.at
-        own = text[start:at]
-        if m := re.compile(r"\[((?:\\.|[^\[\]\\])*)\]", re.S).match(text, at + 1):
+        own = text[start:at] if at - start <= LONGEST_LABEL else ""
+        if m := _LABEL.match(text, at + 1):
             label, end = m[1].strip() or own, m.end()
             found = self.references.get(label_key(label))
             return (*found, end) if found else None
@@ -358,60 +443,55 @@ class Inlines:
             opens, closes = left, right
         if c not in "*_" and (c, size) not in PAIRED:
             opens = closes = False
-        self._text(text[at:end])
+        item = self._text(text[at:end])
         if opens or closes:
-            self.delimiters.append(_Delimiter(self.out[-1], c, size, opens, closes))
+            item.marks, self.count = True, self.count + 1
+            self.delimiters.append(_Delimiter(item, c, size, opens, closes, self.count))
         self.at = end
         return True
 
     def _pair(self, bottom: int) -> None:
-        """Pairs the delimiters above `bottom` and drops them."""
-        marks, i = self.delimiters, bottom
+        """Pairs the delimiters above `bottom` and drops them. Openers that still wait are
+        on a stack; a search that found none is not made again below its place."""
+        waiting: list[_Delimiter] = []
         floor: dict = {}
-        while i < len(marks):
-            closer = marks[i]
-            if not closer.can_close or not closer.size:
-                i += 1
-                continue
-            key = (closer.char, closer.can_open, closer.start % 3)
-            j, found = i - 1, None
-            while j >= max(bottom, floor.get(key, bottom)):
-                opener = marks[j]
-                if opener.char == closer.char and opener.can_open and opener.size:
-                    odd = (opener.can_close or closer.can_open) and (opener.start + closer.start) % 3 == 0 and (opener.start % 3 or closer.start % 3)
-                    if closer.char in "*_" and not odd or closer.char not in "*_" and opener.size == closer.size:
-                        found = opener
-                        break
-                j -= 1
-            if not found:
-                floor[key] = i
-                if not closer.can_open:
-                    marks.pop(i)
-                else:
-                    i += 1
-                continue
-            used = (2 if found.size >= 2 and closer.size >= 2 else 1) if closer.char in "*_" else closer.size
-            kind = PAIRED.get((closer.char, used)) if closer.char not in "*_" else "strong" if used == 2 else "emph"
-            if closer.char == "_" and used == 2 and self.extended:
-                kind = "underline"
-            a = next(k for k, x in enumerate(self.out) if x is found.node)
-            b = next(k for k in range(a + 1, len(self.out)) if self.out[k] is closer.node)
-            made = Node(kind)
-            made.children = _joined(self.out[a + 1 : b])
-            self.out[a + 1 : b] = [made]
-            for d in (found, closer):
-                d.size -= used
-                d.node.literal = d.node.literal[: len(d.node.literal) - used]
-            del marks[j + 1 : i]
-            i = j + 1
-            if not found.size:
-                self.out.remove(found.node)
-                marks.pop(j)
-                i -= 1
-            if not closer.size:
-                self.out.remove(closer.node)
-                marks.pop(i)
-        del marks[bottom:]
+        for closer in self.delimiters[bottom:]:
+            while closer.can_close and closer.size:
+                key = (closer.char, closer.can_open, closer.start % 3, closer.size if closer.char not in "*_" else 0)
+                j, least = len(waiting) - 1, floor.get(key, 0)
+                while j >= 0 and waiting[j].number >= least and not _fits(waiting[j], closer):
+                    j -= 1
+                if j < 0 or waiting[j].number < least:
+                    floor[key] = closer.number
+                    break
+                opener = waiting[j]
+                used = (2 if opener.size >= 2 and closer.size >= 2 else 1) if closer.char in "*_" else closer.size
+                kind = PAIRED.get((closer.char, used)) if closer.char not in "*_" else "strong" if used == 2 else "emph"
+                if closer.char == "_" and used == 2 and self.extended:
+                    kind = "underline"
+                made = Node(kind)
+                made.children = _joined(self.out.between(opener.item, closer.item))
+                self.out.put(opener.item, made)
+                del waiting[j + 1 :]
+                for d in (opener, closer):
+                    d.size -= used
+                    d.item.node.literal = d.item.node.literal[: len(d.item.node.literal) - used]
+                    if not d.size:
+                        self.out.drop(d.item)
+                if not opener.size:
+                    waiting.pop()
+            if closer.can_open and closer.size:
+                waiting.append(closer)
+        del self.delimiters[bottom:]
+
+
+def _fits(opener: _Delimiter, closer: _Delimiter) -> bool:
+    if opener.char != closer.char:
+        return False
+    if closer.char not in "*_":
+        return opener.size == closer.size
+    odd = (opener.can_close or closer.can_open) and (opener.start + closer.start) % 3 == 0 and (opener.start % 3 or closer.start % 3)
+    return not odd
 
 
 def destination(text: str, at: int):
@@ -425,6 +505,8 @@ def destination(text: str, at: int):
             i += 1
         elif text[i] == "(":
             depth += 1
+            if depth > DEEPEST_PARENTHESIS:
+                return None
         elif text[i] == ")":
             if not depth:
                 break
@@ -436,9 +518,15 @@ def destination(text: str, at: int):
 def _joined(nodes: list[Node]) -> list[Node]:
     """Neighbouring texts become one; empty ones go."""
     out: list[Node] = []
+    texts: list[str] = []
     for x in nodes:
-        if x.kind == "text" and out and out[-1].kind == "text":
-            out[-1] = Node("text", out[-1].literal + x.literal)
-        elif x.kind != "text" or x.literal:
-            out.append(x)
+        if x.kind == "text":
+            texts.append(x.literal)
+            continue
+        if any(texts):
+            out.append(Node("text", "".join(texts)))
+        texts = []
+        out.append(x)
+    if any(texts):
+        out.append(Node("text", "".join(texts)))
     return out

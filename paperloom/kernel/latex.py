@@ -1,13 +1,16 @@
 """LaTeX mathematics to a small tree, and the tree to OMML or MathML.
 
 Both outputs walk the same tree: ("run", text), ("row", nodes), ("frac", a, b),
-("root", a), ("script", base, sub, sup), ("matrix", environment, rows)."""
+("root", a), ("script", base, sub, sup), ("matrix", environment, rows). Rows without
+anything in them are left out. Formulas may nest to any depth: the reader's steps are
+generators on an explicit stack, and so are the parts of what is written."""
 
 from __future__ import annotations
 
 import re
 
 from . import values
+from .tree import written
 
 _TOKEN = re.compile(r"\s+|\\\\|\\([A-Za-z]+)|\\(.)|(.)|(\\)$", re.S)
 _INVALID = re.compile("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
@@ -41,7 +44,12 @@ def tokens(source: str) -> list[tuple[str, str]]:
     return out
 
 
+NOTHING = ("row", [])
+
+
 class _Reader:
+    """Each step yields the steps it waits for and returns a node."""
+
     def __init__(self, source: str):
         self.tokens, self.at = tokens(source), 0
 
@@ -51,12 +59,14 @@ class _Reader:
     def row(self):
         nodes = []
         while self.kind() not in (None, "close", "cell", "row"):
-            nodes.append(self.scripted())
+            node = yield self.scripted()
+            if node != NOTHING:
+                nodes.append(node)
         return ("row", nodes)
 
     def braced(self):
         self.at += 1
-        inner = self.row()
+        inner = yield self.row()
         if self.kind() == "close":
             self.at += 1
         return inner
@@ -65,37 +75,47 @@ class _Reader:
         return self.braced() if self.kind() == "open" else self.scripted()
 
     def scripted(self):
-        base, below, above = self.atom(), None, None
-        while self.kind() in ("sub", "sup"):
-            lower = self.kind() == "sub"
+        base, scripts = (yield self.atom()), {}
+        while (side := self.kind()) in ("sub", "sup"):
             self.at += 1
-            if lower:
-                below = self.group()
-            else:
-                above = self.group()
-        return base if below is None and above is None else ("script", base, below, above)
+            scripts[side] = yield self.group()
+        return ("script", base, scripts.get("sub", NOTHING), scripts.get("sup", NOTHING)) if scripts else base
 
     def atom(self):
         kind = self.kind()
         if kind is None:
-            return ("row", [])
+            return NOTHING
         if kind == "open":
-            return self.braced()
+            return (yield self.braced())
         value = self.tokens[self.at][1]
         self.at += 1
         if kind == "char":
             return ("run", value)
         if kind != "command" or value in values.DROPPED:
-            return ("row", [])
+            return NOTHING
         if value in values.FRACTIONS:
-            return ("frac", self.group(), self.group())
+            above = yield self.group()
+            return ("frac", above, (yield self.group()))
         if value == "sqrt":
-            return ("root", self.group())
+            return ("root", (yield self.group()))
         if value in values.GROUPS:
-            return self.group()
+            return (yield self.group())
         return ("run", values.SYMBOLS.get(value, "\\" + value))
 
 
+def _stepped(first):
+    """Runs a step and all that it waits for, without recursion."""
+    stack, value = [first], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def read(source: str):
     """The tree of a formula. A matrix counts only if it is the whole formula."""
     whole = source.strip()
@@ -103,34 +123,35 @@ def read(source: str):
         head, foot = f"\\begin{{{name}}}", f"\\end{{{name}}}"
         if whole.startswith(head) and whole.endswith(foot) and len(whole) >= len(head) + len(foot):
             body = whole[len(head) : len(whole) - len(foot)]
-            return ("matrix", name, [[_Reader(c.strip()).row() for c in line.split("&")] for line in body.split("\\\\")])
-    return _Reader(source).row()
+            return ("matrix", name, [[_stepped(_Reader(c.strip()).row()) for c in line.split("&")] for line in body.split("\\\\")])
+    return _stepped(_Reader(source).row())
 
 
 def _empty(node) -> bool:
-    return node is None or node[0] == "row" and all(map(_empty, node[1]))
+    return node[0] == "row" and not node[1]
 
 
-def _omml(node) -> str:
+def _omml(node) -> list:
+    """What a node is written as in OMML."""
     kind = node[0]
     if kind == "row":
-        return "".join(map(_omml, node[1]))
+        return node[1]
     if kind == "run":
-        return f"<m:r><m:t>{xml_text(node[1])}</m:t></m:r>"
+        return [f"<m:r><m:t>{xml_text(node[1])}</m:t></m:r>"]
     if kind == "frac":
-        return f"<m:f><m:num>{_omml(node[1])}</m:num><m:den>{_omml(node[2])}</m:den></m:f>"
+        return ["<m:f><m:num>", node[1], "</m:num><m:den>", node[2], "</m:den></m:f>"]
     if kind == "root":
-        return f'<m:rad><m:radPr><m:degHide m:val="1"/></m:radPr><m:deg/><m:e>{_omml(node[1])}</m:e></m:rad>'
+        return ['<m:rad><m:radPr><m:degHide m:val="1"/></m:radPr><m:deg/><m:e>', node[1], "</m:e></m:rad>"]
     if kind == "script":
         _, base, below, above = node
-        parts = [(t, n) for t, n in (("e", base), ("sub", below), ("sup", above)) if t == "e" or not _empty(n)]
-        name = {("e",): "", ("e", "sub"): "sSub", ("e", "sup"): "sSup", ("e", "sub", "sup"): "sSubSup"}[tuple(t for t, _ in parts)]
-        inner = "".join(f"<m:{t}>{_omml(n)}</m:{t}>" for t, n in parts)
-        return f"<m:{name}>{inner}</m:{name}>" if name else _omml(base)
+        name = "s" + "".join(n for n, x in (("Sub", below), ("Sup", above)) if not _empty(x))
+        parts = [("e", base), *[(t, x) for t, x in (("sub", below), ("sup", above)) if not _empty(x)]]
+        inner = [y for t, x in parts for y in (f"<m:{t}>", x, f"</m:{t}>")]
+        return [f"<m:{name}>", *inner, f"</m:{name}>"] if name != "s" else [base]
     _, name, rows = node
-    table = "<m:m>" + "".join("<m:mr>" + "".join(f"<m:e>{_omml(c)}</m:e>" for c in row) + "</m:mr>" for row in rows) + "</m:m>"
+    table = ["<m:m>", *[y for row in rows for y in ("<m:mr>", *[z for c in row for z in ("<m:e>", c, "</m:e>")], "</m:mr>")], "</m:m>"]
     begin, end = values.MATRICES[name]
-    return f'<m:d><m:dPr><m:begChr m:val="{begin}"/><m:endChr m:val="{end}"/></m:dPr><m:e>{table}</m:e></m:d>' if begin else table
+    return [f'<m:d><m:dPr><m:begChr m:val="{begin}"/><m:endChr m:val="{end}"/></m:dPr><m:e>', *table, "</m:e></m:d>"] if begin else table
 
 
 def _token(text: str) -> str:
@@ -141,29 +162,30 @@ def _token(text: str) -> str:
     return f"<{tag}>{html_text(text)}</{tag}>"
 
 
-def _mathml(node) -> str:
+def _mathml(node) -> list:
+    """What a node is written as in MathML."""
     kind = node[0]
-    row = lambda n: f"<mrow>{_mathml(n)}</mrow>"
+    row = lambda n: ("<mrow>", n, "</mrow>")
     if kind == "row":
-        return "".join(map(_mathml, node[1]))
+        return node[1]
     if kind == "run":
-        return _token(node[1])
+        return [_token(node[1])]
     if kind == "frac":
-        return f"<mfrac>{row(node[1])}{row(node[2])}</mfrac>"
+        return ["<mfrac>", *row(node[1]), *row(node[2]), "</mfrac>"]
     if kind == "root":
-        return f"<msqrt>{row(node[1])}</msqrt>"
+        return ["<msqrt>", *row(node[1]), "</msqrt>"]
     if kind == "script":
         _, base, below, above = node
-        name = "m" + ("sub" if not _empty(below) else "") + ("sup" if not _empty(above) else "")
-        return _mathml(base) if name == "m" else f"<{name}>{row(base)}{row(below) if not _empty(below) else ''}{row(above) if not _empty(above) else ''}</{name}>"
+        name = "m" + ("" if _empty(below) else "sub") + ("" if _empty(above) else "sup")
+        return [base] if name == "m" else [f"<{name}>", *row(base), *([] if _empty(below) else row(below)), *([] if _empty(above) else row(above)), f"</{name}>"]
     _, name, rows = node
-    table = "<mtable>" + "".join("<mtr>" + "".join(f"<mtd>{row(c)}</mtd>" for c in r) + "</mtr>" for r in rows) + "</mtable>"
+    table = ["<mtable>", *[y for r in rows for y in ("<mtr>", *[z for c in r for z in ("<mtd>", *row(c), "</mtd>")], "</mtr>")], "</mtable>"]
     begin, end = values.MATRICES[name]
-    return f"<mrow><mo>{begin}</mo>{table}<mo>{end}</mo></mrow>" if begin else table
+    return [f"<mrow><mo>{begin}</mo>", *table, f"<mo>{end}</mo></mrow>"] if begin else table
 
 
 def to_omml(source: str, display: bool = False) -> str:
-    formula = f"<m:oMath>{_omml(read(source))}</m:oMath>"
+    formula = f"<m:oMath>{written(read(source), _omml)}</m:oMath>"
     return f'<m:oMathPara><m:oMathParaPr><m:jc m:val="centerGroup"/></m:oMathParaPr>{formula}</m:oMathPara>' if display else formula
 
 
@@ -171,5 +193,5 @@ def to_mathml(source: str, display: bool = False) -> str:
     kind = "display" if display else "inline"
     return (
         f'<math xmlns="http://www.w3.org/1998/Math/MathML" class="paperloom-math-{kind}" display="{"block" if display else "inline"}" dir="ltr" style="{values.MATH_STYLE[display]}">'
-        f"<mrow>{_mathml(read(source))}</mrow></math>"
+        f"<mrow>{written(read(source), _mathml)}</mrow></math>"
     )

@@ -4,6 +4,8 @@ is commonmark, footnotes, alerts, description lists, subtext, directives and mor
 Lines are read one by one against a path of open blocks. A line first goes down the path
 as far as the containers accept it, then may start new blocks, and its rest becomes text
 of the deepest one. Inlines are parsed at the end, when all link references are known.
+Containers nest DEEPEST deep at most: markers beyond that are text. Trees are walked with
+explicit stacks, never by recursion.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from .tree import Node
 
 _RULE = re.compile(r"(?:\*[ \t]*){3,}$|(?:-[ \t]*){3,}$|(?:_[ \t]*){3,}$")
 _FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
-_HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+_HEADING = re.compile(r"(#{1,6})(?:[ \t]|$)")
 _ITEM = re.compile(r"([-+*])(?=[ \t]|$)|([0-9]{1,9})([.)])(?=[ \t]|$)")
 _NOTE = re.compile(r"\[\^([^\]\s]+)\]:[ \t]*")
 _ALERT = re.compile(r"\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\](?:[ \t]+(.*))?[ \t]*$", re.I)
@@ -35,6 +37,8 @@ _HTML = [
     (re.compile(rf"</?(?:{'|'.join(_BLOCK_TAGS.split())})(?:[ \t]|/?>|$)", re.I), None),
     (re.compile(r"(?:<[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][\w-]*\s*>)[ \t]*$"), None),
 ]
+#: Path of open blocks (a list and its item count as two), and cells that may be filled up in one table.
+DEEPEST, FILLED = 200, 500_000
 CONTAINERS = {"document", "quote", "multiline_quote", "alert", "list", "item", "footnote", "description_details", "directive"}
 TEXTS = {"paragraph", "heading", "subtext", "cell", "description_term"}
 
@@ -52,8 +56,13 @@ class _Line:
         self.rest, self.column = text, 0
 
     def indent(self) -> int:
-        width = 0
-        for c in self.rest:
+        if not self.rest.startswith((" ", "\t")):
+            return 0
+        stripped = self.rest.lstrip(" ")
+        width = len(self.rest) - len(stripped)
+        if not stripped.startswith("\t"):
+            return width
+        for c in stripped:
             if c == " ":
                 width += 1
             elif c == "\t":
@@ -125,7 +134,7 @@ class Blocks:
             lazy.lines.append(line.rest.lstrip(" \t"))
         elif deepest.kind == "paragraph" and not fresh:
             deepest.lines.append(line.rest.lstrip(" \t"))
-        elif deepest.kind == "table" and not fresh:
+        elif deepest.kind == "table" and not fresh and self._room(deepest, line.rest):
             deepest.lines.append(line.rest.strip())
         else:
             if fresh:
@@ -133,6 +142,12 @@ class Blocks:
             block = self._push(_Block("paragraph"))
             block.lines.append(line.rest.lstrip(" \t"))
 
+    @staticmethod
+    def _room(table: _Block, rest: str) -> bool:
+        """Whether a table may take a row: cells that rows lack are filled up, to a bound."""
+        table.attrs["filled"] += max(0, len(table.attrs["sides"]) - 1 - rest.count("|"))
+        return table.attrs["filled"] <= FILLED
+
     def _blank(self, depth: int, fresh: bool) -> None:
         if fresh:
             self._close(depth)
@@ -220,11 +235,11 @@ class Blocks:
             return "leaf"
         if paragraph is not None and self.extended and self._table(paragraph, rest):
             return "leaf"
-        if self.extended and (m := re.match(r">{3,}[ \t]*$", rest)):
+        if self.extended and depth < DEEPEST and rest.startswith(">>>") and not rest.rstrip(" \t").strip(">"):
             self._close(depth)
             self._push(_Block("multiline_quote", mark=rest.strip()))
             return "leaf"
-        if rest.startswith(">"):
+        if rest.startswith(">") and depth < DEEPEST:
             self._close(depth)
             line.skip(indent)
             line.take(1)
@@ -238,7 +253,9 @@ class Blocks:
         if m := _HEADING.match(rest):
             self._close(depth)
             block = self._push(_Block("heading", level=len(m[1])))
-            block.lines.append((m[2] or "").strip() if not re.fullmatch(r"#+", (m[2] or "").strip()) else "")
+            title = rest[m.end(1) :].strip(" \t")
+            bare = title.rstrip("#")
+            block.lines.append(title.strip() if bare and bare[-1] not in " \t" else bare.strip())
             self._close(len(self.path) - 2)
             return "leaf"
         if m := _FENCE.match(rest):
@@ -261,17 +278,17 @@ class Blocks:
             self._push(_Block("rule"))
             self._close(len(self.path) - 2)
             return "leaf"
-        if self.extended and (m := re.match(r"(:{3,})[ \t]*(.*?)[ \t]*$", rest)):
+        if self.extended and depth < DEEPEST and (m := re.match(r":{3,}", rest)):
             self._close(depth)
-            self._push(_Block("directive", mark=m[1], info=m[2]))
+            self._push(_Block("directive", mark=m[0], info=rest[m.end() :].strip(" \t")))
             return "leaf"
-        if self.extended and (m := _NOTE.match(rest)):
+        if self.extended and depth < DEEPEST and (m := _NOTE.match(rest)):
             self._close(depth)
             line.skip(indent)
             line.take(m.end())
             self._push(_Block("footnote", name=m[1], indent=4))
             return True
-        if self.extended and re.match(r":[ \t]", rest) and self._details(depth, line, indent):
+        if self.extended and depth < DEEPEST and re.match(r":[ \t]", rest) and self._details(depth, line, indent):
             return True
         return self._item(line, depth, indent, rest, continuing)
 
@@ -296,12 +313,12 @@ class Blocks:
         if len(head) != len(rule):
             return False
         sides = [{(1, 1): "center", (1, 0): "left", (0, 1): "right"}.get((c.strip()[0] == ":", c.strip()[-1] == ":")) for c in rule]
-        table = _Block("table", sides=sides)
+        table = _Block("table", sides=sides, filled=0)
         table.lines.append(paragraph.lines.pop())
         depth = self.path.index(paragraph)
         self._close(depth - 1)
         if not paragraph.lines:
-            self.path[-1].children.remove(paragraph)
+            self.path[-1].children.pop()
         self._push(table)
         return True
 
@@ -334,7 +351,7 @@ class Blocks:
         return True
 
     def _item(self, line: _Line, depth: int, indent: int, rest: str, continuing: bool):
-        m = _ITEM.match(rest)
+        m = _ITEM.match(rest) if depth < DEEPEST else None
         if not m:
             return None
         after = rest[m.end() :]
@@ -366,48 +383,56 @@ class Blocks:
 
     def _take_references(self, block: _Block) -> None:
         """Link reference definitions at the start of a paragraph."""
-        text = "\n".join(block.lines)
-        while text.startswith("["):
-            m = re.compile(r"\[((?:\\.|[^\[\]\\])+)\]:[ \t]*\n?[ \t]*", re.S).match(text)
+        if not block.lines or not block.lines[0].startswith("["):
+            return
+        text, start = "\n".join(block.lines), 0
+        while text.startswith("[", start):
+            m = _DEFINITION.match(text, start)
             if not m or not m[1].strip():
                 break
             found = destination(text, m.end())
-            if not found or not found[0] and text[m.end()] != "<":
+            if not found or not found[0] and not text.startswith("<", m.end()):
                 break
             url, at = found
             title, end = "", None
-            t = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))[ \t]*(?:\n|$)", re.S).match(text, at)
+            t = _DEFINITION_TITLE.match(text, at)
             if t and "\n\n" not in t[1]:
                 title, end = unescaped(t[1][1:-1]), t.end()
-            elif e := re.compile(r"[ \t]*(?:\n|$)").match(text, at):
+            elif e := _DEFINITION_END.match(text, at):
                 end = e.end()
             if end is None:
                 break
             self.references.setdefault(label_key(m[1]), (unescaped(url), title))
-            text = text[end:]
-        block.lines = text.split("\n") if text else []
+            start = end
+        if start:
+            block.lines = text[start:].split("\n") if start < len(text) else []
+
+
+_DEFINITION = re.compile(r"\[((?:\\.|[^\[\]\\]){1,999})\]:[ \t]*\n?[ \t]*", re.S)
+_DEFINITION_TITLE = re.compile(r"(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\))[ \t]*(?:\n|$)", re.S)
+_DEFINITION_END = re.compile(r"[ \t]*(?:\n|$)")
 
 
 def cells_of(line: str) -> list[str]:
     """Cells of a table row; escaped pipes belong to the text."""
     body = line.strip()
     body = body[1:] if body.startswith("|") else body
-    out, cell, i = [], "", 0
-    while i < len(body):
-        if body[i] == "\\" and body[i + 1 : i + 2] == "|":
-            cell, i = cell + "|", i + 2
-            continue
-        if body[i] == "|":
-            out.append(cell)
-            cell = ""
+    out, cell = [], []
+    for m in _CELL.finditer(body):
+        if m[0] == "|":
+            out.append("".join(cell))
+            cell = []
         else:
-            cell += body[i]
-        i += 1
-    if cell.strip() or not body.endswith("|"):
-        out.append(cell)
+            cell.append("|" if m[0] == "\\|" else m[0])
+    last = "".join(cell)
+    if last.strip() or not body.endswith("|"):
+        out.append(last)
     return [c.strip() for c in out]
 
 
+_CELL = re.compile(r"\\\||\||[^|\\]+|\\")
+
+
 class _Builder:
     """Blocks to nodes, with their inlines."""
 
@@ -417,13 +442,15 @@ class _Builder:
         self.names = set()
         self._collect(blocks.root)
 
-    def _collect(self, block: _Block) -> None:
-        if block.kind == "paragraph":
-            self.blocks._take_references(block)
-        if block.kind == "footnote":
-            self.names.add(label_key(block.attrs["name"]))
-        for child in block.children:
-            self._collect(child)
+    def _collect(self, root: _Block) -> None:
+        stack = [root]
+        while stack:
+            block = stack.pop()
+            if block.kind == "paragraph":
+                self.blocks._take_references(block)
+            if block.kind == "footnote":
+                self.names.add(label_key(block.attrs["name"]))
+            stack.extend(reversed(block.children))
 
     def inlines(self, text: str) -> list[Node]:
         parser = Inlines(text, self.blocks.references, self.extended, self.names)
@@ -435,38 +462,52 @@ class _Builder:
         self._name(found, len(self.notes) - len(parser.inline_notes))
         return found
 
-    def _name(self, nodes: list[Node], base: int) -> None:
-        for node in nodes:
+    @staticmethod
+    def _name(nodes: list[Node], base: int) -> None:
+        stack = nodes[:]
+        while stack:
+            node = stack.pop()
             if node.kind == "footnote_ref" and "inline" in node.attrs:
                 node.attrs["name"] = f"note-{base + node.attrs.pop('inline') + 1}"
-            self._name(node.children, base)
-
-    def build(self, block: _Block) -> list[Node]:
+            stack.extend(node.children)
+
+    def build(self, root: _Block) -> Node:
+        """The tree of a block, in document order."""
+        top = Node("top")
+        stack = [(root, top)]
+        while stack:
+            block, parent = stack.pop()
+            node = self.node(block)
+            if node is None:
+                continue
+            parent.children.append(node)
+            if block.kind not in TEXTS and block.kind != "table":
+                stack.extend((child, node) for child in reversed(block.children))
+        return top.children[0]
+
+    def node(self, block: _Block) -> Node | None:
+        """One block with its inlines, without its children."""
         kind, attrs = block.kind, block.attrs
         if kind == "paragraph":
             text = "\n".join(block.lines).rstrip()
-            return [Node("paragraph").add(*self.inlines(text))] if text else []
+            return Node("paragraph").add(*self.inlines(text)) if text else None
         if kind in ("heading", "subtext", "description_term"):
-            return [Node(kind, **attrs).add(*self.inlines("\n".join(block.lines).strip()))]
+            return Node(kind, **attrs).add(*self.inlines("\n".join(block.lines).strip()))
         if kind == "code_block":
             lines = block.lines
             if not attrs["fence"]:
                 while lines and not lines[-1].strip(" \t"):
                     lines.pop()
-            return [Node("code_block", "".join(x + "\n" for x in lines), info=attrs["info"], fenced=bool(attrs["fence"]))]
+            return Node("code_block", "".join(x + "\n" for x in lines), info=attrs["info"], fenced=bool(attrs["fence"]))
         if kind == "html_block":
-            return [Node("html_block", "".join(x + "\n" for x in block.lines))]
+            return Node("html_block", "".join(x + "\n" for x in block.lines))
         if kind == "table":
-            return [self.table(block)]
+            return self.table(block)
         if kind == "list":
             attrs = attrs | {"tight": self.tight(block)}
         if kind == "item" and "checked" in attrs:
             kind = "task_item"
-        kept = {k: v for k, v in attrs.items() if k not in ("indent", "mark")}
-        node = Node(kind, **kept)
-        for child in block.children:
-            node.children += self.build(child)
-        return [node]
+        return Node(kind, **{k: v for k, v in attrs.items() if k not in ("indent", "mark")})
 
     def tight(self, block: _Block) -> bool:
         for i, item in enumerate(block.children):
@@ -495,7 +536,7 @@ class _Builder:
 def parse(text: str, extended: bool = True) -> Node:
     """The tree of a document. Any input gives a tree; what is malformed stays text."""
     builder = _Builder(Blocks(text, extended))
-    root = builder.build(builder.blocks.root)[0]
+    root = builder.build(builder.blocks.root)
     notes = [x for x in root.children if x.kind == "footnote"]
     root.children = [x for x in root.children if x.kind != "footnote"] + notes + builder.notes
     return root

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 from . import values
 from .bidi import contains_rtl
 from .latex import to_mathml
 from .markdown import parse
 from .normalise import normalised
-from .tree import Node, plain_text
+from .tree import Node, plain_text, written
 
 _INLINE = {"strong": "strong", "emph": "em", "strike": "del", "underline": "u", "insert": "ins", "superscript": "sup", "subscript": "sub", "highlight": "mark"}
 OMITTED = "<!-- raw HTML omitted -->"
@@ -25,119 +26,145 @@ def _href(url: str) -> str:
 
 
 class Writer:
-    """A tree as HTML; line ends in paragraphs become breaks, raw HTML is left out."""
+    """A tree as HTML; line ends in paragraphs become breaks, raw HTML is left out. Nodes
+    are written as lists of strings and further nodes, see written()."""
 
     def __init__(self):
         self.notes: dict[str, int] = {}
+        self.tight: set[int] = set()  # paragraphs without tags around them
+        self.ends: set[int] = set()  # those that end an item
 
-    def inlines(self, nodes: list[Node]) -> str:
-        return "".join(map(self.inline, nodes))
-
-    def inline(self, n: Node) -> str:
-        kind = n.kind
-        if kind == "text":
-            return _esc(n.literal)
-        if kind in ("soft_break", "line_break"):
-            return "<br />\n"
-        if kind == "code":
-            return f"<code>{_esc(n.literal)}</code>"
-        if kind == "html_inline":
-            return OMITTED
-        if kind == "math":
-            return f'<span data-math-style="{"display" if n.attrs["display"] else "inline"}">{_esc(n.literal)}</span>'
-        if kind == "spoiler":
-            return f'<span class="spoiler">{self.inlines(n.children)}</span>'
-        if kind == "link":
-            title = f' title="{_esc(n.attrs["title"])}"' if n.attrs["title"] else ""
-            return f'<a href="{_href(n.attrs["url"])}"{title}>{self.inlines(n.children)}</a>'
-        if kind == "wikilink":
-            return f'<a href="{_href(n.attrs["url"])}" data-wikilink="true">{self.inlines(n.children)}</a>'
-        if kind == "image":
-            title = f' title="{_esc(n.attrs["title"])}"' if n.attrs["title"] else ""
-            return f'<img src="{_href(n.attrs["url"])}" alt="{_esc(plain_text(n))}"{title} />'
-        if kind == "footnote_ref":
-            i = self.notes.setdefault(n.attrs["name"], len(self.notes) + 1)
-            name = _esc(n.attrs["name"])
-            return f'<sup class="footnote-ref"><a href="#fn-{name}" id="fnref-{name}" data-footnote-ref>{i}</a></sup>'
-        if kind == "task_mark":
-            return self.box(n.attrs["checked"])
-        tag = _INLINE.get(kind)
-        inner = self.inlines(n.children)
-        return f"<{tag}>{inner}</{tag}>" if tag else inner
+    def tagged(self, tag: str, n: Node, attrs: str = "", end: str = "") -> list:
+        return [f"<{tag}{attrs}>", *n.children, f"</{tag}>{end}"]
+
+    def parts(self, n: Node) -> list:
+        make = getattr(self, "of_" + n.kind, None)
+        if make:
+            return make(n)
+        tag = _INLINE.get(n.kind)
+        return self.tagged(tag, n) if tag else n.children
+
+    def of_text(self, n):
+        return [_esc(n.literal)]
+
+    def of_soft_break(self, n):
+        return ["<br />\n"]
+
+    of_line_break = of_soft_break
+
+    def of_code(self, n):
+        return [f"<code>{_esc(n.literal)}</code>"]
+
+    def of_html_inline(self, n):
+        return [OMITTED]
+
+    def of_html_block(self, n):
+        return [OMITTED + "\n"]
+
+    def of_math(self, n):
+        return [f'<span data-math-style="{"display" if n.attrs["display"] else "inline"}">{_esc(n.literal)}</span>']
+
+    def of_spoiler(self, n):
+        return ['<span class="spoiler">', *n.children, "</span>"]
+
+    def of_link(self, n):
+        title = f' title="{_esc(n.attrs["title"])}"' if n.attrs["title"] else ""
+        return [f'<a href="{_href(n.attrs["url"])}"{title}>', *n.children, "</a>"]
+
+    def of_wikilink(self, n):
+        return [f'<a href="{_href(n.attrs["url"])}" data-wikilink="true">', *n.children, "</a>"]
+
+    def of_image(self, n):
+        title = f' title="{_esc(n.attrs["title"])}"' if n.attrs["title"] else ""
+        return [f'<img src="{_href(n.attrs["url"])}" alt="{_esc(plain_text(n))}"{title} />']
+
+    def of_footnote_ref(self, n):
+        i = self.notes.setdefault(n.attrs["name"], len(self.notes) + 1)
+        name = _esc(n.attrs["name"])
+        return [f'<sup class="footnote-ref"><a href="#fn-{name}" id="fnref-{name}" data-footnote-ref>{i}</a></sup>']
+
+    def of_task_mark(self, n):
+        return [self.box(n.attrs["checked"])]
 
     @staticmethod
     def box(checked: bool) -> str:
         return '<input type="checkbox" ' + ('checked="" ' if checked else "") + 'disabled="" />'
 
-    def blocks(self, nodes: list[Node], tight: bool = False) -> str:
-        return "".join(self.block(n, tight) for n in nodes)
-
-    def block(self, n: Node, tight: bool = False) -> str:
-        kind = n.kind
-        if kind == "paragraph":
-            inner = self.inlines(n.children)
-            if len(n.children) == 1 and n.children[0].kind == "image" and n.children[0].attrs["title"]:
-                return f"<figure>{inner}<figcaption>{_esc(n.children[0].attrs['title'])}</figcaption></figure>\n"
-            return inner + "\n" if tight else f"<p>{inner}</p>\n"
-        if kind == "heading":
-            return f"<h{n.attrs['level']}>{self.inlines(n.children)}</h{n.attrs['level']}>\n"
-        if kind == "subtext":
-            return f"<p><sub>{self.inlines(n.children)}</sub></p>\n"
-        if kind == "rule":
-            return "<hr />\n"
-        if kind == "code_block":
-            info = (n.attrs["info"].split() or [""])[0]
-            language = f' class="language-{_esc(info)}"' if info else ""
-            return f"<pre><code{language}>{_esc(n.literal)}</code></pre>\n"
-        if kind == "html_block":
-            return OMITTED + "\n"
-        if kind in ("quote", "multiline_quote"):
-            return f"<blockquote>\n{self.blocks(n.children)}</blockquote>\n"
-        if kind == "alert":
-            name = n.attrs["type"]
-            return f'<div class="markdown-alert markdown-alert-{name}">\n<p class="markdown-alert-title">{_esc(n.attrs["title"] or name.capitalize())}</p>\n{self.blocks(n.children)}</div>\n'
-        if kind == "list":
-            tag, start = ("ol", n.attrs["start"]) if n.attrs["ordered"] else ("ul", None)
-            tasks = ' class="contains-task-list"' if any(c.kind == "task_item" for c in n.children) else ""
-            first = f' start="{start}"' if start not in (None, 1) else ""
-            return f"<{tag}{first}{tasks}>\n{''.join(self.item(c, n.attrs['tight']) for c in n.children)}</{tag}>\n"
-        if kind == "table":
-            return self.table(n)
-        if kind == "description_list":
-            return f"<dl>\n{self.blocks(n.children)}</dl>\n"
-        if kind == "description_term":
-            return f"<dt>{self.inlines(n.children)}</dt>\n"
-        if kind == "description_details":
-            return f"<dd>\n{self.blocks(n.children)}</dd>\n"
-        return self.blocks(n.children)
-
-    def item(self, n: Node, tight: bool) -> str:
-        inner = self.blocks(n.children, tight)
-        if tight and n.children and n.children[-1].kind == "paragraph":
-            inner = inner.rstrip("\n")
-        if n.kind == "task_item":
-            return f'<li class="task-list-item">{self.box(n.attrs["checked"])} {inner}</li>\n'
-        begin = "" if tight and n.children and n.children[0].kind == "paragraph" else "\n"
-        return f"<li>{begin}{inner}</li>\n"
-
-    def table(self, n: Node) -> str:
-        def row(r: Node) -> str:
-            tag = "th" if r.attrs["header"] else "td"
-            side = lambda c: f' align="{c.attrs["side"]}"' if c.attrs.get("side") else ""
-            cell = lambda c: f"<{tag}{side(c)}>{self.inlines(c.children)}</{tag}>"
-            return "<tr>\n" + "".join(cell(c) + "\n" for c in r.children) + "</tr>\n"
-
-        body = "".join(map(row, n.children[1:]))
-        body = f"<tbody>\n{body}</tbody>\n" if body else ""
-        return f"<table>\n<thead>\n{row(n.children[0])}</thead>\n{body}</table>\n"
+    def of_paragraph(self, n):
+        if len(n.children) == 1 and n.children[0].kind == "image" and n.children[0].attrs["title"]:
+            return ["<figure>", *n.children, f"<figcaption>{_esc(n.children[0].attrs['title'])}</figcaption></figure>" + ("" if id(n) in self.ends else "\n")]
+        if id(n) in self.tight:
+            return [*n.children, "" if id(n) in self.ends else "\n"]
+        return self.tagged("p", n, end="\n")
+
+    def of_heading(self, n):
+        return self.tagged(f"h{n.attrs['level']}", n, end="\n")
+
+    def of_subtext(self, n):
+        return ["<p><sub>", *n.children, "</sub></p>\n"]
+
+    def of_rule(self, n):
+        return ["<hr />\n"]
+
+    def of_code_block(self, n):
+        info = (n.attrs["info"].split() or [""])[0]
+        language = f' class="language-{_esc(info)}"' if info else ""
+        return [f"<pre><code{language}>{_esc(n.literal)}</code></pre>\n"]
+
+    def of_quote(self, n):
+        return ["<blockquote>\n", *n.children, "</blockquote>\n"]
+
+    of_multiline_quote = of_quote
+
+    def of_alert(self, n):
+        name = n.attrs["type"]
+        return [f'<div class="markdown-alert markdown-alert-{name}">\n<p class="markdown-alert-title">{_esc(n.attrs["title"] or name.capitalize())}</p>\n', *n.children, "</div>\n"]
+
+    def of_list(self, n):
+        tag, start = ("ol", n.attrs["start"]) if n.attrs["ordered"] else ("ul", None)
+        tasks = ' class="contains-task-list"' if any(c.kind == "task_item" for c in n.children) else ""
+        first = f' start="{start}"' if start not in (None, 1) else ""
+        if n.attrs["tight"]:
+            for item in n.children:
+                plain = [c for c in item.children if c.kind == "paragraph"]
+                self.tight.update(map(id, plain))
+                self.ends.update(map(id, item.children[-1:] if plain and plain[-1] is item.children[-1] else []))
+        return [f"<{tag}{first}{tasks}>\n", *n.children, f"</{tag}>\n"]
+
+    def of_item(self, n):
+        begin = "" if n.children and id(n.children[0]) in self.tight else "\n"
+        return [f"<li>{begin}", *n.children, "</li>\n"]
+
+    def of_task_item(self, n):
+        return [f'<li class="task-list-item">{self.box(n.attrs["checked"])} ', *n.children, "</li>\n"]
+
+    def of_table(self, n):
+        head, *rows = n.children
+        return ["<table>\n<thead>\n", head, "</thead>\n", *(["<tbody>\n", *rows, "</tbody>\n"] if rows else []), "</table>\n"]
+
+    def of_table_row(self, n):
+        tag, out = "th" if n.attrs["header"] else "td", ["<tr>\n"]
+        for c in n.children:
+            side = f' align="{c.attrs["side"]}"' if c.attrs.get("side") else ""
+            out += self.tagged(tag, c, side, "\n")
+        return [*out, "</tr>\n"]
+
+    def of_description_list(self, n):
+        return ["<dl>\n", *n.children, "</dl>\n"]
+
+    def of_description_term(self, n):
+        return self.tagged("dt", n, end="\n")
+
+    def of_description_details(self, n):
+        return ["<dd>\n", *n.children, "</dd>\n"]
 
     def document(self, root: Node) -> str:
-        body = self.blocks([n for n in root.children if n.kind != "footnote"])
+        body = "".join(written(n, self.parts) for n in root.children if n.kind != "footnote")
         notes = {n.attrs["name"]: n for n in root.children if n.kind == "footnote"}
         used = [notes[name] for name in self.notes if name in notes]
         if not used:
             return body
-        items = "".join(f'<li id="fn-{_esc(n.attrs["name"])}">\n{self.blocks(n.children)}</li>\n' for n in used)
+        items = "".join(f'<li id="fn-{_esc(n.attrs["name"])}">\n{"".join(written(c, self.parts) for c in n.children)}</li>\n' for n in used)
         return f'{body}<section class="footnotes" data-footnotes>\n<ol>\n{items}</ol>\n</section>\n'
 
 
@@ -171,12 +198,16 @@ def banded(page: str) -> str:
 
 
 def resolved(page: str) -> str:
-    """Each dir="auto" follows the text up to the first closing tag of the same name."""
-    out, at = [], 0
+    """Each dir="auto" follows the text up to the first closing tag of the same name; an
+    element that is never closed counts as empty."""
+    out, at, ends, rtl_at = [], 0, {}, [m.start() for m in re.finditer("[\u0590-\u08ff]", page)]
+    for m in re.finditer(r"</[A-Za-z0-9]+>", page):
+        ends.setdefault(m[0][2:-1], []).append(m.start())
     for m in re.finditer(r'<([A-Za-z0-9]+) dir="auto"', page):
         start = page.find(">", m.end()) + 1
-        end = page.find(f"</{m[1]}>", start)
-        rtl = contains_rtl(page[start : end if end >= 0 else len(page)])
+        closing, i = ends.get(m[1], []), bisect_left(rtl_at, start)
+        end = bisect_left(closing, start)
+        rtl = end < len(closing) and i < len(rtl_at) and rtl_at[i] < closing[end]
         out.append(page[at : m.end() - 5] + ("rtl" if rtl else "ltr"))
         at = m.end() - 1
     return "".join(out) + page[at:]

@@ -16,19 +16,37 @@ class Node:
         return self
 
     def __repr__(self):
-        return f"{self.kind}({self.literal!r}, {self.attrs}, {self.children})"
+        return f"{self.kind}({self.literal!r}, {self.attrs}, {len(self.children)} children)"
 
 
 LITERALS = {"text", "code", "code_block", "math"}
 
 
-def plain_text(node: Node) -> str:
+def plain_text(root: Node) -> str:
     """The literals below a node; breaks count as line ends."""
-    if node.kind in LITERALS:
-        return node.literal
-    if node.kind in ("soft_break", "line_break"):
-        return "\n"
-    return "".join(map(plain_text, node.children))
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.kind in LITERALS:
+            out.append(node.literal)
+        elif node.kind in ("soft_break", "line_break"):
+            out.append("\n")
+        else:
+            stack.extend(reversed(node.children))
+    return "".join(out)
+
+
+def written(root, parts) -> str:
+    """The text of a tree: parts(node) says what a node is written as, a list of strings and
+    further nodes. An explicit stack: trees may be of any depth."""
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack.extend(reversed(parts(x)))
+    return "".join(out)
 
 
 def flat(root: Node) -> list[tuple[int, int | None, int, int, str, str, dict[str, str]]]:

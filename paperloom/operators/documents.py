@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,8 +19,10 @@ FEATURES = (
 STATS = "paragraphs bigint, headings bigint, empty_headings bigint, rtl_paragraphs bigint, mixed_paragraphs bigint, tables bigint, table_cells bigint, centered_table_cells bigint, equations bigint, characters bigint"
 ACTUAL = "headings bigint, tables bigint, list_items bigint, math_expressions bigint, rtl_paragraphs bigint, rtl_runs bigint, ltr_runs bigint, rtl_tables bigint, code_fonts bigint, links bigint, bold_runs bigint, strike_runs bigint"
 PACKAGE = "required_parts boolean, xml_parts bigint, em_dash_parts bigint, unsafe_control_parts bigint, isolate_parts bigint, isolate_pairs bigint, overrides bigint, engine_verified boolean"
+GATES = "engine string, engine_verified boolean, runtime_manifest_verified boolean, markdown_preflight boolean, core_self_test boolean, feature_coverage boolean, ooxml_semantics boolean, text_fidelity boolean, deterministic_replay boolean, input_sha256_verified boolean"
+SELF_TEST = f"{CHECK}, engine string, deterministic boolean, first_sha256 string, second_sha256 string"
 REPORT = (
-    f"valid boolean, errors array<string>, input_sha256 string, output_sha256 string, features struct<{FEATURES}>, package struct<{CHECK}, checks: struct<{PACKAGE}>>, "
+    f"valid boolean, errors array<string>, input_sha256 string, input_bytes bigint, output_sha256 string, checks struct<{GATES}>, features struct<{FEATURES}>, package struct<{CHECK}, checks: struct<{PACKAGE}>>, "
     f"semantics struct<{CHECK}, text: string, text_sha256: string, stats: struct<{STATS}>>, fidelity struct<{CHECK}, expected_tokens: bigint, missing_tokens: bigint, token_coverage: double, missing_sample: map<string,bigint>>, "
     f"coverage struct<{CHECK}, actual: struct<{ACTUAL}>>, replay boolean"
 )
@@ -30,24 +32,29 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-
-
 def _mapped(docs: DataFrame, inputs: list, ddl: str, work) -> DataFrame:
     """docs with the columns of ddl, computed by work(*values) for each row; other columns
     stay, those with the names of results are replaced. Rows are cut into small batches,
-    since one document may be large."""
-    new = _struct(ddl)
+    since one document may be large. A row that work() fails on has null results and the
+    failure in `kernel_error`, null elsewhere: one document never ends a job."""
+    new = _struct(ddl + ", kernel_error string")
     kept = [c for c in docs.columns if c not in new.names]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
     schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *new.fields])
     n, m, names = len(kept), len(inputs), schema.names
     arrow = [to_arrow_schema(new).field(name).type for name in new.names]
 
+    def guarded(values):
+        try:
+            return *work(*values), None
+        except Exception as e:  # the last line: kernels are made not to fail
+            return *[None] * (len(arrow) - 1), f"{type(e).__name__}: {e}"[:500]
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = [work(*values) for values in zip(*(part.column(n + i).to_pylist() for i in range(m)), strict=True)]
+                rows = [guarded(values) for values in zip(*(part.column(n + i).to_pylist() for i in range(m)), strict=True)]
                 made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
 
@@ -132,58 +139,104 @@ def parts(packages: DataFrame, docx: str = "docx") -> DataFrame:
 
 def package_report(packages: DataFrame, docx: str = "docx") -> DataFrame:
     """packages with `package` and `semantics`: the checks of a Word package by itself."""
-    from paperloom.kernel.review import semantics, validate
+    from paperloom.kernel.review import Package, semantics, validate
 
     def work(data):
-        data = data or b""
-        v, s = validate(data), semantics(data)
+        opened = Package(data or b"")
+        v, s = validate(opened), semantics(opened)
         return {k: v[k] for k in ("valid", "errors", "checks")}, s
 
     schema = f"package struct<{CHECK}, checks: struct<{PACKAGE}>>, semantics struct<{CHECK}, text: string, text_sha256: string, stats: struct<{STATS}>>"
     return _mapped(packages, [F.col(docx)], schema, work)
 
 
-def report_of(markdown: str, data: bytes, source: str, extended: bool) -> tuple:
-    """All checks of a package against its source, the replay of the compiler included."""
+def doctor(spark: SparkSession) -> DataFrame:
+    """One row: whether the compiler passes its self-test on an executor."""
+    from paperloom.kernel.docx import compile_docx
+    from paperloom.kernel.review import self_test
+
+    def work(_):
+        found = self_test(compile_docx)
+        return tuple(found[k] for k in ("valid", "errors", "engine", "deterministic", "first_sha256", "second_sha256"))
+
+    return _mapped(spark.range(1), [F.col("id")], SELF_TEST, work).drop("id")
+
+
+def report_of(markdown: str, data: bytes | None, source: str, compiled: bytes | None, tested: dict, expected: str | None) -> tuple:
+    """All gates of a package against its source. What compares the two is only looked at
+    where the source passes preflight and the package is sound."""
     import hashlib
 
     from paperloom.kernel import review
-    from paperloom.kernel.docx import compile_docx
 
-    before, package, meaning = review.preflight(markdown, source), review.validate(data), review.semantics(data)
-    fidelity, cover = review.fidelity(markdown, meaning["text"]), review.coverage(before["features"], data)
-    replay = compile_docx(markdown, extended) == data
-    errors = [*before["errors"], *package["errors"], *meaning["errors"], *fidelity["errors"], *cover["errors"], *([] if replay else ["the compiler makes other bytes from this source"])]
+    found = review.all_checks(markdown, data or b"", source, compiled)
+    before, package = found["preflight"], found["package"]
+    same = expected is None or before["sha256"] == expected.lower()
+    errors = [*before["errors"], *tested["errors"], *package["errors"], *[f"the input is not the expected one: {before['sha256']}"] * (not same)]
+    errors += [e for name in ("coverage", "semantics", "fidelity", "replay") if found[name] for e in found[name]["errors"]]
+    holds = lambda name: bool(found[name] and found[name]["valid"])
+    ours = package["checks"]["engine_verified"]
+    checks = dict(zip(review.CHECKS, (review.ENGINE if ours else None, ours, tested["valid"], before["valid"], tested["valid"], *map(holds, ("coverage", "semantics", "fidelity", "replay")), same), strict=True))
+    fidelity = found["fidelity"] and found["fidelity"] | {"missing_sample": list(found["fidelity"]["missing_sample"].items())}
     return (
-        not errors, errors, before["sha256"], hashlib.sha256(data).hexdigest(), before["features"], {k: package[k] for k in ("valid", "errors", "checks")}, meaning,
-        fidelity | {"missing_sample": list(fidelity["missing_sample"].items())}, cover, replay,
+        not errors, errors, before["sha256"], before["features"]["bytes"], None if data is None else hashlib.sha256(data).hexdigest(), checks, before["features"],
+        {k: package[k] for k in ("valid", "errors", "checks")}, found["semantics"], fidelity, found["coverage"], found["replay"] and found["replay"]["valid"],
     )
 
 
-def verified(docs: DataFrame, text: str = "text", docx: str = "docx", source=None, profile=None) -> DataFrame:
-    """docs (with sources and packages) with all checks, `valid` and `errors`."""
+def _tested():
+    """The self-test of the compiler, made once in a task."""
+    from paperloom.kernel.docx import compile_docx
+    from paperloom.kernel.review import self_test
+
+    kept: list[dict] = []
+
+    def test():
+        if not kept:
+            kept.append(self_test(compile_docx))
+        return kept[0]
+
+    return test
+
+
+def verified(docs: DataFrame, text: str = "text", docx: str = "docx", source=None, profile=None, expected=None) -> DataFrame:
+    """docs (with sources and packages) with all checks, `valid` and `errors`. expected: a
+    column with the SHA-256 that the source should have, null where any will do."""
+    from paperloom.kernel.docx import compile_docx
+
     hint = source if source is not None else F.lit("llm")
     text_, extended = _inputs(docs, text, hint, profile)
-    return _mapped(docs, [text_, F.col(docx), hint, extended], REPORT, lambda m, d, s, e: report_of(m, d or b"", s, e))
+    test = _tested()
+
+    def work(markdown, data, s, wide, wanted):
+        return report_of(markdown, data or b"", s, compile_docx(markdown, wide), test(), wanted)
+
+    return _mapped(docs, [text_, F.col(docx), hint, extended, expected if expected is not None else F.lit(None).cast("string")], REPORT, work)
 
 
-def built(docs: DataFrame, text: str = "text", source=None, profile=None) -> DataFrame:
+def built(docs: DataFrame, text: str = "text", source=None, profile=None, expected=None) -> DataFrame:
     """Compiles and checks in one pass: docs with `docx` and all checks. Sources that fail
-    preflight are not compiled: their docx and reports are null."""
+    preflight, or are not the expected ones, are not compiled; a package that fails a check
+    is not handed out either: its docx is null."""
     from paperloom.kernel import review
     from paperloom.kernel.docx import compile_docx
 
     hint = source if source is not None else F.lit("llm")
     text_, extended = _inputs(docs, text, hint, profile)
-
-    def work(markdown, s, e):
-        before = review.preflight(markdown, s)
-        if before["errors"]:
-            return None, False, before["errors"], before["sha256"], None, before["features"], None, None, None, None, None
-        data = compile_docx(markdown, e)
-        return data, *report_of(markdown, data, s, e)
-
-    return _mapped(docs, [text_, hint, extended], "docx binary, " + REPORT, work)
+    test, gates = _tested(), review.CHECKS
+
+    def work(markdown, s, wide, wanted):
+        before, tested = review.preflight(markdown, s), test()
+        same = wanted is None or before["sha256"] == wanted.lower()
+        errors = [*before["errors"], *tested["errors"], *[f"the input is not the expected one: {before['sha256']}"] * (not same)]
+        if errors:
+            checks = dict.fromkeys(gates, False) | {"engine": None, "runtime_manifest_verified": tested["valid"], "markdown_preflight": before["valid"], "core_self_test": tested["valid"], "input_sha256_verified": same}
+            return None, False, errors, before["sha256"], before["features"]["bytes"], None, checks, before["features"], None, None, None, None, None
+        data = compile_docx(markdown, wide)
+        report = report_of(markdown, data, s, compile_docx(markdown, wide), tested, wanted)
+        return data if report[0] else None, *report
+
+    return _mapped(docs, [text_, hint, extended, expected if expected is not None else F.lit(None).cast("string")], "docx binary, " + REPORT, work)
 
 
 def split_valid(reports: DataFrame) -> tuple[DataFrame, DataFrame]:

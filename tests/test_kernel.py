@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.kernel import bidi, capture, latex, review, richhtml, values
+from paperloom.kernel import bidi, capture, latex, markdown, review, richhtml, tree, values
 from paperloom.kernel.docx import compile_docx, packed, parts_of
 from paperloom.kernel.markdown import parse
 from paperloom.kernel.normalise import normalised
@@ -62,7 +63,7 @@ def test_combinations_are_deterministic_and_well_formed(extended):
                 text = w.format(a) + "\n\n" + b
                 one = compile_docx(text, extended)
                 assert one == compile_docx(text, extended)
-                assert review.validate(one)["errors"] == []
+                assert review.validate(review.Package(one))["errors"] == []
 
 
 def test_robustness():
@@ -70,7 +71,7 @@ def test_robustness():
     for text in ("", "\ufeff\n", deep, "word " * 2000, "> " * 60 + "x", "[" * 400, "*a _b " * 400, "`" * 301, "\x00\x01\u2028", "a\n: b\n: c", ":::x\n:::"):
         for extended in (True, False):
             data = compile_docx(text, extended)
-            assert review.validate(data)["valid"], text[:20]
+            assert review.validate(review.Package(data))["valid"], text[:20]
             richhtml.rich_html(text, extended)
 
 
@@ -78,7 +79,7 @@ def test_robustness():
 @given(st.text(alphabet=st.sampled_from(list("ab #*_`~$[]()!<>|-+=^:\n\t1.&\\אש→\u2067")), max_size=80))
 def test_any_text_compiles(text):
     data = compile_docx(text)
-    assert review.validate(data)["errors"] == []
+    assert review.validate(review.Package(data))["errors"] == []
     assert all(p is None or p < i for i, p, *_ in flat(parse(text)))
 
 
@@ -135,23 +136,23 @@ TAMPERED = [
 @pytest.mark.parametrize("part,old,new,word", TAMPERED)
 def test_validator_rejects_tampering(part, old, new, word):
     parts = parts_of("# a\n\nb שלום")
-    assert review.validate(packed(parts))["valid"]
+    assert review.validate(review.Package(packed(parts)))["valid"]
     parts[part] = parts[part].replace(old, new, 1)
-    assert any(word in e for e in review.validate(packed(parts))["errors"])
+    assert any(word in e for e in review.validate(review.Package(packed(parts)))["errors"])
 
 
 def test_review_of_a_document():
     text = "# כותרת A\n\nשלום **world** `x` [l](http://a.b)\n\n- one\n\n| א | ב |\n|---|---|\n| 1 | 2 |\n\n$x^2$\n"
     data = compile_docx(text)
-    meaning, before = review.semantics(data), review.preflight(text)
-    assert before["valid"] and meaning["valid"] and review.coverage(before["features"], data)["valid"] and review.fidelity(text, meaning["text"])["token_coverage"] == 1.0
+    meaning, before = review.semantics(review.Package(data)), review.preflight(text)
+    assert before["valid"] and meaning["valid"] and review.coverage(before["features"], review.Package(data))["valid"] and review.fidelity(text, meaning["text"])["token_coverage"] == 1.0
     assert meaning["stats"]["table_cells"] == meaning["stats"]["centered_table_cells"] == 4 and meaning["stats"]["equations"] == 1
     parts = parts_of(text)
     for old, new, check in (('<w:jc w:val="center"/>', "", "semantics"), ("<w:bidiVisual/>", "", "semantics"), ('<w:rtl w:val="0"/>', "", "semantics"), ("world", "", "fidelity"), ("<w:numPr>", "<w:x>", "coverage")):
         broken = packed(parts | {"word/document.xml": parts["word/document.xml"].replace(old, new).replace("</w:numPr>", "</w:x>" if new == "<w:x>" else "</w:numPr>")})
-        found = {"semantics": review.semantics(broken), "fidelity": review.fidelity(text, review.semantics(broken)["text"]), "coverage": review.coverage(before["features"], broken)}
+        found = {"semantics": review.semantics(review.Package(broken)), "fidelity": review.fidelity(text, review.semantics(review.Package(broken))["text"]), "coverage": review.coverage(before["features"], review.Package(broken))}
         assert not found[check]["valid"], old
-    assert not review.validate(b"no zip")["valid"] and not review.semantics(b"")["valid"]
+    assert not review.validate(review.Package(b"no zip"))["valid"] and not review.semantics(review.Package(b""))["valid"]
     assert review.preflight("```\nx")["errors"] == ["unclosed fenced code block"] and review.preflight("$$\nx")["errors"] == ["unclosed display-math block"]
     assert review.preflight(" \n")["errors"] == ["Markdown input is empty"] and "NUL" in review.preflight("a\0")["errors"][0]
 
@@ -172,6 +173,7 @@ def test_capture():
 
 def test_html_steps():
     assert richhtml.banded("<tbody><tr>1</tr><tr>2</tr><tr>3</tr></tbody>").count("f8fafc") == 1
+    assert richhtml.resolved('<p dir="auto">א<p dir="auto">b') == '<p dir="ltr">א<p dir="ltr">b'
     assert richhtml.resolved('<p dir="auto">א</p><p dir="auto">a</p>') == '<p dir="rtl">א</p><p dir="ltr">a</p>'
     assert richhtml.directed_tables("<table>א</table><table>a</table><table>") == '<table dir="rtl">א</table><table>a</table><table>'
     assert "raw HTML omitted" in richhtml.rich_html("<script>x</script>") and "border-left:1.75pt" in richhtml.rich_html("> a") and "javascript:" not in richhtml.rich_html("[a](javascript:x)")
@@ -181,3 +183,95 @@ def test_random_noise_is_stable():
     rnd = random.Random(1)
     text = "".join(rnd.choice("abc **$$|\n#>-`~[]()א") for _ in range(3000))
     assert hashlib.sha256(compile_docx(text)).digest() == hashlib.sha256(compile_docx(text)).digest()
+
+
+N = 100_000
+
+
+def hostile(N):
+    return {
+        "quotes": ">" * N + " x", "spaced quotes": "> " * N + "x", "lists": "- " * N + "x", "numbers": "1. " * N + "x", "emphases": "*a **b " * (N // 4) + "c** d*" * (N // 4), "stars": "*" * N + "a" + "*" * N,
+        "brackets": "[" * N + "a" + "]" * N, "links": "[a](" * N, "nested links": "[" * 500 + "x" + "](u)" * 500, "images": "![" * N, "notes": "^[" * N + "x" + "]" * N, "dollars": "$a " * N, "double dollars": "$$a " * N, "ticks": "`a " * N,
+        "growing ticks": "".join("`" * i + "a" for i in range(1, 700)), "comments": "<!--a" * N, "questions": "<?a" * N, "cdata": "<![CDATA[a" * N, "tags": "<a b='" * N, "attributes": "<a" + " b" * N, "mails": "a@a." * N, "hosts": "w." * N, "urls": "http://a" + ")" * N, "pipes": "|" * N + "\n" + "|-" * N + "|",
+        "table": "|a" * 100 + "|\n" + "|-" * 100 + "|\n" + "|\n" * N, "definitions": "[a]: /u\n" * N, "definition": "[a]:", "spaces": "# a" + " " * N + "b", "colons": ":::" + " " * N + "b", "fences": "```\n" * N, "marks": "*a_b~~" * N, "footnotes": "[^a" * N,
+        "paragraph": "word " * (2 * N), "lines": "a*b*\n" * N, "entities": "&amp" * N, "escapes": "\\\\*" * N, "divs": "<div>" * N, "mixed": "> - 1. # " * (N // 9), "spoilers": "||a" * N, "dots": "a.b" * N, "details": "a\n: b\n" * (N // 5), "breaks": "a  \n" * N,
+    }
+
+
+HOSTILE = hostile(20_000)
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_documents_end_in_seconds(name):
+    began, small = time.process_time(), hostile(1000)[name]
+    for extended in (True, False):
+        assert markdown.parse(HOSTILE[name], extended).kind == "document"
+    data = compile_docx(small)
+    richhtml.rich_html(small)
+    assert review.validate(review.Package(data))["valid"]
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["spaced quotes", "lists", "emphases", "dollars", "stars"])
+def test_whole_way_of_very_deep_documents(name):
+    began, text = time.process_time(), hostile(N)[name]
+    data = compile_docx(text)
+    assert review.validate(review.Package(data))["valid"] and richhtml.rich_html(text)
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("text", ["{" * N, "{" * N + "}" * N, r"\frac" * N, r"\sqrt{" * N, "x_" * N, "x^{" * N, "}" * N, r"\left" * N])
+def test_hostile_formulas(text):
+    began = time.process_time()
+    assert latex.to_omml(text).startswith("<m:oMath>") and latex.to_mathml(text).endswith("</math>")
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("page", ["<div>" * N + "x", "<b>" * N + "</i>" * N, "<ul><li>" * N + "x", "<blockquote>" * N + "x", '<div class="markdown">' * 20_000 + "text", "<p>a" * (N // 5), "<table><tr><td>" * N, "<span>a</span>" * (N // 5)])
+def test_hostile_pages(page):
+    began = time.process_time()
+    found = capture.capture('<div class="prose">' + page, "", "generic")
+    assert found["ok"] in (True, False) and isinstance(capture.markdown_of(capture.tree(page)), str)
+    assert time.process_time() - began < 30
+
+
+def test_deep_trees_keep_their_text():
+    deep = markdown.parse("> " * 1000 + "text", True)
+    assert tree.plain_text(deep).endswith("> text") and max(x[3] for x in tree.flat(deep)) > 150
+    assert "x" in parts_of("*" * 501 + "x" + "*" * 501)["word/document.xml"]
+
+
+DIALECTS = {"commonmark": False, "gfm": True, "github": True, "hackmd": True, "llm": True}
+ENDS = [".", ",", ":", ";", "!", "?", ")", "]"]
+FRAMES = ["{} {}", "({} {})", "**{}** {}", "`x` {} {}", "- {} {}", "> {} {}", "| {} | {} |\n|---|---|\n| {} | {} |", "# {} {}"]
+
+
+@pytest.mark.parametrize("dialect", DIALECTS)
+def test_dialects_and_punctuation_are_deterministic_and_well_formed(dialect):
+    for end in ENDS:
+        for frame in FRAMES:
+            parts = ["עברית" + end, "Latin" + end] * 2
+            text = frame.format(*parts[: frame.count("{}")])
+            one = compile_docx(text, DIALECTS[dialect])
+            assert one == compile_docx(text, DIALECTS[dialect])
+            package = review.Package(one)
+            assert review.validate(package)["errors"] == [] and review.semantics(package)["errors"] == [], text
+
+
+def test_self_test_and_gates():
+    from paperloom.operators.documents import report_of
+
+    tested = review.self_test(compile_docx)
+    assert tested["valid"] and tested["deterministic"] and tested["first_sha256"] == tested["second_sha256"]
+    assert not review.self_test(lambda text: b"x")["valid"] and "failed" in review.self_test(lambda text: 1 / 0)["errors"][0]
+    text = "# א b\n\n- c\n"
+    data = compile_docx(text)
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    good = report_of(text, data, "llm", data, tested, sha.upper())
+    assert good[0] and all(v for v in good[5].values()) and list(good[5]) == review.CHECKS
+    for change, gate in (({"expected": "0" * 64}, "input_sha256_verified"), ({"compiled": data + b" "}, "deterministic_replay"), ({"data": b"no"}, "engine_verified"), ({"markdown": "```"}, "markdown_preflight"), ({"tested": {"valid": False, "errors": ["x"]}}, "core_self_test")):
+        args = {"markdown": text, "data": data, "source": "llm", "compiled": data, "tested": tested, "expected": None} | change
+        found = report_of(**args)
+        assert not found[0] and found[1] and not found[5][gate], gate
+    unsound = report_of("```", data, "llm", data, tested, None)  # what compares the two is not looked at
+    assert unsound[8] is None and unsound[9] is None and unsound[10] is None and not unsound[11]

@@ -53,7 +53,7 @@ def test_documents(spark):
     reports = documents.built(docs).cache()
     for r in reports.collect():
         before = review.preflight(TEXTS[r.doc_id])
-        assert (r.docx is None) == bool(before["errors"]) and r.replay in (None, True) and r.features.asDict()["bytes"] == len(TEXTS[r.doc_id].encode())
+        assert (r.docx is None) == (not r.valid) and r.valid <= before["valid"] and r.replay in (None, True) and r.features.asDict()["bytes"] == len(TEXTS[r.doc_id].encode())
     good, bad = documents.split_valid(reports)
     assert good.count() + bad.count() == len(TEXTS) and good.filter("not valid").isEmpty()
     verified = documents.verified(documents.compiled(docs)).filter("doc_id = 1").first()
@@ -121,6 +121,49 @@ def test_files_and_sinks(spark, tmp_path):
     reports.unpersist()
 
 
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from paperloom import commands
+
+    def run(*args):
+        code = commands.main([str(a) for a in args], spark)
+        said = capsys.readouterr()
+        return code, json.loads(said.out or said.err)
+
+    source, out, report, text = (tmp_path / n for n in ("a.md", "out/a.docx", "r/report.json", "r/text.txt"))
+    source.write_text("# T\n\nשלום **b**\n")
+    assert run("doctor") == (0, run("doctor")[1]) and run("doctor")[1]["deterministic"]
+    code, found = run("preflight", source)
+    assert code == 0 and found["f_headings"] == 1 and found["sha256"]
+    code, made = run("build", source, out, "--report", report, "--expected-input-sha256", found["sha256"].upper(), "--review-text", text)
+    assert code == 0 and all(made["checks"].values()) and out.exists() and "שלום" in text.read_text() and json.loads(report.read_text())["command"] == "build"
+    assert run("verify-run", source, out)[0] == 0 and run("review", source, out)[1]["command"] == "review" and run("validate", out)[0] == 0
+    code, bad = run("build", source, out, "--expected-input-sha256", "0" * 64)
+    assert code == 1 and not bad["checks"]["input_sha256_verified"] and not out.exists()
+    source.write_text("```")
+    assert run("build", source, out)[1]["checks"]["markdown_preflight"] is False
+    (tmp_path / "b.docx").write_bytes(b"no")
+    assert run("validate", tmp_path / "b.docx")[0] == 1 and run("preflight", tmp_path / "none.md")[0] == 1
+
+
+def test_one_failing_document_leaves_the_others(spark):
+    def work(text):
+        if text == "bad":
+            raise RuntimeError("no")
+        return (len(text),)
+
+    rows = documents._mapped(spark.createDataFrame([("a",), ("bad",), ("ccc",)], "text string"), [F.col("text")], "n int", work).collect()
+    assert [(r.n, r.kernel_error) for r in rows] == [(1, None), (None, "RuntimeError: no"), (3, None)]
+
+
+def test_preflight_folds_grow_with_the_lines(spark):
+    lines = "\n".join(["a", "```", "b", "```"] * 5000 + ["~~~", "x"])
+    row = features.preflight(spark.createDataFrame([(lines,), ("```\n````\n~~~\n```\nout\n",)], "text string")).collect()
+    assert (row[0].f_fenced_code_blocks, row[0].f_lines, row[0].errors) == (5001, 20002, ["unclosed fenced code block"])
+    assert (row[1].f_fenced_code_blocks, row[1].valid) == (2, False)
+
+
 def test_stream(spark, tmp_path):
     frame(spark).repartition(3).write.parquet(str(tmp_path / "in"))
     docs = stream.read_documents(spark, str(tmp_path / "in"), "doc_id bigint, text string", 1)
