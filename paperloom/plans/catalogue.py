@@ -14,6 +14,7 @@ from paperloom.functions import dialect, features
 from paperloom.functions import text as tx
 from paperloom.kernel import values
 from paperloom.kernel.capture import PROVIDERS
+from paperloom.kernel.latex import to_mathml
 from paperloom.operators import chat, documents, fidelity, receipts
 from paperloom.sources.files import spread, table
 from paperloom.sources.sinks import data_url, file_name
@@ -225,9 +226,14 @@ def math_symbols(spark, sf_dir):
     return rows.select("command", tx.math_symbol(F.col("command")).alias("sign"))
 
 
-@query()
+def _run_sql(text: str) -> str:
+    return f"regexp_replace({text}, '(.)', '<m:r><m:t>\\1</m:t></m:r>', 'g')"
+
+
+@query(f"""SELECT doc_id, CAST(length(source) + 13 AS INT) AS tokens, sha256('<m:oMath><m:f><m:num><m:sSub><m:e>' || {_run_sql("'α'")} || '</m:e><m:sub>' || {_run_sql("'1'")} || '</m:sub></m:sSub></m:num><m:den>' || {_run_sql("source")} || '</m:den></m:f><m:r><m:t>+</m:t></m:r><m:rad><m:radPr><m:degHide m:val="1"/></m:radPr><m:deg/><m:e>' || {_run_sql("'x'")} || '</m:e></m:rad></m:oMath>') AS omml_sha256,
+  sha256('{to_mathml("").split("<mrow>")[0].replace("'", "''")}<mrow><mfrac><mrow><msub><mrow><mi>α</mi></mrow><mrow><mn>1</mn></mrow></msub></mrow><mrow>' || regexp_replace(regexp_replace(source, '([a-z])', '<mi>\\1</mi>', 'g'), '([0-9])', '<mn>\\1</mn>', 'g') || '</mrow></mfrac><mo>+</mo><msqrt><mrow><mi>x</mi></mrow></msqrt></mrow></math>') AS mathml_sha256 FROM documents""")
 def math_formulas(spark, sf_dir):
-    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.concat(F.lit("\\frac{\\alpha_1}{"), "source", F.lit("}^2+\\sqrt{x}")).alias("latex"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.concat(F.lit("\\frac{\\alpha_1}{"), "source", F.lit("}+\\sqrt{x}")).alias("latex"))
     return documents.formulas(rows, "latex").select("doc_id", F.size("tokens").alias("tokens"), F.sha2("omml", 256).alias("omml_sha256"), F.sha2("mathml", 256).alias("mathml_sha256"))
 
 
@@ -242,11 +248,69 @@ def validate_docx(spark, sf_dir):
     return documents.package_report(made).select("doc_id", "package.valid", "package.checks", "semantics.stats", F.col("semantics.valid").alias("semantics_valid"))
 
 
-@query()
+@query(f"SELECT doc_id, {_sql(','.join(values.PARTS))} AS names, CAST(0 AS INT) AS missing, CAST(0 AS INT) AS unexpected, CAST(NULL AS VARCHAR) AS kernel_error FROM documents")
 def read_packages(spark, sf_dir):
     made = documents.compiled(spread(_docs(spark, sf_dir)).select("doc_id", "text")).select("doc_id", "docx")
     required = F.array(*map(F.lit, values.PARTS))
-    return documents.parts(made).select("doc_id", "names", receipts.set_check(required, F.col("names")).alias("check"), F.octet_length(F.col("parts")["word/document.xml"]).alias("document_bytes"))
+    check = receipts.set_check(required, F.col("names"))
+    return documents.parts(made).select("doc_id", F.array_join("names", ",").alias("names"), F.size(check["missing"]).alias("missing"), F.size(check["unexpected"]).alias("unexpected"), "kernel_error")
+
+
+#: Markdown with every construct once or more around two short columns, and what its tree
+#: and its package hold: counted by hand from the grammar, as SQL has no parser.
+FIXED = [
+    "# ", " *e* **s** ~~d~~ ==h== `c`\n\n", "\n=====\n\n> [!NOTE]\n> in **it**\n\n> q\n> > qq\n\n- a\n- [x] t\n  1. n\n\n1. o\n2. p\n\n| x | y |\n|---|:-:|\n| $z^2$ | ![i](u) |\n\n```py\ncode\n```\n\n    ind\n\n---\n\n"
+    "[l](http://e.x) [[w]] <b>\\\nnext[^f]\n\n[^f]: note\n\nterm\n: details\n\n-# small\n\n:::box\nin\n:::\n\n<div>\nraw\n</div>\n\n$$x$$\n",
+]
+FIXED_NODES = {
+    "document": 1, "heading": 2, "paragraph": 13, "emph": 1, "strong": 2, "strike": 1, "highlight": 1, "code": 1, "alert": 1, "quote": 2, "list": 3, "item": 4, "task_item": 1, "table": 1, "table_row": 2, "table_cell": 4, "math": 2, "image": 1,
+    "code_block": 2, "rule": 1, "link": 1, "wikilink": 1, "html_inline": 1, "line_break": 1, "footnote_ref": 1, "footnote": 1, "description_list": 1, "description_item": 1, "description_term": 1, "description_details": 1, "subtext": 1, "directive": 1, "html_block": 1,
+}
+FIXED_MARKS = {"headings": 2, "tables": 1, "list_items": 5, "math_expressions": 2, "rtl_tables": 0, "bold_runs": 7, "strike_runs": 1}
+
+
+def _fixed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.concat(F.lit(FIXED[0]), F.coalesce("source", F.lit("x")), F.lit(FIXED[1]), F.coalesce("lang", F.lit("x")), F.lit(FIXED[2])).alias("text"))
+
+
+@query("SELECT doc_id, kind, CAST(n AS BIGINT) AS n FROM documents CROSS JOIN (VALUES " + ", ".join(f"('{k}', {n})" for k, n in FIXED_NODES.items()) + ") AS t(kind, n)")
+def md_fixed_nodes(spark, sf_dir):
+    return documents.nodes(_fixed(spread(_docs(spark, sf_dir)))).filter("kind not in ('text', 'soft_break')").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, true AS package_valid, " + ", ".join(f"CAST({n} AS BIGINT) AS {k}" for k, n in FIXED_MARKS.items()) + " FROM documents")
+def docx_fixed_marks(spark, sf_dir):
+    made = documents.built(_fixed(spread(_docs(spark, sf_dir))))
+    return made.select("doc_id", F.col("package.valid").alias("package_valid"), *[F.col(f"coverage.actual.{k}").alias(k) for k in FIXED_MARKS])
+
+
+@query(f"""WITH d AS (SELECT doc_id, {RICH_SQL} AS t FROM documents)
+SELECT doc_id, sha256(t) AS input_sha256, CAST(octet_length(encode(t)) AS BIGINT) AS input_bytes, doc_id % 2 = 0 AS input_sha256_verified, true AS markdown_preflight, true AS core_self_test, true AS engine_verified, doc_id % 3 <> 0 AS deterministic_replay, CAST(NULL AS VARCHAR) AS kernel_error FROM d""")
+def verify_run(spark, sf_dir):
+    """Packages of the texts, of which every third is that of another text, against the
+    hash that the text should have, which is wrong for every second."""
+    docs = _rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")
+    made = documents.compiled(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n\nmore\n"))).otherwise(F.col("text")))).select("doc_id", "docx")
+    both = docs.join(made, "doc_id")
+    expected = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise(F.lit("0" * 64))
+    gates = ["input_sha256_verified", "markdown_preflight", "core_self_test", "engine_verified", "deterministic_replay"]
+    return documents.verified(both, expected=expected).select("doc_id", "input_sha256", "input_bytes", *[F.col(f"checks.{g}").alias(g) for g in gates], "kernel_error")
+
+
+@query(f"SELECT true AS valid, true AS deterministic, {_sql(values.CREATOR)} AS engine, CAST(0 AS INT) AS errors, true AS same")
+def self_test(spark, sf_dir):
+    found = documents.doctor(spark)
+    return found.select("valid", "deterministic", "engine", F.size("errors").alias("errors"), (F.col("first_sha256") == F.col("second_sha256")).alias("same"))
+
+
+_PAGE = ['<title>T</title><div class="prose">old</div><div class="prose"><h2>A*</h2><p>Hi <b>', '</b> <a href="http://x/a b">l</a></p><ol><li>one<ul><li>in</ul><li>two</ol><table><tr><th>h<tr><td>x|y<td>', "</table><button>no</button></div>"]
+
+
+@query(r"SELECT page_id, true AS ok, 'T' AS title, '## A\*' || chr(10) || chr(10) || 'Hi **' || page_id || '** [l](<http://x/a%20b>)' || chr(10) || chr(10) || '1. one' || chr(10) || chr(10) || '- in' || chr(10) || '2. two' || chr(10) || chr(10) || '| h |  |' || chr(10) || '| --- | --- |' || chr(10) || '| x\|y | ' || page_id || ' |' AS markdown FROM pages")
+def html_capture_fixed(spark, sf_dir):
+    page = F.col("page_id").cast("string")
+    rows = spread(_pages(spark, sf_dir)).select("page_id", F.lit("https://a.b/c").alias("url"), F.concat(F.lit(_PAGE[0]), page, F.lit(_PAGE[1]), page, F.lit(_PAGE[2])).alias("html"))
+    return chat.captured(rows, provider="generic").select("page_id", "ok", "title", "markdown")
 
 
 @query()
@@ -266,9 +330,9 @@ def rich_html(spark, sf_dir):
     return documents.rich(_rich(spread(_docs(spark, sf_dir))).select("doc_id", "text")).select("doc_id", F.sha2("rich_html", 256).alias("html_sha256"), F.length("rich_html").alias("length"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 90 THEN left(text, 90) || '…' ELSE text END AS preview, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 30)), '[^a-z0-9_-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'llm') || '.docx' AS file FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 90 THEN left(text, 90) || '…' ELSE text END AS preview, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'llm') || '.docx' AS file FROM conversations")
 def previews_and_names(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", tx.preview(F.col("text")).alias("preview"), file_name(F.left("text", F.lit(30))).alias("file"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", tx.preview(F.col("text")).alias("preview"), file_name(F.col("text")).alias("file"))
 
 
 @query("SELECT doc_id, 'data:application/vnd.openxmlformats-officedocument.wordprocessingml.document;base64,' || to_base64(encode(text)) AS url FROM documents")
@@ -284,16 +348,17 @@ def editor_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", text.alias("text"), dialect.is_markdown_path(path).alias("is_markdown"), dialect.document_name(path).alias("name"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'insert_markdown' ELSE 'reply' END AS action, CASE WHEN turn % 3 = 2 THEN '' ELSE role END AS markdown, CASE WHEN turn % 3 = 2 THEN role ELSE '' END AS reply FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'insert_markdown' ELSE 'reply' END AS action, CASE WHEN turn % 3 = 2 THEN '' ELSE coalesce(text, '') END AS markdown, CASE WHEN turn % 3 = 2 THEN coalesce(text, '') ELSE '' END AS reply FROM conversations")
 def chat_actions(spark, sf_dir):
-    role, turn = F.col("role"), F.col("turn") % 3
-    raw = F.when(turn == 0, F.concat(F.lit('Sure: {"action": "insert_markdown", "markdown": "'), role, F.lit('"}'))).when(turn == 1, F.concat(F.lit('{"action": "delete", "markdown": "'), role, F.lit('"}'))).otherwise(role)
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn") % 3
+    said = lambda action: F.to_json(F.struct(F.lit(action).alias("action"), text.alias("markdown")))
+    raw = F.when(turn == 0, F.concat(F.lit("Sure: "), said("insert_markdown"))).when(turn == 1, said("delete")).otherwise(text)
     return _turns(spark, sf_dir).select("conv_id", "turn", chat.parsed_action(raw).alias("a")).select("conv_id", "turn", "a.*")
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' ELSE 'gemini' END AS source, role AS text FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' ELSE 'gemini' END AS source, coalesce(text, '') AS text FROM conversations")
 def provider_answers(spark, sf_dir):
-    turn, role = F.col("turn") % 3, F.col("role")
+    turn, role = F.col("turn") % 3, F.coalesce("text", F.lit(""))
     name = F.when(turn == 0, "openai").when(turn == 1, "anthropic").otherwise("gemini")
     body = F.when(turn == 0, F.to_json(F.struct(role.alias("output_text")))).when(turn == 1, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), role.alias("text"))).alias("content")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(role.alias("text"))).alias("parts")).alias("content"))).alias("candidates"))))
     return _turns(spark, sf_dir).select("conv_id", "turn", dialect.addin_source(name).alias("source"), chat.response_text(name, body).alias("text"))
@@ -323,7 +388,7 @@ def runtime_manifests(spark, sf_dir):
 
 @query("SELECT 'd/' || doc_id || '.md' AS path, (doc_id + 1) || '.md' AS target FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)")
 def repository_links(spark, sf_dir):
-    link = F.concat(F.lit("see [x]("), (F.col("doc_id") + 1).cast("string"), F.lit(".md) and [y](http://a.b)"))
+    link = F.concat(F.coalesce("text", F.lit("")), F.lit("\nsee [x]("), (F.col("doc_id") + 1).cast("string"), F.lit(".md) and [y](http://a.b)"))
     return receipts.broken_links(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), link.alias("text")))
 
 
