@@ -185,14 +185,39 @@ def training_counts(train: DataFrame) -> DataFrame:
     return local.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _encoder(top):
-    def encode(batches):
-        classes = Classes(top)
-        for batch in batches:
-            rows = [np.array([*map(classes.__getitem__, t.as_py().lower().split()), classes[END]], "<u2").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["obs"])
+def _encoded(shipped, slices: int, copies: int):
+    """For each document a head row (slice null) with its classes, and for each slice of the
+    vocabulary one row with its rare words there: texts are cut into words once."""
 
-    return encode
+    def run(batches):
+        top = shipped.value
+        classes = worker_state(("hmm", hash(tuple(top))), lambda: Classes(top))
+        for batch in pieces_of(batches, 2500):
+            rows, ids, held = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            docs, out = [], {n: [] for n in ("row", "slice", "words", "times")}
+            for row, text in zip(rows, batch.column(3), strict=True):
+                words = text.as_py().lower().split()
+                obs = [*map(classes.__getitem__, words), classes[END]]
+                docs.append(np.array(obs, "<u2").tobytes())
+                counts = Counter([w for w, c in zip(words, obs, strict=False) if c >= TOP] + [END] * int(obs[-1] >= TOP))
+                by_slice: dict[int, tuple[list, list]] = {}
+                for w, n in counts.items():
+                    of = by_slice.setdefault((zlib.crc32(w) // HASHED) % slices, ([], []))
+                    of[0].append(w)
+                    of[1].append(n)
+                for s, (rare, times) in by_slice.items():
+                    out["row"].append(row)
+                    out["slice"].append(s * copies + row % copies)
+                    out["words"].append(b" ".join(rare))
+                    out["times"].append(np.array(times, "<u4").tobytes())
+            n, m = len(rows), len(out["row"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows + out["row"], pa.int64()), pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([held, pa.nulls(m, held.type)]), pa.array(docs + [None] * m, pa.binary()),
+                 pa.array([None] * n + out["slice"], pa.int32()), pa.array([None] * n + out["words"], pa.binary()), pa.array([None] * n + out["times"], pa.binary())],
+                names=["row", "doc_id", "held_out", "obs", "slice", "words", "times"],
+            )
+
+    return run
 
 
 def _accumulate(shipped):
@@ -239,48 +264,24 @@ def train_model(encoded: DataFrame, freq: np.ndarray) -> Model:
     return model
 
 
-def _score_batches(shipped, slices: int, copies: int):
-    """For each document a head row (slice null) with all that the fixed-size model
-    knows, and for each slice of the vocabulary one row with its rare words there."""
+def _scored(shipped):
+    """Of each head row all that the fixed-size model knows; rare words are still to come."""
 
     def run(batches):
-        (start, move, emit), top, top_counts, within = shipped.value
-        model = Model(start, move, emit)
-        classes = worker_state(("hmm", hash(tuple(top))), lambda: Classes(top))
-        log_top = np.log10(top_counts + 0.5) if len(top) else np.zeros(0)
-        padded = np.concatenate([log_top, np.zeros(TOP + HASHED - len(log_top))])
-        seen_top = np.concatenate([top_counts > 0, np.zeros(TOP + HASHED - len(log_top), bool)])
+        (start, move, emit), top_counts, within = shipped.value
+        model, rest = Model(start, move, emit), TOP + HASHED - len(top_counts)
+        padded = np.concatenate([np.log10(top_counts + 0.5) if len(top_counts) else np.zeros(0), np.zeros(rest)])
+        seen_top = np.concatenate([top_counts > 0, np.zeros(rest, bool)])
         log_within = np.concatenate([np.zeros(TOP), np.log10(within)])
         for batch in pieces_of(batches, 2500):
-            rows, ids, held = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            docs, rare = [], []
-            for text in batch.column(3):
-                words = text.as_py().lower().split()
-                obs = np.array([*map(classes.__getitem__, words), classes[END]], np.int64)
-                docs.append(obs)
-                rare.append(Counter([w for w, c in zip(words, obs.tolist(), strict=False) if c >= TOP] + [END] * int(obs[-1] >= TOP)))
+            docs = [np.frombuffer(x, "<u2") for x in batch.column(3).to_pylist()]
             score = log_likelihood(model, docs)
-            out = {n: [] for n in ("row", "slice", "words", "times")}
-            for row, counts in zip(rows, rare, strict=True):
-                by_slice: dict[int, tuple[list, list]] = {}
-                for w, n in counts.items():
-                    of = by_slice.setdefault((zlib.crc32(w) // HASHED) % slices, ([], []))
-                    of[0].append(w)
-                    of[1].append(n)
-                for s, (words, times) in by_slice.items():
-                    out["row"].append(row)
-                    out["slice"].append(s * copies + row % copies)
-                    out["words"].append(b" ".join(words))
-                    out["times"].append(np.array(times, "<u4").tobytes())
-            n, m = len(rows), len(out["row"])
-            known = [int(seen_top[d].sum()) for d in docs]
-            base = [float(padded[d].sum()) for d in docs]
-            full = [float(s - log_within[d].sum()) for s, d in zip(score, docs, strict=True)]
+            lengths = np.array([len(d) for d in docs])
+            flat, which = np.concatenate(docs) if docs else np.zeros(0, np.int64), np.repeat(np.arange(len(docs)), lengths)
+            sums = lambda values: np.bincount(which, values[flat], len(docs))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows + out["row"], pa.int64()), pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([held, pa.nulls(m, held.type)]), pa.array([len(d) for d in docs] + [None] * m, pa.int64()),
-                 pa.array(known + [None] * m, pa.int64()), pa.array(base + [None] * m, pa.float64()), pa.array(full + [None] * m, pa.float64()),
-                 pa.array([None] * n + out["slice"], pa.int32()), pa.array([None] * n + out["words"], pa.binary()), pa.array([None] * n + out["times"], pa.binary())],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "slice", "words", "times"],
+                [*batch.columns[:3], pa.array(lengths.astype(np.int64)), pa.array(sums(seen_top).astype(np.int64)), pa.array(sums(padded)), pa.array(score - sums(log_within))],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
             )
 
     return run
@@ -336,15 +337,15 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     freq = np.concatenate([top_counts, np.zeros(TOP - len(top)), in_class]) + 0.5
     freq /= freq.sum()
 
-    encoded = staged(train.select("text").mapInArrow(_encoder(top), "obs binary"), "hmm-train")
-    model = train_model(encoded, freq)
-
     tasks = shuffle_partitions(spark)
     slices = max(SLICES, -(-distinct // SLICE_WORDS))
     copies = min(-(-tasks // slices), max(1, total // (20 * max(1, distinct))))  # copies of the vocabulary stay small beside the text
-    shipped = spark.sparkContext.broadcast(((model.start, model.move, model.emit), top, top_counts, in_class + 0.5 * (kinds + 1)))
-    parts = with_row(rows).select(ROW, "doc_id", "held_out", "text").mapInArrow(_score_batches(shipped, slices, copies), PARTS + ", slice int, words binary, times binary")
-    parts = staged(parts, "hmm-parts")
+    numbered = with_row(rows).select(ROW, "doc_id", "held_out", "text")
+    parts = staged(numbered.mapInArrow(_encoded(spark.sparkContext.broadcast(top), slices, copies), "row bigint, doc_id bigint, held_out boolean, obs binary, slice int, words binary, times binary"), "hmm-parts")
+    heads = parts.filter("slice is null")
+    model = train_model(heads.filter("not held_out").select("obs"), freq)
+    shipped = spark.sparkContext.broadcast(((model.start, model.move, model.emit), top_counts, in_class + 0.5 * (kinds + 1)))
+    scored = heads.select("row", "doc_id", "held_out", "obs").mapInArrow(_scored(shipped), PARTS)
     vocabulary = (
         counts.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "word", "c", "hash")
         .select((F.expr(f"cast(hash div {HASHED} % {slices} as int)") * copies + F.col("copy")).cast("int").alias("slice"), F.lit(None).cast("bigint").alias("row"), F.col("word").alias("words"), F.lit(None).cast("binary").alias("times"), "c")
@@ -353,7 +354,7 @@ def hmm_scores(docs: DataFrame) -> DataFrame:
     found = vocabulary.unionByName(blocks_).repartitionById(slices * copies, "slice").sortWithinPartitions(F.col("times").isNotNull()).mapInArrow(_look_up, PARTS)
     log_all = math.log10(total + 0.5 * (distinct + 1))
     return (
-        parts.filter("slice is null").select(found.columns).unionByName(found).groupBy("row")
+        scored.unionByName(found).groupBy("row")
         .agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score")
     )
