@@ -9,7 +9,7 @@ import types
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "__pl_row"
@@ -91,3 +91,25 @@ def worker_state(key, make):
         kept["state"] = (None,)
         kept["state"] = (key, make())
     return kept["state"][1]
+
+
+PART, BEFORE = "__pl_part", "__pl_before"
+
+
+def prefix_sums(rows: DataFrame, group: list[str], order: list, value: Column, per_group: DataFrame | None = None) -> DataFrame:
+    """rows (staged or cheap: they are read twice) with BEFORE, the sum of `value` over the
+    rows of their group that come earlier by `order`; a group with a third of all rows is no
+    hot spot. Rows are dealt out by ranges of (group, order); each range sums its own, and
+    sums of ranges, a table as long as ranges and groups, are carried over. per_group (its
+    columns: the group, and more) joins that small table, so that no row meets a hot key.
+    Rows that tie in `order` must be alike in it and in `value`; null groups are dropped."""
+    ranged = staged(rows.repartitionByRange(*group, *order).withColumn(PART, F.spark_partition_id()), "ranged")
+    sums = staged(ranged.groupBy(PART, *group).agg(F.sum(value).alias("__pl_sum")), "sums")
+    earlier = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("__pl_offset", F.coalesce(F.sum("__pl_sum").over(earlier), F.lit(0))).drop("__pl_sum")
+    if per_group is not None:
+        offsets = offsets.join(per_group, group)
+    parts = 1 + (sums.agg(F.max(PART)).first()[0] or 0)
+    inside = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.repartitionById(parts, F.col(PART)).withColumn(BEFORE, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(offsets, [PART, *group]).withColumn(BEFORE, F.col(BEFORE) + F.col("__pl_offset")).drop(PART, "__pl_offset")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, counts, hmm, nearest, neardup, pieces, pii, quality, toxicity, warc
+from . import contamination, counts, hmm, merkle, mixing, nearest, neardup, pieces, pii, quality, resampling, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_topk": nearest.op9_topk,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_mixing": mixing.op12_mixing,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": contamination.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
         "op9_topk": nearest.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
+        "op12_mixing": mixing.ORACLE_SQL,
+        "op13_resampling": resampling.ORACLE_SQL,
     }
