@@ -16,60 +16,13 @@ from paperloom.kernel import values
 from paperloom.kernel.capture import PROVIDERS
 from paperloom.kernel.latex import to_mathml
 from paperloom.operators import chat, documents, fidelity, receipts
-from paperloom.sources.files import spread, table
+from paperloom.sources.files import spread
 from paperloom.sources.sinks import data_url, file_name
 
-#: Markdown made from a document: a heading, the text, a list, a table, code and a link.
-RICH = ["# ", "\n\n", "\n\n- a **b**\n- [ ] ~~c~~ `d`\n\n| x | y |\n|---|:-:|\n| 1 | $z^2$ |\n\n> [l](http://e.x)\n\n```py\ncode\n```\n\nTitle\n=====\n\n---\n"]
-
-
-def _rich(docs: DataFrame) -> DataFrame:
-    source, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
-    return docs.withColumn("text", F.concat(F.lit(RICH[0]), source, F.lit(RICH[1]), text, F.lit(RICH[2])))
-
-
-def _sql(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-RICH_SQL = f"({_sql(RICH[0])} || coalesce(source, '') || {_sql(RICH[1])} || coalesce(text, '') || {_sql(RICH[2])})"
-#: Hebrew and marks around a text, so that folds and directions have something to do.
-MIXED = ["ה-", " — ‏", "⁦ שלום"]
-
-
-def _mixed():
-    return F.concat(F.lit(MIXED[0]), F.coalesce("text", F.lit("")), F.lit(MIXED[1]), F.coalesce("source", F.lit("")), F.lit(MIXED[2]))
-
-
-MIXED_SQL = f"({_sql(MIXED[0])} || coalesce(text, '') || {_sql(MIXED[1])} || coalesce(source, '') || {_sql(MIXED[2])})"
-
-
-def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
-
-
-def _pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages")
-
-
-def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
+from . import structure  # noqa: F401  (registers its queries)
+from .base import MIXED_SQL, ORACLES, QUERIES, RICH_SQL, docs as _docs, mixed as _mixed, pages as _pages, query, rich as _rich, sql as _sql, turns as _turns
 
+#: Hosts of pages, as SQL.
 _HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
 _HINTS = ["CommonMark", " gfm ", "github", "x github.com/a", "hackmd", "hackmd.io", "llm", "mygithub", "hackmd2", "ChatGPT", "Claude 3", "deepseek", "plain", ""]
 _HINT_SQL = "(SELECT unnest([" + ", ".join(_sql(h) for h in _HINTS) + "]) AS hint UNION ALL SELECT DISTINCT source FROM documents)"
