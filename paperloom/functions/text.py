@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from paperloom.kernel.values import SYMBOLS
 
+from .folds import let
+
 RTL_CLASS = r"[\x{0590}-\x{08FF}]"
 LTR_CLASS = r"[\p{IsAlphabetic}&&[^\x{0590}-\x{08FF}]]"
 CONTROL_CLASS = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+#: What the arrow rule takes for a fence.
+FENCE_LINE = r"(?U)^\s*(?:```|~~~)"
 #: Line ends as Python's splitlines() knows them.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 
@@ -47,9 +51,9 @@ def lines_of(text: Column) -> Column:
 def fence_flags(lines: Column) -> Column:
     """For each line: whether it is inside a fence by simple parity (any fence-looking line
     toggles), as the arrow rule needs it."""
-    places = F.filter(F.transform(lines, lambda x, i: F.when(F.ltrim(x).rlike("^(```|~~~)"), i)), lambda i: i.isNotNull())
-    starts, ends = F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(F.size(lines)))
-    return F.flatten(F.transform(starts, lambda start, k: F.array_repeat(k % 2 == 1, F.get(ends, k) - start)))
+    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(FENCE_LINE), i)), lambda i: i.isNotNull())
+    edges = F.struct(F.concat(F.array(F.lit(0)), places).alias("starts"), F.concat(places, F.array(F.size(lines))).alias("ends"))
+    return let(edges, lambda e: F.flatten(F.transform(e["starts"], lambda start, k: F.array_repeat(k % 2 == 1, F.get(e["ends"], k) - start))))
 
 
 def contains_rtl(text: Column) -> Column:

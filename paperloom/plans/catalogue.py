@@ -57,23 +57,11 @@ def normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(tx.folded(_mixed()), 256).alias("folded_sha256"))
 
 
-@query()
-def normalize_arrows(spark, sf_dir):
-    text = F.concat(_mixed(), F.lit(" a → b `→` $→$\n→ c"))
-    return documents.mirrored(spread(_docs(spark, sf_dir)).select("doc_id", text.alias("text"))).select("doc_id", F.sha2("normalised", 256).alias("normalised_sha256"))
-
-
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]')) AS BIGINT) AS rtl, CAST(len(regexp_extract_all({MIXED_SQL}, '\\p{{L}}')) - len(regexp_extract_all({MIXED_SQL}, '[\\x{{05D0}}-\\x{{05EA}}]')) AS BIGINT) AS ltr, regexp_matches({MIXED_SQL}, '[\\x{{0590}}-\\x{{08FF}}]') AS has_rtl FROM documents")
 def direction_stats(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.rtl_count(_mixed()).alias("rtl"), tx.ltr_count(_mixed()).alias("ltr"), tx.contains_rtl(_mixed()).alias("has_rtl"))
 
 
-@query()
-def direction_segments(spark, sf_dir):
-    rows = documents.segments(spread(_docs(spark, sf_dir)).select("doc_id", _mixed().alias("text")), "text", True, True)
-    return rows.select("doc_id", F.size("segments").alias("n"), F.sha2(F.array_join(F.transform("segments", lambda s: s["text"]), ""), 256).alias("joined_sha256"))
-
-
 _LINES = f"string_split_regex({RICH_SQL}, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')"
 
 

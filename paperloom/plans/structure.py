@@ -8,11 +8,12 @@ import re
 from pyspark.sql import functions as F
 
 from paperloom.functions import dialect
+from paperloom.functions import directions
 from paperloom.kernel.capture import PROVIDERS
 from paperloom.operators import elements
 from paperloom.sources.files import spread
 
-from .base import QUERIES, pages, query, sql  # noqa: F401
+from .base import MIXED_SQL, QUERIES, docs, mixed, pages, query, sql  # noqa: F401
 
 #: Chat markup around a page, so that selectors of every provider have something to find.
 CHAT = [
@@ -107,3 +108,49 @@ _HOSTS_SQL = "[" + ", ".join(sql(h) for h in HOSTS) + "]"
 @query(_answers_sql(f"(SELECT page_id, 'https://' || {_HOSTS_SQL}[page_id % {len(HOSTS)} + 1] || '/c' AS url, {sql(CHAT[0])} || coalesce(html, '') || {sql(CHAT[1])} AS html FROM pages)"))
 def chat_page_answers(spark, sf_dir):
     return _answers(elements.answers(_chat_pages(spark, sf_dir)))
+
+
+#: Arrows, code, formulas and Hebrew after each sentence, and a fence at the end.
+ARROWS = ["([.!?]) ", " א → `→` $x→ \\\\→ ← ", "\n→ א\n```\n→ ב\n ~~~ x\nג → ד"]
+
+
+def _arrows():
+    return F.concat(F.regexp_replace(mixed(), ARROWS[0], "$1" + ARROWS[1].replace("$", "\\$")), F.lit(ARROWS[2]))
+
+
+_FOLDED = r"regexp_replace(replace(regexp_replace({}, '([\x{{0590}}-\x{{05FF}}])-([A-Za-z])', '\1־\2', 'g'), '—', '-'), '[\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]', '', 'g')"
+_RTL = r"[\x{0590}-\x{08FF}]"
+_ISLAND = sql(directions.ISLAND.replace("*+", "*"))
+_FENCE = r"^[\s\x{A0}\x{2000}-\x{200A}\x{3000}]*(?:```|~~~)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split({_FOLDED.format(f"(regexp_replace({MIXED_SQL}, '{ARROWS[0]}', {sql(chr(92) + '1' + ARROWS[1])}, 'g') || {sql(ARROWS[2])})")}, chr(10)) AS l FROM documents),
+m AS (SELECT doc_id, list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '[→←]') AND regexp_matches(x, '{_RTL}') AND NOT regexp_matches(x, '{_FENCE}') AND len(list_filter(l[:i - 1], lambda y: regexp_matches(y, '{_FENCE}'))) % 2 = 0
+  THEN array_to_string(list_transform(regexp_split_to_array(x, {_ISLAND}), lambda p, k: translate(p, '→←', '←→') || coalesce(regexp_extract_all(x, {_ISLAND})[k], '')), '') ELSE x END) AS l FROM d)
+SELECT doc_id, sha256(array_to_string(l, chr(10))) AS normalised_sha256 FROM m""")
+def normalize_arrows(spark, sf_dir):
+    text = directions.normalised(_arrows())
+    return spread(docs(spark, sf_dir)).select("doc_id", F.sha2(text, 256).alias("normalised_sha256"))
+
+
+#: Hebrew with brackets and quotes wherever a sentence or a clause ends.
+TURNS = ["([.,]) ", " (שלום) [a ב \"c\" "]
+_TURNS_SQL = f"regexp_replace({MIXED_SQL}, '{TURNS[0]}', {sql(chr(92) + '1' + TURNS[1])}, 'g')"
+_TAIL = lambda c: f"string_split(x, {sql(c)})[-1]"
+_FIRST = "list_min([" + ", ".join([f"CASE WHEN strpos({_TAIL(c)}, {sql(o)}) > 0 THEN length(x) - length({_TAIL(c)}) + strpos({_TAIL(c)}, {sql(o)}) - 1 END" for o, c in directions._PAIRS] + [f"CASE WHEN contains(x, {sql(o)}) THEN strpos(x, {sql(o)}) - 1 END" for o in directions._ALWAYS]) + "])"
+_CORE = r"'\x01+(?:\x03*\x01+)*|\x02+(?:\x03*\x02+)*'"
+
+
+@query(rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TURNS_SQL} AS t FROM documents),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '{_RTL}', chr(1), 'g'), '\p{{L}}', chr(2), 'g'), '[^\x01\x02]', chr(3), 'g') AS k FROM d),
+b AS (SELECT r, doc_id, t, 2 * length(regexp_replace(k, '[^\x01]', '', 'g')) > length(regexp_replace(k, '\x03', '', 'g')) AS base, regexp_extract_all(k, {_CORE}) AS cores, regexp_split_to_array(k, {_CORE}) AS gaps FROM k),
+i AS (SELECT *, cores[j] AS core, gaps[j] AS gap FROM (SELECT *, unnest(range(1, len(cores) + 1)) AS j FROM b)),
+p AS (SELECT *, core[1] = chr(1) AS rtl, lag(core[1] = chr(1)) OVER (PARTITION BY r ORDER BY j) AS was, sum(length(gap) + length(core)) OVER (PARTITION BY r ORDER BY j) - length(core) AS pos FROM i),
+x AS (SELECT *, substr(t, (pos - length(gap))::BIGINT + 1, length(gap)) AS x FROM p),
+c AS (SELECT *, CASE WHEN j = 1 THEN 0 WHEN was <> base AND rtl = base THEN pos - length(gap) + length(regexp_replace(left(x, coalesce({_FIRST}, length(x))), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '')) ELSE pos - length(gap) + coalesce({_FIRST}, length(x)) END AS start FROM x),
+s AS (SELECT doc_id, t, j, rtl, start::BIGINT AS start, coalesce(lead(start) OVER (PARTITION BY r ORDER BY j), length(t))::BIGINT AS stop FROM c)
+SELECT doc_id, CAST(j - 1 AS INT) AS place, rtl, sha256(substr(t, start + 1, stop - start)) AS text_sha256 FROM s""")
+def direction_segments(spark, sf_dir):
+    turned = F.regexp_replace(mixed(), TURNS[0], "$1" + TURNS[1])
+    rows = directions.segment_rows(spread(docs(spark, sf_dir)).select("doc_id", turned.alias("text")))
+    return rows.select("doc_id", "place", "rtl", F.sha2("text", 256).alias("text_sha256"))
