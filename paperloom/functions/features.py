@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from paperloom.kernel import patterns as P
 
+from .folds import emitting, let
 from .text import CONTROL_CLASS, RTL_CLASS, lines_of
 
-_GAPS = "struct<mark:string,opened:int,start:int,gaps:array<struct<at:int,n:int>>>"
+_FENCES = "struct<mark:string,opened:int,start:int>"
+_GAP = "struct<at:int,n:int>"
 _BLANK = r"(?U)^\s*$"
 
 
@@ -25,18 +27,45 @@ def _outside(lines: Column) -> Column:
         mark, inside = line["mark"], state["mark"] != ""
         closes = inside & (F.left(mark, F.lit(1)) == F.left(state["mark"], F.lit(1))) & (F.length(mark) >= F.length(state["mark"]))
         gap = F.array(F.struct(state["start"].alias("at"), (line["i"] - state["start"]).alias("n")))
-        return F.struct(
-            F.when(~inside, mark).when(closes, "").otherwise(state["mark"]).alias("mark"), (state["opened"] + (~inside).cast("int")).alias("opened"),
-            F.when(closes, line["i"] + 1).otherwise(state["start"]).alias("start"), F.when(inside, state["gaps"]).otherwise(F.concat(state["gaps"], gap)).alias("gaps"),
-        ).cast(_GAPS)
+        now = F.struct(F.when(~inside, mark).when(closes, "").otherwise(state["mark"]).alias("mark"), (state["opened"] + (~inside).cast("int")).alias("opened"), F.when(closes, line["i"] + 1).otherwise(state["start"]).alias("start"))
+        return F.struct(now.alias("state"), F.when(~inside, gap).otherwise(F.array().cast(f"array<{_GAP}>")).alias("out"))
 
-    def finish(state):
+    def finish(done):
+        state = done["state"]
         last = F.when(state["mark"] == "", F.slice(lines, state["start"] + 1, F.greatest(F.size(lines) - state["start"], F.lit(0)))).otherwise(F.array().cast("array<string>"))
-        parts = F.transform(state["gaps"], lambda g: F.concat(F.slice(lines, g["at"] + 1, g["n"]), F.array(F.lit(""))))
+        parts = F.transform(done["out"], lambda g: F.concat(F.slice(lines, g["at"] + 1, g["n"]), F.array(F.lit(""))))
         return F.struct(state["mark"].alias("mark"), state["opened"].alias("opened"), F.concat(F.flatten(parts), last).alias("lines"))
 
-    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("opened"), F.lit(0).alias("start"), F.array().cast("array<struct<at:int,n:int>>").alias("gaps")).cast(_GAPS)
-    return F.aggregate(F.filter(marks, lambda m: m["mark"] != ""), start, step, finish)
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("opened"), F.lit(0).alias("start")).cast(_FENCES)
+    return let(emitting(F.filter(marks, lambda m: m["mark"] != ""), start, _FENCES, _GAP, step), finish)
+
+
+def inline_math(text: Column) -> Column:
+    """How many formulas between single dollar signs. Each sign is a mark that can open (o),
+    close (c), do both (b) or neither, by its neighbours; an opener takes the first closer of
+    its line. Marks are read off the pieces between the signs, so that the time grows with
+    the text, however many signs never close."""
+
+    def marks(pieces):
+        last = F.size(pieces) - 1
+
+        def mark(i):
+            before, after = F.get(pieces, i), F.get(pieces, i + 1)
+            left = F.when(before != "", F.right(before, F.lit(1))).when(i > 0, "$").otherwise("")
+            right = F.when(after != "", F.left(after, F.lit(1))).when(i + 1 < last, "$").otherwise("")
+            opens, closes = ~left.isin("\\", "$") & ~right.rlike(r"(?U)^[\s$\d]"), ~left.rlike(r"(?U)^[\s\\]") & (right != "$")
+            return F.concat(F.when(opens & closes, "b").when(opens, "o").when(closes, "c").otherwise(""), F.when(F.contains(after, F.lit("\n")), "\n").otherwise(""))
+
+        return F.when(last > 0, F.array_join(F.transform(F.sequence(F.lit(0), last - 1), mark), "")).otherwise("")
+
+    found = F.regexp_extract_all(let(F.split(text, r"\$", -1), marks), F.lit("[ob]o*+[cb]?+"), F.lit(0))
+    return F.size(F.filter(found, lambda x: x.rlike("^[ob]o*+[cb]$"))).cast("bigint")
+
+
+def links(text: Column) -> Column:
+    """How many links; images are none. What follows the last bracket of a line cannot end one."""
+    text = F.regexp_replace(text, r"(?m)(?<=[)\"\n]|\A)[^)\"\n]*+$", "")
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(P.LINK), F.lit(0)), lambda x: x.rlike(P.WHOLE_LINK))).cast("bigint")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -66,7 +95,7 @@ def with_features(docs: DataFrame, text: str = "text", source: Column | None = N
     bare = F.size(F.filter("__fold.lines", lambda x: x.rlike("(?U)" + P.BARE_MATH))).cast("bigint")
     step = step.withColumn("__bare", bare).withColumn("__linemath", _count(F.col("__shown"), P.LINE_MATH)).withColumn("__levels", levels)
     half = F.floor(F.col("__bare") / 2).cast("bigint")
-    inline = _count(F.col("__shown"), "(?U)" + P.INLINE_MATH)
+    inline = inline_math(F.col("__shown"))
     shown = F.col("__shown")
     found = {
         "bytes": F.octet_length("__s").cast("bigint"),
@@ -78,7 +107,7 @@ def with_features(docs: DataFrame, text: str = "text", source: Column | None = N
         "fenced_code_blocks": F.col("__fold.opened").cast("bigint"),
         "math_expressions": if_wide(half + F.col("__linemath") + inline),
         "block_math": if_wide(half + F.col("__linemath")),
-        "links": _count(shown, P.LINK),
+        "links": links(shown),
         "blockquotes": F.size(F.filter("__fold.lines", lambda x: x.rlike("(?U)" + P.QUOTED))).cast("bigint"),
         "thematic_breaks": rules.cast("bigint"),
         "bold": _pairs(shown, "**") + F.when(wide, zero).otherwise(_pairs(shown, "__")),

@@ -82,7 +82,7 @@ def preflight_all_features(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS docs, CAST(count(*) FILTER (regexp_matches(coalesce(text, ''), '\\S')) AS BIGINT) AS not_empty, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def preflight_summary_by_lang(spark, sf_dir):
-    found = features.preflight(_docs(spark, sf_dir))
+    found = features.preflight(spread(_docs(spark, sf_dir)))
     not_empty = F.sum((~F.exists("errors", lambda e: e == "Markdown input is empty")).cast("bigint"))
     return found.groupBy("lang").agg(F.count("*").alias("docs"), not_empty.alias("not_empty"), F.sum("f_bytes").alias("bytes"))
 

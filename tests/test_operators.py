@@ -164,6 +164,24 @@ def test_preflight_folds_grow_with_the_lines(spark):
     assert (row[1].f_fenced_code_blocks, row[1].valid) == (2, False)
 
 
+def test_preflight_of_random_marks_equals_the_kernel(spark):
+    import random
+
+    rnd = random.Random(5)
+    marks = ["|", "---", ":--", "- ", "* ", "> ", "\n", "\n", "\n\n", " ", "a", "1. ", "$", "$", "\\", "$$", "[", "](", "x)", "![", ")", "`", "~~~", "```", "```\n", "#", "=", "===", "**", "_ ", "\t"]
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randrange(40))) for _ in range(800)]
+    for r in features.preflight(frame(spark, texts).repartition(4)).collect():
+        want = review.preflight(texts[r.doc_id])["features"]
+        assert {k: r[f"f_{k}"] for k in want} == want, texts[r.doc_id]
+
+
+def test_preflight_survives_lines_of_a_megabyte(spark):
+    n = 1_000_000
+    lines = ["|---" * (n // 4), "* " * (n // 2), "> " * (n // 2), "$a " * (n // 3), "[" * n, "[a](b" * (n // 5), "- " * (n // 2), "_ " * (n // 2), "`a" * (n // 2), "a $$" * (n // 4), " " * n + "x"]
+    rows = {r.doc_id: r for r in features.preflight(frame(spark, lines).repartition(4)).collect()}
+    assert len(rows) == len(lines) and rows[0].f_tables == 1 and all(rows[i].f_thematic_breaks == 1 for i in (1, 6, 7)) and rows[3].f_math_expressions == 0 and rows[9].f_block_math == n // 8
+
+
 def test_stream(spark, tmp_path):
     frame(spark).repartition(3).write.parquet(str(tmp_path / "in"))
     docs = stream.read_documents(spark, str(tmp_path / "in"), "doc_id bigint, text string", 1)
