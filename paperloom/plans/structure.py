@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from paperloom.functions import dialect
 from paperloom.functions import directions
 from paperloom.kernel.capture import PROVIDERS
-from paperloom.operators import elements
+from paperloom.operators import elements, skeleton
 from paperloom.sources.files import spread
 
-from .base import MIXED_SQL, QUERIES, docs, mixed, pages, query, sql  # noqa: F401
+from .base import MIXED_SQL, QUERIES, RICH_SQL, docs, mixed, pages, query, rich, sql  # noqa: F401
 
 #: Chat markup around a page, so that selectors of every provider have something to find.
 CHAT = [
@@ -154,3 +154,50 @@ def direction_segments(spark, sf_dir):
     turned = F.regexp_replace(mixed(), TURNS[0], "$1" + TURNS[1])
     rows = directions.segment_rows(spread(docs(spark, sf_dir)).select("doc_id", turned.alias("text")))
     return rows.select("doc_id", "place", "rtl", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Items and quotes where sentences and clauses end, so that every text has blocks.
+BROKEN = [("([.]) ", "\n- "), ("(,) ", "\n  - > "), ("([?!]) ", "\n> > ")]
+
+
+def _broken_rich(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    for pattern, by in BROKEN:
+        text = F.regexp_replace(text, pattern, "$1" + by)
+    return rich(spread(docs(spark, sf_dir)).withColumn("text", text)).select("doc_id", "text")
+
+
+def _blocks_sql() -> str:
+    text = "coalesce(text, '')"
+    for pattern, by in BROKEN:
+        text = f"regexp_replace({text}, '{pattern}', {sql(chr(92) + '1' + by)}, 'g')"
+    plain = lambda p: sql(p.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("?+", "?"))
+    half = skeleton.LONGEST - 2
+    step = f"CASE WHEN s = 0 THEN own WHEN (s <= {half}) = (own <= {half}) AND own >= s THEN 0 ELSE s END"
+    end = "'\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'"
+    island = lambda kind, order: f"{order} - dense_rank() OVER (PARTITION BY r, d ORDER BY n)"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex({RICH_SQL.replace("coalesce(text, '')", "t")}, {end}) AS l FROM (SELECT *, {text} AS t FROM documents)),
+c AS (SELECT r, doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM d),
+x AS (SELECT r, doc_id, len(l) AS total, i AS n, l[i + 1] AS x, CASE WHEN i > 0 THEN l[i] ELSE '' END AS p FROM (SELECT *, unnest(range(len(l))) AS i FROM c)),
+f AS MATERIALIZED (SELECT *, CASE WHEN m = '' THEN 0 ELSE least(length(m), {skeleton.LONGEST}) - 2 + CASE WHEN m[1] = '~' THEN {half} ELSE 0 END END AS own FROM (SELECT *, regexp_extract(x, {plain(skeleton.FENCE)}, 1) AS m FROM x)),
+e AS MATERIALIZED (SELECT r, n, own, row_number() OVER (PARTITION BY r ORDER BY n) AS e FROM f WHERE own > 0),
+s(r, e, s) AS (SELECT r, 0::BIGINT, 0 FROM d UNION ALL SELECT s.r, e.e, {step} FROM s JOIN e ON e.r = s.r AND e.e = s.e + 1),
+g AS (SELECT f.*, s.s AS after FROM f LEFT JOIN e ON e.r = f.r AND e.n = f.n LEFT JOIN s ON s.r = e.r AND s.e = e.e),
+h AS (SELECT *, coalesce(last_value(after IGNORE NULLS) OVER (PARTITION BY r ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+o AS (SELECT *, before = 0 AND own = 0 AS free, regexp_matches(x, {plain(skeleton.ITEM)}) AS item, regexp_matches(x, {plain(skeleton.BLANK)}) AS blank, length(replace(regexp_extract(x, '^[ \t]*'), chr(9), '    ')) AS indent FROM h),
+q AS MATERIALIZED (SELECT *, sum(CASE WHEN NOT free OR (NOT blank AND NOT item AND indent < 2) THEN 1 ELSE 0 END) OVER w AS b, sum(CASE WHEN free AND item THEN 1 ELSE 0 END) OVER w AS k FROM o WINDOW w AS (PARTITION BY r ORDER BY n)),
+fences AS (SELECT doc_id, 'fence' AS kind, n AS lo, coalesce(z, total - 1) AS hi, 1 AS d FROM (SELECT *, lead(n) OVER (PARTITION BY r ORDER BY n) AS z FROM q WHERE (before = 0 AND own > 0) OR (before > 0 AND after = 0)) WHERE before = 0),
+heads AS (SELECT doc_id, 'heading' AS kind, n AS lo, n AS hi, length(regexp_extract(x, {plain(skeleton.ATX)}, 1)) AS d FROM q WHERE free AND regexp_matches(x, {plain(skeleton.ATX)})
+  UNION ALL SELECT doc_id, 'heading', n - 1, n, CASE WHEN contains(x, '=') THEN 1 ELSE 2 END FROM q WHERE free AND regexp_matches(x, {plain(skeleton.UNDER)}) AND NOT regexp_matches(p, {plain(skeleton.BLANK)}) AND NOT regexp_matches(p, {plain(skeleton.FENCE)})),
+ql AS (SELECT *, unnest(range(1, least(length(regexp_replace(regexp_extract(x, {plain(skeleton.QUOTE)}), '[^>]', '', 'g')), {skeleton.DEEPEST}) + 1)) AS d FROM q WHERE free),
+il AS (SELECT *, unnest(range(1, CAST(least(1 + indent // 2, {skeleton.DEEPEST}) AS BIGINT) + 1)) AS d FROM q WHERE free AND item),
+quotes AS (SELECT doc_id, 'quote' AS kind, min(n) AS lo, max(n) AS hi, d FROM (SELECT *, {island('quote', 'n')} AS g FROM ql) GROUP BY r, doc_id, d, g),
+lists AS (SELECT doc_id, 'list' AS kind, min(n) AS lo, max(n) AS hi, d FROM (SELECT *, {island('list', 'k')} AS g FROM il) GROUP BY r, doc_id, d, g, b),
+pipes AS (SELECT *, n - row_number() OVER (PARTITION BY r ORDER BY n) AS g, regexp_matches(x, {plain(skeleton.RULE)}) AS rule FROM q WHERE free AND contains(x, '|')),
+tables AS (SELECT doc_id, 'table' AS kind, min(CASE WHEN rule AND n > first THEN n END) - 1 AS lo, max(n) AS hi, 1 AS d FROM (SELECT *, min(n) OVER (PARTITION BY r, g) AS first FROM pipes) GROUP BY r, doc_id, g HAVING lo IS NOT NULL)
+SELECT doc_id, kind, CAST(lo AS BIGINT) AS first_line, CAST(hi AS BIGINT) AS last_line, CAST(d AS INT) AS depth FROM (SELECT * FROM fences UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM quotes UNION ALL SELECT * FROM lists UNION ALL SELECT * FROM tables)"""
+
+
+@query(_blocks_sql())
+def text_blocks(spark, sf_dir):
+    return skeleton.blocks(_broken_rich(spark, sf_dir))
