@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.folds import emitting, let
+
 from .common import table
 
 #: The patterns that the base spans are defined by.
@@ -63,6 +65,7 @@ WHOLE = {kind: f"(?:^|[^a-z])(?:{words})s?(?:[^a-z]|$)" for kind, words in CONTE
 #: Score of a confirmed span, and what a context word within NEAR signs adds.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT_BONUS, NEAR, THRESHOLD = 0.2, 40, 0.5
+BLOCK = 2048  # signs of a text that are cut out of together
 
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 SPAN = "struct<start:int,place:int,end:int,kind:string,match:string,score:double>"
@@ -120,20 +123,23 @@ def _spans(kind: str, pieces: Column, found: Column) -> Column:
     """Confirmed spans of a kind from the pieces between matches and the matches."""
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(state, i):
-        before, after, match = F.get(pieces, i), F.get(pieces, i + 1), F.get(found, i)
-        start = state["at"] + F.length(before)
-        end = start + F.length(match)
-        score = _score(kind, before, after)
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("place"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("match"), score.alias("score"))
-        keep = _confirmed(kind, match, before, after)
-        if kind in ADDED:
-            keep = keep & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(state["spans"]).alias("spans"))
+    def walked(c):
+        def step(at, i):
+            start = at + F.length(F.get(c["pieces"], i))
+            parts = F.struct(start.alias("start"), F.get(c["pieces"], i).alias("before"), F.get(c["pieces"], i + 1).alias("after"), F.get(c["found"], i).alias("match"))
+            return let(parts, placed)
+
+        def placed(x):
+            end = x["start"] + F.length(x["match"])
+            score = _score(kind, x["before"], x["after"])
+            span = lambda s: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"), s.alias("score"))
+            keep = _confirmed(kind, x["match"], x["before"], x["after"])
+            least = THRESHOLD if kind in ADDED else 0.0
+            return F.struct(end.alias("state"), F.when(keep, let(score, lambda s: F.when(s >= least, F.array(span(s)).cast(f"array<{SPAN}>")).otherwise(none))).otherwise(none).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    places = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.when(F.size(found) > 0, F.aggregate(places, start, step, lambda s: s["spans"])).otherwise(none)
+        return emitting(F.sequence(F.lit(0), F.size(c["found"]) - 1), F.lit(0), "int", SPAN, step)["out"]
+
+    return F.when(F.size(found) > 0, let(F.struct(pieces.alias("pieces"), found.alias("found")), walked)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -161,14 +167,28 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     stays null, an empty one empty."""
     whole = F.col(f"`{text}`")
 
-    def step(state, span):
-        gap = F.substr(whole, state["at"] + 1, span["start"] - state["at"])
-        mark = F.concat(state["out"], gap, F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], mark).otherwise(state["out"]).alias("out"))
+    def marked(c):
+        def stretch(start, n):  # out of blocks, so that no piece is sought from the start of the text
+            first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + n - 1) / BLOCK).cast("int")
+
+            def part(block, j):
+                left = F.when(j == 0, F.pmod(start, F.lit(BLOCK))).otherwise(0)
+                right = F.when(j == last - first, F.pmod(start + n - 1, F.lit(BLOCK)) + 1).otherwise(BLOCK)
+                return F.substr(block, left + 1, right - left)
+
+            return F.when(n > 0, F.array_join(F.transform(F.slice(c["blocks"], first + 1, last - first + 1), part), "")).otherwise("")
+
+        def step(at, span):
+            mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+            pieces = F.when(span["start"] >= at, F.array(stretch(at, span["start"] - at), mark)).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(at, span["end"]).alias("state"), pieces.alias("out"))
+
+        return let(emitting(c["spans"], F.lit(0), "int", "string", step), lambda done: F.array_join(F.concat(done["out"], F.array(stretch(done["state"], c["n"] - done["state"]))), ""))
 
-    marked = F.aggregate("__pl_pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(whole, s["at"] + 1)))
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    out = let(F.struct(F.col("__pl_pii").alias("spans"), blocks.alias("blocks"), F.length(whole).alias("n")), marked)
     found = find_pii(docs, text, "__pl_pii")
-    return found.withColumn(text, F.when(F.size("__pl_pii") > 0, marked).otherwise(whole)).drop("__pl_pii")
+    return found.withColumn(text, F.when(F.size("__pl_pii") > 0, out).otherwise(whole)).drop("__pl_pii")
 
 
 def _joined(spans: Column) -> Column:

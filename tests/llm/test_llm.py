@@ -668,3 +668,11 @@ def test_sql_agrees(spark, name):
     names = sorted(frame.columns)
     want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert Counter(tuple(r) for r in frame.select(names).collect()) == Counter(want)
+
+
+def test_texts_with_very_many_spans(spark):
+    n = 30_000
+    row = spark.createDataFrame([(1, "é a@b.de x " * n), (2, "+1 (555) 010 0199, " * 2000)], "doc_id int, text string").repartition(2)
+    found = {r.doc_id: r for r in pii.redacted(row).join(pii.find_pii(row).select("doc_id", F.size("pii").alias("n"), F.element_at("pii", -1).alias("last")), "doc_id").collect()}
+    assert found[1].n == n and (found[1].last.start, found[1].last.end) == (11 * n - 9, 11 * n - 3) and found[1].text == "é [EMAIL] x " * n
+    assert found[2].n == 2000 and found[2].text == "[PHONE], " * 2000
