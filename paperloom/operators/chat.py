@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import dialect
 from paperloom.functions.dialect import first_text
+from paperloom.functions.folds import let
 from paperloom.functions.text import clean_markdown
 
 from .documents import _mapped
@@ -70,3 +71,48 @@ def response_text(provider: Column, body: Column) -> Column:
     inner = F.array_join(F.transform(F.flatten(F.transform(got["output"], lambda o: o["content"])), lambda c: c["text"]), "\n")
     found = F.when(provider == "openai", F.coalesce(got["output_text"], inner)).when(provider == "anthropic", texts(got["content"])).otherwise(parts)
     return F.coalesce(found, F.lit(""))
+
+
+def answer_of(body: Column) -> Column:
+    """The text of an answer whose shape is not known beforehand, from its JSON as a VARIANT:
+    the first of output_text; the texts of output[].content[]; of content (a text, or a list
+    of texts and typed parts); of candidates[0].content.parts[]; of choices[0].message or
+    .delta .content; message.content; response; text. Null where the body is no JSON, empty
+    where it has none of these. Whatever does not have the type that a place asks for is
+    passed over, so mixed shapes in one table are no error."""
+
+    def parts(v, kinds=None):
+        """The texts of a list whose members are texts or objects with a text."""
+        every = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        kind = lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("text"))
+        own = lambda x: F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string")).when(kind(x).isin("text", "output_text"), _text(F.try_variant_get(x, "$.text", "variant")))
+        return F.filter(F.transform(every, own), lambda t: t.isNotNull())
+
+    def content(v):
+        texts = parts(v)
+        return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
+    def found(v):
+        at = lambda path: F.try_variant_get(v, path, "variant")
+        output = F.flatten(F.transform(F.coalesce(F.try_variant_get(v, "$.output", "array<variant>"), F.array().cast("array<variant>")), lambda o: parts(F.try_variant_get(o, "$.content", "variant"))))
+        glued = parts(at("$.candidates[0].content.parts"))
+        return F.coalesce(
+            _text(at("$.output_text")), F.when(F.size(output) > 0, F.array_join(output, "\n")), content(at("$.content")), F.when(F.size(glued) > 0, F.array_join(glued, "")),
+            content(at("$.choices[0].message.content")), content(at("$.choices[0].delta.content")), content(at("$.message.content")), _text(at("$.response")), _text(at("$.text")), F.lit(""),
+        )
+
+    return F.when(F.try_parse_json(body).isNotNull(), let(F.try_parse_json(body), found))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == kind, F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+
+
+def shapes(bodies: DataFrame, body: str, *keys: str) -> DataFrame:
+    """keys, n and shape: one schema that all JSON bodies of a group fit, merged in partial
+    aggregates; bodies that are no JSON are counted in n only."""
+    return bodies.groupBy(*keys).agg(F.count("*").alias("n"), F.schema_of_variant_agg(F.try_parse_json(F.col(body))).alias("shape"))

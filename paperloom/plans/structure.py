@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from paperloom.functions import dialect
 from paperloom.functions import directions
 from paperloom.kernel.capture import PROVIDERS
-from paperloom.operators import elements, skeleton
+from paperloom.operators import chat, elements, isolates, skeleton
 from paperloom.sources.files import spread
 
-from .base import MIXED_SQL, QUERIES, RICH_SQL, docs, mixed, pages, query, rich, sql  # noqa: F401
+from .base import MIXED_SQL, QUERIES, RICH_SQL, docs, mixed, pages, query, rich, sql, turns  # noqa: F401
 
 #: Chat markup around a page, so that selectors of every provider have something to find.
 CHAT = [
@@ -201,3 +201,57 @@ SELECT doc_id, kind, CAST(lo AS BIGINT) AS first_line, CAST(hi AS BIGINT) AS las
 @query(_blocks_sql())
 def text_blocks(spark, sf_dir):
     return skeleton.blocks(_broken_rich(spark, sf_dir))
+
+
+#: Isolate marks where clauses and sentences end: pairs, nests, strays and open ones.
+MARKS = [("(,) ", " \u2066"), ("([.]) ", "\u2069 "), ("([?!]) ", " \u2066a\u2069\u2069")]
+
+
+def _marked_sql() -> str:
+    text = MIXED_SQL
+    for pattern, by in MARKS:
+        text = f"regexp_replace({text}, '{pattern}', '\\1{by}', 'g')"
+    return text
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_marked_sql()} AS t FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN c = '\u2066' THEN 1 ELSE -1 END AS s, p FROM (SELECT doc_id, generate_subscripts(string_split(t, ''), 1) AS p, unnest(string_split(t, '')) AS c, row_number() OVER (PARTITION BY doc_id) AS i FROM t) WHERE c IN ('\u2066', '\u2069')),
+d AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY p) AS d FROM m),
+l AS (SELECT *, d - least(0, min(d) OVER (PARTITION BY doc_id ORDER BY p)) AS up, least(0, min(d) OVER (PARTITION BY doc_id ORDER BY p)) < least(0, coalesce(min(d) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS stray FROM d),
+o AS (SELECT *, s = 1 AND NOT EXISTS (SELECT 1 FROM l z WHERE z.doc_id = l.doc_id AND z.p > l.p AND z.up < l.up) AND NOT EXISTS (SELECT 1 FROM l z WHERE z.doc_id = l.doc_id AND z.p > l.p AND z.stray) AS unclosed FROM l),
+g AS (SELECT doc_id, count(*) FILTER (s = 1 AND NOT unclosed) AS pairs, count(*) FILTER (s = 1 AND up > 1) AS nested, count(*) FILTER (stray) AS stray, count(*) FILTER (unclosed) AS unclosed, min(CASE WHEN stray OR unclosed OR (s = 1 AND up > 1) THEN p - 1 END) AS first FROM o GROUP BY doc_id)
+SELECT t.doc_id, coalesce(pairs, 0)::BIGINT AS pairs, coalesce(nested, 0)::BIGINT AS nested, coalesce(stray, 0)::BIGINT AS stray, coalesce(unclosed, 0)::BIGINT AS unclosed, first::INT AS first_fault, first IS NULL AS balanced FROM t LEFT JOIN g USING (doc_id)""")
+def isolate_balance(spark, sf_dir):
+    text = mixed()
+    for pattern, by in MARKS:
+        text = F.regexp_replace(text, pattern, "$1" + by)
+    return isolates.isolate_balance(spread(docs(spark, sf_dir)).select("doc_id", text.alias("text")))
+
+
+def _body():
+    """Answers of eight shapes, by the turn; the text of the turn is in each."""
+    text, one = F.coalesce("text", F.lit("")), F.lit("x")
+    typed = lambda t, kind="text": F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    shapes = [
+        F.struct(text.alias("output_text"), F.lit(1).alias("content")), F.struct(F.array(F.struct(F.array(typed(text, "output_text"), typed(one, "reasoning"), typed(one)).alias("content"))).alias("output"), F.lit(None).cast("string").alias("output_text")),
+        F.struct(F.array(typed(text), typed(one, "tool"), typed(one)).alias("content")), F.struct(text.alias("content")),
+        F.struct(F.array(F.struct(F.struct(F.array(F.struct(text.alias("text")), F.struct(one.alias("text"))).alias("parts")).alias("content"))).alias("candidates")),
+        F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")), F.struct(F.struct(F.array(text, one).alias("content")).alias("message"), F.lit(2.5).alias("text")),
+    ]
+    turn, made = F.col("turn") % (len(shapes) + 1), F.concat(F.lit("{no json "), text)
+    for i, shape in enumerate(shapes):
+        made = F.when(turn == i, F.to_json(shape)).otherwise(made)
+    return made
+
+
+@query("""SELECT conv_id, turn, CASE turn % 8 WHEN 7 THEN NULL WHEN 1 THEN coalesce(text, '') || chr(10) || 'x' WHEN 2 THEN coalesce(text, '') || chr(10) || 'x' WHEN 4 THEN coalesce(text, '') || 'x' WHEN 6 THEN coalesce(text, '') || chr(10) || 'x' ELSE coalesce(text, '') END AS text FROM conversations""")
+def answers_of_any_shape(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", chat.answer_of(_body()).alias("text"))
+
+
+@query("""WITH t AS (SELECT conv_id, CASE turn % 8 WHEN 7 THEN NULL ELSE to_json({'text': text, 'turn': turn}) END AS body FROM conversations)
+SELECT conv_id, count(*) AS n, count(json_extract_string(body, '$.text')) > 0 AS has_text FROM t GROUP BY conv_id""")
+def answer_shapes(spark, sf_dir):
+    body = F.when(F.col("turn") % 8 != 7, F.to_json(F.struct("text", "turn")))
+    found = chat.shapes(turns(spark, sf_dir).select("conv_id", body.alias("body")), "body", "conv_id")
+    return found.select("conv_id", "n", F.contains("shape", F.lit("text: STRING")).alias("has_text"))
