@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .audit import terms_in
+
 RECEIPT = "docx_sha256 string, pdf_sha256 string, pages_expected int, pages_rendered int, pages_reviewed int, reviewed_pages array<int>, issues array<string>, images int"
 
 
@@ -57,14 +59,6 @@ def set_check(required: Column, names: Column) -> Column:
     return F.struct(F.sort_array(F.array_except(required, names)).alias("missing"), F.sort_array(F.array_except(names, required)).alias("unexpected"))
 
 
-def broken_links(files: DataFrame) -> DataFrame:
-    """path and target of relative Markdown links (files: path, text) that lead to no file."""
-    found = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?<!!)\[[^\]\n]+\]\(([^) \n#]+)[^)\n]*\)"), F.lit(1))).alias("target"))
-    relative = found.filter(~F.col("target").rlike("^([a-z][a-z0-9+.-]*:|/)"))
-    folder = F.regexp_replace("path", "[^/]*$", "")
-    return relative.withColumn("full", F.regexp_replace(F.concat(folder, F.regexp_replace("target", r"^\./", "")), r"[^/]+/\.\./", "")).join(files.select(F.col("path").alias("full")), "full", "left_anti").select("path", "target")
-
-
 def banned_terms(files: DataFrame, terms: list[str]) -> DataFrame:
     """path and term of every banned term that a file holds."""
-    return files.select("path", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("text"), F.lower(t)))).alias("term"))
+    return files.select("path", F.explode(terms_in(F.col("text"), terms)).alias("term"))

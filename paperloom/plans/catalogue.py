@@ -15,7 +15,7 @@ from paperloom.functions import text as tx
 from paperloom.kernel import values
 from paperloom.kernel.capture import PROVIDERS
 from paperloom.kernel.latex import to_mathml
-from paperloom.operators import chat, documents, fidelity, receipts
+from paperloom.operators import audit, chat, documents, fidelity, receipts
 from paperloom.sources.files import spread
 from paperloom.sources.sinks import data_url, file_name
 
@@ -330,7 +330,7 @@ def runtime_manifests(spark, sf_dir):
 @query("SELECT 'd/' || doc_id || '.md' AS path, (doc_id + 1) || '.md' AS target FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)")
 def repository_links(spark, sf_dir):
     link = F.concat(F.coalesce("text", F.lit("")), F.lit("\nsee [x]("), (F.col("doc_id") + 1).cast("string"), F.lit(".md) and [y](http://a.b)"))
-    return receipts.broken_links(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), link.alias("text")))
+    return audit.broken_links(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), link.alias("text")))
 
 
 @query("SELECT turn, '| ' || turn || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x\\|y |  |' AS markdown FROM conversations GROUP BY turn")

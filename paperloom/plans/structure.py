@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import dialect
 from paperloom.functions import directions
 from paperloom.kernel.capture import PROVIDERS
-from paperloom.operators import chat, elements, isolates, skeleton
+from paperloom.operators import audit, chat, elements, isolates, manifests, skeleton
+from paperloom.sources import sinks
 from paperloom.sources.files import spread
 
 from .base import MIXED_SQL, QUERIES, RICH_SQL, docs, mixed, pages, query, rich, sql, turns  # noqa: F401
@@ -255,3 +256,44 @@ def answer_shapes(spark, sf_dir):
     body = F.when(F.col("turn") % 8 != 7, F.to_json(F.struct("text", "turn")))
     found = chat.shapes(turns(spark, sf_dir).select("conv_id", body.alias("body")), "body", "conv_id")
     return found.select("conv_id", "n", F.contains("shape", F.lit("text: STRING")).alias("has_text"))
+
+
+#: Terms of which some lie in others, or overlap; expected pages; links of each text.
+TERMS = ["casino", "asin", "free-bets", "bets.example", "machine", "tion", "action"]
+
+
+@query(f"""WITH f AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS path, text || CASE WHEN doc_id % 50 = 0 THEN ' C:\\Users\\bob\\x' ELSE '' END AS text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages),
+s AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS path, doc_id, source FROM documents)
+SELECT path, 'banned' AS finding, term AS detail FROM f, (SELECT unnest([{', '.join(map(sql, TERMS))}]) AS term) WHERE contains(lower(text), term)
+UNION ALL SELECT path, 'machine_path', 'C:\\Users\\bob' FROM s WHERE doc_id % 50 = 0
+UNION ALL SELECT path, 'broken_link', '../' || source || '/.//' || (doc_id + 1) || '.md' FROM s WHERE 'docs/' || source || '/' || (doc_id + 1) || '.md' NOT IN (SELECT path FROM s)
+UNION ALL SELECT path, 'broken_link', '../../x/../pages/' || (doc_id % 300) || '.html' FROM s WHERE doc_id % 300 NOT IN (SELECT page_id FROM pages)
+UNION ALL SELECT path, 'broken_link', '../../../docs' FROM s
+UNION ALL SELECT 'shots/' || page_id || '.png', 'image', CASE WHEN page_id % 4 = 0 THEN 'no PNG' ELSE (800 + page_id) || 'x' || 300 END FROM pages WHERE page_id % 4 = 0 OR page_id < 200
+UNION ALL SELECT 'pages/' || (page_id * 2) || '.html', 'missing', NULL FROM pages WHERE page_id * 2 NOT IN (SELECT page_id FROM pages)
+UNION ALL SELECT 'pages/' || page_id || '.html', 'unexpected', NULL FROM pages WHERE page_id NOT IN (SELECT page_id * 2 FROM pages)""")
+def repository_audit(spark, sf_dir):
+    """Texts and pages as the files of a repository, with a picture of each page."""
+    id, page, empty = F.col("doc_id").cast("string"), F.col("page_id").cast("string"), F.lit(None).cast("binary")
+    links = F.concat(F.lit("\n[a](../"), "source", F.lit("/.//"), (F.col("doc_id") + 1).cast("string"), F.lit(".md) [b](./x/../"), id, F.lit(".md#s) [c](../../x/../pages/"), (F.col("doc_id") % 300).cast("string"), F.lit(".html) [d](http://x.y/z) [e](../) ![f](no.png) [g](../../../docs) [h](#x)"))
+    texts = spread(docs(spark, sf_dir)).select(F.concat(F.lit("docs/"), "source", F.lit("/"), id, F.lit(".md")).alias("path"), F.concat("text", F.when(F.col("doc_id") % 50 == 0, " C:\\Users\\bob\\x").otherwise(""), links).alias("text"), empty.alias("content"))
+    made = pages(spark, sf_dir)
+    htmls = made.select(F.concat(F.lit("pages/"), page, F.lit(".html")).alias("path"), F.col("html").alias("text"), empty.alias("content"))
+    number = lambda n: F.lpad(F.hex(n), 8, "0")
+    header = F.unhex(F.concat(F.when(F.col("page_id") % 4 == 0, "00").otherwise("89"), F.lit("504E470D0A1A0A0000000D49484452"), number(F.col("page_id") + 800), number(F.lit(300).cast("bigint"))))
+    shots = made.select(F.concat(F.lit("shots/"), page, F.lit(".png")).alias("path"), F.lit(None).cast("string").alias("text"), header.alias("content"))
+    expected = made.select(F.concat(F.lit("pages/"), (F.col("page_id") * 2).cast("string"), F.lit(".html")).alias("path"))
+    return audit.audit(texts.unionByName(htmls).unionByName(shots), TERMS, expected)
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 100 = 7 THEN 'changed' ELSE 'missing' END AS state FROM pages WHERE page_id % 100 IN (7, 8)
+UNION ALL SELECT 'new ' || page_id, 'unexpected' FROM pages WHERE page_id % 100 = 9""")
+def manifest_changes(spark, sf_dir):
+    """The pages against a copy in which few have changed, gone or come."""
+    made, old, new = pages(spark, sf_dir), sinks.shared_path(spark, "manifest"), sinks.shared_path(spark, "manifest")
+    manifests.write(manifests.manifest(made, F.col("page_id"), F.col("url"), F.col("html")), old)
+    kind = F.col("page_id") % 100
+    copy = made.filter(kind != 8).withColumn("html", F.when(kind == 7, F.concat("html", F.lit("!"))).otherwise(F.col("html"))).withColumn("key", F.col("page_id").cast("string"))
+    more = made.filter(kind == 9).withColumn("key", F.concat(F.lit("new "), F.col("page_id").cast("string")))
+    manifests.write(manifests.manifest(copy.unionByName(more), F.col("key"), F.col("url"), F.col("html")), new)
+    return manifests.compare(spark, old, new)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
+import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,17 @@ from paperloom.operators.documents import _mapped
 DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is
+    unset, a local master gets a temporary folder; on a cluster it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    return f"{folder.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
+
+
 def data_url(docx: Column) -> Column:
     """A download link that holds the package."""
     return F.concat(F.lit(f"data:{DOCX_TYPE};base64,"), F.replace(F.base64(docx), F.lit("\r\n"), F.lit("")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import dialect, features
 from paperloom.functions import text as tx
 from paperloom.kernel import normalise, review
-from paperloom.operators import chat, documents, fidelity, receipts
+from paperloom.operators import audit, chat, documents, fidelity, receipts
 from paperloom.plans import catalogue
 from paperloom.sources import files, sinks
 from paperloom.streaming import stream
@@ -92,7 +92,7 @@ def test_receipts(spark):
     rows = spark.createDataFrame([tuple((base | c)[n] for n in names) for c in changes], schema)
     assert [r.visual_valid for r in receipts.visual_gate(rows).collect()] == [True] + [False] * 8
     md = spark.createDataFrame([("a/x.md", "[b](./y.md) [c](../z.md) [d](#e) [f](http://g) [h](no.md)"), ("a/y.md", ""), ("z.md", "BadTerm")], "path string, text string")
-    assert [tuple(r) for r in receipts.broken_links(md).collect()] == [("a/x.md", "no.md")] and receipts.banned_terms(md, ["badterm"]).first().path == "z.md"
+    assert [tuple(r) for r in audit.broken_links(md).collect()] == [("a/x.md", "no.md")] and receipts.banned_terms(md, ["badterm"]).first().path == "z.md"
     m = receipts.runtime_manifest(spark.createDataFrame([('{"schema_version":1,"engine":"paperloom","binaries":{"a":"h"}}',), ("nope",)], "value string"))
     assert [r.valid for r in m.collect()] == [True, False]
     assert [r.path for r in receipts.unlisted_binaries(spark.createDataFrame([("a", "h"), ("b", "h")], "path string, sha256 string"), m.filter("valid")).collect()] == ["b"]
