@@ -9,7 +9,7 @@ of a bounded number of rows, each a stretch of annuli.
 A query first searches the unit that it lies in, where the nearest annuli are. Its k-th
 best score there and the triangle inequality say which other units can hold a better one:
 queries that lie side by side form a block, and blocks meet the units they reach in a join
-on the pivot. A unit is held by one task, queries stream past it, and each visits its
+on the pivot and a bin of the distance. A unit is held by one task, queries stream past it, and each visits its
 annuli outwards until no farther one can hold a score above its k-th best. What is visited
 is scored exactly, in whole numbers. The driver holds the pivots and nothing else.
 """
@@ -29,6 +29,7 @@ SAMPLE = 2048  # rows that pivots are chosen from; every row is indexed
 UNIT = 65_536  # rows of the index that a task holds
 QUERY_BLOCK = 256  # queries that are sent to a unit together
 STEP = 2048  # queries that are searched at once
+BINS = 1024  # of distance, in which blocks of queries meet units
 ANNULUS = 512  # rows of the sorted index that are scored together
 EXACT = float(1 << 53)
 LARGEST = float(1 << 62)  # of a score
@@ -267,11 +268,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embedd
     reach = asked.select("block", "v", "floor").mapInArrow(_spans(shipped), "block bigint, pivot int, d double, reach double").groupBy("block", "pivot").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.max("reach").alias("reach"))
     directory = index.groupBy("unit", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
     gap = F.greatest(F.col("low") - F.col("far"), F.col("near") - F.col("high"))
-    reached = reach.join(directory, "pivot").filter(gap <= F.col("reach")).select("block", F.col("unit").alias("visit")).distinct()
+    # stretches of distance meet in bins: a pivot alone would be one key for all its units and blocks
+    top = directory.agg(F.max("high")).first()[0] or 1.0
+    bins = lambda low, high: F.explode(F.sequence(*[F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(top)) / F.lit(top / BINS)).cast("int") for d in (low, high)]))
+    directory = directory.withColumn("bin", bins(F.col("low"), F.col("high")))
+    reach = reach.filter(F.col("near") - F.col("reach") <= top).withColumn("bin", bins(F.col("near") - F.col("reach"), F.col("far") + F.col("reach")))
+    reached = reach.join(directory, ["pivot", "bin"]).filter(gap <= F.col("reach")).select("block", F.col("unit").alias("visit")).distinct()
     columns = [ROW, "vec_id", "v", "pivot", "distance", "floor"]
     sent = asked.join(reached, "block").filter("visit <> unit").select(F.col("visit").alias("unit"), F.lit(True).alias("query"), *columns)
     stored = index.select("unit", F.lit(False).alias("query"), *columns)
-    visits = stored.unionByName(sent).repartition(units, "unit").sortWithinPartitions("unit", "query", "pivot", "distance", "vec_id", ROW)
+    visits = stored.unionByName(sent).repartitionById(units, F.col("unit").cast("int")).sortWithinPartitions("unit", "query", "pivot", "distance", "vec_id", ROW)
     found = visits.mapInArrow(_visited(shipped), FOUND).unionByName(asked.select(F.col("vec_id").alias("query_id"), F.col(ROW).alias("query_row"), F.inline("found")))
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
