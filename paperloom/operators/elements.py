@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import dialect
 from paperloom.functions.folds import emitting, let
 from paperloom.kernel.capture import PROVIDERS
+from paperloom.sources.sinks import shared_path
 
 DEEPEST = 512
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -211,3 +212,28 @@ def shown_text(html: Column) -> Column:
     for name, sign in (("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
     return text
+
+
+def ancestry(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Every element with the columns of pages, id, name, depth and what its ancestors say:
+    path (names from the top, joined by /), list_depth (lists around it, itself included) and
+    ordinal (its place among its siblings, from 1). A recursive query walks down the parent
+    links, one level a round, DEEPEST rounds at most; the elements are written to the shared
+    folder first, so that no round parses a page again. Pages alike in all columns count once.
+    Sets spark.sql.cteRecursionRowLimit to no limit: results grow with the pages."""
+    spark = pages.sparkSession
+    kept = [c for c in pages.columns if c not in (html, "id", "name", "depth", "path", "list_depth", "ordinal")]
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], F.col(f"`{html}`").alias("__html"), F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]).alias("__key"))
+    rows = element_rows(rows, "__html").drop("signs", "tag", "stop").distinct()
+    among = Window.partitionBy("__key", "parent").orderBy("start")
+    path = shared_path(spark, "elements")
+    rows.withColumn("ordinal", F.row_number().over(among)).withColumn("lists", F.col("name").isin("ul", "ol").cast("int")).write.parquet(path)
+    staged, view = spark.read.parquet(path), "paperloom_" + re.sub(r"[^a-z0-9]", "_", path.rsplit("/", 1)[-1].lower())
+    staged.createOrReplaceTempView(view)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    own = "".join(f"__k{i}, " for i in range(len(kept)))
+    found = spark.sql(f"""WITH RECURSIVE walk MAX RECURSION LEVEL {DEEPEST + 1} AS (
+        SELECT __key, {own}id, name, depth, name AS path, lists AS list_depth, ordinal FROM {view} WHERE parent IS NULL
+        UNION ALL SELECT e.__key, {"".join(f"e.__k{i}, " for i in range(len(kept)))}e.id, e.name, e.depth, concat(walk.path, '/', e.name), walk.list_depth + e.lists, e.ordinal FROM walk JOIN {view} e ON e.__key = walk.__key AND e.parent = walk.id)
+        SELECT * FROM walk""")
+    return found.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], "id", "name", "depth", "path", "list_depth", "ordinal")

@@ -60,6 +60,15 @@ def page_elements(spark, sf_dir):
     return elements.element_rows(spread(pages(spark, sf_dir)).select("page_id", "html")).drop("tag")
 
 
+@query(f"""WITH {_elements_sql('pages')},
+n AS MATERIALIZED (SELECT r, page_id, id, name, depth, parent, row_number() OVER (PARTITION BY r, parent ORDER BY start) AS ordinal FROM e),
+w(r, page_id, id, name, depth, path, lists, ordinal) AS (SELECT r, page_id, id, name, depth, name, CASE WHEN name IN ('ul', 'ol') THEN 1 ELSE 0 END, ordinal FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.r, n.page_id, n.id, n.name, n.depth, w.path || '/' || n.name, w.lists + CASE WHEN n.name IN ('ul', 'ol') THEN 1 ELSE 0 END, n.ordinal FROM w JOIN n ON n.r = w.r AND n.parent = w.id)
+SELECT page_id, CAST(id AS INT) AS id, name, CAST(depth AS INT) AS depth, path, CAST(lists AS INT) AS list_depth, CAST(ordinal AS INT) AS ordinal FROM w""")
+def element_paths(spark, sf_dir):
+    return elements.ancestry(spread(pages(spark, sf_dir)).select("page_id", "html"))
+
+
 def _holds(part: str) -> str:
     out = []
     for attr, star, value, css_class, name in re.findall(r'\[([\w-]+)(?:(\*?)="([^"]*)")?\]|\.([\w-]+)|^([\w-]+)', part):

@@ -173,3 +173,18 @@ def test_answer_text(spark):
 def test_plans_stay_on_the_jvm(spark, name):
     plan = structure.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_paths_equal_a_plain_walk(spark):
+    texts = [t for t in MADE if t] + ["<div>" * 40, "<ul><li><ol><li>a<li>b</ol></ul><ul>"]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "page_id int, html string").withColumn("path", F.lit("clash")).repartition(3)
+    found = elements.ancestry(rows).collect()
+    for i, t in enumerate(texts):
+        walk = sorted(walked(t), key=lambda e: e[1])
+        by, want, among = {}, Counter(), Counter()
+        for name, start, _, depth, parent, _, _ in walk:
+            among[parent] += 1
+            above, lists = by.get(parent, ("", 0))
+            by[start] = (f"{above}/{name}".lstrip("/"), lists + (name in ("ul", "ol")))
+            want[(name, depth, *by[start], among[parent])] += 1
+        assert Counter((r.name, r.depth, r.path, r.list_depth, r.ordinal) for r in found if r.page_id == i) == want, t
