@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import io
+import posixpath
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
 from paperloom.functions.text import safe_filename
 from paperloom.operators.documents import _mapped
@@ -81,31 +84,104 @@ def release(bundles: DataFrame, files: str = "files") -> DataFrame:
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, n: int):
-        self.n = n
+    """What a task has staged: its folder, and the names in it in their order."""
 
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
 
-class _FileWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
 
-    def write(self, rows):
-        import os
+class _Staged:
+    """The two phases of a write. Tasks write into a folder of their own attempt under a
+    staging folder; commit moves what the attempts that count have written and abort moves
+    nothing; both remove the staging folder with all that other attempts left in it. Files
+    are reached by their URI, in any store that pyarrow knows."""
+
+    def __init__(self, path: str, staging: str):
+        self.path, self.staging = path, staging
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
 
-        os.makedirs(self.path, exist_ok=True)
-        n = 0
+    def write(self, rows):
+        store, base = self._store()
+        task = TaskContext.get()
+        folder = f"{base}/{self.staging}/{task.partitionId() if task else 0}-{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=self.alone)  # else a task that outlives its job fails here
+        names = {}
         for row in rows:
-            target = os.path.join(self.path, os.path.basename(row["name"]))
-            with open(target + ".part", "wb") as f:
-                f.write(row["docx"])
-            os.replace(target + ".part", target)
-            n += 1
-        return _Written(n)
+            name = posixpath.basename(row["name"].replace("\\", "/"))
+            if not name.strip(". ") or row["docx"] is None:
+                raise ValueError(f"no file can be made of the name {row['name']!r} and {'no' if row['docx'] is None else 'some'} content")
+            with store.open_output_stream(f"{folder}/{name}") as out:
+                out.write(bytes(row["docx"]))
+            names[name] = None
+        return _Written(folder, list(names))
+
+    def _finish(self, messages):
+        from pyarrow import fs
+
+        store, base = self._store()
+        for message in messages:
+            for name in message.names if message else ():
+                target = f"{base}/{name}"
+                if store.get_file_info(target).type == fs.FileType.File:
+                    store.delete_file(target)
+                store.move(f"{message.folder}/{name}", target)
+        self._clear()
+
+    def _clear(self):
+        from pyarrow import fs
+
+        store, base = self._store()
+        for tried in range(5):  # a task may still be writing when its job is given up
+            if store.get_file_info(f"{base}/{self.staging}").type != fs.FileType.Directory:
+                return
+            try:
+                store.delete_dir(f"{base}/{self.staging}")
+            except OSError:
+                if tried == 4:
+                    raise
+                time.sleep(0.2)
+
+
+class _FileWriter(_Staged, DataSourceWriter):
+    alone = False
+
+    def __init__(self, path: str):
+        super().__init__(path, f"_staging-{uuid.uuid4().hex}")
+        store, base = self._store()
+        store.create_dir(f"{base}/{self.staging}", recursive=True)
+
+    def commit(self, messages):
+        self._finish(messages)
+
+    def abort(self, messages):
+        self._clear()
+
+
+class _StreamWriter(_Staged, DataSourceStreamWriter):
+    """Made anew for each phase, so its staging folder has a fixed name: one query at a time
+    writes to a folder. What a given-up batch leaves there goes with the next commit; a batch
+    that is repeated writes the same names again."""
+
+    alone = True
+
+    def __init__(self, path: str):
+        super().__init__(path, "_staging-stream")
+
+    def commit(self, messages, batchId):
+        self._finish(messages)
+
+    def abort(self, messages, batchId):
+        self._clear()
 
 
 class DocxFiles(DataSource):
-    """df.write.format("paperloom_docx").save(path): a file for each row (name, docx). The
-    path must be a folder that all executors share; a repeated task writes the same files."""
+    """df.write.format("paperloom_docx").save(uri), and writeStream the same: a file for each
+    row (name, docx) in a folder that all executors reach. Of rows with one name the last
+    task's counts. A job that fails, and a task that fails or is repeated, leave no file."""
 
     @classmethod
     def name(cls):
@@ -114,6 +190,9 @@ class DocxFiles(DataSource):
     def writer(self, schema, overwrite):
         return _FileWriter(self.options["path"])
 
+    def streamWriter(self, schema, overwrite):
+        return _StreamWriter(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocxFiles)
