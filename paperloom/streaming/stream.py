@@ -4,9 +4,8 @@ operators serve unchanged; the latest answer of a conversation is the only state
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paperloom.operators import documents
+from paperloom.operators import chat, documents
 
 
 def read_documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -24,5 +23,4 @@ def write_stream(docs: DataFrame, path: str, checkpoint: str):
 
 def latest_responses(turns: DataFrame) -> DataFrame:
     """conv_id, turn, markdown of the last answer so far (complete or update mode)."""
-    answers = turns.filter((F.col("role") == "assistant") & (F.length(F.trim("text")) > 1))
-    return answers.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", F.col("last.turn").alias("turn"), F.col("last.text").alias("markdown"))
+    return chat.latest_response(turns)
