@@ -29,7 +29,7 @@ SAMPLE = 2048  # rows that pivots are chosen from; every row is indexed
 UNIT = 65_536  # rows of the index that a task holds
 QUERY_BLOCK = 256  # queries that are sent to a unit together
 STEP = 2048  # queries that are searched at once
-BINS = 1024  # of distance, in which blocks of queries meet units
+BINS = 128  # of distance, in which blocks of queries meet units
 ANNULUS = 512  # rows of the sorted index that are scored together
 EXACT = float(1 << 53)
 LARGEST = float(1 << 62)  # of a score
@@ -268,12 +268,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embedd
     reach = asked.select("block", "v", "floor").mapInArrow(_spans(shipped), "block bigint, pivot int, d double, reach double").groupBy("block", "pivot").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.max("reach").alias("reach"))
     directory = index.groupBy("unit", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
     gap = F.greatest(F.col("low") - F.col("far"), F.col("near") - F.col("high"))
-    # stretches of distance meet in bins: a pivot alone would be one key for all its units and blocks
+    # stretches of distance meet in bins: a pivot alone would be one key for all its units and
+    # blocks. A pair counts in the first bin that both have, so once.
     top = directory.agg(F.max("high")).first()[0] or 1.0
-    bins = lambda low, high: F.explode(F.sequence(*[F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(top)) / F.lit(top / BINS)).cast("int") for d in (low, high)]))
-    directory = directory.withColumn("bin", bins(F.col("low"), F.col("high")))
-    reach = reach.filter(F.col("near") - F.col("reach") <= top).withColumn("bin", bins(F.col("near") - F.col("reach"), F.col("far") + F.col("reach")))
-    reached = reach.join(directory, ["pivot", "bin"]).filter(gap <= F.col("reach")).select("block", F.col("unit").alias("visit")).distinct()
+    bin_of = lambda d: F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(top)) / F.lit(top / BINS)).cast("int")
+    binned = lambda rows, first, last, name: rows.withColumn(name, bin_of(first)).withColumn("bin", F.explode(F.sequence(F.col(name), bin_of(last))))
+    directory = binned(directory, F.col("low"), F.col("high"), "from_unit")
+    reach = binned(reach.filter(F.col("near") - F.col("reach") <= top), F.col("near") - F.col("reach"), F.col("far") + F.col("reach"), "from_block")
+    once = F.col("bin") == F.greatest("from_unit", "from_block")
+    reached = reach.join(directory, ["pivot", "bin"]).filter(once & (gap <= F.col("reach"))).select("block", F.col("unit").alias("visit")).distinct()
     columns = [ROW, "vec_id", "v", "pivot", "distance", "floor"]
     sent = asked.join(reached, "block").filter("visit <> unit").select(F.col("visit").alias("unit"), F.lit(True).alias("query"), *columns)
     stored = index.select("unit", F.lit(False).alias("query"), *columns)
