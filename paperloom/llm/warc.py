@@ -4,7 +4,10 @@ Archives are written and read with Spark's own text source, so they can lie in a
 store that Spark reaches. A record starts with the version line and a WARC-Filename
 field whose value is drawn anew for each run; that pair parts the records when they
 are read in parallel, whatever the payloads hold. Equal payloads are stored once:
-the record of the largest page_id is the response, all others are revisits of it.
+the record of the largest page_id is the response, all others are revisits of it. Only
+digests are grouped. The response of a frequent payload is known to every task, so its
+copies never travel; other payloads meet their digest, which few rows share. A revisit
+states the length and digest of the full payload itself and needs no join when it is read.
 
 The index lists the captures by URL key and time. Each task sorts its captures into a
 run and cuts it into small blocks, at the bounds of the key ranges too. Blocks go to the
@@ -27,6 +30,7 @@ from .common import ROW, shared_dir, shuffle_partitions, staged, table, with_row
 
 RECORDS_PER_FILE = 20_000
 BLOCK = 64  # captures that travel together
+HOT = 1 << 16  # payloads with at least this part of all rows are frequent: there are no more than this many
 PENDING = 8_192  # captures that are read before a part of them is merged
 BOUND_ROWS = 64  # sampled keys for each range of the index: they only balance the work
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -61,9 +65,16 @@ def write_archives(pages: DataFrame, path: str, run: str) -> None:
     payload = F.col("html").cast("binary")
     rows = rows.withColumns({"size": F.octet_length("html"), "key": F.sha2(payload, 256), "sha1": base32_sha1(payload)})
     each = rows.groupBy("key", "size", "page_id").agg(F.max(ROW).alias("last"), F.count("*").alias("n"))
-    holders = each.groupBy("key", "size").agg(F.max(F.struct("page_id", "last", "n")).alias("holder"))
-    rows = rows.join(holders, ["key", "size"])
-    own = F.col("page_id").eqNullSafe(F.col("holder.page_id")) & ((F.col("holder.n") == 1) | (F.col(ROW) == F.col("holder.last")))
+    holders = staged(each.groupBy("key", "size").agg(F.max(F.struct("page_id", "last", "n")).alias("holder"), F.sum("n").alias("copies")), "holders")
+    total = holders.agg(F.sum("copies")).first()[0] or 0
+    hot = holders.filter((F.col("copies") > 1) & (F.col("copies") * HOT >= total)).select("key", "size", F.col("holder").alias("hot"))  # at most HOT rows
+    holds = lambda h: F.col("page_id").eqNullSafe(h["page_id"]) & ((h["n"] == 1) | (F.col(ROW) == h["last"]))
+    known = F.col("hot").isNotNull()
+    rows = rows.join(F.broadcast(hot), ["key", "size"], "left").withColumn("html", F.when(known & ~holds(F.col("hot")), "").otherwise(F.col("html")))
+    digest = lambda: F.concat_ws(":", "key", "size")
+    rows = rows.withColumn("meets", F.when(known, F.concat(F.lit("-"), F.col(ROW).cast("string"))).otherwise(digest()))
+    rows = rows.join(holders.select(digest().alias("meets"), "holder"), "meets", "left").withColumn("holder", F.coalesce("hot", "holder"))
+    own = holds(F.col("holder"))
     name = lambda page, *more: F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("")), F.lit("-"), F.col("sha1"), *more, F.lit(">"))
     taken = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) % 1_000_000_000 + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.concat(F.lit(HTTP), _field("Content-Length", F.col("size").cast("string")), F.lit("\r\n"), F.when(own, F.col("html")).otherwise(""))
@@ -84,31 +95,41 @@ def write_archives(pages: DataFrame, path: str, run: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str, run: str) -> DataFrame:
-    """record_id, record_type, url, taken, refers_to (a record id), digest (as stated),
-    payload (binary; empty in a revisit) of each record."""
+    """record_id, record_type, url, taken, refers_to (a record id), digest and length of the
+    full payload (as stated), payload (binary; empty in a revisit) of each record."""
     raw = spark.read.option("lineSep", f"WARC/1.1\r\nWARC-Filename: {run}.warc\r\n").text(path).filter(F.length("value") > 0)
     head = F.substring_index("value", "\r\n\r\n", 1)
-    field = lambda name: F.regexp_extract(F.concat(F.lit("\n"), F.col("head")), f"\n{name}: ([^\r\n]*)", 1)
+    field = lambda name, of="head": F.regexp_extract(F.concat(F.lit("\n"), F.col(of)), f"\n{name}: ([^\r\n]*)", 1)
     parts = raw.withColumn("head", head).withColumn("rest", F.substr("value", F.length("head") + 5)).withColumn("http", F.substring_index("rest", "\r\n\r\n", 1))
     skip = F.octet_length("http") + 4
     payload = F.substr(F.col("rest").cast("binary"), skip + 1, field("Content-Length").cast("int") - skip)
     return parts.select(
         field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("taken"),
-        F.nullif(field("WARC-Refers-To"), F.lit("")).alias("refers_to"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"), payload.alias("payload"),
+        F.nullif(field("WARC-Refers-To"), F.lit("")).alias("refers_to"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
+        field("Content-Length", "http").cast("bigint").alias("length"), payload.alias("payload"),
     )
 
 
 def captures(records: DataFrame) -> DataFrame:
     """url_key, taken, page_id, record_type, refers_to (page_id), payload_bytes and
-    payload_digest, both of the full payload; revisits take them from their response."""
+    payload_digest, both of the full payload: measured in a response, as stated in a revisit
+    (broken() tells whether a revisit states what its response holds)."""
     page = lambda c: F.regexp_extract(c, "^<urn:x-capture:(-?[0-9]*)-", 1)
     number = lambda c: F.nullif(page(c), F.lit("")).cast("bigint")
-    measured = records.select(url_key(F.col("url")).alias("url_key"), "taken", "record_id", "record_type", "refers_to", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    stored = measured.filter("record_type = 'response'")
-    others = measured.filter("record_type = 'revisit'").select("url_key", "taken", "record_id", "record_type", "refers_to")
-    found = others.join(stored.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest"), "refers_to", "left")
-    both = stored.unionByName(found)
-    return both.select("url_key", "taken", number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest")
+    whole = F.col("record_type") == "response"
+    n, digest = F.when(whole, F.octet_length("payload")).otherwise(F.col("length")), F.when(whole, base32_sha1(F.col("payload"))).otherwise(F.col("digest"))
+    return records.select(url_key(F.col("url")).alias("url_key"), "taken", number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), n.cast("bigint").alias("payload_bytes"), digest.alias("payload_digest"))
+
+
+def broken(records: DataFrame) -> DataFrame:
+    """record_id and reason of what does not hold together: responses whose payload is not
+    what they state, and what revisits refer to and nobody has, or has otherwise. Revisits
+    that state the same count once, before the shuffle, so a hot response is one row."""
+    stored = records.filter("record_type = 'response'").select("record_id", "digest", "length", (F.octet_length("payload") == F.col("length")).alias("whole"), (base32_sha1(F.col("payload")) == F.col("digest")).alias("same"))
+    bad = stored.filter(~(F.col("whole") & F.col("same"))).select("record_id", F.lit("payload differs from its record").alias("reason"))
+    asked = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("record_id"), F.col("digest").alias("d"), F.col("length").alias("l")).distinct()
+    met = asked.join(stored, "record_id", "left").filter(F.col("digest").isNull() | (F.col("digest") != F.col("d")) | (F.col("length") != F.col("l")))
+    return bad.unionByName(met.select("record_id", F.when(F.col("digest").isNull(), "no such response").otherwise("revisits state another payload").alias("reason")))
 
 
 class LoserTree:

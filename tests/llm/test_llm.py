@@ -427,6 +427,31 @@ def test_repeated_page_with_equal_payload_has_one_response(spark):
     assert kinds == {(7, 4, "response", None): 1, (7, 4, "revisit", 7): 2, (2, 4, "revisit", 7): 1, (7, 5, "response", None): 1}
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1 << 16])
+def test_frequent_payloads_and_rare_ones_give_the_same_records(spark, monkeypatch, hot):
+    """One payload is half of all rows, another a tenth, others come once or twice."""
+    monkeypatch.setattr(warc, "HOT", hot)
+    html = [("hot" * 500 if i % 2 else "warm" if i % 10 == 0 else f"p{i // 4}" if i % 4 == 0 else f"q{i}") for i in range(2000)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id bigint, url string, html string").repartition(4, "page_id")
+    last = {h: i for i, h in enumerate(html)}
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.archived(pages).collect()}
+    want = {i: ("response", None) if last[h] == i else ("revisit", last[h]) for i, h in enumerate(html)}
+    assert got == {i: (*w, len(html[i]), base64.b32encode(hashlib.sha1(html[i].encode()).digest()).decode()) for i, w in want.items()}
+
+
+def test_broken_records_are_named(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", "other"), (4, "http://c/", "same"), (5, "u", None)], "page_id bigint, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), "run")
+    records = warc.read_archives(spark, str(tmp_path / "w"), "run").cache()
+    assert records.count() == 5 and warc.broken(records).count() == 0
+    torn = records.filter("record_type = 'revisit' or payload != cast('same' as binary)")
+    assert [r.reason for r in warc.broken(torn).collect()] == ["no such response"]
+    changed = records.withColumn("payload", warc.F.expr("if(payload = cast('other' as binary), cast('othe!' as binary), payload)"))
+    assert [r.reason for r in warc.broken(changed).collect()] == ["payload differs from its record"]
+    stated = records.withColumn("length", warc.F.expr("if(record_type = 'revisit', length + 1, length)"))
+    assert [r.reason for r in warc.broken(stated).collect()] == ["revisits state another payload"]
+
+
 def captured(rows):
     return pa.RecordBatch.from_pylist([{"url_key": u, "taken": t, "page_id": p} for u, t, p in rows], schema=pa.schema([("url_key", pa.string()), ("taken", pa.string()), ("page_id", pa.int64())]))
 
