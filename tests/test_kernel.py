@@ -141,6 +141,23 @@ def test_validator_rejects_tampering(part, old, new, word):
     assert any(word in e for e in review.validate(review.Package(packed(parts)))["errors"])
 
 
+@pytest.mark.parametrize("text,faults", [("", {}), ("(a)", {"pairs": 1}), ("((a))(b)", {"pairs": 3, "nested": 1}), (")a(", {"stray": 1, "unclosed": 1}), ("(()", {"pairs": 1, "nested": 1, "unclosed": 1}), ("())(x)", {"pairs": 2, "stray": 1}), (")))", {"stray": 3})])
+def test_isolate_faults(text, faults):
+    assert review.isolate_faults(text.translate({40: values.LRI, 41: values.PDI})) == faults
+    big = review.isolate_faults((values.LRI + "x" + values.PDI) * 300_000 + values.PDI)
+    assert big == {"pairs": 300_000, "stray": 1}
+
+
+def test_flat_trees_nest_as_intervals():
+    root = review.ET.fromstring(parts_of("# a\n\n| x | y |\n|---|---|\n| 1 | שלום **b** |\n")["word/document.xml"])
+    flat = review.Flat(root)
+    assert flat.nodes[0] is root and review.Flat(None).nodes == []
+    for i, node in enumerate(flat.nodes):
+        assert flat.nodes[i : flat.end[i]] == list(node.iter()) and all(flat.up[k] == i for k, n in enumerate(flat.nodes) if n in list(node))
+        assert [flat.nodes[k] for k in flat.inside(i, review._w("t"))] == list(node.iter(review._w("t")))
+        assert [flat.nodes[k] for k in flat.under(i, "pPr", "jc")] == node.findall(f"{review._w('pPr')}/{review._w('jc')}")
+
+
 def test_review_of_a_document():
     text = "# כותרת A\n\nשלום **world** `x` [l](http://a.b)\n\n- one\n\n| א | ב |\n|---|---|\n| 1 | 2 |\n\n$x^2$\n"
     data = compile_docx(text)
