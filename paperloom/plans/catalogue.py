@@ -18,6 +18,7 @@ from paperloom.kernel.latex import to_mathml
 from paperloom.operators import audit, chat, documents, fidelity, receipts
 from paperloom.sources.files import spread
 from paperloom.sources.sinks import data_url, file_name
+from paperloom.streaming import stream
 
 from . import structure  # noqa: F401  (registers its queries)
 from .base import MIXED_SQL, ORACLES, QUERIES, RICH_SQL, docs as _docs, mixed as _mixed, pages as _pages, query, rich as _rich, sql as _sql, turns as _turns
@@ -87,11 +88,20 @@ def preflight_summary_by_lang(spark, sf_dir):
     return found.groupBy("lang").agg(F.count("*").alias("docs"), not_empty.alias("not_empty"), F.sum("f_bytes").alias("bytes"))
 
 
-@query("""SELECT conv_id, turn, text AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS n FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 1) WHERE n = 1""")
+_LATEST = "SELECT conv_id, turn, text AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS n FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 1) WHERE n = 1"
+
+
+@query(_LATEST)
 def latest_assistant_response(spark, sf_dir):
     return chat.latest_response(_turns(spark, sf_dir))
 
 
+@query(_LATEST)
+def answers_streamed(spark, sf_dir):
+    """The same by keyed state over a stream of the turns."""
+    return stream.answers_streamed(spark, f"{sf_dir}/conversations.parquet")
+
+
 _RAW = "' a' || chr(13) || chr(10) || text || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || '  b '"
 
 
