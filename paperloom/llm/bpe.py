@@ -126,10 +126,7 @@ class PrefixTable:
     def closed_counts(self, word: str) -> list[int]:
         """count[i]: the exact number of tokens of the first i symbols as a word
         of its own, that is with the end-of-word mark on symbol i."""
-        last = self.last_tokens(word)
-        count = [0] * len(last)
-        for i in range(1, len(last)):
-            count[i] = count[i - len(last[i])] + 1
+        last, count = self.opened(word)
         closed = [0] * len(last)
         for end, (size, token, memo) in self.closing.iter(word):
             i = end + 1
@@ -142,3 +139,37 @@ class PrefixTable:
             if not closed[i]:  # the last symbol is outside the vocabulary
                 closed[i] = count[i - 1] + 1
         return closed
+
+    def opened(self, word: str) -> tuple[list[str], list[int]]:
+        """The last token and the number of tokens of each open prefix."""
+        last = self.last_tokens(word)
+        count = [0] * len(last)
+        for i in range(1, len(last)):
+            count[i] = count[i - len(last[i])] + 1
+        return last, count
+
+    def closed_after(self, word: str, tables: tuple[list[str], list[int]], at: int, more: str) -> int:
+        """The number of tokens of word[:at] + more as a word of its own, from the opened tables
+        of word: only the last symbols are looked at, however long the word is."""
+        base = max(0, at - self.longest)
+        text, size_now = word[base:at] + more, at + len(more)
+        last, count = tables[0][base : at + 1] + [None] * len(more), tables[1][base : at + 1]
+        for end, (size, token, memo) in self.open.iter(text):
+            i = end + 1
+            if base + i > at and last[i] is None:
+                before = last[i - size]
+                if before is None:
+                    before = self._alone(text, i - size, last)
+                ok = memo.get(before)
+                if self._compatible(before, token, memo) if ok is None else ok:
+                    last[i] = token
+        for i in range(len(count), len(text) + 1):
+            last[i] = last[i] or text[i - 1]
+            count.append(count[i - len(last[i])] + 1)
+        for end, (size, token, memo) in self.closing.iter(text):
+            i = end + 1
+            if base + i == size_now:
+                ok = memo.get(last[i - size])
+                if self._compatible(last[i - size], token, memo) if ok is None else ok:
+                    return count[i - size] + 1
+        return count[-2] + 1 if len(count) > 1 else 0

@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +60,14 @@ class WordCounter:
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes | list[int]] = {}
         self.known_parts: dict[str, bytes | list[int]] = {}
+        self.sigma = self._normal("ΑΣ")[1] != self._normal("ΑΣΑ")[1]  # a lower case that depends on what follows
 
     def _normal(self, raw: str) -> str:
         return unicodedata.normalize("NFC", raw).lower() if _PLAIN.fullmatch(raw) else self.library.normalizer.normalize_str(raw)
 
-    def _pretokens(self, raw: str) -> list[tuple[int, str]]:
-        """Pre-tokens of a run and where they start in its normal form."""
-        normal = self._normal(raw)
-        if _PLAIN.fullmatch(raw):
+    def _pretokens(self, normal: str) -> list[tuple[int, str]]:
+        """Pre-tokens of a run in its normal form, and where they start."""
+        if _PLAIN.fullmatch(normal):
             return [(m.start(), m[0]) for m in self.words.finditer(normal)]
         return [(a, normal[a:b]) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -89,24 +90,24 @@ class WordCounter:
         total, at = 0, 0
         if "<|" in raw:
             for m in self.cut.finditer(raw):
-                total += 1 + sum(self.part(p)[-1] for _, p in self._pretokens(raw[at : m.start()]))
+                total += 1 + sum(self.part(p)[-1] for _, p in self._pretokens(self._normal(raw[at : m.start()])))
                 at = m.end()
-        return total + sum(self.part(p)[-1] for _, p in self._pretokens(raw[at:]))
+        return total + sum(self.part(p)[-1] for _, p in self._pretokens(self._normal(raw[at:])))
 
     def run(self, raw: str) -> bytes | list[int]:
-        """The table of a run of text without ASCII white space. Cutting a run cuts its last
-        pre-token and leaves the others, unless a contraction, a special string, a sign that
-        joins the one before or a capital sigma is in it; then each prefix is split anew."""
-        apart = "'" in raw or "<|" in raw or "Σ" in raw or not unicodedata.is_normalized("NFC", raw)
-        if not apart and len(self._normal(raw)) == len(raw):
-            out, total, end = [], 0, 0
-            for start, pretoken in self._pretokens(raw):
-                out += [total] * (start - end)
-                table = self.part(pretoken)
-                out += [total + n for n in table] if total else table
-                total, end = total + table[-1], start + len(pretoken)
-            return _packed(out + [total] * (len(raw) - end))
-        return _packed([self._total(raw[:i]) for i in range(1, len(raw) + 1)])
+        """The table of a run of text without ASCII white space: special strings count one when
+        they are whole, what is between them is a section."""
+        out, done, at = [], 0, 0
+        for m in [*(self.cut.finditer(raw) if "<|" in raw else ()), None]:
+            end = m.start() if m else len(raw)
+            section = _Section(self, raw[at:end])
+            out += [done + n for n in section.prefixes()] if done else section.prefixes()
+            if m:
+                size = len(section.normal)
+                out += [done + section.changed(size, self._normal(raw[end : end + k])) for k in range(1, len(m[0]))]
+                done, at = done + section.before[-1] + 1, m.end()
+                out.append(done)
+        return _packed(out)
 
     def of(self, raw: bytes) -> int:
         """Tokens of one run. Normalising, matching special tokens and splitting never look
@@ -139,6 +140,78 @@ class WordCounter:
         return out
 
 
+def _chunks(text: str) -> list[str]:
+    """Pieces whose normal forms do not depend on each other: a base sign and what joins it, or
+    a run of white space (of Unicode; there is no other here)."""
+    joins = lambda c: c > "\u02ff" and (unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff")
+    starts = [i for i, c in enumerate(text) if not i or not (joins(c) or c.isspace() and text[i - 1].isspace())]
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+
+
+class _Section:
+    """A run of text without white space and whole special strings: its normal form, its
+    pre-tokens and the tokens before each. A cut leaves all pre-tokens but the last as they
+    are, and the last has a table, unless the cut falls into a contraction or between signs that
+    join (then the signs around it are split again, and the last tokens of the pre-token before it
+    are enough to go on). So the work grows with the length, and with the number of
+    signs that join one base."""
+
+    def __init__(self, counter: WordCounter, raw: str):
+        self.counter, self.raw, self.normal = counter, raw, counter._normal(raw)
+        found = counter._pretokens(self.normal)
+        self.starts, self.words, self.before = [a for a, _ in found], [w for _, w in found], [0]
+        for word in self.words:
+            self.before.append(self.before[-1] + counter.part(word)[-1])
+        self.opened: tuple = (None,)
+
+    def prefixes(self) -> list[int]:
+        """The count of each prefix of the raw text, from one sign on."""
+        raw, normal = self.raw, self.counter._normal
+        if "Σ" in raw and self.counter.sigma:
+            return [self.counter._total(raw[:i]) for i in range(1, len(raw) + 1)]
+        if len(self.normal) == len(raw) and "İ" not in raw and (raw.isascii() or unicodedata.is_normalized("NFC", raw)):
+            return self.plain()
+        pieces = _chunks(raw)
+        forms = [normal(piece) for piece in pieces]
+        if "".join(forms) != self.normal:  # signs that a newer version of Unicode joins
+            return [self.counter._total(raw[:i]) for i in range(1, len(raw) + 1)]
+        out, c, whole = [], 0, self.plain()
+        for piece, form in zip(pieces, forms, strict=True):
+            out += [self.changed(c, normal(piece[:k])) for k in range(1, len(piece))]
+            c += len(form)
+            out.append(whole[c - 1] if c else 0)
+        return out
+
+    def plain(self) -> list[int]:
+        """The count of each prefix of the normal form."""
+        out, end = [], 0
+        for start, word, total in zip(self.starts, self.words, self.before, strict=False):
+            out += [total] * (start - end)
+            table = self.counter.part(word)
+            if word[0] == "'" and word[1:2].isalpha():
+                table = [*(sum(self.counter.part(w)[-1] for _, w in self.counter._pretokens(word[:k])) for k in range(1, len(word))), table[-1]]
+            out += [total + n for n in table] if total else table
+            end = start + len(word)
+        return out + [self.before[-1]] * (len(self.normal) - end)
+
+    def changed(self, c: int, tail: str) -> int:
+        """The count of the first c signs of the normal form and a tail that differs from what follows there."""
+        k = bisect_right(self.starts, max(c - 3, 0)) - 1
+        p, total = (self.starts[k], self.before[k]) if k >= 0 else (0, 0)
+        q = c - CACHED_LENGTH
+        while q > p and self.normal[q] == "'":  # a contraction could begin in the middle of a pre-token
+            q -= 1
+        if k < 0 or q <= p or c - p > len(self.words[k]):
+            return total + sum(self.counter.part(word)[-1] for _, word in self.counter._pretokens(self.normal[p:c] + tail))
+        (_, first), *found = self.counter._pretokens(self.normal[q:c] + tail)  # splits as it does from p on
+        if self.opened[0] != k:
+            word = self.counter._letters(self.words[k])
+            self.opened = k, np.cumsum([0, *(len(sign.encode()) for sign in self.words[k])]), word, self.counter.table.opened(word)
+        _, places, word, tables = self.opened
+        total += self.counter.table.closed_after(word, tables, int(places[c - p]), self.counter._letters(first[c - q :]))
+        return total + sum(self.counter.part(word)[-1] for _, word in found)
+
+
 def _packed(counts: list[int]) -> bytes | list[int]:
     return bytes(counts) if max(counts, default=0) < 256 else list(counts)
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -49,6 +50,16 @@ def test_pieces_are_those_of_the_library(spark):
     assert pieces.encode_decode(docs_of(spark, []), pieces.model_bytes()).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a'" + "b" * 100_000, "e\u0301" * 50_000, "x" * 50_000 + "e\u0301" + "y" * 50_000, "don't" * 20_000, "ab<|endoftext|>" * 7_000, "Σ" * 100_000, "!" * 90_000 + "<|endoftext|>", "İ" * 50_000, "''" * 50_000 + "e\u0301"])
+def test_prefix_tables_of_long_runs(text):
+    """100 000 signs without white space take seconds, whatever is in them."""
+    counter, began = counts.WordCounter(counts.tokenizer_bytes()), time.perf_counter()
+    table = counter.prefixes(text)
+    assert time.perf_counter() - began < 30
+    for i in {1, 2, 1000, 1001, *random.Random(3).sample(range(len(text)), 5), len(text) - 1, len(text)}:
+        assert table[i] == len(counter.library.encode(text[:i], add_special_tokens=False).ids)
+
+
 def test_counts_are_those_of_the_library(spark):
     counter = counts.WordCounter(counts.tokenizer_bytes())
     rnd = random.Random(2)
@@ -60,6 +71,9 @@ def test_counts_are_those_of_the_library(spark):
     texts = ["Truncated words, counted exactly: naïve café <|endoftext|> 12", "can't we'll THEY'RE 'tis ''s", "日本語のテキスト、区切りなし。123", "e\u0301a\u0300 ΟΔΟΣ İi\u0307 \u00a0x\u2003y", *texts[:150]]
     for t in texts:
         assert counter.prefixes(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)], t
+    signs = [*"'st!1Σİé", "e\u0301", "\u0301", "\u0323", "\u0338", "=", "'re", "<|", "<|endof", "<|endoftext|>", "\u1100", "\u1161", "\u11a8", "\u0915", "\u093c", "\ufb01", "\u212b", "\xa0", "🙂", "x" * 70]
+    for t in ("".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 15))) for _ in range(1500)):
+        assert counter.prefixes(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)], t
     for raw in ("thththe", "antidisestablishment", "aaaa", "x" * 300):
         assert list(counter.part(raw)) == [n(raw[: i + 1]) for i in range(len(raw))]
     rows = counts.count_tokens(docs_of(spark, AWKWARD).withColumnRenamed("lang", "over_limit"), counts.tokenizer_bytes(), limit=5, prefix_table=True)
