@@ -149,10 +149,12 @@ def capture_filterable_pages(spark, sf_dir):
 _URLS = ["https://chatgpt.com/c/1", "https://www.claude.ai/x", "http://chat.deepseek.com:80/", "https://evilgrok.com", "https://x.com/a", "chrome://x", "https://m365.cloud.microsoft/chat"]
 
 
-@query(f"SELECT url, h AS host, {_PROVIDER} AS provider, NOT regexp_matches(lower(url), '^(chrome|edge|about|view-source):') AS allowed FROM (SELECT url, {_HOST} AS h FROM (SELECT unnest([{', '.join(map(_sql, _URLS))}]) AS url))")
+@query(f"SELECT page_id, h AS host, {_PROVIDER} AS provider, NOT regexp_matches(lower(u), '^(chrome|edge|about|view-source):') AS allowed FROM (SELECT page_id, u, {_HOST.replace('url', 'u')} AS h FROM (SELECT page_id, [{', '.join(map(_sql, _URLS))}][page_id % {len(_URLS)} + 1] || '/?' || coalesce(url, '') AS u FROM pages))")
 def detect_provider(spark, sf_dir):
-    host = dialect.host_of(F.col("url"))
-    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", host.alias("host"), dialect.provider(host).alias("provider"), dialect.can_capture(F.col("url")).alias("allowed"))
+    """The pages as if each chat site in turn had linked to them."""
+    url = F.concat(F.get(F.array(*map(F.lit, _URLS)), (F.col("page_id") % len(_URLS)).cast("int")), F.lit("/?"), F.coalesce("url", F.lit("")))
+    host = dialect.host_of(url)
+    return _pages(spark, sf_dir).select("page_id", host.alias("host"), dialect.provider(host).alias("provider"), dialect.can_capture(url).alias("allowed"))
 
 
 @query()
@@ -171,10 +173,17 @@ def md_node_summary(spark, sf_dir):
     return found.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in [*values.SYMBOLS.items()]) + ") AS t(command, sign) UNION ALL SELECT 'unknown', NULL")
+_COMMANDS = [*values.SYMBOLS]
+
+
+@query(f"""WITH w AS (SELECT unnest(list_append(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), [{", ".join(map(_sql, _COMMANDS))}][doc_id % {len(_COMMANDS)} + 1])) AS command FROM documents)
+SELECT w.command, count(*) AS n, any_value(s.sign) AS sign FROM w LEFT JOIN (VALUES {", ".join(f"({_sql(k)}, {_sql(v)})" for k, v in values.SYMBOLS.items())}) AS s(command, sign) ON w.command = s.command GROUP BY w.command""")
 def math_symbols(spark, sf_dir):
-    rows = spark.createDataFrame([(k,) for k in [*values.SYMBOLS, "unknown"]], "command string")
-    return rows.select("command", tx.math_symbol(F.col("command")).alias("sign"))
+    """The words of all texts, and a command for each text, looked up as commands."""
+    given = F.get(F.array(*map(F.lit, _COMMANDS)), (F.col("doc_id") % len(_COMMANDS)).cast("int"))
+    words = F.array_append(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), given)
+    found = spread(_docs(spark, sf_dir)).select(F.explode(words).alias("command")).groupBy("command").agg(F.count("*").alias("n"))
+    return found.select("command", "n", tx.math_symbol(F.col("command")).alias("sign"))
 
 
 def _run_sql(text: str) -> str:
@@ -323,12 +332,16 @@ def visual_gate(spark, sf_dir):
     return receipts.visual_gate(rows).select("doc_id", "visual_valid")
 
 
-@query("SELECT CAST(i AS VARCHAR) AS name, CASE WHEN i < 40 AND i % 5 = 0 THEN 'missing' WHEN i >= 40 THEN 'unexpected' WHEN i % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM range(0, 50) AS t(i)")
+@query("""SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM pages
+UNION ALL SELECT 'new ' || page_id, 'unexpected' FROM pages WHERE page_id % 11 = 0""")
 def golden_images(spark, sf_dir):
-    rows = spark.range(50).select("id", F.col("id").cast("string").alias("name"), F.lit(1).alias("bytes"))
-    expected = rows.filter("id < 40").withColumn("sha256", F.lit("a"))
-    actual = rows.filter("id >= 40 OR id % 5 <> 0").withColumn("sha256", F.when(F.col("id") % 7 == 0, "b").otherwise("a"))
-    return receipts.golden_diff(expected.drop("id"), actual.drop("id"))
+    """The pages as pictures, against a set in which some are gone, changed or new."""
+    html = F.coalesce("html", F.lit(""))
+    shots = lambda rows, name, bytes_: rows.select(name.alias("name"), F.octet_length(bytes_).alias("bytes"), F.sha2(bytes_, 256).alias("sha256"))
+    made, name = _pages(spark, sf_dir), F.col("page_id").cast("string")
+    kept = shots(made.filter("page_id % 5 <> 0"), name, F.concat(html, F.when(F.col("page_id") % 7 == 0, "!").otherwise("")))
+    new = shots(made.filter("page_id % 11 = 0"), F.concat(F.lit("new "), name), html)
+    return receipts.golden_diff(shots(made, name, html), kept.unionByName(new))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 = 0 AS valid FROM documents")
@@ -349,10 +362,10 @@ def ragged_tables(spark, sf_dir):
     return _turns(spark, sf_dir).select("turn").distinct().select("turn", tx.table_markdown(rows).alias("markdown"))
 
 
-@query("SELECT level, CAST(s AS VARCHAR) AS size FROM (VALUES (1, '21'), (2, '16'), (3, '13.5'), (4, '12'), (5, '11'), (6, '10.5')) AS t(level, s)")
+@query("SELECT doc_id, (n_chars // 2) || CASE WHEN n_chars % 2 = 1 THEN '.5' ELSE '' END AS size FROM documents")
 def theme_points(spark, sf_dir):
-    rows = spark.createDataFrame([(k, v[0]) for k, v in values.HEADINGS.items()], "level int, half int")
-    return rows.select("level", tx.points(F.col("half"), 2).alias("size"))
+    """The lengths of the texts as half points."""
+    return _docs(spark, sf_dir).select("doc_id", tx.points(F.col("n_chars"), 2).alias("size"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
