@@ -49,3 +49,9 @@ def test_shared_parts_are_parsed_once(monkeypatch):
 
 def test_packages_are_checked_where_they_are_made(spark):
     assert plan(spark, "validate_docx").count("MapInArrow") == 1
+
+
+def test_verify_run_moves_no_packages(spark):
+    """Packages meet their texts in the row they are made in; a null id keeps its row."""
+    shown = plan(spark, "verify_run")
+    assert "Join" not in shown and shown.count("Exchange") <= 1
