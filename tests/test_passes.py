@@ -55,3 +55,7 @@ def test_verify_run_moves_no_packages(spark):
     """Packages meet their texts in the row they are made in; a null id keeps its row."""
     shown = plan(spark, "verify_run")
     assert "Join" not in shown and shown.count("Exchange") <= 1
+
+
+def test_read_packages_in_one_pass(spark):
+    assert plan(spark, "read_packages").count("MapInArrow") == 1
