@@ -15,8 +15,9 @@ from .text import FENCE_LINE, RTL_CLASS, fence_flags, folded
 ISLAND = r"(?s)\\.?|`(?:\\.|[^`\\])*+(?:`|\\?\z)|\$(?:\\.|[^$\\])*+(?:\$|\\?\z)"
 _RTL = r"\x{0590}-\x{08FF}"
 _LTR = rf"\p{{IsAlphabetic}}&&[^{_RTL}]"
-#: A stretch whose strong signs have one direction, with the neutral signs between them.
-CORE = rf"[{_RTL}]++(?:[^{_RTL}\p{{IsAlphabetic}}]*+[{_RTL}]++)*+|[{_LTR}]++(?:[^{_RTL}\p{{IsAlphabetic}}]*+[{_LTR}]++)*+"
+#: A stretch whose strong signs have one direction, with the neutral signs between them: all
+#: up to the next sign of the other one, and back to the last of its own.
+CORE = rf"[{_RTL}](?:[{_RTL}[^\p{{IsAlphabetic}}]]*[{_RTL}])?+|[{_LTR}](?:[^{_RTL}]*[{_LTR}])?+"
 SEGMENT = "array<struct<text:string,rtl:boolean>>"
 _PAIRS = sorted(CLOSERS.items())
 _ALWAYS = "".join(sorted(OPENERS - set(CLOSERS)))

@@ -44,6 +44,7 @@ def test_shared_parts_are_parsed_once(monkeypatch):
         assert review.validate(package)["valid"] and review.semantics(package)["text"] == f"text {i}"
     assert len(read) == 7 + 3 and len(tables) == 3 + 1
     monkeypatch.setattr(review, "SHARED", 2)
+    monkeypatch.setattr(review, "_KEPT", review._Kept())
     assert review.validate(review.Package(compile_docx("x")))["valid"] and len(review._KEPT) <= 2
 
 
@@ -59,3 +60,11 @@ def test_verify_run_moves_no_packages(spark):
 
 def test_read_packages_in_one_pass(spark):
     assert plan(spark, "read_packages").count("MapInArrow") == 1
+
+
+def test_directions_are_counted_without_arrays_of_signs(spark):
+    from paperloom.functions import text as tx
+
+    shown = spark.sql("select 'x שלום 1é😀𐐀' t union all select '' union all select null").select(tx.rtl_count(tx.F.col("t")).alias("r"), tx.ltr_count(tx.F.col("t")).alias("l"))
+    assert sorted(map(str, shown.collect())) == ["Row(r=0, l=0)", "Row(r=4, l=3)", "Row(r=None, l=None)"]
+    assert "regexp_extract_all" not in plan(spark, "direction_stats").lower()
