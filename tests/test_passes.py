@@ -68,3 +68,45 @@ def test_directions_are_counted_without_arrays_of_signs(spark):
     shown = spark.sql("select 'x שלום 1é😀𐐀' t union all select '' union all select null").select(tx.rtl_count(tx.F.col("t")).alias("r"), tx.ltr_count(tx.F.col("t")).alias("l"))
     assert sorted(map(str, shown.collect())) == ["Row(r=0, l=0)", "Row(r=4, l=3)", "Row(r=None, l=None)"]
     assert "regexp_extract_all" not in plan(spark, "direction_stats").lower()
+
+
+def test_preflight_is_made_once(monkeypatch):
+    from paperloom.operators.documents import report_of
+
+    text = "# a\n\nb **c**\n"
+    before, data, tested = review.preflight(text), compile_docx(text), review.self_test(compile_docx)
+    want = report_of(text, data, "llm", data, tested, None)
+    monkeypatch.setattr(review, "features", None)
+    assert want[0] and report_of(text, data, "llm", data, tested, None, before) == want
+
+
+def test_packages_are_packed_as_by_the_library(monkeypatch):
+    from paperloom.kernel import docx
+
+    cases = [docx.parts_of(t) for t in ("", "# a\n\nשלום x", "y" * 50_000)] + [{}, {"a.xml": "é"}]
+    want = [docx._packed_by_library(parts) for parts in cases]
+    monkeypatch.setattr(docx.zipfile, "ZipFile", None)
+    assert [docx.packed(parts) for parts in cases] == want
+
+
+def test_texts_of_a_tree_are_read_once():
+    package = review.Package(compile_docx("a שלום b\n\n| x | y |\n|---|---|\n| 1  \n2 | $z^2$ |\n\n\n> q **r**\n"))
+    tree = package.flat(review.DOCUMENT)
+    for tag in list(tree.rows):
+        for signs in (review.RUN_SIGNS, review.PARAGRAPH_SIGNS):
+            plain = [(i, "".join(review._STRIP.sub("", signs[n.tag] or n.text or "") for n in tree.nodes[i].iter() if n.tag in signs)) for i in tree.rows[tag]]
+            assert tree.texts(tag, signs) == plain
+    assert len(tree.read) == 2 and review.Flat(None).texts("x", review.RUN_SIGNS) == []
+
+
+def test_only_what_is_asked_for_leaves_python(spark):
+    from paperloom.operators import documents
+
+    docs = spark.createDataFrame([(1, "a"), (2, "```")], "doc_id int, text string")
+    found = documents.built(docs, only=["valid", "replay"])
+    assert found.columns == ["doc_id", "text", "valid", "replay", "kernel_error"]
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, "a", True, True, None), (2, "```", False, None, None)]
+
+
+def test_build_report_moves_no_packages(spark):
+    assert "docx#" not in plan(spark, "build_report")
