@@ -110,3 +110,9 @@ def test_only_what_is_asked_for_leaves_python(spark):
 
 def test_build_report_moves_no_packages(spark):
     assert "docx#" not in plan(spark, "build_report")
+
+
+def test_nodes_leave_python_as_rows(spark):
+    """No arrays of trees to take apart, and only the columns that are summed."""
+    shown = plan(spark, "md_node_summary")
+    assert "Generate" not in shown and "literal" not in shown
