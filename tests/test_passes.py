@@ -116,3 +116,13 @@ def test_nodes_leave_python_as_rows(spark):
     """No arrays of trees to take apart, and only the columns that are summed."""
     shown = plan(spark, "md_node_summary")
     assert "Generate" not in shown and "literal" not in shown
+
+
+def test_equal_short_inputs_are_worked_on_once(spark):
+    import uuid
+
+    from paperloom.operators.documents import _mapped
+
+    rows = spark.createDataFrame([("a",)] * 500 + [("b",), (None,), ("x" * 5000,), ("x" * 5000,)], "text string").coalesce(1)
+    found = _mapped(rows, [rows.text], "made string", lambda _: (str(uuid.uuid4()),)).collect()
+    assert len(found) == 504 and len({r.made for r in found if r.text == "a"}) == 1 and len({r.made for r in found}) == 5
