@@ -126,3 +126,27 @@ def test_equal_short_inputs_are_worked_on_once(spark):
     rows = spark.createDataFrame([("a",)] * 500 + [("b",), (None,), ("x" * 5000,), ("x" * 5000,)], "text string").coalesce(1)
     found = _mapped(rows, [rows.text], "made string", lambda _: (str(uuid.uuid4()),)).collect()
     assert len(found) == 504 and len({r.made for r in found if r.text == "a"}) == 1 and len({r.made for r in found}) == 5
+
+
+def test_short_inlines_and_formulas_are_read_once(monkeypatch):
+    """Where they depend on nothing else: not with link references or notes in the text."""
+    from paperloom.kernel import latex, markdown
+    from paperloom.kernel.tree import Kept, flat
+
+    texts, read, formulas = [], [], []
+    init, made = markdown.Inlines.__init__, latex.read
+    monkeypatch.setattr(markdown.Inlines, "__init__", lambda self, text, *a: read.append(text) or init(self, text, *a))
+    monkeypatch.setattr(latex, "read", lambda source: formulas.append(source) or made(source))
+    for module in (markdown, latex):
+        monkeypatch.setattr(module, "_KNOWN", Kept())
+    for _ in range(2):
+        texts.append(flat(markdown.parse("- same **b**\n- same **b**\n\n[r]\n")))
+        assert latex.to_omml("x^2") != latex.to_mathml("x^2")
+    assert texts[0] == texts[1] and read == ["same **b**", "[r]"] and formulas == ["x^2"] * 2
+    assert [n.kind for n in markdown.parse("[r]\n\n[r]: /u\n").children[0].children] == ["link"]
+    for _ in range(2):
+        assert [n.attrs["name"] for n in markdown.parse("a ^[n]\n").children if n.kind == "footnote"] == ["note-1"]
+    known = Kept()
+    for i in range(Kept.MOST + 1):
+        known.keep(i, i)
+    assert list(known) == [Kept.MOST]
