@@ -150,3 +150,34 @@ def test_short_inlines_and_formulas_are_read_once(monkeypatch):
     for i in range(Kept.MOST + 1):
         known.keep(i, i)
     assert list(known) == [Kept.MOST]
+
+
+def test_rich_pages_leave_python_as_hashes(spark):
+    """No text goes through Python only to be dropped, and no page leaves it to be hashed."""
+    import hashlib
+
+    from paperloom.kernel.richhtml import rich_html
+    from paperloom.operators import documents
+
+    shown = plan(spark, "rich_html")
+    assert "sha2(" not in shown and "rich_html#" not in shown and "MapInArrow run(doc_id" in shown and "(doc_id#0L, text#" not in shown
+    docs = spark.createDataFrame([(1, "# a é"), (2, "> שלום"), (3, None)], "doc_id int, text string")
+    found = {r.doc_id: r for r in documents.rich(docs, only=["html_sha256", "html_length"], keep=["doc_id"]).collect()}
+    for i, text in ((1, "# a é"), (2, "> שלום"), (3, "")):
+        page = rich_html(text)
+        assert tuple(found[i]) == (i, hashlib.sha256(page.encode()).hexdigest(), len(page), None)
+    assert documents.rich(docs).columns == ["doc_id", "text", "rich_html", "kernel_error"]
+
+
+def test_prose_lines_begin_no_block(monkeypatch):
+    """Lines that begin with a letter outside of containers are not asked what they begin, and a
+    page without right-to-left signs is not searched for directions."""
+    from paperloom.kernel import markdown, richhtml
+
+    asked = []
+    start = markdown.Blocks._start
+    monkeypatch.setattr(markdown.Blocks, "_start", lambda self, line, *a: asked.append(line.rest) or start(self, line, *a))
+    monkeypatch.setattr(richhtml, "resolved", None)
+    page = richhtml.rich_html("a\nb\n\nc\n- d\ne\n\nf")
+    assert "a" not in asked and "b" not in asked and "c" not in asked and "- d" in asked
+    assert page.count("<p dir=\"ltr\"") == 3 and "a<br />\nb</p>" in page and "d<br />\ne</li>" in page
