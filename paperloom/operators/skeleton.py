@@ -1,9 +1,8 @@
 """The blocks of Markdown texts as a relation: kind, first and last line, depth.
 
-Lines go through a small automaton. Only fences carry state from line to line, and what a
-line does to the state is a table from states to states; tables of neighbouring lines
-compose. So a text is cut into stretches, each composes its table where it lies, the tables
-of a text (not its lines) are scanned in order, and every stretch then runs from its own
+Lines go through a small automaton. Only fences carry state from line to line. A text is cut
+into stretches where it lies, a short fold over its lines (fence marks, items and breaks)
+finds the state that each stretch starts in, and every stretch then runs from its own
 starting state: a long text is spread over tasks. Runs of lines become blocks as gaps and
 islands, over the numbers of structural lines only.
 
@@ -24,6 +23,8 @@ from paperloom.functions.folds import emitting, let
 from paperloom.functions.text import lines_of
 
 STRETCH, DEEPEST, LONGEST = 512, 32, 16
+#: Texts of more signs are spread over tasks.
+SPREAD = 1 << 16
 #: Patterns of lines; SQL reads them as well, without the possessive loops.
 FENCE = r"^[ \t]*+(`{3,}|~{3,})"
 ATX = r"^ {0,3}(#{1,6})[ \t]++[^ \t]"
@@ -32,9 +33,10 @@ ITEM = r"^([ \t]*+)(?:[-+*]|[0-9]++[.)])[ \t]++[^ \t]"
 QUOTE = r"^[ \t]*+>[ \t>]*+"
 RULE = r"^[ \t]*+\|?+[ \t]*+:?+-{3,}+:?+[ \t]*+(?:\|[ \t]*+:?+-{3,}+:?+[ \t]*+)++\|?+[ \t]*+$"
 BLANK = r"^[ \t]*+$"
+#: First signs of lines that may be any of these; those with a pipe may be as well.
+MARKED = "`~#=>+*-0123456789"
 _STATE, _LINE = "struct<fence:int,b:bigint,k:bigint>", "struct<n:bigint,kind:string,depth:int,b:bigint,k:bigint>"
-#: States of the automaton: outside, and in a fence of each sign and length.
-STATES = 1 + 2 * (LONGEST - 2)
+_START = "struct<start:int,b0:bigint,k0:bigint>"
 
 
 def _own(mark: Column) -> Column:
@@ -47,34 +49,75 @@ def _next(state: Column, own: Column) -> Column:
     return F.when(own == 0, state).when(state == 0, own).when(((state <= half) == (own <= half)) & (own >= state), 0).otherwise(state)
 
 
+def _starts(lines: Column, ats: Column, stretch: int) -> Column:
+    """start (state), b0 and k0 (breaks and items so far) of each stretch of a text, from a
+    fold over its lines; a text of one stretch begins outside."""
+    facts = lambda x: let(F.struct(_own(F.regexp_extract(x, FENCE, 1)).alias("own"), x.rlike(ITEM).alias("item"), x.rlike(BLANK).alias("blank"), x.rlike(r"^(?: {2}|\t)").alias("deep")), lambda f: F.struct(f["own"].alias("own"), f["item"].cast("bigint").alias("k"), (~f["item"] & ~f["blank"] & ~f["deep"]).cast("bigint").alias("b")))
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("b0"), F.lit(0).cast("bigint").alias("k0")).cast(_START)
+
+    def moved(state, f):
+        out = (state["start"] == 0) & (f["own"] == 0)
+        return F.struct(_next(state["start"], f["own"]).alias("start"), (state["b0"] + F.when(out, f["b"]).otherwise(1)).alias("b0"), (state["k0"] + F.when(out, f["k"]).otherwise(0)).alias("k0")).cast(_START)
+
+    def scan(state, at):
+        return F.struct(F.aggregate(F.transform(F.slice(lines, at + 1, F.lit(stretch)), facts), state, moved).alias("state"), F.array(state).alias("out"))
+
+    return F.when(F.size(lines) <= stretch, F.array(zero)).otherwise(emitting(ats, zero, _START, _START, scan)["out"])
+
+
 def _stretches(docs: DataFrame, text: str, stretch: int) -> DataFrame:
     """__key, kept columns, total (lines of the text), at (first line of the stretch), before
-    (the line above it) and lines."""
-    lines = lines_of(F.col(f"`{text}`"))
-    cut = let(lines, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(stretch)), lambda at: F.struct(at.alias("at"), F.size(x).alias("total"), F.coalesce(F.get(x, at - 1), F.lit("")).alias("before"), F.slice(x, at + 1, F.lit(stretch)).alias("lines"))))
-    return docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("__cut", cut).drop(text).select("*", F.inline_outer("__cut")).drop("__cut").filter("total > 0")
+    (the line above it), lines, and what _starts() finds."""
+
+    def cut(x):
+        ats = F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(stretch))
+        row = lambda at, s: F.struct(at.alias("at"), F.size(x).alias("total"), F.coalesce(F.get(x, at - 1), F.lit("")).alias("before"), F.slice(x, at + 1, F.lit(stretch)).alias("lines"), *[s[c].alias(c) for c in ("start", "b0", "k0")])
+        return let(_starts(x, ats, stretch), lambda starts: F.transform(ats, lambda at, j: row(at, F.get(starts, j))))
 
+    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("__cut", let(lines_of(F.col(f"`{text}`")), cut))
+    return keyed.drop(text).select("*", F.inline_outer("__cut")).drop("__cut").filter("total > 0")
 
-def _facts(line: Column, previous: Column) -> Column:
-    lead = F.regexp_extract(line, ITEM, 1)
-    indent = F.length(F.replace(F.regexp_extract(line, r"^[ \t]*+", 0), F.lit("\t"), F.lit("    ")))
-    quote = F.regexp_extract(line, QUOTE, 0)
+
+def _dealt(docs: DataFrame, text: str, stretch: int) -> DataFrame:
+    """The stretches of all texts, those of long texts spread over tasks."""
+    long = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) > SPREAD
+    return _stretches(docs.filter(~long), text, stretch).unionByName(_stretches(docs.filter(long), text, stretch).repartition("__key", "at"))
+
+
+def _facts(line: Column, previous: Column, *more: Column) -> Column:
+    """What a marked line is. Patterns are long to fail, as they are tried at every place of a
+    line, so its first sign decides which of them are tried at all."""
+    bare, pipe = F.ltrim(line, F.lit(" \t")), F.contains(line, F.lit("|"))
+    indent = F.length(F.replace(F.left(line, F.length(line) - F.length(bare)), F.lit("\t"), F.lit("    ")))
     under = line.rlike(UNDER) & ~previous.rlike(BLANK) & ~previous.rlike(FENCE)
-    return F.struct(
-        _own(F.regexp_extract(line, FENCE, 1)).alias("own"), line.rlike(BLANK).alias("blank"), indent.alias("indent"), line.rlike(ITEM).alias("item"), F.length(F.regexp_replace(quote, "[^>]", "")).alias("quote"), F.length(F.regexp_extract(line, ATX, 1)).alias("atx"),
-        F.when(under, F.when(F.contains(line, F.lit("=")), 1).otherwise(2)).otherwise(0).alias("under"), F.contains(line, F.lit("|")).alias("pipe"), line.rlike(RULE).alias("rule"), F.length(lead).alias("lead"),
-    )
+
+    def by(sign):
+        having = lambda signs, value, other=0: F.when(sign.isin(*signs), value).otherwise(other)
+        return F.struct(
+            *more, having("`~", _own(F.regexp_extract(line, FENCE, 1))).alias("own"), indent.alias("indent"), having("-+*0123456789", line.rlike(ITEM), False).alias("item"),
+            having(">", F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 0), "[^>]", ""))).alias("quote"), having("#", F.length(F.regexp_extract(line, ATX, 1))).alias("atx"),
+            having("=-", F.when(under, F.when(F.contains(line, F.lit("=")), 1).otherwise(2)).otherwise(0)).alias("under"), pipe.alias("pipe"), (pipe & F.contains(previous, F.lit("|")) & line.rlike(RULE) & ~previous.rlike(FENCE)).alias("rule"),
+        )
+
+    return let(F.left(bare, F.lit(1)), by)
+
+
+def _code(line: Column) -> Column:
+    """2 for a line that may be structural, 1 for others that end a list, 0 for the rest."""
+    sign, deep = F.left(F.ltrim(line, F.lit(" \t")), F.lit(1)), F.startswith(line, F.lit("  ")) | F.startswith(line, F.lit("\t")) | F.startswith(line, F.lit(" \t"))
+    return F.when(sign.isin(*MARKED) | F.contains(line, F.lit("|")), 2).when((sign != "") & ~deep, 1).otherwise(0)
 
 
 def _structural(rows: DataFrame) -> DataFrame:
     """One row for each structural line of each stretch (with start, the state it begins in,
-    and b and k, the breaks and items before it)."""
+    and b and k, the breaks and items before it). Only marked lines are looked at by all
+    patterns and folded; each knows how many others, and how many breaks, are before it."""
 
     def step(state, x):
         fence, now = state["fence"], _next(state["fence"], x["own"])
         out = (fence == 0) & (x["own"] == 0)
-        item, breaks = out & x["item"], ~out | (~x["blank"] & ~x["item"] & (x["indent"] < 2))
-        b, k = state["b"] + breaks.cast("bigint"), state["k"] + item.cast("bigint")
+        item, breaks = out & x["item"], ~out | (~x["item"] & (x["indent"] < 2))
+        b, k = state["b"] + F.when(fence == 0, x["plain"]).otherwise(x["skipped"]) + breaks.cast("int"), state["k"] + item.cast("bigint")
         row = lambda kind, depth, when: F.when(when, F.struct(x["n"].alias("n"), F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), b.alias("b"), k.alias("k")))
         found = F.array(
             row("open", F.lit(1), (fence == 0) & (x["own"] != 0)), row("close", F.lit(1), (fence != 0) & (now == 0)), row("heading", x["atx"], out & (x["atx"] > 0)), row("under", x["under"], out & (x["under"] > 0)),
@@ -82,50 +125,30 @@ def _structural(rows: DataFrame) -> DataFrame:
         )
         return F.struct(F.struct(now.alias("fence"), b.alias("b"), k.alias("k")).alias("state"), F.filter(found, lambda r: r.isNotNull()).alias("out"))
 
-    lines = F.transform("lines", lambda x, i: let(_facts(x, F.when(i == 0, F.col("before")).otherwise(F.get("lines", i - 1))), lambda f: F.struct((F.col("at") + i).cast("bigint").alias("n"), *[f[c].alias(c) for c in ("own", "blank", "indent", "item", "quote", "atx", "under", "pipe", "rule")])))
+    def marked(codes, places):
+        def one(i, j):
+            begin = F.when(j == 0, 0).otherwise(F.get(places, j - 1) + 1)
+            between = F.slice(codes, begin + 1, i - begin)
+            own = (F.col("at") + i).cast("bigint").alias("n"), (i - begin).alias("skipped"), (i - begin - F.size(F.array_remove(between, 1))).alias("plain")
+            previous = F.when(i == 0, F.col("before")).otherwise(F.get("lines", i - 1))
+            return let(F.get("lines", i), lambda line: _facts(line, previous, *own))
+
+        return F.transform(places, one)
+
+    codes = F.transform("lines", _code)
+    lines = let(codes, lambda c: let(F.filter(F.transform(c, lambda x, i: F.when(x == 2, i)), lambda i: i.isNotNull()), lambda p: marked(c, p)))
     begun = F.struct(F.col("start").alias("fence"), F.col("b0").alias("b"), F.col("k0").alias("k")).cast(_STATE)
     made = rows.withColumn("__made", emitting(lines, begun, _STATE, _LINE, step))
     return made.drop("lines", "before", "at", "start", "b0", "k0").select("*", F.inline_outer("__made.out")).drop("__made").filter("kind is not null")
 
 
-def _started(cut: DataFrame, stretch: int) -> DataFrame:
-    """cut with start, b0 and k0 of each stretch. Texts of one stretch begin outside; of
-    longer ones each stretch composes its table (and counts breaks and items, which depend
-    on the state as well), and the tables of a text are applied one after another."""
-    zero = F.lit(0).cast("bigint")
-    first = cut.filter(F.col("total") <= stretch).withColumns({"start": F.lit(0), "b0": zero, "k0": zero})
-    long = cut.filter(F.col("total") > stretch)
-    facts = F.transform("lines", lambda x: let(F.struct(_own(F.regexp_extract(x, FENCE, 1)).alias("own"), x.rlike(ITEM).alias("item"), x.rlike(BLANK).alias("blank"), x.rlike(r"^(?: {2}|\t)").alias("deep")), lambda f: F.struct(f["own"].alias("own"), f["item"].cast("bigint").alias("k"), (~f["item"] & ~f["blank"] & ~f["deep"]).cast("bigint").alias("b"))))
-    entry = "array<struct<state:int,b:bigint,k:bigint>>"
-
-    def compose(table, x):
-        def moved(e):
-            out = (e["state"] == 0) & (x["own"] == 0)
-            return F.struct(_next(e["state"], x["own"]).alias("state"), (e["b"] + F.when(out, x["b"]).otherwise(1)).alias("b"), (e["k"] + F.when(out, x["k"]).otherwise(0)).alias("k"))
-
-        return F.transform(table, moved).cast(entry)
-
-    identity = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: F.struct(s.alias("state"), zero.alias("b"), zero.alias("k"))).cast(entry)
-    tables = long.select("__key", "at", F.aggregate(facts, identity, compose).alias("table"))
-    scanned = F.struct(F.lit(0).alias("start"), zero.alias("b0"), zero.alias("k0"))
-    scan_type, start_type = "struct<start:int,b0:bigint,k0:bigint>", "struct<at:int,start:int,b0:bigint,k0:bigint>"
-
-    def scan(state, t):
-        e = lambda: F.get(t["table"], state["start"])
-        after = F.struct(e()["state"].alias("start"), (state["b0"] + e()["b"]).alias("b0"), (state["k0"] + e()["k"]).alias("k0"))
-        return F.struct(after.alias("state"), F.array(F.struct(t["at"].alias("at"), state["start"].alias("start"), state["b0"].alias("b0"), state["k0"].alias("k0"))).alias("out"))
-
-    starts = tables.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("at", "table"))).alias("t")).select("__key", F.inline(emitting(F.col("t"), scanned.cast(scan_type), scan_type, start_type, scan)["out"]))
-    return first.unionByName(long.join(starts, ["__key", "at"]).select(first.columns))
-
-
 def blocks(docs: DataFrame, text: str = "text", stretch: int = STRETCH) -> DataFrame:
     """The other columns of docs with kind (fence, heading, quote, list, table), first_line and
     last_line (from 0) and depth, a row for each block. Null and empty texts have none; rows
     that are alike in all columns count once. A fence that stays open ends with the text."""
     names = ["kind", "first_line", "last_line", "depth"]
     kept = [c for c in docs.columns if c not in (text, *names)]
-    lines = _structural(_started(_stretches(docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("__text")), "__text", stretch), stretch))
+    lines = _structural(_dealt(docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("__text")), "__text", stretch))
     own, n, kind = [f"__k{i}" for i in range(len(kept))], F.col("n"), F.col("kind")
     group = F.when(kind.isin("open", "close"), "fence").when(kind.isin("heading", "under"), "heading").when(kind == "item", "list").when(kind == "pipe", "table").otherwise(kind)
     deep = F.when(kind.isin("quote", "item"), F.sequence(F.lit(1), F.col("depth"))).when(kind == "pipe", F.array(F.lit(1))).otherwise(F.array("depth"))
@@ -135,9 +158,9 @@ def blocks(docs: DataFrame, text: str = "text", stretch: int = STRETCH) -> DataF
     group, rank = F.col("__group"), F.col("__rank")
     island = F.when(group == "fence", F.floor((rank - 1) / 2)).when(group == "heading", n).when(group == "list", F.col("k") - rank).otherwise(n - rank)
     runs = rows.withColumn("__island", island).withColumn("__b", F.when(group == "list", F.col("b"))).groupBy("__key", "__group", "d", "__island", "__b").agg(
-        *[F.first(c).alias(c) for c in own], F.first("total").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.bool_or(kind == "under").alias("under"), F.bool_or(kind == "close").alias("closed"), F.sort_array(F.collect_set(F.when((kind == "pipe") & (F.col("depth") == 1), n))).alias("rules")
+        *[F.first(c).alias(c) for c in own], F.first("total").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.bool_or(kind == "under").alias("under"), F.bool_or(kind == "close").alias("closed"), F.min(F.when((kind == "pipe") & (F.col("depth") == 1), n)).alias("rule")
     )  # one shuffle: the groups lie within the partitions of the window
-    rule = F.get(F.filter("rules", lambda r: r > F.col("lo")), F.lit(0))
+    rule = F.col("rule")  # one below a line with a pipe
     first = F.when(group == "table", rule - 1).when(F.col("under"), F.col("lo") - 1).otherwise(F.col("lo"))
     last = F.when((group == "fence") & ~F.col("closed"), (F.col("total") - 1).cast("bigint")).otherwise(F.col("hi"))
     found = runs.filter((group != "table") | rule.isNotNull())

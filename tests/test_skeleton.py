@@ -82,3 +82,19 @@ def test_long_texts_are_split(spark):
     text = "\n".join(["- a", "```", "# no", "```", "# yes", "> q", ""] * 20_000)
     found = skeleton.blocks(spark.createDataFrame([(1, text), (None, None)], "doc_id int, text string")).groupBy("kind").agg(F.count("*").alias("n"), F.max("last_line").alias("last")).collect()
     assert {r.kind: (r.n, r.last) for r in found} == {"list": (20_000, 139_993), "fence": (20_000, 139_996), "heading": (20_000, 139_997), "quote": (20_000, 139_998)}
+
+
+def test_only_marked_lines_are_folded(spark, monkeypatch):
+    """Prose is not looked at by all patterns, groups of runs are hashed, and texts that are
+    spread over tasks give the same."""
+    assert "ObjectHashAggregate" not in skeleton.blocks(spark.createDataFrame([(1, "a")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    kinds = [spark.range(1).select(skeleton._code(F.lit(x))).first()[0] for x in ("a", " a", "  a", "\ta", "", " \t", "1. a", "  > a", "a | b", "\t`")]
+    assert kinds == [1, 1, 0, 0, 0, 0, 2, 2, 2, 2]
+    texts = ["- a\nb\n- c\n\n  d\n\n- e\n```\n\n|\n```\n|---|---|\nx|y\n---|---\n---|---\n"] + ["- a\nb c d\n  e\n> q\n" * 5] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for signs in (1 << 16, 0):
+        monkeypatch.setattr(skeleton, "SPREAD", signs)
+        for stretch in (512, 2):
+            found = skeleton.blocks(rows, stretch=stretch).collect()
+            for i, t in enumerate(texts):
+                assert Counter((r.kind, r.first_line, r.last_line, r.depth) for r in found if r.doc_id == i) == plain(t), (signs, stretch, t)
