@@ -23,17 +23,24 @@ def latest_response(turns: DataFrame) -> DataFrame:
     return answers.groupBy("conv_id").agg(last).select("conv_id", F.col("last.turn").alias("turn"), F.col("last.text").alias("markdown"))
 
 
-def captured(pages: DataFrame, html: str = "html", url: str = "url", provider: str = "auto") -> DataFrame:
-    """pages that may be captured, with ok, markdown, provider, label, title and error."""
+def captured(pages: DataFrame, html: str = "html", url: str = "url", provider: str = "auto", only: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """pages that may be captured, with ok, markdown, provider, label, title and error; only:
+    which columns are wanted, of these, markdown_sha256 and markdown_length; keep: the columns
+    of pages that are (a page that nobody reads again need not wait in Python's batches)."""
+    import hashlib
+
     from paperloom.kernel.capture import capture
 
     allowed = pages.filter(dialect.can_capture(F.col(url)))
 
     def work(page, host):
         found = capture(page, host, provider)
-        return tuple(found[k] for k in ("ok", "markdown", "provider", "label", "title", "error"))
+        text = found["markdown"]
+        return *(found[k] for k in names), None if text is None else hashlib.sha256(text.encode()).hexdigest(), None if text is None else len(text)
 
-    return _mapped(allowed, [F.coalesce(F.col(html), F.lit("")), dialect.host_of(F.col(url))], "ok boolean, markdown string, provider string, label string, title string, error string", work)
+    names = ["ok", "markdown", "provider", "label", "title", "error"]
+    schema = "ok boolean, markdown string, provider string, label string, title string, error string, markdown_sha256 string, markdown_length int"
+    return _mapped(allowed, [F.coalesce(F.col(html), F.lit("")), dialect.host_of(F.col(url))], schema, work, only or names, keep)
 
 
 def editor_text(codemirror: Column, textarea: Column, article: Column) -> Column:

@@ -181,3 +181,28 @@ def test_prose_lines_begin_no_block(monkeypatch):
     page = richhtml.rich_html("a\nb\n\nc\n- d\ne\n\nf")
     assert "a" not in asked and "b" not in asked and "c" not in asked and "- d" in asked
     assert page.count("<p dir=\"ltr\"") == 3 and "a<br />\nb</p>" in page and "d<br />\ne</li>" in page
+
+
+def test_pages_go_through_python_once(spark):
+    """The page to be captured is in Python's batches once, and does not come back."""
+    from paperloom.operators import chat
+
+    shown = plan(spark, "html_capture")
+    assert "MapInArrow run(page_id" in shown and "sha2(" not in shown and "run(page_id#0L, url" not in shown and " markdown#" not in shown
+    pages = spark.createDataFrame([("https://x.y/", "<article>é hi</article>"), ("https://x.y/", "<p>a</p>")], "url string, html string")
+    found = chat.captured(pages, only=["markdown", "markdown_sha256", "markdown_length"], keep=[])
+    assert found.columns == ["markdown", "markdown_sha256", "markdown_length", "kernel_error"]
+    whole = found.select("markdown", "markdown_sha256", "markdown_length", tx_sha("markdown"), "kernel_error").collect()
+    assert sorted(map(tuple, whole), key=str) == sorted([("é hi", whole_sha("é hi"), 4, whole_sha("é hi"), None), (None, None, None, None, None)], key=str)
+
+
+def tx_sha(column):
+    from pyspark.sql import functions as F
+
+    return F.sha2(column, 256)
+
+
+def whole_sha(text):
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()
