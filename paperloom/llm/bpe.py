@@ -23,6 +23,17 @@ PAIRS = 1_000_000  # of tokens that a worker remembers
 END = ""  # stands for the end-of-word mark inside this module
 
 
+class _State:
+    """Where the automaton stands: the longest end of what it read that begins a vocabulary
+    entry, and the entries that end there, the longest first."""
+
+    __slots__ = ("text", "own", "after", "open", "closing")
+
+    def __init__(self, text: str, bodies: tuple[dict, dict]):
+        self.text, self.own, self.after = text, {}, {}
+        self.open, self.closing = (tuple(found[text[i:]] for i in range(len(text)) if text[i:] in found) for found in bodies)
+
+
 class PrefixTable:
     """Vocabulary, merge priorities and the memo of compatible pairs."""
 
@@ -32,12 +43,16 @@ class PrefixTable:
         self.rank, self.end_of_word = rank, end_of_word
         self.open, self.closing = ahocorasick.Automaton(), ahocorasick.Automaton()
         self.memos, self.remembered = [], 0
+        self.bodies: tuple[dict, dict] = {}, {}
+        self.begun: set[str] = set()
+        self.root = None
         for token in tokens:
             closed = end_of_word and token.endswith(END)
             body = token[:-1] if closed else token
             if body:  # each entry keeps the memo of the tokens that may stand before it
                 self.memos.append({})
-                (self.closing if closed else self.open).add_word(body, (len(body), token, self.memos[-1]))
+                self.bodies[closed][body] = entry = (len(body), token, self.memos[-1])
+                (self.closing if closed else self.open).add_word(body, entry)
         self.open.make_automaton()
         self.closing.make_automaton()
         self.longest = max((len(t) for t in tokens), default=1)
@@ -74,7 +89,7 @@ class PrefixTable:
         """before may be empty: then the question is whether token encodes to itself.
         Each pair of vocabulary entries is remembered at most once; all memos together
         are emptied before they can outgrow a worker."""
-        ok = self.merged(self.symbols(before) + self.symbols(token)) == ([before, token] if before else [token])
+        ok = not (before and self.rank(before, token) is not None) and self.merged(self.symbols(before) + self.symbols(token)) == ([before, token] if before else [token])
         if self.remembered >= PAIRS:
             for kept in self.memos:
                 kept.clear()
@@ -126,19 +141,58 @@ class PrefixTable:
     def closed_counts(self, word: str) -> list[int]:
         """count[i]: the exact number of tokens of the first i symbols as a word
         of its own, that is with the end-of-word mark on symbol i."""
-        last, count = self.opened(word)
-        closed = [0] * len(last)
-        for end, (size, token, memo) in self.closing.iter(word):
-            i = end + 1
-            if not closed[i]:
-                before = last[i - size]
-                ok = memo.get(before)
-                if self._compatible(before, token, memo) if ok is None else ok:
-                    closed[i] = count[i - size] + 1
-        for i in range(1, len(last)):
-            if not closed[i]:  # the last symbol is outside the vocabulary
-                closed[i] = count[i - 1] + 1
-        return closed
+        return next(self.closed_tables([word]))
+
+    def closed_tables(self, words):
+        """closed_counts() of each word. What a table holds for a prefix is the same in all words that
+        begin with it, so words in order go on where they leave the one before."""
+        if self.root is None:
+            self.begun = {body[:i] for bodies in self.bodies for body in bodies for i in range(1, len(body) + 1)}
+            self.root = _State("", self.bodies)
+        states, last, count, closed, before_it = [self.root], [""], [0], [0], ""
+        for word in words:
+            at = 0
+            for a, b in zip(before_it, word, strict=False):
+                if a != b:
+                    break
+                at += 1
+            before_it = word
+            del states[at + 1 :], last[at + 1 :], count[at + 1 :], closed[at + 1 :]
+            state = states[at]
+            for symbol in word[at:]:
+                at += 1
+                state = state.after.get(symbol) or self._step(state, symbol)
+                # a symbol that no vocabulary entry ends at is a token by itself
+                ended = final = 1
+                found = symbol
+                for size, token, memo in state.open:
+                    before = last[at - size]
+                    ok = memo.get(before)
+                    if self._compatible(before, token, memo) if ok is None else ok:
+                        found, ended = token, size
+                        break
+                for size, token, memo in state.closing:
+                    before = last[at - size]
+                    ok = memo.get(before)
+                    if self._compatible(before, token, memo) if ok is None else ok:
+                        final = size
+                        break
+                states.append(state)
+                last.append(found)
+                closed.append(count[at - final] + 1)
+                count.append(count[at - ended] + 1)
+            yield closed[:]
+
+    def _step(self, state: _State, symbol: str) -> _State:
+        """The state after one more symbol. States are made when they are first met."""
+        text = state.text + symbol
+        while text and text not in self.begun:
+            text = text[1:]
+        found = self.root
+        for i, c in enumerate(text, 1):  # one state for each text, kept at the end of its own path
+            found = found.own.get(c) or found.own.setdefault(c, _State(text[:i], self.bodies))
+        state.after[symbol] = found
+        return found
 
     def opened(self, word: str) -> tuple[list[str], list[int]]:
         """The last token and the number of tokens of each open prefix."""

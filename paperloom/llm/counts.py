@@ -1,9 +1,10 @@
 """Operator 4: exact token counts by dynamic programming over prefixes.
 
 Each pre-token gets a table: the exact number of tokens of every one of its prefixes, as a
-word of its own. The table of a run of text without white space joins those of its
-pre-tokens, and workers remember the tables of short runs. The count of a text is the sum of
-the last entries; its own table, with a count for each prefix, answers truncation and
+word of its own. Pre-tokens that are new in a batch are taken in order, so that those with a
+common beginning share that part of their tables, and workers remember tables of short ones.
+The count of a text is the sum of their last entries, remembered for each short run without
+white space. The table of a run joins those of its pre-tokens; that of a text, with a count for each prefix, answers truncation and
 budget questions by looking up, without encoding again."""
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import re
 import unicodedata
 from bisect import bisect_right
+from itertools import accumulate, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from .common import table, text_bytes, worker_state
 
 CACHE_LIMIT = 600_000
 CACHED_LENGTH = 64
+SLICE = 16 << 20  # bytes of text whose new runs are worked on together
 #: Signs whose normal form, lower case and class do not depend on a Unicode version.
 _PLAIN = re.compile("[!-~¡-ɏ]+")
 
@@ -58,8 +61,9 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes | list[int]] = {}
-        self.known_parts: dict[str, bytes | list[int]] = {}
+        self.known, self.past = {}, {}  # tokens of runs: those used since the last turn, and in the one before
+        self.known_parts, self.past_parts = {}, {}  # tables of pre-tokens, likewise
+        self.tables: dict[str, bytes | list[int]] = {}  # tables of runs, if texts get theirs
         self.sigma = self._normal("ΑΣ")[1] != self._normal("ΑΣΑ")[1]  # a lower case that depends on what follows
 
     def _normal(self, raw: str) -> str:
@@ -71,28 +75,46 @@ class WordCounter:
             return [(m.start(), m[0]) for m in self.words.finditer(normal)]
         return [(a, normal[a:b]) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _words(self, raw: str) -> list[str]:
+        """The pre-tokens of a section."""
+        normal = self._normal(raw)
+        if normal.isalpha() and _PLAIN.fullmatch(normal):
+            return [normal]
+        return [word for _, word in self._pretokens(normal)]
+
     def _letters(self, pretoken: str) -> str:
+        if pretoken.isascii() and pretoken.isprintable() and " " not in pretoken:
+            return pretoken
         return "".join(map(self.letters.__getitem__, pretoken.encode()))
 
+    @staticmethod
+    def _table(pretoken: str, closed: list[int]) -> bytes | list[int]:
+        return _packed(closed[1:] if pretoken.isascii() else [closed[i] for i in accumulate(len(c.encode()) for c in pretoken)])
+
     def part(self, pretoken: str) -> bytes | list[int]:
         """The table of a pre-token: the count at each of its prefixes, from one sign on."""
         table = self.known_parts.get(pretoken)
         if table is None:
-            closed = self.table.closed_counts(self._letters(pretoken))
-            table = _packed(closed[1:] if pretoken.isascii() else [closed[i] for i in np.cumsum([len(c.encode()) for c in pretoken]).tolist()])
+            table = self._table(pretoken, self.table.closed_counts(self._letters(pretoken)))
             if len(pretoken) <= CACHED_LENGTH:
-                if len(self.known_parts) >= CACHE_LIMIT:
-                    self.known_parts.clear()
+                if len(self.known_parts) >= CACHE_LIMIT // 2:
+                    self.known_parts, self.past_parts = {}, self.known_parts
                 self.known_parts[pretoken] = table
         return table
 
+    def _split(self, raw: str) -> tuple[int, list[str]]:
+        """The special strings of a run, each one token, and the pre-tokens between them."""
+        if "<|" not in raw:
+            return 0, self._words(raw)
+        found, at, words = 0, 0, []
+        for m in self.cut.finditer(raw):
+            words += self._words(raw[at : m.start()])
+            found, at = found + 1, m.end()
+        return found, words + self._words(raw[at:])
+
     def _total(self, raw: str) -> int:
-        total, at = 0, 0
-        if "<|" in raw:
-            for m in self.cut.finditer(raw):
-                total += 1 + sum(self.part(p)[-1] for _, p in self._pretokens(self._normal(raw[at : m.start()])))
-                at = m.end()
-        return total + sum(self.part(p)[-1] for _, p in self._pretokens(self._normal(raw[at:])))
+        found, words = self._split(raw)
+        return found + sum(self.part(word)[-1] for word in words)
 
     def run(self, raw: str) -> bytes | list[int]:
         """The table of a run of text without ASCII white space: special strings count one when
@@ -109,32 +131,66 @@ class WordCounter:
                 out.append(done)
         return _packed(out)
 
-    def of(self, raw: bytes) -> int:
-        """Tokens of one run. Normalising, matching special tokens and splitting never look
-        across white space. Long runs are seldom met again: their tables are not kept."""
-        if len(raw) > CACHED_LENGTH:
-            return self._total(raw.decode())
-        if len(self.known) >= CACHE_LIMIT:
-            self.known.clear()
-        self.known[raw] = table = self.run(raw.decode())
-        return table[-1]
-
     def count(self, text: bytes) -> int:
-        of, known = self.of, self.known
-        total = 0
-        for raw in text.split():
-            table = known.get(raw)
-            total += of(raw) if table is None else table[-1]
-        return total
+        return self.counts([text])[0]
+
+    def counts(self, texts: list[bytes]) -> list[int]:
+        """Tokens of each text. Normalising, matching special tokens and splitting never look
+        across white space, so runs are counted once and summed."""
+        out, first, size = [], 0, 0
+        for i, text in enumerate([*texts, None]):
+            if text is None or size and size + len(text) > SLICE:
+                long = self._learn(texts[first:i])
+                out += [sum(map(self.known.__getitem__, t.split())) for t in texts[first:i]]
+                for raw in long:
+                    del self.known[raw]
+                first, size = i, 0
+            size += len(text or b"")
+        return out
+
+    def _learn(self, texts: list[bytes]) -> list[bytes]:
+        """Make all runs of these texts known. Returns the long ones: they are seldom met again,
+        so the caller forgets them."""
+        if len(self.known) >= CACHE_LIMIT // 2:
+            self.known, self.past = {}, self.known
+        known, new = self.known, set()
+        for text in texts:
+            new.update(filterfalse(known.__contains__, text.split()))
+        again = new & self.past.keys()
+        known.update((raw, self.past[raw]) for raw in again)
+        new -= again
+        split = {raw: self._split(raw.decode()) for raw in new}
+        tables = self._parts({word for _, words in split.values() for word in words})
+        for raw, (found, words) in split.items():
+            known[raw] = found + sum([tables[word][-1] for word in words])
+        return [raw for raw in new if len(raw) > CACHED_LENGTH]
+
+    def _parts(self, words: set[str]) -> dict[str, bytes | list[int]]:
+        """The tables of pre-tokens; the new ones are made in order."""
+        if len(self.known_parts) >= CACHE_LIMIT // 2:
+            self.known_parts, self.past_parts = {}, self.known_parts
+        tables = {word: table for word in words if (table := self.known_parts.get(word) or self.past_parts.get(word))}
+        new = {self._letters(word): word for word in words if word not in tables}
+        letters = sorted(new)
+        for spelt, closed in zip(letters, self.table.closed_tables(letters), strict=True):
+            tables[new[spelt]] = self._table(new[spelt], closed)
+        self.known_parts.update((word, table) for word, table in tables.items() if len(word) <= CACHED_LENGTH)
+        return tables
 
     def prefixes(self, text: str) -> np.ndarray:
         """The table of a text: for each i from 0 to its length the exact number of tokens
         of its first i code points."""
         out, total, end = np.zeros(len(text) + 1, np.int32), 0, 0
         for m in re.finditer(r"[^\x20\x09-\x0d]+", text):
-            table = self.known.get(m[0].encode())
+            table = self.tables.get(m[0])
+            if table is None:
+                table = self.run(m[0])
+                if len(table) <= CACHED_LENGTH:
+                    if len(self.tables) >= CACHE_LIMIT:
+                        self.tables.clear()
+                    self.tables[m[0]] = table
             out[end + 1 : m.start() + 1] = total
-            out[m.start() + 1 : m.end() + 1] = np.array(list(self.run(m[0]) if table is None else table), np.int32) + total
+            out[m.start() + 1 : m.end() + 1] = np.array(list(table), np.int32) + total
             total, end = int(out[m.end()]), m.end()
         out[end + 1 :] = total
         return out
@@ -235,7 +291,7 @@ def count_tokens(docs: DataFrame, file: bytes, limit: int = 2048, text: str = "t
         counter = worker_state(("counts", key), lambda: WordCounter(shipped.value))
         for batch in batches:
             raws = [x.as_py() for x in batch.column(batch.num_columns - 1)]
-            n = [counter.count(x) for x in raws]
+            n = counter.counts(raws)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array([len(x) for x in raws], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             if prefix_table:

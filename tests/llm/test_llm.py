@@ -103,6 +103,39 @@ def test_prefix_table_equals_plain_merging():
         assert table.encode(word) == table.merged(list(word))
 
 
+def test_words_in_order_share_their_beginnings():
+    merges = {("a", "b"): 0, ("ab", "ab"): 1, ("b", "a" + bpe.END): 2, ("abab", "a"): 3, ("c", "a"): 4, ("ab", "c" + bpe.END): 5}
+    tokens = ["a", "b", "c", "ab", "abab", "ababa", "ca", *(t + bpe.END for t in ("a", "b", "c", "ba", "abc"))]
+    table, rnd, worked = bpe.PrefixTable(tokens, lambda x, y: merges.get((x, y)), end_of_word=True), random.Random(5), []
+
+    class Seen(str):
+        def __getitem__(self, k):
+            worked.append(len(str.__getitem__(self, k)))
+            return str.__getitem__(self, k)
+
+    found = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(14))) for _ in range(500)})
+    for order in (found, found[::-1], rnd.sample(found, len(found))):
+        for word, closed in zip(order, table.closed_tables(map(Seen, order)), strict=True):
+            assert closed == [0, *(len(table.merged(table.symbols(word[:i] + bpe.END))) for i in range(1, len(word) + 1))]
+    worked.clear()
+    assert len(list(table.closed_tables(Seen("ab" * 500 + end) for end in ("a", "b", "ba", "c")))) == 4
+    assert sum(worked) == 1000 + 1 + 1 + 1 + 1
+
+
+def test_counts_of_a_batch_join_no_tables(monkeypatch):
+    """The sum needs the tables of pre-tokens, each made once, and none of the runs they stand in."""
+    monkeypatch.setattr(counts, "SLICE", 300)
+    monkeypatch.setattr(counts, "CACHE_LIMIT", 40)
+    counter, rnd = counts.WordCounter(counts.tokenizer_bytes()), random.Random(6)
+    monkeypatch.setattr(counter, "run", None)
+    signs = [*"abTh.,'\x1c\x85\x00\x7f ΣéÉ日1\xa0", "<|endoftext|>", "<|", " the", " the", "'re", " " + "x" * 70]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(300)] + ["", " ", "then then. Then, then!" * 40]
+    n = [len(counter.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.counts([t.encode() for t in texts]) == n == counter.counts([t.encode() for t in texts])
+    assert counter.counts([]) == []
+    assert not [raw for kept in (counter.known, counter.past, counter.known_parts, counter.past_parts) for raw in kept if len(raw) > counts.CACHED_LENGTH]
+
+
 def test_hmm_scores(spark):
     rnd = random.Random(4)
     texts = [*AWKWARD, *[words(rnd.randrange(1, 60), rnd, 400) for _ in range(120)]]
