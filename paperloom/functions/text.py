@@ -118,6 +118,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def token_numbers(text: Column) -> Column:
+    """The different tokens of a text in order, and how often each occurs, as an array."""
+
+    def counted(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (x != F.get(found, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda a, j: F.struct(F.get(found, a).alias("token"), (F.coalesce(F.get(s, j + 1), F.size(found)) - a).cast("bigint").alias("n"))))
+
+    return let(F.sort_array(tokens(text)), counted)
+
+
 def xml_escape(text: Column) -> Column:
     text = F.regexp_replace(text, r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
     for sign, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import tokens
+from paperloom.functions.text import token_numbers, tokens
+
+
+#: Keys of several rows that are sent to all tasks; with more of them, all rows are shuffled.
+REPEATED = 100_000
+
+
+def _by_key(rows: DataFrame, key: str, alone: Callable[[DataFrame], DataFrame], grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """alone(rows) of the rows whose key no other row has, which need no shuffle, and grouped(rows) of
+    the others. The keys are counted first."""
+    repeated = rows.groupBy(key).agg(F.count("*").alias("__pl_n")).where("__pl_n > 1").select(F.col(key).alias("__pl_key"))
+    found = repeated.limit(REPEATED + 1).count()
+    if found > REPEATED:
+        return grouped(rows)
+    if not found:
+        return alone(rows)
+    among = F.col(key).eqNullSafe(F.col("__pl_key"))
+    return alone(rows.join(F.broadcast(repeated), among, "left_anti")).unionByName(grouped(rows.join(F.broadcast(repeated), among, "left_semi")))
 
 
 def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, n. Exploded tokens are summed locally before the shuffle."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    """key, token, n. The tokens of a row are counted where it is; only rows that share their key
+    with others are exploded and summed in a shuffle. docs is read twice, once for its keys."""
+    rows = docs.select(key, text)
+    grouped = lambda some: some.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return _by_key(rows, key, lambda some: some.select(key, F.inline(token_numbers(F.col(text)))), grouped)
 
 
 def fidelity(pairs: DataFrame, key: str, expected: str, actual: str) -> DataFrame:

@@ -72,6 +72,29 @@ def test_fidelity(spark):
     assert got == {0: (4, 2, 0.5), 1: (0, 0, 1.0), 2: (0, 0, 1.0), 3: (1, 0, 1.0)}
 
 
+def test_tokens_are_counted_in_their_rows(spark, monkeypatch):
+    """Rows with keys of their own need no shuffle; repeated keys, few or many, are summed."""
+    rows = [(1, "b a B ß ss c"), (2, None), (3, ""), (4, "--"), (None, "x y x"), (5, "Aé aÉ 1 1 ÄÖ"), (6, "z " * 3000)]
+    plan = fidelity.token_counts(frame(spark, TEXTS), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+
+    def counted(rows):
+        found = fidelity.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+        assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [("doc_id", "bigint"), ("token", "string"), ("n", "bigint")]
+        return sorted(map(tuple, found.collect()), key=str)
+
+    def wanted(rows):
+        total = Counter()
+        for key, text in rows:
+            total.update((key, token) for token in "".join(c if c.isalnum() else " " for c in (text or "").lower().replace("ß", "ss")).split())
+        return sorted(((*at, n) for at, n in total.items()), key=str)
+
+    again = [*rows, (1, "a q"), (None, "x"), (5, None), (7, "new new")]
+    assert counted(rows) == wanted(rows) and counted(again) == wanted(again) and counted([]) == []
+    monkeypatch.setattr(fidelity, "REPEATED", 1)
+    assert counted(again) == wanted(again)
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 1, "assistant", "first"), (1, 2, "assistant", " x "), (1, 3, "user", "later"), (2, 1, "assistant", "a"), (2, 1, "assistant", "bb")], "conv_id int, turn int, role string, text string")
     assert {tuple(r) for r in chat.latest_response(turns).collect()} == {(1, 1, "first"), (2, 1, "bb")}
