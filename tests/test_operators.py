@@ -72,6 +72,22 @@ def test_fidelity(spark):
     assert got == {0: (4, 2, 0.5), 1: (0, 0, 1.0), 2: (0, 0, 1.0), 3: (1, 0, 1.0)}
 
 
+def test_fidelity_compares_rows_where_they_are(spark, monkeypatch):
+    rows = [(1, "a b b C", "b c c"), (2, "", "x"), (None, "q q", "q"), (3, "z " * 3000 + "y", "z y y"), (4, "a b", None)]
+    plan = fidelity.fidelity(spark.createDataFrame(rows, "k int, e string, a string"), "k", "e", "a")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+
+    def compared(rows):
+        return sorted(map(tuple, fidelity.fidelity(spark.createDataFrame(rows, "k int, e string, a string"), "k", "e", "a").collect()), key=str)
+
+    again = [*rows, (1, "c d", "b"), (None, "q", "q q"), (5, "n", "m"), (5, None, "n")]
+    found = compared(rows), compared(again)
+    assert (1, 4, 2, 0.5) in found[0] and (3, 3001, 2999, 2 / 3001) in found[0] and (None, 2, 1, 0.5) in found[0]
+    assert {r[:3] for r in found[1]} == {(1, 6, 2), (2, 0, 0), (None, 3, 0), (3, 3001, 2999), (4, 2, 2), (5, 1, 0)}
+    monkeypatch.setattr(fidelity, "REPEATED", -1)
+    assert (compared(rows), compared(again)) == found
+
+
 def test_tokens_are_counted_in_their_rows(spark, monkeypatch):
     """Rows with keys of their own need no shuffle; repeated keys, few or many, are summed."""
     rows = [(1, "b a B ß ss c"), (2, None), (3, ""), (4, "--"), (None, "x y x"), (5, "Aé aÉ 1 1 ÄÖ"), (6, "z " * 3000)]
