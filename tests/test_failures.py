@@ -26,3 +26,9 @@ def test_md_nodes_tell_of_failures(spark, failing):
     found = catalogue.md_nodes(spark, failing).collect()
     assert [tuple(r) for r in found if r.doc_id == 2] == [(2, None, None, None, None, None, None, "RuntimeError: no")]
     assert {r.doc_id for r in found} == {1, 2, 3} and all(r.kernel_error is None and r.kind for r in found if r.doc_id != 2)
+
+
+def test_md_node_summary_counts_failures(spark, failing):
+    found = {(r.lang, r.kind): tuple(r)[2:] for r in catalogue.md_node_summary(spark, failing).collect()}
+    assert found.pop(("en", None)) == (0, None, 1, "RuntimeError: no")
+    assert found["en", "document"] == found["de", "document"] == (1, 0, 0, None) and all(n > 0 and failed == 0 for n, _, failed, _ in found.values())
