@@ -32,3 +32,14 @@ def test_md_node_summary_counts_failures(spark, failing):
     found = {(r.lang, r.kind): tuple(r)[2:] for r in catalogue.md_node_summary(spark, failing).collect()}
     assert found.pop(("en", None)) == (0, None, 1, "RuntimeError: no")
     assert found["en", "document"] == found["de", "document"] == (1, 0, 0, None) and all(n > 0 and failed == 0 for n, _, failed, _ in found.values())
+
+
+def test_md_fixed_nodes_end_with_a_failure(spark, failing, monkeypatch):
+    query = catalogue.md_fixed_nodes(spark, failing)
+    with pytest.raises(Exception, match="no tree of document 2: RuntimeError: no"):
+        query.collect()
+    with pytest.raises(Exception, match="no tree of document 2: RuntimeError: no"):
+        query.count()
+    monkeypatch.undo()
+    found = {(r.doc_id, r.kind): r.n for r in catalogue.md_fixed_nodes(spark, failing).collect()}
+    assert found == {(i, kind): n for i in (1, 2, 3) for kind, n in catalogue.FIXED_NODES.items()}
